@@ -47,3 +47,22 @@ def discard(df: DataFrame | None) -> None:
         jvm = spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialize_bucketed(df: DataFrame, column: str, name: str = "table") -> DataFrame:
+    """``df`` as a bucketed and sorted table in the shared folder: joins on ``column`` then leave it where it is."""
+    spark = df.sparkSession
+    table = f"graphloom_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.format("parquet").option("path", path).bucketBy(n, column).sortBy(column).saveAsTable(table)
+    out = spark.table(table)
+    out._graphloom_path, out._graphloom_table = path, table
+    return out
+
+
+def discard_table(df: DataFrame | None) -> None:
+    """Drop the table behind a ``materialize_bucketed`` result, and its files."""
+    if df is not None:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._graphloom_table}")
+        discard(df)
