@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._hashing import U, hash_words, mix64, run_starts
+from graphloom.llm._hashing import U, hash_words, mix64
 from graphloom.operators.components import connected_components
-from graphloom.plans.materialize import materialize
+from graphloom.plans.materialize import discard_table, materialize, materialize_bucketed
 
 _FULL = np.iinfo(np.uint64).max
 
@@ -48,10 +48,7 @@ def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
         bins = owner * t + ((h % U(t)).astype(np.int64) if i < t else i - t)
         # only bins that are still empty take part: what an earlier round found is smaller
         empty = flat[bins] == _FULL
-        if i >= t:
-            np.minimum.at(flat, bins[empty], (U(i) << U(52)) | (h[empty] >> U(12)))
-        else:
-            np.minimum.at(flat, bins[empty], (U(i) << U(52)) | (h[empty] >> U(12)))
+        np.minimum.at(flat, bins[empty], (U(i) << U(52)) | (h[empty] >> U(12)))
         open_ = (rows == _FULL).any(1)
         if not open_.any():
             break
@@ -82,14 +79,17 @@ def _features(width: int, t: int, per_band: int):
                     end += 1
                 sets = [shingle_set(x, width) for x in texts[at:end]]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys = band_keys(sketch([sets[i] for i in full], t), per_band).view(np.int64)
+                rows = sketch([sets[i] for i in full], t)
+                keys, low = band_keys(rows, per_band).view(np.int64), (mix64(rows) >> U(56)).astype(np.uint8)
                 bands: list = [None] * len(sets)
-                for i, k in zip(full, keys, strict=True):
-                    bands[i] = k
+                marks: list = [None] * len(sets)
+                for i, k, m in zip(full, keys, low, strict=True):
+                    bands[i], marks[i] = k, m.tobytes()
                 a = [int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0 for s in sets]
                 b = [int(mix64(s + U(1)).sum(dtype=U).view(np.int64)) if len(s) else 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids[at:end], pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "a", "b", "bands"]
+                    [ids[at:end], pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    names=["doc_id", "n", "a", "b", "bands", "marks"],
                 )
                 at = end
 
@@ -101,14 +101,39 @@ def _near(size_a, size_b, similarity: int):
     return F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * similarity
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """The pairs (src, dst) whose full shingle sets have the similarity."""
-    wanted = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+def least_equal(t: int, similarity: int) -> int:
+    """Equal coordinates that a linked pair has at least, but for a chance of 2e-8 (5.5 standard deviations)."""
+    p = similarity / 100
+    return int(t * p - 5.5 * (t * p * (1 - p)) ** 0.5)
+
+
+def _likely(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
+    """Pairs whose sketches (a byte for each coordinate) are equal in at least ``least`` places."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                yield batch.select(["src", "dst"]).filter(pa.array((x == y).sum(1) >= least))
+
+    x = marks.select(F.col("rep").alias("src"), F.col("marks").alias("x"))
+    y = marks.select(F.col("rep").alias("dst"), F.col("marks").alias("y"))
+    return pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(check, "src long, dst long")
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, items): full shingle sets of the documents in ``wanted``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([shingle_set(x, width).tobytes() for x in batch["text"].to_pylist()], pa.binary())], names=["id", "items"])
 
+    return docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["id"], "left_semi").mapInArrow(sets, "id long, items binary")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (src, dst) whose full shingle sets have the similarity."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -117,31 +142,43 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
                 both = np.sort(np.concatenate([p, q]))
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * common >= similarity * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch["src"], batch["dst"], pa.array(ok, pa.bool_())], names=["src", "dst", "ok"])
+            yield batch.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    x = sets.select(F.col("id").alias("src"), F.col("items").alias("x"))
+    y = sets.select(F.col("id").alias("dst"), F.col("items").alias("y"))
+    return pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(check, "src long, dst long").distinct()
+
+
+def _unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, size, rep, n, part) of the buckets that hold more than one component."""
+    named = members.join(parts, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select(F.col("key").alias("_k"), "size")
+    return named.join(mixed, F.col("key") == F.col("_k")).select("key", "size", "rep", "n", "part")
 
-    found = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").mapInArrow(sets, "id long, items binary")
-    x = found.select(F.col("id").alias("_x"), F.col("items").alias("x"))
-    y = found.select(F.col("id").alias("_y"), F.col("items").alias("y"))
-    both = pairs.join(x, pairs["src"] == F.col("_x")).join(y, F.col("dst") == F.col("_y")).select("src", "dst", "x", "y")
-    return both.mapInArrow(check, "src long, dst long, ok boolean").where("ok").select("src", "dst").distinct()
+
+def _star(members: DataFrame, order, similarity: int) -> DataFrame:
+    """Pairs of each member with its bucket's first one (by ``order``) where that is in another component."""
+    heads = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "part")).alias("head")).withColumnRenamed("key", "_k")
+    met = members.join(heads, F.col("key") == F.col("_k")).where((F.col("part") != F.col("head.part")) & _near(F.col("n"), F.col("head.n"), similarity))
+    return met.select(F.greatest("rep", "head.rep").alias("src"), F.least("rep", "head.rep").alias("dst")).distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80, bands: int = 32, per_band: int = 4, most_pairs_in_bucket: int = 64, tile: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80, bands: int = 24, per_band: int = 4, rounds: int = 3, tile: int = 1024
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
     Documents are linked when 100 * |A & B| >= similarity * |A | B| for their sets of ``width``-word shingles
     (words are runs of bytes that are not ASCII white space, A-Z lower-cased; a text of fewer words is one
-    shingle).  With 32 bands of 4 rows a pair of similarity 0.8 is a candidate with probability 1 - 5e-8.
+    shingle).  With 24 bands of 4 rows a pair of similarity 0.8 is a candidate with probability 1 - 3e-6.
 
     1. Rows with equal sets are one class; only its least id goes on.
-    2. Each member of a band's bucket is compared with the bucket's least id, which joins large groups of copies
-       by as many pairs as members.
-    3. Buckets in which more than one component is left are searched for pairs across components: by a join in
-       buckets of up to ``most_pairs_in_bucket`` members, and tile against tile above, where sketch and size
-       decide in memory which pairs are put out.
-    Candidates of 2 and 3 are verified on full sets.  No step is capped.
+    2. In each band's bucket, members are paired with one centre: first the least id, then, for ``rounds`` - 1
+       rounds, another one in buckets that still hold several components.  Large groups of copies are joined
+       by as many pairs as members a round.
+    3. What is left, pairs of one bucket across components, is searched tile against tile in memory; only pairs
+       whose sketches allow the similarity are put out.
+    Candidates are verified on full sets, after their sketches have been compared.  No step is capped.
 
     Null, empty and white-space texts have no shingles and are linked with nothing, and are kept.  Rows that
     repeat an id count as one document with several texts: what is linked with one of them is linked with the id.
@@ -149,61 +186,73 @@ def near_duplicates(
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     t = bands * per_band
-    feats = materialize(base.mapInArrow(_features(width, t, per_band), "doc_id long, n long, a long, b long, bands array<long>"), "features")
-    classes = feats.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.max(F.struct(F.col("doc_id").isNotNull(), F.col("bands")))["bands"].alias("bands")).where("rep is not null")
-    member = materialize(classes.select("rep", "n", "a", "b", F.explode("bands").alias("key")), "bands")
-
-    buckets = member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("head")).where("size > 1")
-    star = member.join(buckets.select(F.col("key").alias("_k"), "head"), F.col("key") == F.col("_k"))
-    star = star.where((F.col("rep") != F.col("head.rep")) & _near(F.col("n"), F.col("head.n"), similarity)).select(F.col("rep").alias("src"), F.col("head.rep").alias("dst")).distinct()
-    links = materialize(_verify(materialize(star, "star"), base, width, similarity), "links")
-    parts = materialize(connected_components(links), "parts")
-
-    rest = materialize(_across(member, buckets, parts, similarity, bands, most_pairs_in_bucket, tile), "rest")
-    if rest.head(1):
-        more = _verify(rest, base, width, similarity)
-        parts = materialize(connected_components(links.unionByName(more)), "parts")
-
-    whole = classes.select("n", "a", "b", "rep").join(parts, F.col("rep") == F.col("id"), "left").select(F.col("n").alias("_n"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.coalesce("component", "rep").alias("component_id"))
+    least = least_equal(t, similarity)
+    feats = materialize(base.mapInArrow(_features(width, t, per_band), "doc_id long, n long, a long, b long, bands array<long>, marks binary"), "features")
+    equal = feats.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    # the class's own row of its least id; rows repeated with that id are alike
+    chosen = feats.join(equal.select(F.col("rep").alias("_rep"), *[F.col(c).alias(f"_{c}") for c in "nab"]), (F.col("doc_id") == F.col("_rep")) & (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    marks = chosen.select(F.col("doc_id").alias("rep"), "marks").dropDuplicates(["rep"])
+    every = chosen.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("key"))
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("_k"))
+    members = materialize(every.join(shared, F.col("key") == F.col("_k"), "left_semi"), "members")
+    near = materialize(marks.join(members.select("rep").distinct(), "rep", "left_semi"), "marks")
+
+    nothing = members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
+    parts, links, sets = nothing, None, None
+    left = members.select("key", "rep", "n", F.col("rep").alias("part"))
+    for k in range(rounds + 1):
+        if k < rounds:
+            pairs = _star(left, F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k)), similarity)
+        else:
+            pairs = _across(left, near, similarity, least, tile)
+        pairs = materialize(_likely(pairs, near, least), "pairs")
+        if sets is None:
+            # bucketed by id, so that the verification of every round leaves the sets where they are
+            sets = materialize_bucketed(_sets(near.select(F.col("rep").alias("id")), base, width), "id", "sets")
+        more = _verify(pairs, sets, similarity)
+        links = materialize(more if links is None else links.unionByName(more), "links")
+        parts = materialize(connected_components(links), "parts")
+        if k < rounds:
+            left = materialize(_unsettled(members, parts), "unsettled")
+            if not left.head(1):
+                break
+
+    discard_table(sets)
+    whole = equal.join(parts, F.col("rep") == F.col("id"), "left").select(F.col("n").alias("_n"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.coalesce("component", "rep").alias("component_id"))
     out = feats.select("doc_id", "n", "a", "b").join(whole, (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _across(member: DataFrame, buckets: DataFrame, parts: DataFrame, similarity: int, bands: int, most: int, tile: int) -> DataFrame:
-    """Candidate pairs of one bucket that lie in different components."""
-    named = member.join(buckets.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_semi").join(parts, F.col("rep") == F.col("id"), "left")
-    named = named.select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select(F.col("key").alias("_k"), "size")
-    left = materialize(named.join(mixed, F.col("key") == F.col("_k")).select("key", "size", "rep", "n", "part"), "mixed")
-    small = left.where(F.col("size") <= most)
-    x = small.select("key", F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("part").alias("p1"))
-    y = small.select("key", F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("part").alias("p2"))
-    pairs = x.join(y, "key").where((F.col("src") > F.col("dst")) & (F.col("p1") != F.col("p2")) & _near(F.col("n1"), F.col("n2"), similarity)).select("src", "dst")
-
-    # large buckets: members carry their band keys, and tiles meet pairwise
-    large = left.where(F.col("size") > most)
-    keys = member.join(large.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    large = large.join(keys, "rep").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    large = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    large = large.select("key", F.least("own", "with").alias("t1"), F.greatest("own", "with").alias("t2"), "own", "rep", "n", "part", "keys")
-
-    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        this, t1, t2 = (k.as_py() for k in key)
-        rep, n, part, own = (np.asarray(table[c]) for c in ("rep", "n", "part", "own"))
-        bands_of = table["keys"].to_pylist()
+def _across(left: DataFrame, marks: DataFrame, similarity: int, least: int, tile: int) -> DataFrame:
+    """Pairs of one bucket that lie in different components and whose sketches allow the similarity.
+
+    Buckets up to ``tile`` members are dealt whole, many to a task; larger ones are cut into tiles that meet pairwise.
+    """
+    rows = left.join(marks, "rep").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    t1, t2 = F.least("own", "with"), F.greatest("own", "with")
+    # whole buckets share a deal; each pair of tiles of a larger one has a deal of its own
+    deal = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("key"), F.lit(1 << 12))).otherwise(F.xxhash64("key", t1, t2))
+    rows = rows.select(deal.alias("deal"), "key", t1.alias("t1"), t2.alias("t2"), "own", "rep", "n", "part", "marks")
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("t1", "ascending"), ("t2", "ascending")])
+        key, t1, t2, own, rep, n, part = (np.asarray(table[c]) for c in ("key", "t1", "t2", "own", "rep", "n", "part"))
+        mark = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(t1) != 0) | (np.diff(t2) != 0)) + 1
         src, dst = [], []
-        for i in range(len(rep)):
-            ok = (rep < rep[i]) & (part != part[i]) & (100 * np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]))
-            if t1 != t2:
-                ok &= own != own[i]
-            mine = set(bands_of[i])
-            for j in np.flatnonzero(ok):
-                # a pair that shares several buckets is put out by the first of them
-                if min(mine.intersection(bands_of[j])) == this:
-                    src.append(int(rep[i]))
-                    dst.append(int(rep[j]))
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
-
-    more = large.groupBy("key", "t1", "t2").applyInArrow(meet, "src long, dst long")
-    return pairs.unionByName(more).distinct()
+        for lo, hi in zip([0, *cut], [*cut, len(rep)], strict=True):
+            for i in range(lo + 1, hi):
+                ok = (part[lo:i] != part[i]) & (100 * np.minimum(n[lo:i], n[i]) >= similarity * np.maximum(n[lo:i], n[i]))
+                if t1[i] != t2[i]:
+                    ok &= own[lo:i] != own[i]
+                j = lo + np.flatnonzero(ok)
+                j = j[(mark[j] == mark[i]).sum(1) >= least]
+                src.append(np.maximum(rep[j], rep[i]))
+                dst.append(np.minimum(rep[j], rep[i]))
+        empty = [np.empty(0, np.int64)]
+        pairs = np.unique(np.stack([np.concatenate(src or empty), np.concatenate(dst or empty)]), axis=1)
+        return pa.table({"src": pa.array(pairs[0]), "dst": pa.array(pairs[1])})
+
+    return rows.groupBy("deal").applyInArrow(meet, "src long, dst long").distinct()
