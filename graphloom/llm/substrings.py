@@ -159,6 +159,8 @@ def _suspects(kind: Windows, buckets: int, payload: Callable, settle_local: Call
     return run
 
 
+#: Bytes of runs that are hashed at once.
+_STRETCH = 1 << 20
 _RANGES = "name long, lo long, hi long"
 
 
@@ -181,12 +183,20 @@ def _settle(window_keys: Callable, verdict: Callable) -> Callable:
                 bodies.append(body)
         if heads:
             ident, row, lo, n, size = (np.concatenate(x) for x in zip(*heads, strict=True))
-            keys = window_keys(np.concatenate(bodies), n, size)
-            run_of = np.repeat(np.arange(len(n)), n)
-            start = lo[run_of] + (np.arange(len(run_of)) - np.repeat(np.cumsum(n) - n, n))
-            gone = np.flatnonzero(verdict(keys, ident[run_of]))
+            del heads
+            # in stretches of runs, so that only the keys of all windows are held at once
+            edge = np.cumsum(size)
+            body, bodies = np.concatenate(bodies), None
+            at, keys = 0, []
+            while at < len(n):
+                to = max(at + 1, int(np.searchsorted(edge, edge[at] + _STRETCH, side="right")))
+                keys.append(window_keys(body[edge[at] - size[at] : edge[to - 1]], n[at:to], size[at:to]))
+                at = to
+            gone = np.flatnonzero(verdict(np.concatenate(keys), ident, n))
             if len(gone):
-                r, s = run_of[gone], start[gone]
+                ends = np.cumsum(n)
+                r = np.searchsorted(ends, gone, side="right")
+                s = lo[r] + gone - (ends[r] - n[r])
                 cut = np.flatnonzero((np.diff(r) != 0) | (np.diff(s) != 1)) + 1
                 first, last = np.append(0, cut), np.append(cut, len(gone)) - 1
                 out.append((row[r[first]], s[first], s[last] + 1))
@@ -225,7 +235,8 @@ def _first_owner_stays(owners: list[tuple]) -> tuple[tuple, list[tuple]]:
     return owners[0], [x for x in owners if x[0] > owners[0][0]]
 
 
-def _later_than_first(keys: np.ndarray, ident: np.ndarray) -> np.ndarray:
+def _later_than_first(keys: np.ndarray, ident: np.ndarray, n: np.ndarray) -> np.ndarray:
+    ident = np.repeat(ident, n)
     order = np.lexsort((ident, keys))
     k = keys[order]
     first = run_starts(k)
@@ -304,7 +315,7 @@ def _refined_buckets(width: int, gram: int) -> Callable:
     return run
 
 
-def _occurs_twice(keys: np.ndarray, ident: np.ndarray) -> np.ndarray:
+def _occurs_twice(keys: np.ndarray, ident: np.ndarray, n: np.ndarray) -> np.ndarray:
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
     out = np.empty(len(keys), bool)
