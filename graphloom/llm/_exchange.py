@@ -91,8 +91,8 @@ class KeyPacker:
         twice = np.repeat(counts > 1, counts)
         rows = []
         done_k, done_o = keys[twice], owners[twice]
-        for at in range(0, len(done_k), 1 << 16):
-            rows.append((int(done_k[at] % np.uint64(self.buckets)), True, pack(done_k[at : at + (1 << 16)], done_o[at : at + (1 << 16)])))
+        for b, idx in split_by((done_k % np.uint64(self.buckets)).astype(np.int64)):
+            rows.append((b, True, pack(done_k[idx], done_o[idx])))
         keys, owners = keys[first], owners[first]
         for b, idx in split_by((keys % np.uint64(self.buckets)).astype(np.int64)):
             rows.append((b, False, pack(keys[idx], owners[idx])))
@@ -102,8 +102,9 @@ class KeyPacker:
         yield block_rows(rows)
 
 
-def _owners_of_repeated(table: pa.Table) -> pa.Table:
-    keys, owners, out = [], [], []
+def _owners_of_repeated(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, owners) of one bucket, for keys that two entries hold or that a map task has settled."""
+    keys, owners, out = [], [], [(np.empty(0, np.uint64), np.empty(0, np.int64))]
     for done, block in zip(table["done"].to_pylist(), table["block"].to_pylist(), strict=True):
         k, o = unpack(block, np.uint64, np.int64)
         if done:
@@ -118,12 +119,30 @@ def _owners_of_repeated(table: pa.Table) -> pa.Table:
         same = k[1:] == k[:-1]
         hit = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         out.append((k[hit], o[hit]))
-    k = np.concatenate([x[0] for x in out]) if out else np.empty(0, np.uint64)
-    o = np.concatenate([x[1] for x in out]) if out else np.empty(0, np.int64)
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _owner_keys(table: pa.Table) -> pa.Table:
+    k, o = _owners_of_repeated(table)
     return pa.table({"owner": pa.array(o), "key": pa.array(k.view(np.int64))})
 
 
+def _owner_counts(table: pa.Table) -> pa.Table:
+    k, o = _owners_of_repeated(table)
+    # an owner whose key is settled both in its map task and here counts once
+    order = np.lexsort((k, o))
+    k, o = k[order], o[order]
+    fresh = np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])) if len(k) else np.empty(0, bool)
+    owner, n = np.unique(o[fresh], return_counts=True)
+    return pa.table({"owner": pa.array(owner), "n": pa.array(n.astype(np.int64))})
+
+
 def repeated_keys(blocks: DataFrame) -> DataFrame:
     """Reduce side: ``(owner, keys)`` with the keys of each owner that some other entry holds too."""
-    hits = blocks.groupBy("bucket").applyInArrow(_owners_of_repeated, "owner long, key long")
+    hits = blocks.groupBy("bucket").applyInArrow(_owner_keys, "owner long, key long")
     return hits.groupBy("owner").agg(F.collect_set("key").alias("keys"))
+
+
+def repeated_key_counts(blocks: DataFrame) -> DataFrame:
+    """Reduce side: ``(owner, shared)``, how many of an owner's distinct keys some other entry holds too."""
+    return blocks.groupBy("bucket").applyInArrow(_owner_counts, "owner long, n long").groupBy("owner").agg(F.sum("n").alias("shared"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm._exchange import BLOCK, KeyPacker, bucket_count, repeated_key_counts
 from graphloom.llm._hashing import U, hash_words, mix64
 from graphloom.operators.components import connected_components
 from graphloom.plans.materialize import discard_table, materialize, materialize_bucketed
@@ -96,9 +97,10 @@ def _features(width: int, t: int, per_band: int):
     return run
 
 
-def _near(size_a, size_b, similarity: int):
-    """Whether set sizes alone allow the similarity (in per cent)."""
-    return F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * similarity
+def _near(n1, c1, n2, c2, similarity: int):
+    """Whether a pair can have the similarity (in per cent), by set sizes ``n`` and how much of each set is shared at all, ``c``."""
+    common = F.least(c1, c2)
+    return common * 100 >= (n1 + n2 - common) * similarity
 
 
 def least_equal(t: int, similarity: int) -> int:
@@ -150,19 +152,32 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """(key, size, rep, n, part) of the buckets that hold more than one component."""
-    named = members.join(parts, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    """(key, size, rep, n, c, part) of the buckets that hold more than one component."""
+    named = members.join(parts, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", "c", F.coalesce("component", "rep").alias("part"))
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select(F.col("key").alias("_k"), "size")
-    return named.join(mixed, F.col("key") == F.col("_k")).select("key", "size", "rep", "n", "part")
+    return named.join(mixed, F.col("key") == F.col("_k")).select("key", "size", "rep", "n", "c", "part")
 
 
 def _star(members: DataFrame, order, similarity: int) -> DataFrame:
     """Pairs of each member with its bucket's first one (by ``order``) where that is in another component."""
-    heads = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "part")).alias("head")).withColumnRenamed("key", "_k")
-    met = members.join(heads, F.col("key") == F.col("_k")).where((F.col("part") != F.col("head.part")) & _near(F.col("n"), F.col("head.n"), similarity))
+    heads = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "c", "part")).alias("head")).withColumnRenamed("key", "_k")
+    met = members.join(heads, F.col("key") == F.col("_k")).where((F.col("part") != F.col("head.part")) & _near(F.col("n"), F.col("c"), F.col("head.n"), F.col("head.c"), similarity))
     return met.select(F.greatest("rep", "head.rep").alias("src"), F.least("rep", "head.rep").alias("dst")).distinct()
 
 
+def _shared_counts(ids: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+    """(owner, shared): how many of a document's shingles another one of ``ids`` has too."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = KeyPacker(buckets)
+        for batch in batches:
+            for i, items in zip(batch["id"].to_pylist(), batch["items"].to_pylist(), strict=True):
+                yield from packer.add(i, np.unique(np.frombuffer(items, U)))
+        yield from packer.flush()
+
+    return repeated_key_counts(sets.join(ids, sets["id"] == ids["rep"], "left_semi").mapInArrow(entries, BLOCK))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80, bands: int = 24, per_band: int = 4, rounds: int = 3, tile: int = 1024
 ) -> DataFrame:
@@ -176,6 +191,8 @@ def near_duplicates(
     2. In each band's bucket, members are paired with one centre: first the least id, then, for ``rounds`` - 1
        rounds, another one in buckets that still hold several components.  Large groups of copies are joined
        by as many pairs as members a round.
+       After the first round a document in such a bucket counts how many of its shingles others there have at
+       all; what it has alone is in no intersection, which rules out most pairs that only share a passage.
     3. What is left, pairs of one bucket across components, is searched tile against tile in memory; only pairs
        whose sketches allow the similarity are put out.
     Candidates are verified on full sets, after their sketches have been compared.  No step is capped.
@@ -199,7 +216,8 @@ def near_duplicates(
 
     nothing = members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
     parts, links, sets = nothing, None, None
-    left = members.select("key", "rep", "n", F.col("rep").alias("part"))
+    members = members.withColumn("c", F.col("n"))
+    left = members.select("key", "rep", "n", "c", F.col("rep").alias("part"))
     for k in range(rounds + 1):
         if k < rounds:
             pairs = _star(left, F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k)), similarity)
@@ -216,6 +234,11 @@ def near_duplicates(
             left = materialize(_unsettled(members, parts), "unsettled")
             if not left.head(1):
                 break
+            if k == 0:
+                shared = materialize(_shared_counts(left.select("rep").distinct(), sets, bucket_count(base, "text")), "shared")
+                members = left.join(shared, F.col("rep") == F.col("owner"), "left").select("key", "rep", "n", F.coalesce("shared", F.lit(0)).alias("c"))
+                members = materialize(members.where(_near(F.col("n"), F.col("c"), F.col("c"), F.col("c"), similarity)), "members")
+                left = materialize(_unsettled(members, parts), "unsettled")
 
     discard_table(sets)
     whole = equal.join(parts, F.col("rep") == F.col("id"), "left").select(F.col("n").alias("_n"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.coalesce("component", "rep").alias("component_id"))
@@ -234,17 +257,18 @@ def _across(left: DataFrame, marks: DataFrame, similarity: int, least: int, tile
     t1, t2 = F.least("own", "with"), F.greatest("own", "with")
     # whole buckets share a deal; each pair of tiles of a larger one has a deal of its own
     deal = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("key"), F.lit(1 << 12))).otherwise(F.xxhash64("key", t1, t2))
-    rows = rows.select(deal.alias("deal"), "key", t1.alias("t1"), t2.alias("t2"), "own", "rep", "n", "part", "marks")
+    rows = rows.select(deal.alias("deal"), "key", t1.alias("t1"), t2.alias("t2"), "own", "rep", "n", "c", "part", "marks")
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("t1", "ascending"), ("t2", "ascending")])
-        key, t1, t2, own, rep, n, part = (np.asarray(table[c]) for c in ("key", "t1", "t2", "own", "rep", "n", "part"))
+        key, t1, t2, own, rep, n, c, part = (np.asarray(table[x]) for x in ("key", "t1", "t2", "own", "rep", "n", "c", "part"))
         mark = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(len(rep), -1)
         cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(t1) != 0) | (np.diff(t2) != 0)) + 1
         src, dst = [], []
         for lo, hi in zip([0, *cut], [*cut, len(rep)], strict=True):
             for i in range(lo + 1, hi):
-                ok = (part[lo:i] != part[i]) & (100 * np.minimum(n[lo:i], n[i]) >= similarity * np.maximum(n[lo:i], n[i]))
+                most = np.minimum(c[lo:i], c[i])
+                ok = (part[lo:i] != part[i]) & (100 * most >= similarity * (n[lo:i] + n[i] - most))
                 if t1[i] != t2[i]:
                     ok &= own[lo:i] != own[i]
                 j = lo + np.flatnonzero(ok)
