@@ -67,7 +67,7 @@ def _schedule(spark, shares: list[float], slots: int, chunk: int = 1 << 16) -> D
     # the counts of a chunk are one row a source: 65,536 times fewer rows than slots
     before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = chunks.mapInArrow(counts, "chunk long, source_no long, n long").select("chunk", "source_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return chunks.mapInArrow(points, "chunk long, slot long, source_no long, nth long").join(base, ["chunk", "source_no"]).select("slot", "source_no", (F.col("before") + F.col("nth")).alias("rank"))
+    return chunks.mapInArrow(points, "chunk long, slot long, source_no long, nth long").join(base.hint("merge"), ["chunk", "source_no"]).select("slot", "source_no", (F.col("before") + F.col("nth")).alias("rank"))
 
 
 def _positions(docs: DataFrame, seed: int, per_bucket: int) -> DataFrame:
@@ -154,7 +154,8 @@ def mix_sources(
     placed = _positions(numbered.where("size > 0"), seed, per_bucket)
     laps = placed.select("doc_id", "twin", "source_no", "size", F.explode(F.sequence(F.lit(0), F.lit(int(np.ceil(most)) - 1))).alias("lap"), (F.col("begin") + F.col("lap") * F.col("source_size")).alias("at"))
     cut = laps.select("*", F.explode(F.sequence(F.expr(f"at div {block_tokens}"), F.expr(f"(at + size - 1) div {block_tokens}"))).alias("rank"))
-    pieces = cut.join(slots_of, ["source_no", "rank"]).select(
+    # the planner takes the schedule for as small as the range it comes from, and would broadcast it
+    pieces = cut.join(slots_of.hint("merge"), ["source_no", "rank"]).select(
         "slot", "source_no", "doc_id", "twin", "size", "lap", (F.greatest("at", "from_") - F.col("at")).alias("doc_begin"), (F.least(F.col("at") + F.col("size"), "to_") - F.col("at")).alias("doc_end")
     )
     return Mix(sources, numbered, pieces.where("doc_end > doc_begin"))
