@@ -2,10 +2,197 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions.geo import geo_distance
+from graphloom.graph import squish, symmetrize
+from graphloom.operators.betweenness import betweenness
+from graphloom.operators.bfs import bfs, bfs_all, bfs_stats
+from graphloom.operators.components import component_sizes, connected_components
+from graphloom.operators.counters import add_counts, pack, scan, summary, top_keys
+from graphloom.operators.frontier import edge_map, vertex_filter, vertex_map
+from graphloom.operators.kcore import kcore, kcore_stats
+from graphloom.operators.ordered import astar, ordered_process, ppsp, sssp
+from graphloom.operators.pagerank import pagerank, top_scores
+from graphloom.operators.recommend import recommend, trust_circle
+from graphloom.operators.triangles import triangle_count
+from graphloom.plans.inputs import CHAIN, ORDER, RATE, TRUST, chain_graph, order_graph, rate_graph, trust_graph
+from graphloom.sources.generators import kronecker, random_weights, uniform
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Vertices that the single-source queries start from and end in.
+SOURCE, DEST, CHAIN_HEAD, TRUST_SOURCE = 7, 42, 8, 5
+
+
+def _whole_labels(spark: SparkSession, sf_dir: str, strategy: str = "contract") -> DataFrame:
+    g = chain_graph(spark, sf_dir)
+    found = connected_components(g.edges, strategy)
+    return g.vertices().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _coordinates(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select("id", (F.col("id") % 180 / 180.0).alias("lat"), (F.col("id") % 360 / 360.0).alias("lon"))
+
+
+def _astar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = order_graph(spark, sf_dir, True)
+    return astar(g, SOURCE, DEST, g.vertices().select("id", F.lit(0).cast("long").alias("hint")))
+
+
+def _bc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = trust_graph(spark, sf_dir)
+    return betweenness(g, g.vertices().where("id in (1, 2, 3, 5)")).select("id", F.round("score", 6).alias("score"))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagerank(trust_graph(spark, sf_dir), 20, 0.0).select("id", F.round("score", 6).alias("score"))
+
+
+def _raw_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_graph(spark, sf_dir).edges
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "squish_edges": lambda s, d: squish(_raw_order(s, d)),
+        "symmetrize_edges": lambda s, d: squish(symmetrize(_raw_order(s, d))),
+        "graph_stats": lambda s, d: order_graph(s, d, True).stats().withColumn("graph", F.lit("order")).unionByName(chain_graph(s, d).stats().withColumn("graph", F.lit("chain"))),
+        "degrees_out": lambda s, d: order_graph(s, d).out_degrees(),
+        "degrees_in": lambda s, d: order_graph(s, d).in_degrees(),
+        "vertex_offsets": lambda s, d: order_graph(s, d).vertex_offsets(),
+        "relabel_by_degree": lambda s, d: order_graph(s, d, True).degree_ranks(),
+        "relabeled_edges": lambda s, d: order_graph(s, d, True).relabel_by_degree().edges,
+        "transpose_edges": lambda s, d: trust_graph(s, d).reverse().edges,
+        "largest_node": lambda s, d: order_graph(s, d).largest_ids(),
+        "adjacency_lists": lambda s, d: trust_graph(s, d).adjacency_lists().select("src", F.concat_ws(",", F.transform("neighbors", lambda x: x.cast("string"))).alias("neighbors")),
+        "topk_degree": lambda s, d: order_graph(s, d, True).out_degrees().orderBy(F.desc("degree"), F.desc("id")).limit(10),
+        "degree_histogram": lambda s, d: add_counts(order_graph(s, d, True).out_degrees().withColumnRenamed("degree", "key")),
+        "degree_summary": lambda s, d: summary(order_graph(s, d, True).out_degrees(), "degree"),
+        "counter_topk": lambda s, d: top_keys(add_counts(_raw_order(s, d).withColumnRenamed("dst", "key"), amount=F.col("weight")), 5),
+        "prefix_scan": lambda s, d: scan(order_graph(s, d).in_degrees().withColumnRenamed("degree", "value"), inclusive=True),
+        "backward_scan": lambda s, d: scan(order_graph(s, d).in_degrees().withColumnRenamed("degree", "value"), backward=True),
+        "pack_index": lambda s, d: pack(order_graph(s, d).out_degrees(), F.col("degree") > 0),
+        "bfs_depth": lambda s, d: bfs(order_graph(s, d, True), SOURCE).select("id", "depth"),
+        "bfs_bottom_up": lambda s, d: bfs(order_graph(s, d, True), SOURCE, "bottom_up").select("id", "depth"),
+        "bfs_parent": lambda s, d: bfs_all(trust_graph(s, d), TRUST_SOURCE).select("id", "parent"),
+        "bfs_stats": lambda s, d: bfs_stats(g := order_graph(s, d, True), bfs(g, SOURCE)),
+        "sssp_dist": lambda s, d: sssp(order_graph(s, d, True), SOURCE),
+        "sssp_delta": lambda s, d: sssp(order_graph(s, d, True), SOURCE, delta=8, merge_buckets=2),
+        "sssp_chain": lambda s, d: sssp(chain_graph(s, d), CHAIN_HEAD),
+        "sssp_reached": lambda s, d: sssp(order_graph(s, d, True), SOURCE).agg(F.count("dist").alias("reached"), F.max("dist").alias("farthest")),
+        "ppsp_dist": lambda s, d: ppsp(order_graph(s, d, True), SOURCE, DEST, delta=8),
+        "astar_dist": _astar,
+        "ordered_process_min": lambda s, d: ordered_process(g := order_graph(s, d, True), g.vertices().where(f"id in ({SOURCE}, {DEST})").select("id", F.lit(0).cast("long").alias("value")), relax=lambda v, w: F.greatest(v, w)),
+        "geo_distance": lambda s, d: _coordinates(s, 1000).select("id", F.round(geo_distance(F.col("lat"), F.col("lon"), F.lit(0.5), F.lit(0.25)) / 1000).cast("long").alias("metres10")),
+        "pagerank_20": _ranked,
+        "pagerank_top5": lambda s, d: top_scores(_ranked(s, d)),
+        "cc_label": _whole_labels,
+        "cc_propagate": lambda s, d: _whole_labels(s, d, "propagate"),
+        "cc_sizes_top5": lambda s, d: component_sizes(_whole_labels(s, d)).orderBy(F.desc("size"), F.desc("component")).limit(5),
+        "cc_count": lambda s, d: _whole_labels(s, d).agg(F.countDistinct("component").alias("components")),
+        "bc_scores": _bc,
+        "triangle_count": lambda s, d: triangle_count(order_graph(s, d, True)),
+        "triangle_count_intersect": lambda s, d: triangle_count(trust_graph(s, d, True), "intersect", "auto"),
+        "kcore": lambda s, d: kcore(order_graph(s, d, True)),
+        "kcore_max_sum": lambda s, d: kcore_stats(kcore(order_graph(s, d, True))),
+        "trust_circle": lambda s, d: trust_circle(trust_graph(s, d), TRUST_SOURCE),
+        "recommend_top5": lambda s, d: recommend(trust_graph(s, d), rate_graph(s, d), TRUST_SOURCE),
+        "edge_map": lambda s, d: edge_map(g := trust_graph(s, d), vertex_filter(g.vertices(), F.col("id") % 3 == 0), combine=F.sum),
+        "vertex_filter": lambda s, d: vertex_filter(vertex_map(trust_graph(s, d).out_degrees(), even=F.col("degree") % 2 == 0), F.col("even")),
+        "gen_kronecker": lambda s, d: kronecker(s, 10).stats(),
+        "gen_uniform": lambda s, d: uniform(s, 10).stats(),
+        "gen_weights": lambda s, d: random_weights(order_graph(s, d, True)).edges,
+    }
+
+
+def _ordered(source: str, relaxed: str, edges: str = "u", rounds: int = 40) -> str:
+    """Rounds of relaxation from the ids in ``source``; ``relaxed`` is the new value from r.value and e.weight."""
+    return f"""
+r(k, id, value) AS (SELECT 0, id, CAST(0 AS BIGINT) FROM v WHERE id IN ({source})
+  UNION ALL SELECT k + 1, id, min(value) FROM (SELECT k, e.dst AS id, {relaxed} AS value FROM r JOIN {edges} e ON r.id = e.src UNION ALL SELECT k, id, value FROM r) WHERE k < {rounds} GROUP BY k, id),
+best AS (SELECT id, value FROM r WHERE k = {rounds})"""
+
+
+_SSSP = _ordered(str(SOURCE), "r.value + e.weight", rounds=24)
+_BFS = _ordered(str(SOURCE), "r.value + 1", rounds=10)
+_LABELS = """
+pairs AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
+l(k, id, c) AS (SELECT 0, id, id FROM v
+  UNION ALL SELECT k + 1, id, min(c) FROM (SELECT k, b.dst AS id, c FROM l JOIN pairs b ON l.id = b.src UNION ALL SELECT k, id, c FROM l) WHERE k < 40 GROUP BY k, id),
+label AS (SELECT id, c AS component FROM l WHERE k = 40)"""
+_RANK = """
+deg AS (SELECT src, count(*) AS d FROM g GROUP BY src),
+p(k, id, score) AS (SELECT 0, id, CAST(1.0 AS DOUBLE) / n FROM v, n
+  UNION ALL SELECT k + 1, id, max(0.15 / n) + 0.85 * sum(part) FROM (
+    SELECT k, g.dst AS id, score / deg.d AS part FROM p JOIN g ON p.id = g.src JOIN deg ON deg.src = g.src UNION ALL SELECT k, id, CAST(0.0 AS DOUBLE) FROM p), n WHERE k < 20 GROUP BY k, id),
+ranked AS (SELECT id, round(score, 6) AS score FROM p WHERE k = 20)"""
+_CORE = """
+c(k, id, core) AS (SELECT 0, v.id, count(u.dst) FROM v LEFT JOIN u ON v.id = u.src GROUP BY v.id
+  UNION ALL SELECT k + 1, id, coalesce(list_max(list_transform(list(x ORDER BY x DESC), lambda y, i: least(y, i))), 0) FROM (
+    SELECT c.k, c.id, m.core AS x FROM c LEFT JOIN u ON c.id = u.src LEFT JOIN c m ON m.id = u.dst) WHERE k < 40 GROUP BY k, id),
+core AS (SELECT id, core AS coreness FROM c WHERE k = 40)"""
+_DEGREES = "deg AS (SELECT v.id, count(u.dst) AS degree FROM v LEFT JOIN u ON v.id = u.src GROUP BY v.id)"
+_IN = "d AS (SELECT v.id, count(g.src) AS value FROM v LEFT JOIN g ON v.id = g.dst GROUP BY v.id)"
+_OUT = "d AS (SELECT v.id, count(g.dst) AS value FROM v LEFT JOIN g ON v.id = g.src GROUP BY v.id)"
+_CIRCLE = f"""
+h1 AS (SELECT DISTINCT dst AS id FROM g WHERE src = {TRUST_SOURCE}), h2 AS (SELECT DISTINCT dst AS id FROM g JOIN h1 ON src = id), h3 AS (SELECT DISTINCT dst AS id FROM g JOIN h2 ON src = id),
+circle AS (SELECT id FROM h1 UNION SELECT id FROM h2 UNION SELECT id FROM h3)"""
+
+
+def _stats(name: str, edges: str, per_edge: int, graph: str) -> str:
+    return f"(WITH {graph} SELECT n AS nodes, m AS edges, {'true' if per_edge == 1 else 'false'} AS directed, m // n AS degree, '{name}' AS graph FROM n, (SELECT count(*) // {per_edge} AS m FROM {edges}))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "squish_edges": f"WITH {ORDER} SELECT src, dst, weight FROM g",
+        "symmetrize_edges": f"WITH {ORDER} SELECT src, dst, weight FROM u",
+        "graph_stats": f"SELECT * FROM {_stats('order', 'u', 2, ORDER)} UNION ALL SELECT * FROM {_stats('chain', 'g', 1, CHAIN)}",
+        "degrees_out": f"WITH {ORDER}, {_OUT} SELECT id, value AS degree FROM d",
+        "degrees_in": f"WITH {ORDER}, {_IN} SELECT id, value AS degree FROM d",
+        "vertex_offsets": f'WITH {ORDER}, {_OUT} SELECT id, CAST(coalesce(sum(value) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM d',
+        "relabel_by_degree": f"WITH {ORDER}, {_DEGREES} SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id DESC) - 1 AS rank FROM deg",
+        "relabeled_edges": f"WITH {ORDER}, {_DEGREES}, k AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id DESC) - 1 AS rank FROM deg) SELECT a.rank AS src, b.rank AS dst, weight FROM u JOIN k a ON a.id = u.src JOIN k b ON b.id = u.dst",
+        "transpose_edges": f"WITH {TRUST} SELECT dst AS src, src AS dst, weight FROM g",
+        "largest_node": f"WITH {ORDER} SELECT max(src) AS max_src, max(dst) AS max_dst FROM g",
+        "adjacency_lists": f"WITH {TRUST} SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbors FROM g GROUP BY src",
+        "topk_degree": f"WITH {ORDER}, {_DEGREES} SELECT id, degree FROM deg ORDER BY degree DESC, id DESC LIMIT 10",
+        "degree_histogram": f"WITH {ORDER}, {_DEGREES} SELECT degree AS key, count(*) AS value FROM deg GROUP BY degree",
+        "degree_summary": f"WITH {ORDER}, {_DEGREES} SELECT avg(degree) AS mean, quantile_cont(degree, 0.5) AS median, min(degree) AS least FROM deg",
+        "counter_topk": f"WITH {ORDER} SELECT dst AS key, CAST(sum(weight) AS BIGINT) AS value FROM g GROUP BY dst ORDER BY value DESC, key DESC LIMIT 5",
+        "prefix_scan": f"WITH {ORDER}, {_IN} SELECT id, value, CAST(sum(value) OVER (ORDER BY id) AS BIGINT) AS before FROM d",
+        "backward_scan": f"WITH {ORDER}, {_IN} SELECT id, value, CAST(coalesce(sum(value) OVER (ORDER BY id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d",
+        "pack_index": f"WITH {ORDER}, {_OUT} SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM d WHERE value > 0",
+        "bfs_depth": f"WITH RECURSIVE {ORDER}, {_BFS} SELECT id, value AS depth FROM best",
+        "bfs_bottom_up": f"WITH RECURSIVE {ORDER}, {_BFS} SELECT id, value AS depth FROM best",
+        "bfs_parent": f"WITH RECURSIVE {TRUST}, {_ordered(str(TRUST_SOURCE), 'r.value + 1', 'g', 12)}, p AS (SELECT b.id, min(a.id) AS parent FROM best b JOIN g ON g.dst = b.id JOIN best a ON a.id = g.src AND a.value = b.value - 1 GROUP BY b.id) "
+        f"SELECT v.id, CASE WHEN v.id = {TRUST_SOURCE} THEN {TRUST_SOURCE} ELSE coalesce(parent, -1) END AS parent FROM v LEFT JOIN p ON p.id = v.id",
+        "bfs_stats": f"WITH RECURSIVE {ORDER}, {_BFS} SELECT count(DISTINCT best.id) AS reached, count(u.dst) AS arcs FROM best LEFT JOIN u ON u.src = best.id",
+        "sssp_dist": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value AS dist FROM best",
+        "sssp_delta": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value AS dist FROM best",
+        "sssp_chain": f"WITH RECURSIVE {CHAIN}, {_ordered(str(CHAIN_HEAD), 'r.value + e.weight', 'g', 60)} SELECT id, value AS dist FROM best",
+        "sssp_reached": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT count(*) AS reached, max(value) AS farthest FROM best",
+        "ppsp_dist": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value AS dist FROM best WHERE id = {DEST}",
+        "astar_dist": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value AS dist FROM best WHERE id = {DEST}",
+        "ordered_process_min": f"WITH RECURSIVE {ORDER}, {_ordered(f'{SOURCE}, {DEST}', 'greatest(r.value, e.weight)')} SELECT id, value FROM best",
+        "geo_distance": "WITH p AS (SELECT i AS id, i % 180 / 180.0::DOUBLE AS lat, i % 360 / 360.0::DOUBLE AS lon FROM range(1000) t(i)), "
+        "s AS (SELECT id, pow(sin((0.5::DOUBLE - lat) / 2), 2) + pow(sin((0.25::DOUBLE - lon) / 2), 2) * cos(lat) * cos(0.5::DOUBLE) AS s FROM p) SELECT id, CAST(round(2 * atan2(sqrt(s), sqrt(1 - s)) * 637100000.0::DOUBLE / 1000) AS BIGINT) AS metres10 FROM s",
+        "pagerank_20": f"WITH RECURSIVE {TRUST}, {_RANK} SELECT id, score FROM ranked",
+        "pagerank_top5": f"WITH RECURSIVE {TRUST}, {_RANK} SELECT id, score FROM ranked ORDER BY score DESC, id DESC LIMIT 5",
+        "cc_label": f"WITH RECURSIVE {CHAIN}, {_LABELS} SELECT id, component FROM label",
+        "cc_propagate": f"WITH RECURSIVE {CHAIN}, {_LABELS} SELECT id, component FROM label",
+        "cc_sizes_top5": f"WITH RECURSIVE {CHAIN}, {_LABELS} SELECT component, count(*) AS size FROM label GROUP BY component ORDER BY size DESC, component DESC LIMIT 5",
+        "cc_count": f"WITH RECURSIVE {CHAIN}, {_LABELS} SELECT count(DISTINCT component) AS components FROM label",
+        "triangle_count": f"WITH {ORDER} SELECT count(*) AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst WHERE a.src < a.dst AND b.src < b.dst",
+        "triangle_count_intersect": f"WITH {TRUST} SELECT count(*) AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst WHERE a.src < a.dst AND b.src < b.dst",
+        "kcore": f"WITH RECURSIVE {ORDER}, {_CORE} SELECT id, coreness FROM core",
+        "kcore_max_sum": f"WITH RECURSIVE {ORDER}, {_CORE} SELECT max(coreness) AS max_coreness, CAST(sum(coreness) AS BIGINT) AS sum_coreness FROM core",
+        "trust_circle": f"WITH {TRUST}, {_CIRCLE} SELECT id FROM circle",
+        "recommend_top5": f"WITH {TRUST}, {RATE}, {_CIRCLE} SELECT rate.dst AS item, count(*) AS votes FROM circle JOIN rate ON rate.src = circle.id, rn WHERE circle.id < rn.n AND rate.weight > 3 GROUP BY rate.dst ORDER BY votes DESC, item DESC LIMIT 5",
+        "edge_map": f"WITH {TRUST} SELECT dst AS id, CAST(sum(src) AS BIGINT) AS value FROM g WHERE src % 3 = 0 GROUP BY dst",
+        "vertex_filter": f"WITH {TRUST}, {_OUT} SELECT id, value AS degree, value % 2 = 0 AS even FROM d WHERE value % 2 = 0",
+    }
