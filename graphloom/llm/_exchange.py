@@ -47,6 +47,8 @@ def block_rows(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
 
 def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, indices) of an array of bucket numbers."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     starts = run_starts_of(bucket[order])
     for s, e in zip(starts, [*starts[1:], len(order)], strict=True):

@@ -178,6 +178,16 @@ def _shared_counts(ids: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     return repeated_key_counts(sets.join(ids, sets["id"] == ids["rep"], "left_semi").mapInArrow(entries, BLOCK))
 
 
+def _versions(feats: DataFrame, equal: DataFrame) -> DataFrame | None:
+    """Links of ids that several texts share to the classes of these texts; None where ids do not repeat."""
+    own = feats.where("n > 0 and doc_id is not null")
+    several = own.groupBy("doc_id").agg(F.min(F.struct("n", "a", "b")).alias("p"), F.max(F.struct("n", "a", "b")).alias("q")).where("p <> q").select("doc_id")
+    several = materialize(several, "versions")
+    if not several.head(1):
+        return None
+    return materialize(own.join(several, "doc_id").join(equal, ["n", "a", "b"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct(), "versions")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80, bands: int = 24, per_band: int = 4, rounds: int = 3, tile: int = 1024
 ) -> DataFrame:
@@ -215,7 +225,7 @@ def near_duplicates(
     near = materialize(marks.join(members.select("rep").distinct(), "rep", "left_semi"), "marks")
 
     nothing = members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
-    parts, links, sets = nothing, None, None
+    parts, links, sets = nothing, _versions(feats, equal), None
     members = members.withColumn("c", F.col("n"))
     left = members.select("key", "rep", "n", "c", F.col("rep").alias("part"))
     for k in range(rounds + 1):
