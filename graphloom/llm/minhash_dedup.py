@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._exchange import BLOCK, KeyPacker, bucket_count, repeated_key_counts
+from graphloom.llm._exchange import BLOCK, KeyPacker, repeated_key_counts
 from graphloom.llm._hashing import U, hash_words, mix64
 from graphloom.operators.components import connected_components
 from graphloom.plans.materialize import discard_table, materialize, materialize_bucketed
@@ -67,7 +67,7 @@ def band_keys(rows: np.ndarray, per_band: int) -> np.ndarray:
     return out
 
 
-def _features(width: int, t: int, per_band: int):
+def _features(width: int, t: int, bands_: int, per_band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = batch["text"].to_pylist(), batch["doc_id"]
@@ -81,7 +81,7 @@ def _features(width: int, t: int, per_band: int):
                 sets = [shingle_set(x, width) for x in texts[at:end]]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 rows = sketch([sets[i] for i in full], t)
-                keys, low = band_keys(rows, per_band).view(np.int64), (mix64(rows) >> U(56)).astype(np.uint8)
+                keys, low = band_keys(rows[:, : bands_ * per_band], per_band).view(np.int64), (mix64(rows) >> U(56)).astype(np.uint8)
                 bands: list = [None] * len(sets)
                 marks: list = [None] * len(sets)
                 for i, k, m in zip(full, keys, low, strict=True):
@@ -104,9 +104,9 @@ def _near(n1, c1, n2, c2, similarity: int):
 
 
 def least_equal(t: int, similarity: int) -> int:
-    """Equal coordinates that a linked pair has at least, but for a chance of 2e-8 (5.5 standard deviations)."""
+    """Equal coordinates that a linked pair has at least, but for a chance of 3e-7 (5 standard deviations)."""
     p = similarity / 100
-    return int(t * p - 5.5 * (t * p * (1 - p)) ** 0.5)
+    return int(t * p - 5 * (t * p * (1 - p)) ** 0.5)
 
 
 def _likely(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
@@ -165,8 +165,9 @@ def _star(members: DataFrame, order, similarity: int) -> DataFrame:
     return met.select(F.greatest("rep", "head.rep").alias("src"), F.least("rep", "head.rep").alias("dst")).distinct()
 
 
-def _shared_counts(ids: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
-    """(owner, shared): how many of a document's shingles another one of ``ids`` has too."""
+def _shared_counts(ids: DataFrame, sets: DataFrame, keys_each: int = 2_000_000) -> DataFrame:
+    """(owner, shared): how many of a document's shingles another one of ``ids`` (rep, n) has too; a task takes about ``keys_each`` of them."""
+    buckets = max(1, -(-(ids.agg(F.sum("n")).head()[0] or 0) // keys_each))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = KeyPacker(buckets)
@@ -175,7 +176,7 @@ def _shared_counts(ids: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
                 yield from packer.add(i, np.unique(np.frombuffer(items, U)))
         yield from packer.flush()
 
-    return repeated_key_counts(sets.join(ids, sets["id"] == ids["rep"], "left_semi").mapInArrow(entries, BLOCK))
+    return repeated_key_counts(sets.join(ids, sets["id"] == F.col("rep"), "left_semi").mapInArrow(entries, BLOCK))
 
 
 def _versions(feats: DataFrame, equal: DataFrame) -> DataFrame | None:
@@ -189,7 +190,7 @@ def _versions(feats: DataFrame, equal: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80, bands: int = 24, per_band: int = 4, rounds: int = 3, tile: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80, bands: int = 24, per_band: int = 4, coordinates: int = 192, rounds: int = 3, tile: int = 1024
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -212,13 +213,12 @@ def near_duplicates(
     A null id counts as the largest; such rows are linked through others only.  Other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    t = bands * per_band
-    least = least_equal(t, similarity)
-    feats = materialize(base.mapInArrow(_features(width, t, per_band), "doc_id long, n long, a long, b long, bands array<long>, marks binary"), "features")
+    least = least_equal(coordinates, similarity)
+    feats = materialize(base.mapInArrow(_features(width, coordinates, bands, per_band), "doc_id long, n long, a long, b long, bands array<long>, marks binary"), "features")
     equal = feats.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     # the class's own row of its least id; rows repeated with that id are alike
     chosen = feats.join(equal.select(F.col("rep").alias("_rep"), *[F.col(c).alias(f"_{c}") for c in "nab"]), (F.col("doc_id") == F.col("_rep")) & (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
-    marks = chosen.select(F.col("doc_id").alias("rep"), "marks").dropDuplicates(["rep"])
+    marks = chosen.select(F.col("doc_id").alias("rep"), "marks", "bands").dropDuplicates(["rep"])
     every = chosen.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("_k"))
     members = materialize(every.join(shared, F.col("key") == F.col("_k"), "left_semi"), "members")
@@ -244,8 +244,9 @@ def near_duplicates(
             left = materialize(_unsettled(members, parts), "unsettled")
             if not left.head(1):
                 break
-            if k == 0:
-                shared = materialize(_shared_counts(left.select("rep").distinct(), sets, bucket_count(base, "text")), "shared")
+            for _ in range(2 if k == 0 else 0):
+                # twice, for what only dropped documents shared is shared no more
+                shared = materialize(_shared_counts(left.select("rep", "n").distinct(), sets), "shared")
                 members = left.join(shared, F.col("rep") == F.col("owner"), "left").select("key", "rep", "n", F.coalesce("shared", F.lit(0)).alias("c"))
                 members = materialize(members.where(_near(F.col("n"), F.col("c"), F.col("c"), F.col("c"), similarity)), "members")
                 left = materialize(_unsettled(members, parts), "unsettled")
@@ -267,12 +268,13 @@ def _across(left: DataFrame, marks: DataFrame, similarity: int, least: int, tile
     t1, t2 = F.least("own", "with"), F.greatest("own", "with")
     # whole buckets share a deal; each pair of tiles of a larger one has a deal of its own
     deal = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("key"), F.lit(1 << 12))).otherwise(F.xxhash64("key", t1, t2))
-    rows = rows.select(deal.alias("deal"), "key", t1.alias("t1"), t2.alias("t2"), "own", "rep", "n", "c", "part", "marks")
+    rows = rows.select(deal.alias("deal"), "key", t1.alias("t1"), t2.alias("t2"), "own", "rep", "n", "c", "part", "marks", "bands")
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("t1", "ascending"), ("t2", "ascending")])
         key, t1, t2, own, rep, n, c, part = (np.asarray(table[x]) for x in ("key", "t1", "t2", "own", "rep", "n", "c", "part"))
         mark = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(rep), -1)
         cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(t1) != 0) | (np.diff(t2) != 0)) + 1
         src, dst = [], []
         for lo, hi in zip([0, *cut], [*cut, len(rep)], strict=True):
@@ -283,6 +285,9 @@ def _across(left: DataFrame, marks: DataFrame, similarity: int, least: int, tile
                     ok &= own[lo:i] != own[i]
                 j = lo + np.flatnonzero(ok)
                 j = j[(mark[j] == mark[i]).sum(1) >= least]
+                # a pair that shares several buckets is put out by the first of them
+                both = bands[j] == bands[i]
+                j = j[bands[i][both.argmax(1)] == key[i]] if len(j) else j
                 src.append(np.maximum(rep[j], rep[i]))
                 dst.append(np.minimum(rep[j], rep[i]))
         empty = [np.empty(0, np.int64)]
