@@ -230,10 +230,10 @@ def near_duplicates(
     left = members.select("key", "rep", "n", "c", F.col("rep").alias("part"))
     for k in range(rounds + 1):
         if k < rounds:
-            pairs = _star(left, F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k)), similarity)
+            pairs = _likely(_star(left, F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k)), similarity), near, least)
         else:
             pairs = _across(left, near, similarity, least, tile)
-        pairs = materialize(_likely(pairs, near, least), "pairs")
+        pairs = materialize(pairs, "pairs")
         if sets is None:
             # bucketed by id, so that the verification of every round leaves the sets where they are
             sets = materialize_bucketed(_sets(near.select(F.col("rep").alias("id")), base, width), "id", "sets")
