@@ -199,9 +199,10 @@ def near_duplicates(
     shingle).  With 24 bands of 4 rows a pair of similarity 0.8 is a candidate with probability 1 - 3e-6.
 
     1. Rows with equal sets are one class; only its least id goes on.
-    2. In each band's bucket, members are paired with one centre: first the least id, then, for ``rounds`` - 1
-       rounds, another one in buckets that still hold several components.  Large groups of copies are joined
-       by as many pairs as members a round.
+    2. In each band's bucket, members are paired with one centre: first the least id, then, up to round
+       ``rounds`` - 1, another one in buckets that still hold several components; in the last of the ``rounds``
+       each is paired with the member of another component whose sketch is nearest.  Large groups of copies are
+       joined by as many pairs as members a round.
        After the first round a document in such a bucket counts how many of its shingles others there have at
        all; what it has alone is in no intersection, which rules out most pairs that only share a passage.
     3. What is left, pairs of one bucket across components, is searched tile against tile in memory; only pairs
@@ -229,10 +230,10 @@ def near_duplicates(
     members = members.withColumn("c", F.col("n"))
     left = members.select("key", "rep", "n", "c", F.col("rep").alias("part"))
     for k in range(rounds + 1):
-        if k < rounds:
+        if k < max(1, rounds - 1):
             pairs = _likely(_star(left, F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k)), similarity), near, least)
         else:
-            pairs = _across(left, near, similarity, least, tile)
+            pairs = _across(left, near, similarity, least, tile, best=k < rounds)
         pairs = materialize(pairs, "pairs")
         if sets is None:
             # bucketed by id, so that the verification of every round leaves the sets where they are
@@ -258,9 +259,11 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _across(left: DataFrame, marks: DataFrame, similarity: int, least: int, tile: int) -> DataFrame:
+def _across(left: DataFrame, marks: DataFrame, similarity: int, least: int, tile: int, best: bool) -> DataFrame:
     """Pairs of one bucket that lie in different components and whose sketches allow the similarity.
 
+    With ``best``, each member puts out only the one whose sketch is nearest to its own, the likeliest link.
+
     Buckets up to ``tile`` members are dealt whole, many to a task; larger ones are cut into tiles that meet pairwise.
     """
     rows = left.join(marks, "rep").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
@@ -284,7 +287,10 @@ def _across(left: DataFrame, marks: DataFrame, similarity: int, least: int, tile
                 if t1[i] != t2[i]:
                     ok &= own[lo:i] != own[i]
                 j = lo + np.flatnonzero(ok)
-                j = j[(mark[j] == mark[i]).sum(1) >= least]
+                alike = (mark[j] == mark[i]).sum(1)
+                j, alike = j[alike >= least], alike[alike >= least]
+                if best and len(j):
+                    j = j[[alike.argmax()]]
                 # a pair that shares several buckets is put out by the first of them
                 both = bands[j] == bands[i]
                 j = j[bands[i][both.argmax(1)] == key[i]] if len(j) else j
