@@ -152,10 +152,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """(key, size, rep, n, c, part) of the buckets that hold more than one component."""
+    """(key, size, mass, rep, n, c, part) of the buckets that hold more than one component; ``mass`` is the sum of their set sizes."""
     named = members.join(parts, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", "c", F.coalesce("component", "rep").alias("part"))
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select(F.col("key").alias("_k"), "size")
-    return named.join(mixed, F.col("key") == F.col("_k")).select("key", "size", "rep", "n", "c", "part")
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select(F.col("key").alias("_k"), "size", "mass")
+    return named.join(mixed, F.col("key") == F.col("_k")).select("key", "size", "mass", "rep", "n", "c", "part")
 
 
 def _star(members: DataFrame, order, similarity: int) -> DataFrame:
@@ -189,8 +189,63 @@ def _versions(feats: DataFrame, equal: DataFrame) -> DataFrame | None:
     return materialize(own.join(several, "doc_id").join(equal, ["n", "a", "b"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct(), "versions")
 
 
+def _settle(left: DataFrame, marks: DataFrame, sets: DataFrame, similarity: int, least: int, tile: int, tile_shingles: int = 1_000_000) -> DataFrame:
+    """Links (src, dst) that join the components which meet in a bucket, verified on full sets.
+
+    The sets travel with the members of a bucket, once for each tile they meet, and not once for each pair.  A pair
+    is compared if its sketches allow the similarity and the links found so far in the bucket do not connect it; so
+    what comes out of a bucket is a forest over its components.
+
+    Buckets up to ``tile`` members and ``tile_shingles`` shingles are dealt whole, many to a task; larger ones are cut
+    into tiles that meet pairwise.
+    """
+    deals = max(1 << 12, -(-(left.agg(F.sum("n")).head()[0] or 0) // tile_shingles))
+    rows = left.join(marks, "rep").join(sets, F.col("rep") == F.col("id"))
+    rows = rows.withColumn("tiles", F.ceil(F.greatest(F.col("size") / tile, F.col("mass") / tile_shingles)).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    t1, t2 = F.least("own", "with"), F.greatest("own", "with")
+    # whole buckets share a deal; each pair of tiles of a larger one has a deal of its own
+    deal = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("key"), F.lit(deals))).otherwise(F.xxhash64("key", t1, t2))
+    rows = rows.select(deal.alias("deal"), "key", t1.alias("t1"), t2.alias("t2"), "own", "rep", "n", "c", "part", "marks", "bands", "items")
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("t1", "ascending"), ("t2", "ascending")])
+        key, t1, t2, own, rep, n, c, part = (np.asarray(table[x]) for x in ("key", "t1", "t2", "own", "rep", "n", "c", "part"))
+        mark = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(rep), -1)
+        items = [np.frombuffer(x.as_buffer(), U) for x in table["items"]]
+        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(t1) != 0) | (np.diff(t2) != 0)) + 1
+        links = []
+        for lo, hi in zip([0, *cut], [*cut, len(rep)], strict=True):
+            joined = part[lo:hi].copy()
+            for i in range(lo + 1, hi):
+                most = np.minimum(c[lo:i], c[i])
+                ok = (joined[: i - lo] != joined[i - lo]) & (100 * most >= similarity * (n[lo:i] + n[i] - most))
+                if t1[i] != t2[i]:
+                    ok &= own[lo:i] != own[i]
+                j = lo + np.flatnonzero(ok)
+                alike = (mark[j] == mark[i]).sum(1)
+                j, alike = j[alike >= least], alike[alike >= least]
+                if len(j):
+                    # a pair that shares several buckets is compared in the first of them, the likeliest pairs first
+                    first = bands[i][(bands[j] == bands[i]).argmax(1)] == key[i]
+                    j = j[first][np.argsort(-alike[first], kind="stable")]
+                for k in j:
+                    here, there = joined[i - lo], joined[k - lo]
+                    if here != there:
+                        both = np.sort(np.concatenate([items[i], items[k]]))
+                        common = int((both[1:] == both[:-1]).sum())
+                        if 100 * common >= similarity * (n[i] + n[k] - common):
+                            joined[joined == there] = here
+                            links.append((max(rep[i], rep[k]), min(rep[i], rep[k])))
+        src, dst = zip(*links) if links else ((), ())
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return rows.groupBy("deal").applyInArrow(meet, "src long, dst long").distinct()
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80, bands: int = 24, per_band: int = 4, coordinates: int = 192, rounds: int = 3, tile: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80, bands: int = 24, per_band: int = 4, coordinates: int = 192, rounds: int = 2, tile: int = 1024
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -199,14 +254,13 @@ def near_duplicates(
     shingle).  With 24 bands of 4 rows a pair of similarity 0.8 is a candidate with probability 1 - 3e-6.
 
     1. Rows with equal sets are one class; only its least id goes on.
-    2. In each band's bucket, members are paired with one centre: first the least id, then, up to round
-       ``rounds`` - 1, another one in buckets that still hold several components; in the last of the ``rounds``
-       each is paired with the member of another component whose sketch is nearest.  Large groups of copies are
+    2. In each band's bucket, members are paired with one centre: first the least id, then, up to ``rounds``
+       times in all, another one in buckets that still hold several components.  Large groups of copies are
        joined by as many pairs as members a round.
        After the first round a document in such a bucket counts how many of its shingles others there have at
        all; what it has alone is in no intersection, which rules out most pairs that only share a passage.
-    3. What is left, pairs of one bucket across components, is searched tile against tile in memory; only pairs
-       whose sketches allow the similarity are put out.
+    3. What is left, buckets that hold several components, is compared tile against tile in memory; only links
+       that join components are put out.
     Candidates are verified on full sets, after their sketches have been compared.  No step is capped.
 
     Null, empty and white-space texts have no shingles and are linked with nothing, and are kept.  Rows that
@@ -229,75 +283,29 @@ def near_duplicates(
     parts, links, sets = nothing, _versions(feats, equal), None
     members = members.withColumn("c", F.col("n"))
     left = members.select("key", "rep", "n", "c", F.col("rep").alias("part"))
-    for k in range(rounds + 1):
-        if k < max(1, rounds - 1):
-            pairs = _likely(_star(left, F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k)), similarity), near, least)
-        else:
-            pairs = _across(left, near, similarity, least, tile, best=k < rounds)
-        pairs = materialize(pairs, "pairs")
+    for k in range(rounds):
+        pairs = materialize(_likely(_star(left, F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k)), similarity), near, least), "pairs")
         if sets is None:
             # bucketed by id, so that the verification of every round leaves the sets where they are
             sets = materialize_bucketed(_sets(near.select(F.col("rep").alias("id")), base, width), "id", "sets")
         more = _verify(pairs, sets, similarity)
         links = materialize(more if links is None else links.unionByName(more), "links")
         parts = materialize(connected_components(links), "parts")
-        if k < rounds:
+        left = materialize(_unsettled(members, parts), "unsettled")
+        if not left.head(1):
+            break
+        for _ in range(2 if k == 0 else 0):
+            # twice, for what only dropped documents shared is shared no more
+            shared = materialize(_shared_counts(left.select("rep", "n").distinct(), sets), "shared")
+            members = left.join(shared, F.col("rep") == F.col("owner"), "left").select("key", "rep", "n", F.coalesce("shared", F.lit(0)).alias("c"))
+            members = materialize(members.where(_near(F.col("n"), F.col("c"), F.col("c"), F.col("c"), similarity)), "members")
             left = materialize(_unsettled(members, parts), "unsettled")
-            if not left.head(1):
-                break
-            for _ in range(2 if k == 0 else 0):
-                # twice, for what only dropped documents shared is shared no more
-                shared = materialize(_shared_counts(left.select("rep", "n").distinct(), sets), "shared")
-                members = left.join(shared, F.col("rep") == F.col("owner"), "left").select("key", "rep", "n", F.coalesce("shared", F.lit(0)).alias("c"))
-                members = materialize(members.where(_near(F.col("n"), F.col("c"), F.col("c"), F.col("c"), similarity)), "members")
-                left = materialize(_unsettled(members, parts), "unsettled")
+    if left.head(1):
+        links = materialize(links.unionByName(_settle(left, near, sets, similarity, least, tile)), "links")
+        parts = materialize(connected_components(links), "parts")
 
     discard_table(sets)
     whole = equal.join(parts, F.col("rep") == F.col("id"), "left").select(F.col("n").alias("_n"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.coalesce("component", "rep").alias("component_id"))
     out = feats.select("doc_id", "n", "a", "b").join(whole, (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _across(left: DataFrame, marks: DataFrame, similarity: int, least: int, tile: int, best: bool) -> DataFrame:
-    """Pairs of one bucket that lie in different components and whose sketches allow the similarity.
-
-    With ``best``, each member puts out only the one whose sketch is nearest to its own, the likeliest link.
-
-    Buckets up to ``tile`` members are dealt whole, many to a task; larger ones are cut into tiles that meet pairwise.
-    """
-    rows = left.join(marks, "rep").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    t1, t2 = F.least("own", "with"), F.greatest("own", "with")
-    # whole buckets share a deal; each pair of tiles of a larger one has a deal of its own
-    deal = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("key"), F.lit(1 << 12))).otherwise(F.xxhash64("key", t1, t2))
-    rows = rows.select(deal.alias("deal"), "key", t1.alias("t1"), t2.alias("t2"), "own", "rep", "n", "c", "part", "marks", "bands")
-
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("t1", "ascending"), ("t2", "ascending")])
-        key, t1, t2, own, rep, n, c, part = (np.asarray(table[x]) for x in ("key", "t1", "t2", "own", "rep", "n", "c", "part"))
-        mark = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(len(rep), -1)
-        bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(rep), -1)
-        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(t1) != 0) | (np.diff(t2) != 0)) + 1
-        src, dst = [], []
-        for lo, hi in zip([0, *cut], [*cut, len(rep)], strict=True):
-            for i in range(lo + 1, hi):
-                most = np.minimum(c[lo:i], c[i])
-                ok = (part[lo:i] != part[i]) & (100 * most >= similarity * (n[lo:i] + n[i] - most))
-                if t1[i] != t2[i]:
-                    ok &= own[lo:i] != own[i]
-                j = lo + np.flatnonzero(ok)
-                alike = (mark[j] == mark[i]).sum(1)
-                j, alike = j[alike >= least], alike[alike >= least]
-                if best and len(j):
-                    j = j[[alike.argmax()]]
-                # a pair that shares several buckets is put out by the first of them
-                both = bands[j] == bands[i]
-                j = j[bands[i][both.argmax(1)] == key[i]] if len(j) else j
-                src.append(np.maximum(rep[j], rep[i]))
-                dst.append(np.minimum(rep[j], rep[i]))
-        empty = [np.empty(0, np.int64)]
-        pairs = np.unique(np.stack([np.concatenate(src or empty), np.concatenate(dst or empty)]), axis=1)
-        return pa.table({"src": pa.array(pairs[0]), "dst": pa.array(pairs[1])})
-
-    return rows.groupBy("deal").applyInArrow(meet, "src long, dst long").distinct()
