@@ -108,7 +108,8 @@ def _runs(low: np.ndarray, keys: list[int]) -> tuple[np.ndarray, np.ndarray, np.
 def _suspects(kind: Windows, buckets: int, payload: Callable, settle_local: Callable) -> Callable:
     """Map step 2: runs of windows with a repeated anchor, to the group of that anchor.
 
-    A run that is there twice in one flush travels once; ``settle_local`` says which of its owners are settled.
+    A run that is there twice in one flush travels once, with the owners that wait for a verdict; ``settle_local``
+    says which those are, under which id they go, and which owners are settled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +120,10 @@ def _suspects(kind: Windows, buckets: int, payload: Callable, settle_local: Call
             nonlocal held, size
             anchors, send, done = [], [], []
             for (anchor, _, n), (body, owners) in held.items():
-                kept, settled = settle_local(owners)
+                ident, waiting, settled = settle_local(owners)
                 done += [(row, lo, lo + n) for _, row, lo in settled]
                 anchors.append(anchor)
-                send.append((*kept, n, body))
+                send.append((ident, n, len(body), len(waiting), waiting, body))
             held, size = {}, 0
             rows = []
             for at in range(0, len(done), 1 << 15):
@@ -132,8 +133,9 @@ def _suspects(kind: Windows, buckets: int, payload: Callable, settle_local: Call
                 for b, idx in split_by((np.array(anchors, np.uint64) % np.uint64(buckets)).astype(np.int64)):
                     part = [send[i] for i in idx]
                     head = [np.array([x[j] for x in part], np.int64) for j in range(4)]
-                    body = b"".join(x[4] for x in part)
-                    rows.append((b, False, pack(*head, np.array([len(x[4]) for x in part], np.int64), np.frombuffer(body, np.uint8))))
+                    owner = [np.array([o[j] for x in part for o in x[4]], np.int64) for j in (1, 2)]
+                    body = b"".join(x[5] for x in part)
+                    rows.append((b, False, pack(*head, *owner, np.frombuffer(body, np.uint8))))
                     if len(rows) >= 256:
                         yield block_rows(rows)
                         rows = []
@@ -178,11 +180,11 @@ def _settle(window_keys: Callable, verdict: Callable) -> Callable:
             if done:
                 out.append(tuple(unpack(block, np.int64, np.int64, np.int64)))
             else:
-                *head, body = unpack(block, *[np.int64] * 5, np.uint8)
+                *head, body = unpack(block, *[np.int64] * 6, np.uint8)
                 heads.append(head)
                 bodies.append(body)
         if heads:
-            ident, row, lo, n, size = (np.concatenate(x) for x in zip(*heads, strict=True))
+            ident, n, size, owners, row, lo = (np.concatenate(x) for x in zip(*heads, strict=True))
             del heads
             # in stretches of runs, so that only the keys of all windows are held at once
             edge = np.cumsum(size)
@@ -196,10 +198,13 @@ def _settle(window_keys: Callable, verdict: Callable) -> Callable:
             if len(gone):
                 ends = np.cumsum(n)
                 r = np.searchsorted(ends, gone, side="right")
-                s = lo[r] + gone - (ends[r] - n[r])
+                s = gone - (ends[r] - n[r])
                 cut = np.flatnonzero((np.diff(r) != 0) | (np.diff(s) != 1)) + 1
                 first, last = np.append(0, cut), np.append(cut, len(gone)) - 1
-                out.append((row[r[first]], s[first], s[last] + 1))
+                # each range, for each owner of its run
+                times = owners[r[first]]
+                own = np.repeat((np.cumsum(owners) - owners)[r[first]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+                out.append((row[own], lo[own] + np.repeat(s[first], times), lo[own] + np.repeat(s[last] + 1, times)))
         return _range_table(out)
 
     return run
@@ -230,9 +235,10 @@ def _gone(n: int, cuts: list[dict] | None, width: int) -> np.ndarray:
 # --- op 4 -------------------------------------------------------------------
 
 
-def _first_owner_stays(owners: list[tuple]) -> tuple[tuple, list[tuple]]:
-    owners.sort()
-    return owners[0], [x for x in owners if x[0] > owners[0][0]]
+def _least_id_waits(owners: list[tuple]) -> tuple[int, list[tuple], list[tuple]]:
+    """Every owner with the least id waits, as a smaller one elsewhere removes all of them; larger ids are settled."""
+    least = min(x[0] for x in owners)
+    return least, [x for x in owners if x[0] == least], [x for x in owners if x[0] > least]
 
 
 def _later_than_first(keys: np.ndarray, ident: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -279,7 +285,7 @@ def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         kind,
         True,
         lambda text, full, lo, hi: full[lo:hi].tobytes(),
-        _first_owner_stays,
+        _least_id_waits,
         lambda body, n, size: body.view(np.uint64),
         _later_than_first,
     )
@@ -289,8 +295,8 @@ def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # --- op 5 -------------------------------------------------------------------
 
 
-def _all_settled(owners: list[tuple]) -> tuple[tuple, list[tuple]]:
-    return owners[0], owners if len(owners) > 1 else []
+def _all_settled(owners: list[tuple]) -> tuple[int, list[tuple], list[tuple]]:
+    return owners[0][0], owners[:1], owners if len(owners) > 1 else []
 
 
 def _refined_buckets(width: int, gram: int) -> Callable:

@@ -83,6 +83,29 @@ def test_words_made(spark):
         assert sortable(got) == sortable(brute_words(docs, width))
 
 
+def test_words_repeated_in_the_larger_id(spark):
+    """Passages twice or more in a larger id, or in several null ids, whose smaller id is in another task."""
+    r = random.Random(4)
+    words = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    docs = []
+    for i in range(12):
+        passage = words(60)
+        docs += [(i, f"{words(20)} {passage} {words(9)}"), (100 + i, " ".join(f"{words(15)} {passage}" for _ in range(3))), (200 + i, f"{words(5)} {passage} {words(5)}")]
+        docs += [(200 + i, f"{passage} {words(30)}"), (None, f"{passage} {words(8)} {passage}"), (None, f"{words(8)} {passage}")]
+        only = words(50)
+        docs += [(300 + i, f"{only} {words(3)} {only}"), (None, f"{only} {words(4)} {only}"), (None, f"{words(2)} {only}")]
+    off = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        got = [(x.doc_id, x.n_words, x.n_removed, bytes(x.kept)) for x in dedup_word_windows(frame(spark, docs)).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sortable(got) == sortable(brute_words(docs, 13))
+
+
 def test_bytes_table(spark, sf):
     t = pq.read_table(f"{sf}/documents.parquet")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup_byte_strings(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
