@@ -67,6 +67,13 @@ def band_keys(rows: np.ndarray, per_band: int) -> np.ndarray:
     return out
 
 
+def _name(items: np.ndarray) -> tuple[int, int, int]:
+    """(n, a, b) of a shingle set; equal for equal sets only, up to collisions of 128 bits."""
+    if not len(items):
+        return 0, 0, 0
+    return len(items), int(np.bitwise_xor.reduce(items).view(np.int64)), int(mix64(items + U(1)).sum(dtype=U).view(np.int64))
+
+
 def _features(width: int, t: int, bands_: int, per_band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,10 +93,9 @@ def _features(width: int, t: int, bands_: int, per_band: int):
                 marks: list = [None] * len(sets)
                 for i, k, m in zip(full, keys, low, strict=True):
                     bands[i], marks[i] = k, m.tobytes()
-                a = [int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0 for s in sets]
-                b = [int(mix64(s + U(1)).sum(dtype=U).view(np.int64)) if len(s) else 0 for s in sets]
+                n, a, b = zip(*map(_name, sets), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[at:end], pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    [ids[at:end], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
                     names=["doc_id", "n", "a", "b", "bands", "marks"],
                 )
                 at = end
@@ -123,14 +129,28 @@ def _likely(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
     return pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(check, "src long, dst long")
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(id, items): full shingle sets of the documents in ``wanted``."""
+def _sets(wanted: DataFrame, docs: DataFrame, width: int, equal: DataFrame | None) -> DataFrame:
+    """(id, items): full shingle sets of the classes in ``wanted``; ``equal`` has their names where ids repeat."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([shingle_set(x, width).tobytes() for x in batch["text"].to_pylist()], pa.binary())], names=["id", "items"])
 
-    return docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["id"], "left_semi").mapInArrow(sets, "id long, items binary")
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [shingle_set(x, width) for x in batch["text"].to_pylist()]
+            n, a, b = zip(*map(_name, items), strict=True) if items else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x.tobytes() for x in items], pa.binary())], names=["least", "n", "a", "b", "items"]
+            )
+
+    if equal is None:
+        return docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["id"], "left_semi").mapInArrow(sets, "id long, items binary")
+    # an id may hold the texts of several classes, and a class the same text several times
+    wanted = equal.join(wanted, F.col("rep") == F.col("id"), "left_semi")
+    texts = docs.join(wanted.select("least").distinct().hint("merge"), F.col("doc_id") == F.col("least"), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = texts.mapInArrow(named, "least long, n long, a long, b long, items binary").join(wanted.hint("merge"), ["least", "n", "a", "b"])
+    return found.select(F.col("rep").alias("id"), "items").dropDuplicates(["id"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -179,13 +199,30 @@ def _shared_counts(ids: DataFrame, sets: DataFrame, keys_each: int = 2_000_000)
     return repeated_key_counts(sets.join(ids, sets["id"] == F.col("rep"), "left_semi").mapInArrow(entries, BLOCK))
 
 
-def _versions(feats: DataFrame, equal: DataFrame) -> DataFrame | None:
-    """Links of ids that several texts share to the classes of these texts; None where ids do not repeat."""
+def _several(feats: DataFrame) -> DataFrame | None:
+    """(doc_id) of the ids that several texts share; None where there are none."""
     own = feats.where("n > 0 and doc_id is not null")
     several = own.groupBy("doc_id").agg(F.min(F.struct("n", "a", "b")).alias("p"), F.max(F.struct("n", "a", "b")).alias("q")).where("p <> q").select("doc_id")
-    several = materialize(several, "versions")
-    if not several.head(1):
-        return None
+    several = materialize(several, "several")
+    return several if several.head(1) else None
+
+
+def _classes(feats: DataFrame, several: DataFrame | None) -> DataFrame:
+    """(n, a, b, least, rep) of the classes of equal sets: their least id, and the vertex that stands for them.
+
+    The vertex is the least id, but of classes with one least id only the first gets that; the others get a hash.
+    """
+    equal = feats.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("least")).where("least is not null")
+    if several is None:
+        return equal.withColumn("rep", F.col("least"))
+    first = equal.groupBy("least").agg(F.min(F.struct("n", "a", "b")).alias("first"))
+    rep = F.when(F.struct("n", "a", "b") == F.col("first"), F.col("least")).otherwise(F.xxhash64("least", "n", "a", "b"))
+    return materialize(equal.join(first, "least").select("n", "a", "b", "least", rep.alias("rep")), "classes")
+
+
+def _versions(feats: DataFrame, several: DataFrame, equal: DataFrame) -> DataFrame:
+    """Links of ids that several texts share to the classes of these texts."""
+    own = feats.where("n > 0 and doc_id is not null")
     return materialize(own.join(several, "doc_id").join(equal, ["n", "a", "b"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct(), "versions")
 
 
@@ -253,7 +290,8 @@ def near_duplicates(
     (words are runs of bytes that are not ASCII white space, A-Z lower-cased; a text of fewer words is one
     shingle).  With 24 bands of 4 rows a pair of similarity 0.8 is a candidate with probability 1 - 3e-6.
 
-    1. Rows with equal sets are one class; only its least id goes on.
+    1. Rows with equal sets are one class; only its least id goes on.  Classes with one least id, which is then
+       that of several texts, go on each for itself and are linked with that id.
     2. In each band's bucket, members are paired with one centre: first the least id, then, up to ``rounds``
        times in all, another one in buckets that still hold several components.  Large groups of copies are
        joined by as many pairs as members a round.
@@ -270,24 +308,25 @@ def near_duplicates(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     least = least_equal(coordinates, similarity)
     feats = materialize(base.mapInArrow(_features(width, coordinates, bands, per_band), "doc_id long, n long, a long, b long, bands array<long>, marks binary"), "features")
-    equal = feats.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    several = _several(feats)
+    equal = _classes(feats, several)
     # the class's own row of its least id; rows repeated with that id are alike
-    chosen = feats.join(equal.select(F.col("rep").alias("_rep"), *[F.col(c).alias(f"_{c}") for c in "nab"]), (F.col("doc_id") == F.col("_rep")) & (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
-    marks = chosen.select(F.col("doc_id").alias("rep"), "marks", "bands").dropDuplicates(["rep"])
-    every = chosen.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("key"))
+    chosen = feats.join(equal.select("rep", F.col("least").alias("_least"), *[F.col(c).alias(f"_{c}") for c in "nab"]), (F.col("doc_id") == F.col("_least")) & (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    marks = chosen.select("rep", "marks", "bands").dropDuplicates(["rep"])
+    every = chosen.select("rep", "n", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("_k"))
     members = materialize(every.join(shared, F.col("key") == F.col("_k"), "left_semi"), "members")
     near = materialize(marks.join(members.select("rep").distinct(), "rep", "left_semi"), "marks")
 
     nothing = members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
-    parts, links, sets = nothing, _versions(feats, equal), None
+    parts, links, sets = nothing, None if several is None else _versions(feats, several, equal), None
     members = members.withColumn("c", F.col("n"))
     left = members.select("key", "rep", "n", "c", F.col("rep").alias("part"))
     for k in range(rounds):
         pairs = materialize(_likely(_star(left, F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k)), similarity), near, least), "pairs")
         if sets is None:
             # bucketed by id, so that the verification of every round leaves the sets where they are
-            sets = materialize_bucketed(_sets(near.select(F.col("rep").alias("id")), base, width), "id", "sets")
+            sets = materialize_bucketed(_sets(near.select(F.col("rep").alias("id")), base, width, None if several is None else equal), "id", "sets")
         more = _verify(pairs, sets, similarity)
         links = materialize(more if links is None else links.unionByName(more), "links")
         parts = materialize(connected_components(links), "parts")
@@ -305,7 +344,11 @@ def near_duplicates(
         parts = materialize(connected_components(links), "parts")
 
     discard_table(sets)
-    whole = equal.join(parts, F.col("rep") == F.col("id"), "left").select(F.col("n").alias("_n"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.coalesce("component", "rep").alias("component_id"))
+    whole = equal.join(parts, F.col("rep") == F.col("id"), "left").select(F.col("n").alias("_n"), F.col("a").alias("_a"), F.col("b").alias("_b"), "least", F.coalesce("component", "rep").alias("component_id"))
+    if several is not None:
+        # a hash may be the least vertex of its component
+        named = whole.groupBy("component_id").agg(F.min("least").alias("_least"))
+        whole = whole.join(named, "component_id").select("_n", "_a", "_b", F.col("_least").alias("component_id"))
     out = feats.select("doc_id", "n", "a", "b").join(whole, (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

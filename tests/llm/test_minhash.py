@@ -69,6 +69,21 @@ def test_tiles(spark):
     assert sorted(got) == sorted(brute(docs, 4, 80))
 
 
+def test_near_copies_of_every_text_of_an_id(spark):
+    """Ids with several texts, each of which has near copies under larger ids, and smaller ones for some."""
+    r = random.Random(8)
+    docs = []
+    for i in range(20):
+        for k in range(3):
+            text = [f"v{r.randrange(10**9)}" for _ in range(120)]
+            docs += [(100 * i + 50, " ".join(text)), (100 * i + 60 + k, " ".join(edited(r, text, 1))), (100 * i + 70 + k, " ".join(edited(r, text, 2)))]
+            if k and i % 4 == 0:
+                docs += [(100 * i + k, " ".join(edited(r, text, 1))), (100 * i + 50, " ".join(text))]
+    for rounds, tile in ((2, 1024), (1, 4)):
+        got = [(x.doc_id, x.n_shingles, x.component_id) for x in near_duplicates(frame(spark, docs), width=4, rounds=rounds, tile=tile).collect()]
+        assert sorted(got) == sorted(brute(docs, 4, 80))
+
+
 def test_null_ids_and_empty(spark):
     rows = near_duplicates(frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (None, "lonely text here"), (None, None)])).collect()
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in rows), key=repr) == sorted([(None, 4, False), (4, 4, True), (None, None, True), (None, None, True)], key=repr)
