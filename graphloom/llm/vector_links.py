@@ -66,7 +66,6 @@ def _usable(embedding) -> F.Column:
     return embedding.isNotNull() & (F.size(embedding) > 0) & ~bad & F.exists(embedding, lambda x: x != 0)
 
 
-_NO_ID = (1 << 63) - 1
 _CELL = "label long, block int, cell long, home boolean, tile int, id long, weight long, embedding array<double>"
 
 
@@ -92,7 +91,8 @@ def link_vectors(
     # -0.0 and 0.0 are the same component
     rows = rows.withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
     used = rows.where("use")
-    classes = materialize(used.groupBy("label", "embedding").agg(F.coalesce(F.min("vec_id"), F.lit(_NO_ID)).alias("id"), F.count(F.lit(1)).alias("weight")), "vectors")
+    # a class has an id of its own, for rows of several classes may share a vec_id or have none; it is fixed by being written
+    classes = materialize(used.groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("weight")).withColumn("id", F.monotonically_increasing_id()), "vectors")
     counts = edges = None
     for (size,) in sorted(classes.select(F.size("embedding")).distinct().collect()):
         found = materialize(_join(classes.where(F.size("embedding") == size), cosine, blocks, tile), "links")
@@ -102,18 +102,30 @@ def link_vectors(
         edges = part_edges if edges is None else edges.unionByName(part_edges)
     if counts is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    total = counts.groupBy("label", "id").agg(F.sum("n").alias("n"))
+    total = counts.groupBy("id").agg(F.sum("n").alias("n"))
+    named = classes.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), F.col("id").alias("class"), "weight")
+    members = rows.join(named, rows["use"] & (rows["label"] == named["_label"]) & (rows["embedding"] == named["_embedding"]), "left")
+    members = materialize(members.select("vec_id", "class", "weight"), "members")
+    # classes that share a vec_id are one component
+    owned = members.where("vec_id is not null and class is not null").select("vec_id", "class").distinct()
+    first = owned.groupBy("vec_id").agg(F.min("class").alias("first"))
+    edges = edges.unionByName(owned.join(first, "vec_id").where("class <> first").select(F.col("class").alias("src"), F.col("first").alias("dst")))
     parts = connected_components(edges)
-    # ids of classes stand for them; classes that share a least id (repeated ids) were told apart by vector until here
-    links = (
-        classes.withColumnRenamed("id", "_id")
-        .join(total.select(F.col("label").alias("_tl"), F.col("id").alias("_ti"), "n"), (F.col("label") == F.col("_tl")) & (F.col("_id") == F.col("_ti")), "left")
-        .join(parts.select(F.col("id").alias("_pi"), "component"), F.col("_id") == F.col("_pi"), "left")
-        .select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "_id").alias("component_id"))
+    placed = classes.select(F.col("id").alias("_class")).join(parts, F.col("_class") == F.col("id"), "left").select("_class", F.coalesce("component", "_class").alias("part"))
+    placed = materialize(placed, "placed")
+    # the least vec_id of each component, null where all are
+    least = members.join(placed, F.col("class") == F.col("_class")).groupBy("part").agg(F.min("vec_id").alias("least")).withColumnRenamed("part", "_part")
+    homes = placed.join(least, F.col("part") == F.col("_part")).select("_class", "least")
+    # rows without a class go with the other rows of their id
+    others = first.join(homes, F.col("first") == F.col("_class")).select(F.col("vec_id").alias("_vec_id"), F.col("least").alias("theirs"))
+    joined = (
+        members.join(homes, F.col("class") == F.col("_class"), "left")
+        .join(total.select(F.col("id").alias("_id"), "n"), F.col("class") == F.col("_id"), "left")
+        .join(others, F.col("class").isNull() & (F.col("vec_id") == F.col("_vec_id")), "left")
     )
-    joined = rows.join(links, rows["use"] & (rows["label"] == links["_label"]) & (rows["embedding"] == links["_embedding"]), "left")
-    component = F.coalesce(F.when(F.col("component_id") != _NO_ID, F.col("component_id")), "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    n_links = F.when(F.col("class").isNotNull(), F.coalesce("n", F.lit(0)) + F.col("weight") - 1).otherwise(0)
+    component = F.coalesce("least", "theirs", "vec_id")
+    return joined.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def _join(classes: DataFrame, cosine: float, blocks: int, tile: int) -> DataFrame:

@@ -200,6 +200,21 @@ def test_vectors(spark, tile):
     assert link_vectors(frame(spark, [], "vec_id long, embedding array<double>, label int")).collect() == []
 
 
+def test_vectors_of_repeated_and_null_ids(spark):
+    """Classes that share a least id count for themselves, and null ids do not join what nothing else joins."""
+    e = np.eye(8)
+    near = lambda k, d=0.02: (e[k] + d * e[7]).tolist()
+    rows = [(5, e[0].tolist(), 1), (5, e[1].tolist(), 1), (6, near(0), 1), (7, near(0, 0.03), 1), (8, near(1), 1)]
+    # id 9 is in the class of id 3 and in one of its own; and has a row of no use
+    rows += [(3, e[2].tolist(), 1), (9, e[2].tolist(), 1), (9, e[3].tolist(), 1), (12, near(3), 1), (9, None, 1), (14, None, 1)]
+    # null ids beside ids that have nothing to do with each other
+    rows += [(None, e[4].tolist(), 1), (20, near(4), 1), (None, e[5].tolist(), 1), (21, near(5), 1), (None, e[4].tolist(), 2), (22, near(4), 2), (None, e[6].tolist(), 1), (None, near(6), 1)]
+    got = link_vectors(frame(spark, rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(5, 2, 5), (5, 1, 5), (6, 2, 5), (7, 2, 5), (8, 1, 5), (3, 1, 3), (9, 1, 3), (9, 1, 3), (12, 1, 3), (9, 0, 3), (14, 0, 14)]
+    want += [(None, 1, 20), (20, 1, 20), (None, 1, 21), (21, 1, 21), (None, 1, 22), (22, 1, 22), (None, 1, None), (None, 1, None)]
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted(((*x, x[0] == x[2]) for x in want), key=repr)
+
+
 # --- op 9
 
 
