@@ -65,18 +65,23 @@ class KeyPacker:
     Keys that occur twice inside one flush are settled there ("done" rows tell all
     their owners) and go on as a single entry, so a key that a third of all
     documents hold costs each map task one entry, not one for each document.
+
+    With ``counted``, keys come with how often their owner has them, and an entry tells the sum, up to 65,535.
     """
 
-    def __init__(self, buckets: int, flush_at: int = 1 << 20):
-        self.buckets, self.flush_at = buckets, flush_at
+    def __init__(self, buckets: int, flush_at: int = 1 << 20, counted: bool = False):
+        self.buckets, self.flush_at, self.counted = buckets, flush_at, counted
+        self.times: list[np.ndarray] = []
         self.owners: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, owner: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, owner: int, keys: np.ndarray, times: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         if len(keys):
             self.owners.append(np.full(len(keys), owner, np.int64))
             self.keys.append(keys)
+            if self.counted:
+                self.times.append(times)
             self.size += len(keys)
             if self.size >= self.flush_at:
                 yield from self.flush()
@@ -95,20 +100,27 @@ class KeyPacker:
         done_k, done_o = keys[twice], owners[twice]
         for b, idx in split_by((done_k % np.uint64(self.buckets)).astype(np.int64)):
             rows.append((b, True, pack(done_k[idx], done_o[idx])))
-        keys, owners = keys[first], owners[first]
+        keys, owners, more = keys[first], owners[first], []
+        if self.counted:
+            more = [np.minimum(np.add.reduceat(np.concatenate(self.times)[order], first), 0xFFFF).astype(np.uint16)]
+            self.times = []
         for b, idx in split_by((keys % np.uint64(self.buckets)).astype(np.int64)):
-            rows.append((b, False, pack(keys[idx], owners[idx])))
+            rows.append((b, False, pack(keys[idx], owners[idx], *[x[idx] for x in more])))
             if len(rows) >= 4096:
                 yield block_rows(rows)
                 rows = []
         yield block_rows(rows)
 
 
-def _owners_of_repeated(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, owners) of one bucket, for keys that two entries hold or that a map task has settled."""
-    keys, owners, out = [], [], [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+def _owners_of_repeated(table: pa.Table, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, owners) of one bucket, for keys that two entries hold or that a map task has settled.
+
+    And the keys that are there more than ``most`` times, where entries are counted.
+    """
+    keys, owners, times, often, out = [], [], [], np.empty(0, np.uint64), [(np.empty(0, np.uint64), np.empty(0, np.int64))]
     for done, block in zip(table["done"].to_pylist(), table["block"].to_pylist(), strict=True):
-        k, o = unpack(block, np.uint64, np.int64)
+        k, o, *t = unpack(block, np.uint64, np.int64, *([] if done or most is None else [np.uint16]))
+        times += t
         if done:
             out.append((k, o))
         else:
@@ -118,19 +130,22 @@ def _owners_of_repeated(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         k, o = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(k, kind="stable")
         k, o = k[order], o[order]
+        if times:
+            first = run_starts_of(k)
+            often = k[first][np.add.reduceat(np.concatenate(times).astype(np.int64)[order], first) > most]
         same = k[1:] == k[:-1]
         hit = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         out.append((k[hit], o[hit]))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), often
 
 
 def _owner_keys(table: pa.Table) -> pa.Table:
-    k, o = _owners_of_repeated(table)
+    k, o, _ = _owners_of_repeated(table)
     return pa.table({"owner": pa.array(o), "key": pa.array(k.view(np.int64))})
 
 
 def _owner_counts(table: pa.Table) -> pa.Table:
-    k, o = _owners_of_repeated(table)
+    k, o, _ = _owners_of_repeated(table)
     # an owner whose key is settled both in its map task and here counts once
     order = np.lexsort((k, o))
     k, o = k[order], o[order]
@@ -139,8 +154,19 @@ def _owner_counts(table: pa.Table) -> pa.Table:
     return pa.table({"owner": pa.array(owner), "n": pa.array(n.astype(np.int64))})
 
 
-def repeated_keys(blocks: DataFrame) -> DataFrame:
-    """Reduce side: ``(owner, keys)`` with the keys of each owner that some other entry holds too."""
+def repeated_keys(blocks: DataFrame, most: int | None = None) -> DataFrame:
+    """Reduce side: ``(owner, keys)`` with the keys of each owner that some other entry holds too.
+
+    With ``most``, for counted entries, also ``split``: those of the keys that are there more than ``most`` times.
+    """
+
+    def counted(table: pa.Table) -> pa.Table:
+        k, o, often = _owners_of_repeated(table, most)
+        return pa.table({"owner": pa.array(o), "key": pa.array(k.view(np.int64)), "often": pa.array(np.isin(k, often))})
+
+    if most is not None:
+        hits = blocks.groupBy("bucket").applyInArrow(counted, "owner long, key long, often boolean")
+        return hits.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("often"), F.col("key"))).alias("split"))
     hits = blocks.groupBy("bucket").applyInArrow(_owner_keys, "owner long, key long")
     return hits.groupBy("owner").agg(F.collect_set("key").alias("keys"))
 

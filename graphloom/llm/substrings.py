@@ -14,6 +14,8 @@ that lose nothing:
    exchanged; an anchor that occurs once proves that all its windows do.
 2. Windows whose anchor occurs again go, as runs of neighbours, to the group of that
    anchor, where full-depth buckets are formed and refined (see the two operators).
+   In op 4 an anchor of very many runs makes no group: the prefix is lengthened to the full depth, and each of
+   its windows goes to the group of its own 13 words.
 
 Verdicts come back as ranges of window starts, are joined with the texts by row, and
 each document is cut once.  Everything is one lazy plan without driver state: a lost
@@ -76,22 +78,23 @@ def _anchors(kind: Windows, buckets: int, once_per_document: bool) -> Callable:
     """Map step 1: texts to blocks of anchor keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = KeyPacker(buckets)
+        packer = KeyPacker(buckets, counted=once_per_document)
         for batch in batches:
             for row, text in zip(batch["name"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 grams, low = kind.minima(prefix_hashes(kind.values(text)))
                 if not len(low):
                     continue
                 if once_per_document:
-                    keys = np.unique(low[run_starts(low)])
+                    keys, times = np.unique(low[run_starts(low)], return_counts=True)
                 else:
+                    times = None
                     # every position whose gram is the least of some window: ties inside one window count twice
                     # the largest minimum over the windows that hold a position, as a minimum of complements
                     edge = np.full(kind.span - 1, np.iinfo(np.uint64).max, np.uint64)
                     highest = ~sliding_min(np.concatenate([edge, ~low, edge]), kind.span)
                     keys, counts = np.unique(grams[grams == highest], return_counts=True)
                     keys = np.concatenate([keys, keys[counts > 1]])
-                yield from packer.add(row, keys)
+                yield from packer.add(row, keys, times)
         yield from packer.flush()
 
     return run
@@ -105,11 +108,22 @@ def _runs(low: np.ndarray, keys: list[int]) -> tuple[np.ndarray, np.ndarray, np.
     return low[at[keep]], at[keep], end[keep]
 
 
+def _joined_ranges(ranges: np.ndarray) -> np.ndarray:
+    """Rows (name, lo, hi) with those that follow on each other made one."""
+    if not len(ranges):
+        return ranges
+    ranges = ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))]
+    fresh = np.append(True, (ranges[1:, 0] != ranges[:-1, 0]) | (ranges[1:, 1] != ranges[:-1, 2]))
+    first = np.flatnonzero(fresh)
+    return np.column_stack([ranges[first, :2], ranges[np.append(first[1:], len(ranges)) - 1, 2]])
+
+
 def _suspects(kind: Windows, buckets: int, payload: Callable, settle_local: Callable) -> Callable:
     """Map step 2: runs of windows with a repeated anchor, to the group of that anchor.
 
     A run that is there twice in one flush travels once, with the owners that wait for a verdict; ``settle_local``
-    says which those are, under which id they go, and which owners are settled.
+    says which those are, under which id they go, and which owners are settled.  Runs of an anchor in ``split``
+    are taken apart, and their windows dealt by their own hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +140,9 @@ def _suspects(kind: Windows, buckets: int, payload: Callable, settle_local: Call
                 send.append((ident, n, len(body), len(waiting), waiting, body))
             held, size = {}, 0
             rows = []
+            done = _joined_ranges(np.array(done, np.int64).reshape(-1, 3))
             for at in range(0, len(done), 1 << 15):
-                part = np.array(done[at : at + (1 << 15)], np.int64)
+                part = done[at : at + (1 << 15)]
                 rows.append((int(part[0, 0] % buckets), True, pack(part[:, 0].copy(), part[:, 1].copy(), part[:, 2].copy())))
             if anchors:
                 for b, idx in split_by((np.array(anchors, np.uint64) % np.uint64(buckets)).astype(np.int64)):
@@ -142,12 +157,17 @@ def _suspects(kind: Windows, buckets: int, payload: Callable, settle_local: Call
             yield block_rows(rows)
 
         for batch in batches:
-            for row, ident, text, keys in zip(*(batch[c].to_pylist() for c in ("name", "doc_id", "text", "keys")), strict=True):
+            splits = batch["split"].to_pylist() if "split" in batch.schema.names else [()] * batch.num_rows
+            for row, ident, text, keys, split in zip(*(batch[c].to_pylist() for c in ("name", "doc_id", "text", "keys")), splits, strict=True):
                 ident = _NO_ID if ident is None else ident
                 prefix = prefix_hashes(kind.values(text))
                 _, low = kind.minima(prefix)
                 full = window_hashes(prefix, kind.width)
-                for anchor, lo, hi in zip(*map(np.ndarray.tolist, _runs(low, keys)), strict=True):
+                runs = zip(*map(np.ndarray.tolist, _runs(low, keys)), strict=True)
+                if split:
+                    split = {k & 0xFFFFFFFFFFFFFFFF for k in split}
+                    runs = [x for r in runs for x in ([(int(full[i]), i, i + 1) for i in range(r[1], r[2])] if r[0] in split else [r])]
+                for anchor, lo, hi in runs:
                     body = payload(text, full, lo, hi)
                     known = held.setdefault((anchor, xxhash.xxh3_64_intdigest(body), hi - lo), [body, []])
                     if not known[1]:
@@ -210,14 +230,14 @@ def _settle(window_keys: Callable, verdict: Callable) -> Callable:
     return run
 
 
-def _cut_plan(docs: DataFrame, kind: Windows, once: bool, payload, settle_local, window_keys, verdict) -> DataFrame:
+def _cut_plan(docs: DataFrame, kind: Windows, once: bool, payload, settle_local, window_keys, verdict, most: int | None = None) -> DataFrame:
     """Every row of ``docs`` with ``cuts``, the ranges of its windows that are to go.
 
     Both joins read ``docs`` with the same columns and key, so its texts are shuffled once and the exchange is reused.
     """
     buckets = bucket_count(docs, "text")
-    anchors = repeated_keys(docs.select("name", "text").mapInArrow(_anchors(kind, buckets, once), BLOCK))
-    suspects = docs.join(anchors, docs["name"] == anchors["owner"]).select(*docs.columns, "keys")
+    anchors = repeated_keys(docs.select("name", "text").mapInArrow(_anchors(kind, buckets, once), BLOCK), most)
+    suspects = docs.join(anchors, docs["name"] == anchors["owner"]).select(*docs.columns, *anchors.columns[1:])
     ranges = suspects.mapInArrow(_suspects(kind, buckets, payload, settle_local), BLOCK).groupBy("bucket").applyInArrow(_settle(window_keys, verdict), _RANGES)
     cuts = ranges.groupBy("name").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")).withColumnRenamed("name", "_name")
     return docs.join(cuts, docs["name"] == cuts["_name"], "left").select(*docs.columns, "cuts")
@@ -268,7 +288,7 @@ def _words_left(width: int) -> Callable:
     return run
 
 
-def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, gram: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, gram: int = 5, carry: tuple[str, ...] = (), most: int = 1 << 14) -> DataFrame:
     """Remove every word covered by a ``width``-word window that also starts in a document with a smaller id.
 
     Returns one row per input row: ``doc_id, n_words, n_removed, kept`` (kept words joined by one space), and the
@@ -278,6 +298,7 @@ def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     words; a text of fewer words than ``width`` loses nothing.  Rows that repeat an id are one document as to
     order: neither removes words of the other.  A null id counts as larger than any other, and null ids do not
     order each other.  Other columns of ``docs`` are not read.  An empty table gives an empty result.
+    Anchors with more than ``most`` runs are split to the full depth.
     """
     kind = WordWindows(width, gram)
     plan = _cut_plan(
@@ -288,6 +309,7 @@ def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         _least_id_waits,
         lambda body, n, size: body.view(np.uint64),
         _later_than_first,
+        most,
     )
     return plan.mapInArrow(_words_left(width), "doc_id long, n_words long, n_removed long, kept binary" + carried_type(plan))
 

@@ -3,9 +3,13 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
-from graphloom.llm.substrings import dedup_byte_strings, dedup_word_windows
+from graphloom.llm._exchange import unpack
+from graphloom.llm._hashing import prefix_hashes
+from graphloom.llm.substrings import WordWindows, _least_id_waits, _suspects, dedup_byte_strings, dedup_word_windows
 
 SCHEMA = "doc_id long, text string, n_words string, row string, kept string"
 
@@ -106,6 +110,30 @@ def test_words_repeated_in_the_larger_id(spark):
     assert sortable(got) == sortable(brute_words(docs, 13))
 
 
+def test_runs_of_a_frequent_gram_are_dealt(spark):
+    """Differing runs of one gram go to many groups, and the result is the same."""
+    kind, r = WordWindows(13, 5), random.Random(6)
+    words = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    gram = min((words(5) for _ in range(3000)), key=lambda g: int(kind.minima(prefix_hashes(kind.values(f"{g} {g} {g}".encode())))[0][0]))
+    passages = [words(20) for _ in range(4)]
+    docs = [(i, f"{words(12)} {gram} {words(12)}" + (f" {passages[i % 4]} {gram} {passages[i % 4]}" if i % 3 == 0 else "")) for i in range(300)]
+    anchor = int(kind.minima(prefix_hashes(kind.values(f"{gram} {gram} {gram}".encode())))[0][:1].view(np.int64)[0])
+    keys = pa.array([[anchor]] * len(docs), pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([d for d, _ in docs]), pa.array([t.encode() for _, t in docs]), keys, keys], names=["name", "doc_id", "text", "keys", "split"])
+    held = Counter()
+    for out in _suspects(kind, 16, lambda text, full, lo, hi: full[lo:hi].tobytes(), _least_id_waits)(iter([batch])):
+        for bucket, done, block in zip(*(out[c].to_pylist() for c in ("bucket", "done", "block")), strict=True):
+            if not done:
+                held[bucket] += len(unpack(block, *[np.int64] * 6, np.uint8)[-1]) // 8
+    assert sum(held.values()) > 2000 and max(held.values()) < sum(held.values()) / 8
+    for most in (3, 1 << 14):
+        got = [(x.doc_id, x.n_words, x.n_removed, bytes(x.kept)) for x in dedup_word_windows(frame(spark, docs), most=most).collect()]
+        assert sortable(got) == sortable(brute_words(docs, 13))
+    made = made_docs(9)
+    got = [(x.doc_id, x.n_words, x.n_removed, bytes(x.kept)) for x in dedup_word_windows(frame(spark, made), most=3).collect()]
+    assert sortable(got) == sortable(brute_words(made, 13))
+
+
 def test_bytes_table(spark, sf):
     t = pq.read_table(f"{sf}/documents.parquet")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup_byte_strings(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
