@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm._hashing import mix64, run_starts
+
 #: Rows between the two sides of the exchange.
 BLOCK = "bucket long, done boolean, block binary"
 
@@ -50,38 +52,33 @@ def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     if not len(bucket):
         return
     order = np.argsort(bucket, kind="stable")
-    starts = run_starts_of(bucket[order])
+    starts = run_starts(bucket[order])
     for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
         yield int(bucket[order[s]]), order[s:e]
 
 
-def run_starts_of(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1]) if len(x) else np.empty(0, np.int64)
-
-
 class KeyPacker:
     """Map side of the search for keys that occur twice.
 
-    Keys that occur twice inside one flush are settled there ("done" rows tell all
-    their owners) and go on as a single entry, so a key that a third of all
-    documents hold costs each map task one entry, not one for each document.
+    Of the owners that hold a key in one flush, the first goes on to the key's bucket, as a single entry that tells
+    how often the key is there and whether it is known to be repeated; the others are settled ("done" rows) and go
+    to buckets of their own.  So a key that a third of all documents hold costs its bucket one entry for each
+    flush, and each owner is told of a key once.
 
-    With ``counted``, keys come with how often their owner has them, and an entry tells the sum, up to 65,535.
+    Keys may come with how often their owner has them (summed up, in an entry to 32,767 at most), and with a mask of
+    those that are repeated whoever else has them.
     """
 
-    def __init__(self, buckets: int, flush_at: int = 1 << 20, counted: bool = False):
-        self.buckets, self.flush_at, self.counted = buckets, flush_at, counted
-        self.times: list[np.ndarray] = []
-        self.owners: list[np.ndarray] = []
-        self.keys: list[np.ndarray] = []
+    def __init__(self, buckets: int, flush_at: int = 1 << 19):
+        self.buckets, self.flush_at = buckets, flush_at
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, owner: int, keys: np.ndarray, times: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def add(self, owner: int, keys: np.ndarray, times: np.ndarray | None = None, repeated: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         if len(keys):
-            self.owners.append(np.full(len(keys), owner, np.int64))
-            self.keys.append(keys)
-            if self.counted:
-                self.times.append(times)
+            ones = np.ones(len(keys), np.int32) if times is None else times.astype(np.int32)
+            known = np.zeros(len(keys), bool) if repeated is None else repeated
+            self.parts.append((keys, np.full(len(keys), owner, np.int64), ones, known))
             self.size += len(keys)
             if self.size >= self.flush_at:
                 yield from self.flush()
@@ -89,86 +86,74 @@ class KeyPacker:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        keys, owners = np.concatenate(self.keys), np.concatenate(self.owners)
-        self.owners, self.keys, self.size = [], [], 0
+        keys, owners, times, known = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
         order = np.argsort(keys, kind="stable")
         keys, owners = keys[order], owners[order]
-        first = run_starts_of(keys)
-        counts = np.diff([*first, len(keys)])
-        twice = np.repeat(counts > 1, counts)
+        first = run_starts(keys)
+        counts = np.diff(np.append(first, len(keys)))
+        info = np.minimum(np.add.reduceat(times[order], first), _MOST).astype(np.uint16)
+        info |= np.where((counts > 1) | np.logical_or.reduceat(known[order], first), np.uint16(_MOST + 1), np.uint16(0))
+        rest = np.ones(len(keys), bool)
+        rest[first] = False
         rows = []
-        done_k, done_o = keys[twice], owners[twice]
-        for b, idx in split_by((done_k % np.uint64(self.buckets)).astype(np.int64)):
-            rows.append((b, True, pack(done_k[idx], done_o[idx])))
-        keys, owners, more = keys[first], owners[first], []
-        if self.counted:
-            more = [np.minimum(np.add.reduceat(np.concatenate(self.times)[order], first), 0xFFFF).astype(np.uint16)]
-            self.times = []
+        for b, idx in split_by((mix64(owners[rest].view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)):
+            rows.append((b, True, pack(keys[rest][idx], owners[rest][idx])))
+        keys, owners = keys[first], owners[first]
         for b, idx in split_by((keys % np.uint64(self.buckets)).astype(np.int64)):
-            rows.append((b, False, pack(keys[idx], owners[idx], *[x[idx] for x in more])))
+            rows.append((b, False, pack(keys[idx], owners[idx], info[idx])))
             if len(rows) >= 4096:
                 yield block_rows(rows)
                 rows = []
         yield block_rows(rows)
 
 
-def _owners_of_repeated(table: pa.Table, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, owners) of one bucket, for keys that two entries hold or that a map task has settled.
+#: The largest count an entry tells; the bit above it tells that the key is known to be repeated.
+_MOST = 0x7FFF
+
 
-    And the keys that are there more than ``most`` times, where entries are counted.
+def _told(table: pa.Table, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, owners) that one bucket tells of, each pair once: those of repeated keys, and what map tasks settled.
+
+    And the keys that are there more than ``most`` times.
     """
-    keys, owners, times, often, out = [], [], [], np.empty(0, np.uint64), [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+    entries, out, often = [], [(np.empty(0, np.uint64), np.empty(0, np.int64))], np.empty(0, np.uint64)
     for done, block in zip(table["done"].to_pylist(), table["block"].to_pylist(), strict=True):
-        k, o, *t = unpack(block, np.uint64, np.int64, *([] if done or most is None else [np.uint16]))
-        times += t
         if done:
-            out.append((k, o))
+            out.append(tuple(unpack(block, np.uint64, np.int64)))
         else:
-            keys.append(k)
-            owners.append(o)
-    if keys:
-        k, o = np.concatenate(keys), np.concatenate(owners)
+            entries.append(unpack(block, np.uint64, np.int64, np.uint16))
+    if entries:
+        k, o, info = (np.concatenate(x) for x in zip(*entries, strict=True))
+        del entries
         order = np.argsort(k, kind="stable")
-        k, o = k[order], o[order]
-        if times:
-            first = run_starts_of(k)
-            often = k[first][np.add.reduceat(np.concatenate(times).astype(np.int64)[order], first) > most]
+        k, o, info = k[order], o[order], info[order]
+        if most is not None:
+            first = run_starts(k)
+            often = k[first][np.add.reduceat((info & np.uint16(_MOST)).astype(np.int64), first) > most]
         same = k[1:] == k[:-1]
-        hit = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        hit = np.append(same, False) | np.append(False, same) | (info > _MOST)
         out.append((k[hit], o[hit]))
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), often
 
 
-def _owner_keys(table: pa.Table) -> pa.Table:
-    k, o, _ = _owners_of_repeated(table)
-    return pa.table({"owner": pa.array(o), "key": pa.array(k.view(np.int64))})
-
-
 def _owner_counts(table: pa.Table) -> pa.Table:
-    k, o, _ = _owners_of_repeated(table)
-    # an owner whose key is settled both in its map task and here counts once
-    order = np.lexsort((k, o))
-    k, o = k[order], o[order]
-    fresh = np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])) if len(k) else np.empty(0, bool)
-    owner, n = np.unique(o[fresh], return_counts=True)
+    owner, n = np.unique(_told(table)[1], return_counts=True)
     return pa.table({"owner": pa.array(owner), "n": pa.array(n.astype(np.int64))})
 
 
-def repeated_keys(blocks: DataFrame, most: int | None = None) -> DataFrame:
-    """Reduce side: ``(owner, keys)`` with the keys of each owner that some other entry holds too.
+def repeated_keys(blocks: DataFrame, most: int) -> DataFrame:
+    """Reduce side: ``(owner, key)`` for keys that some other entry holds too, or that are known to be repeated.
 
-    With ``most``, for counted entries, also ``split``: those of the keys that are there more than ``most`` times.
+    Rows without an owner name the keys that are there more than ``most`` times.
     """
 
-    def counted(table: pa.Table) -> pa.Table:
-        k, o, often = _owners_of_repeated(table, most)
-        return pa.table({"owner": pa.array(o), "key": pa.array(k.view(np.int64)), "often": pa.array(np.isin(k, often))})
+    def settle(table: pa.Table) -> pa.Table:
+        k, o, often = _told(table, most)
+        owner = pa.concat_arrays([pa.array(o, pa.int64()), pa.nulls(len(often), pa.int64())])
+        return pa.table({"owner": owner, "key": pa.array(np.concatenate([k, often]).view(np.int64))})
 
-    if most is not None:
-        hits = blocks.groupBy("bucket").applyInArrow(counted, "owner long, key long, often boolean")
-        return hits.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("often"), F.col("key"))).alias("split"))
-    hits = blocks.groupBy("bucket").applyInArrow(_owner_keys, "owner long, key long")
-    return hits.groupBy("owner").agg(F.collect_set("key").alias("keys"))
+    return blocks.groupBy("bucket").applyInArrow(settle, "owner long, key long")
 
 
 def repeated_key_counts(blocks: DataFrame) -> DataFrame:

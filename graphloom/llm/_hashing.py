@@ -81,7 +81,7 @@ def run_starts(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash, remembering a bounded number of words per worker."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 

@@ -1,11 +1,22 @@
-"""Columns that pass through an operator beside the ones it reads."""
+"""Columns that pass through an operator beside the ones it reads, and the size of the batches that workers get."""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on Arrow batches of the session have about ``most`` bytes at most, unless it has a bound already.
+
+    Spark's own bound is 10,000 rows, which is tens of megabytes of text, several times over, for each running task.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(most))
+
 
 def carried(columns: tuple[str, ...]) -> list[Column]:
     """One struct column ``row`` that holds the given columns, whatever they are named; nothing for none."""

@@ -2,30 +2,37 @@
 
 Both operators compare *windows*: 13 consecutive words, or 200 consecutive bytes.
 A window is a suffix of its document cut at the depth that matters.  Suffixes are
-split by a shared prefix into groups small enough for a task's memory, and a group
-is settled by sorting its suffixes: equal neighbours at full depth are the deep
-internal nodes of its subtree, the maximal repeats.
+dealt into groups that a task can hold, and each group's suffixes are sorted:
 
-Grouping every suffix would move many times the input, so it happens in two steps
-that lose nothing:
+* op 4 builds the suffix tree of a group's word sequences (``SuffixTree``); its
+  internal nodes of depth 13 and more are the maximal repeats.
+* op 5 sorts a group's byte strings by bucket-pointer refinement
+  (``string_classes``); neighbours that share 200 bytes are repeats.
+
+Sending every suffix would move many times the input, so groups are made in two
+steps that lose nothing:
 
 1. Each window names its *anchor*: the gram inside it with the smallest hash.  Equal
    windows name equal anchors.  Only anchors (a few per cent of all positions) are
-   exchanged; an anchor that occurs once proves that all its windows do.
-2. Windows whose anchor occurs again go, as runs of neighbours, to the group of that
-   anchor, where full-depth buckets are formed and refined (see the two operators).
-   In op 4 an anchor of very many runs makes no group: the prefix is lengthened to the full depth, and each of
-   its windows goes to the group of its own 13 words.
+   exchanged and counted; an anchor that occurs once proves that all its windows do.
+2. Neighbouring windows that name one repeated anchor are a *run*.  Its text goes to
+   the group of that anchor: the gram is the prefix by which suffixes are dealt.  How
+   long a prefix is depends on the counts of step 1.  Where a gram occurs more often
+   than a group may hold, it is lengthened until it holds the whole window, and each
+   window goes by its own 128-bit digest, of which a map task sends one for each flush.
 
 Verdicts come back as ranges of window starts, are joined with the texts by row, and
-each document is cut once.  Everything is one lazy plan without driver state: a lost
-executor is recomputed from the input.
+each document is cut once.  What step 1 finds is a table in the shared folder; a lost
+executor costs its running tasks.
 
-Equality is that of 64-bit hashes of whole windows within a group.
+Windows in a group are compared word by word or byte by byte, those of lengthened
+prefixes by their digests.  Rows are told apart by two 64-bit hashes of id and text.
+Long texts are taken in pieces, so a task holds a piece's arrays and not a text's.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,17 +41,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._exchange import BLOCK, KeyPacker, block_rows, bucket_count, pack, repeated_keys, split_by, unpack
-from graphloom.llm._hashing import U, byte_values, hash_words, mix64, prefix_hashes, run_starts, sliding_min, window_hashes
-from graphloom.llm._rows import carried, carried_type, row_of
+from graphloom.llm._exchange import BLOCK, KeyPacker, bucket_count, pack, repeated_keys, split_by, unpack
+from graphloom.llm._hashing import byte_values, hash_words, prefix_hashes, run_starts, sliding_min, window_hashes
+from graphloom.llm._rows import bound_batches, carried, carried_type, row_of
+from graphloom.llm._suffixes import SuffixTree, string_classes
+from graphloom.plans.materialize import materialize
 
 _NO_ID = (1 << 63) - 1
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
-    """(name, doc_id, text[, row]): ``name`` is a hash of a row's content, so that repeated ids do not meet."""
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.xxhash64(F.col(id_col), text).alias("name"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *carried(carry))
+def word_pieces(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, those of about ``most`` bytes at a time."""
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + most) if at + most < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end].split()
+        at = end
 
 
 class Windows:
@@ -53,203 +67,355 @@ class Windows:
     def __init__(self, width: int, gram: int):
         self.width, self.gram, self.span = width, gram, width - gram + 1
 
-    def values(self, text: bytes) -> np.ndarray:
-        raise NotImplementedError
-
-    def minima(self, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def minima(self, tokens) -> tuple[np.ndarray, np.ndarray]:
         """Gram hashes, and for each window the smallest one inside it."""
-        if len(prefix) <= self.width:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
-        grams = window_hashes(prefix, self.gram)
+        grams = window_hashes(prefix_hashes(self.values(tokens)), self.gram)
         return grams, sliding_min(grams, self.span)
 
 
 class WordWindows(Windows):
-    def values(self, text: bytes) -> np.ndarray:
-        return hash_words(text.split())
+    """Words; a run's body is its words with a space between."""
+
+    def pieces(self, text: bytes) -> Iterator[tuple[int, list[bytes]]]:
+        """(first word, words) of pieces that have every window in one of them."""
+        base, held = 0, []
+        for words in word_pieces(text):
+            words = held + words
+            if len(words) >= self.width:
+                yield base, words
+            held = words[1 - self.width :] if len(words) >= self.width else words
+            base += len(words) - len(held)
+
+    def values(self, words: list[bytes]) -> np.ndarray:
+        return hash_words(words)
+
+    def body(self, words: list[bytes], lo: int, hi: int) -> bytes:
+        return b" ".join(words[lo : hi + self.width - 1])
+
+    def classes(self, bodies: list[bytes], n: np.ndarray) -> np.ndarray:
+        """Class numbers of the ``n`` windows of each body, equal for equal windows."""
+        number: dict[bytes, int] = {}
+        words = [number.setdefault(w, len(number)) for body in bodies for w in body.split(b" ")]
+        first = np.cumsum(n + self.width - 1) - (n + self.width - 1)
+        tree = SuffixTree(np.array(words, np.int64), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), self.width)
+        out = np.arange(len(tree.order)) + len(tree.order)
+        for number_, (a, b) in enumerate(zip(*map(np.ndarray.tolist, tree.nodes(self.width)), strict=True)):
+            out[tree.order[a:b]] = number_
+        return np.unique(out, return_inverse=True)[1]
 
 
 class ByteWindows(Windows):
-    def values(self, text: bytes) -> np.ndarray:
-        return byte_values(np.frombuffer(text, np.uint8))
+    """Bytes; a run's body is its bytes."""
+
+    def __init__(self, width: int, gram: int, piece: int = 1 << 18):
+        super().__init__(width, gram)
+        self.piece = piece
+
+    def pieces(self, text: bytes) -> Iterator[tuple[int, bytes]]:
+        """(first byte, bytes) of pieces that have every window in one of them."""
+        for at in range(0, len(text) - self.width + 1, self.piece):
+            yield at, text[at : at + self.piece + self.width - 1]
+
+    def values(self, data: bytes) -> np.ndarray:
+        return byte_values(np.frombuffer(data, np.uint8))
+
+    def body(self, data: bytes, lo: int, hi: int) -> bytes:
+        return data[lo : hi + self.width - 1]
+
+    def classes(self, bodies: list[bytes], n: np.ndarray) -> np.ndarray:
+        size = n + self.width - 1
+        starts = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return string_classes(np.frombuffer(b"".join(bodies), np.uint8), size, starts, self.width)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """(name, check, doc_id, text[, row]): rows go by ``name`` and are told apart by both hashes of their content."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    key = F.col(id_col).cast("long")
+    return docs.select(F.xxhash64(key, text).alias("name"), F.xxhash64(F.lit(1), key, text).alias("check"), key.alias("doc_id"), text.alias("text"), *carried(carry))
+
 
+def _anchors(kind: Windows, buckets: int, inside: bool) -> Callable:
+    """Map step 1: texts to blocks of anchors, each with how many runs of at most ``span`` windows it has.
 
-def _anchors(kind: Windows, buckets: int, once_per_document: bool) -> Callable:
-    """Map step 1: texts to blocks of anchor keys."""
+    ``inside``: an anchor that one text has in two places is repeated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = KeyPacker(buckets, counted=once_per_document)
+        packer = KeyPacker(buckets)
         for batch in batches:
-            for row, text in zip(batch["name"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                grams, low = kind.minima(prefix_hashes(kind.values(text)))
-                if not len(low):
-                    continue
-                if once_per_document:
-                    keys, times = np.unique(low[run_starts(low)], return_counts=True)
-                else:
-                    times = None
-                    # every position whose gram is the least of some window: ties inside one window count twice
-                    # the largest minimum over the windows that hold a position, as a minimum of complements
-                    edge = np.full(kind.span - 1, np.iinfo(np.uint64).max, np.uint64)
-                    highest = ~sliding_min(np.concatenate([edge, ~low, edge]), kind.span)
-                    keys, counts = np.unique(grams[grams == highest], return_counts=True)
-                    keys = np.concatenate([keys, keys[counts > 1]])
-                yield from packer.add(row, keys, times)
+            for row, text in zip(batch["name"].to_pylist(), batch["text"], strict=True):
+                found = []
+                for _, tokens in kind.pieces(text.as_buffer().to_pybytes()):
+                    grams, low = kind.minima(tokens)
+                    if inside:
+                        # a position counts if its gram is the least of some window that holds it, that is, if it is
+                        # the largest of those windows' minima (found as a minimum of complements)
+                        edge = np.full(kind.span - 1, np.iinfo(np.uint64).max, np.uint64)
+                        found.append(grams[grams == ~sliding_min(np.concatenate([edge, ~low, edge]), kind.span)])
+                    else:
+                        at = run_starts(low)
+                        found.append(np.repeat(low[at], -(-np.diff(np.append(at, len(low))) // kind.span)))
+                if found:
+                    keys, times = np.unique(np.concatenate(found), return_counts=True)
+                    yield from packer.add(row, keys, times, times > 1 if inside else None)
         yield from packer.flush()
 
     return run
 
 
-def _runs(low: np.ndarray, keys: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first, last + 1) of the runs of windows whose anchor is among ``keys``."""
-    at = run_starts(low)
-    end = np.append(at[1:], len(low))
-    keep = np.isin(low[at], np.array(keys, np.int64).view(np.uint64))
-    return low[at[keep]], at[keep], end[keep]
+_RUN, _DIGEST, _DONE = 0, 1, 2
+_PACKED = "bucket long, kind int, block binary"
+_HEAD = (np.uint64, np.int64, np.int32, np.int32, np.int32, np.uint8)
+_OWNER = (np.int64, np.int64, np.int32)
+_RANGES = "name long, check long, lo long, hi long"
+
+
+def _packed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    b, k, x = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "kind", "block"])
 
 
 def _joined_ranges(ranges: np.ndarray) -> np.ndarray:
-    """Rows (name, lo, hi) with those that follow on each other made one."""
+    """Rows (name, check, lo, hi) with those that follow on each other made one."""
     if not len(ranges):
         return ranges
-    ranges = ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))]
-    fresh = np.append(True, (ranges[1:, 0] != ranges[:-1, 0]) | (ranges[1:, 1] != ranges[:-1, 2]))
+    ranges = ranges[np.lexsort((ranges[:, 2], ranges[:, 1], ranges[:, 0]))]
+    fresh = np.append(True, (ranges[1:, :2] != ranges[:-1, :2]).any(1) | (ranges[1:, 2] != ranges[:-1, 3]))
     first = np.flatnonzero(fresh)
-    return np.column_stack([ranges[first, :2], ranges[np.append(first[1:], len(ranges)) - 1, 2]])
+    return np.column_stack([ranges[first, :3], ranges[np.append(first[1:], len(ranges)) - 1, 3]])
 
 
-def _suspects(kind: Windows, buckets: int, payload: Callable, settle_local: Callable) -> Callable:
+def _suspects(kind: Windows, buckets: int, settle_local: Callable) -> Callable:
     """Map step 2: runs of windows with a repeated anchor, to the group of that anchor.
 
     A run that is there twice in one flush travels once, with the owners that wait for a verdict; ``settle_local``
     says which those are, under which id they go, and which owners are settled.  Runs of an anchor in ``split``
-    are taken apart, and their windows dealt by their own hashes.
+    are taken apart, and their windows dealt by their digests.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, int], list] = {}
+        held: dict[tuple[int, bytes], list] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
-            anchors, send, done = [], [], []
-            for (anchor, _, n), (body, owners) in held.items():
+            send: dict[int, list] = {_RUN: [], _DIGEST: []}
+            done = []
+            for (anchor, body), (n, several, owners) in held.items():
                 ident, waiting, settled = settle_local(owners)
-                done += [(row, lo, lo + n) for _, row, lo in settled]
-                anchors.append(anchor)
-                send.append((ident, n, len(body), len(waiting), waiting, body))
+                done += [(name, check, lo, lo + n) for _, name, check, lo in settled]
+                what = _DIGEST if n == 0 else _RUN
+                if what == _DIGEST:
+                    done[len(done) - len(settled) :] = [(name, check, lo, lo + 1) for _, name, check, lo in settled]
+                    anchor, n = int.from_bytes(body[:8], "little"), 1
+                send[what].append(((anchor, ident, n, len(body), len(waiting), several), waiting, body))
             held, size = {}, 0
             rows = []
-            done = _joined_ranges(np.array(done, np.int64).reshape(-1, 3))
-            for at in range(0, len(done), 1 << 15):
-                part = done[at : at + (1 << 15)]
-                rows.append((int(part[0, 0] % buckets), True, pack(part[:, 0].copy(), part[:, 1].copy(), part[:, 2].copy())))
-            if anchors:
-                for b, idx in split_by((np.array(anchors, np.uint64) % np.uint64(buckets)).astype(np.int64)):
-                    part = [send[i] for i in idx]
-                    head = [np.array([x[j] for x in part], np.int64) for j in range(4)]
-                    owner = [np.array([o[j] for x in part for o in x[4]], np.int64) for j in (1, 2)]
-                    body = b"".join(x[5] for x in part)
-                    rows.append((b, False, pack(*head, *owner, np.frombuffer(body, np.uint8))))
+            done = _joined_ranges(np.array(done, np.int64).reshape(-1, 4))
+            for b, idx in split_by((done[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)):
+                rows.append((b, _DONE, pack(*(done[idx, j].copy() for j in range(4)))))
+            for what, runs in send.items():
+                for b, idx in split_by((np.array([x[0][0] for x in runs], np.uint64) % np.uint64(buckets)).astype(np.int64)):
+                    part = [runs[i] for i in idx]
+                    head = [np.array([x[0][j] for x in part], t) for j, t in enumerate(_HEAD)]
+                    owner = [np.array([o[j + 1] for x in part for o in x[1]], t) for j, t in enumerate(_OWNER)]
+                    rows.append((b, what, pack(*head, *owner, np.frombuffer(b"".join(x[2] for x in part), np.uint8))))
                     if len(rows) >= 256:
-                        yield block_rows(rows)
+                        yield _packed_rows(rows)
                         rows = []
-            yield block_rows(rows)
+            yield _packed_rows(rows)
 
         for batch in batches:
-            splits = batch["split"].to_pylist() if "split" in batch.schema.names else [()] * batch.num_rows
-            for row, ident, text, keys, split in zip(*(batch[c].to_pylist() for c in ("name", "doc_id", "text", "keys")), splits, strict=True):
+            for name, check, ident, text, keys, split in zip(*(batch[c].to_pylist() for c in ("name", "check", "doc_id")), batch["text"], batch["keys"], batch["split"].to_pylist(), strict=True):
                 ident = _NO_ID if ident is None else ident
-                prefix = prefix_hashes(kind.values(text))
-                _, low = kind.minima(prefix)
-                full = window_hashes(prefix, kind.width)
-                runs = zip(*map(np.ndarray.tolist, _runs(low, keys)), strict=True)
-                if split:
-                    split = {k & 0xFFFFFFFFFFFFFFFF for k in split}
-                    runs = [x for r in runs for x in ([(int(full[i]), i, i + 1) for i in range(r[1], r[2])] if r[0] in split else [r])]
-                for anchor, lo, hi in runs:
-                    body = payload(text, full, lo, hi)
-                    known = held.setdefault((anchor, xxhash.xxh3_64_intdigest(body), hi - lo), [body, []])
-                    if not known[1]:
-                        size += len(body) + 100
-                    known[1].append((ident, row, lo))
-                    size += 30
-                if size >= 24 << 20:
-                    yield from flush()
+                keys = np.asarray(keys.values).view(np.uint64)
+                split = {k & 0xFFFFFFFFFFFFFFFF for k in split or ()}
+                for base, tokens in kind.pieces(text.as_buffer().to_pybytes()):
+                    grams, low = kind.minima(tokens)
+                    at = run_starts(low)
+                    end = np.append(at[1:], len(low))
+                    keep = np.isin(low[at], keys)
+                    at, end = at[keep], end[keep]
+                    # how many grams of a run's text are its anchor: more than one if windows of the run may be equal
+                    place = np.append(0, np.cumsum(np.isin(grams, keys)))
+                    several = place[end + kind.span - 1] - place[at] > 1
+                    for anchor, lo, hi, twice in zip(low[at].tolist(), at.tolist(), end.tolist(), several.tolist(), strict=True):
+                        if anchor in split:
+                            parts = [(0, xxhash.xxh3_128_digest(kind.body(tokens, i, i + 1)), 0, i) for i in range(lo, hi)]
+                        else:
+                            parts = [(anchor, kind.body(tokens, lo, hi), hi - lo, lo)]
+                        for group, body, n, first in parts:
+                            known = held.setdefault((group, body), [n, twice, []])
+                            if not known[2]:
+                                size += len(body) + 450
+                            known[2].append((ident, name, check, base + first))
+                            size += 170
+                    if size >= 24 << 20:
+                        yield from flush()
         yield from flush()
 
     return run
 
 
-#: Bytes of runs that are hashed at once.
-_STRETCH = 1 << 20
-_RANGES = "name long, lo long, hi long"
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... of ``n[i]`` places each, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _range_table(parts: list[tuple]) -> pa.Table:
-    cols = [np.concatenate(x) if parts else np.empty(0, np.int64) for x in (zip(*parts, strict=True) if parts else ((), (), ()))]
-    return pa.table(dict(zip(("name", "lo", "hi"), map(pa.array, cols), strict=True)))
+class _Runs:
+    """The runs of one group, with the owners that wait for verdicts on them."""
 
+    def __init__(self, blocks: list[bytes]):
+        cols = [np.concatenate(x) for x in zip(*(unpack(b, *_HEAD, *_OWNER, np.uint8) for b in blocks), strict=True)]
+        self.anchor, self.ident = cols[:2]
+        self.n, self.size, self.owners = (x.astype(np.int64) for x in cols[2:5])
+        self.several = cols[5] > 0
+        self.name, self.check, self.lo = cols[6:9]
+        self.body = cols[9].tobytes()
+        self.end = np.cumsum(self.size)
 
-def _settle(window_keys: Callable, verdict: Callable) -> Callable:
-    """Reduce step 2: full-depth buckets of one group; ranges of windows that are to go."""
+    def text(self, i: int) -> bytes:
+        return self.body[self.end[i] - self.size[i] : self.end[i]]
 
-    def run(table: pa.Table) -> pa.Table:
-        heads, bodies, out = [], [], []
-        for done, block in zip(table["done"].to_pylist(), table["block"].to_pylist(), strict=True):
-            if done:
-                out.append(tuple(unpack(block, np.int64, np.int64, np.int64)))
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, fresh, group): runs in order of anchor and body, where a new body begins, where a new anchor does."""
+        marks = np.fromiter((xxhash.xxh3_64_intdigest(self.text(i)) for i in range(len(self.n))), np.uint64, len(self.n))
+        order = np.lexsort((marks, self.anchor))
+        group = np.append(True, np.diff(self.anchor[order]) != 0)
+        fresh = group | np.append(True, np.diff(marks[order]) != 0)
+        for i in np.flatnonzero(~fresh).tolist():
+            fresh[i] = self.text(order[i]) != self.text(order[i - 1])
+        return order, fresh, group
+
+    def ranges(self, run: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(name, check, lo, hi) for every owner of each run, of the windows from ``first`` to before ``last``."""
+        times = self.owners[run]
+        own = _spread((np.cumsum(self.owners) - self.owners)[run], times)
+        lo = self.lo[own].astype(np.int64)
+        return self.name[own], self.check[own], lo + np.repeat(first, times), lo + np.repeat(last, times)
+
+
+def _settle(kind: Windows, by_id: bool, most: int = 1 << 20) -> Callable:
+    """Reduce step 2: the windows of one group that are to go, as ranges.
+
+    Runs with one text are sorted once, whatever their number; an anchor whose runs all have one text needs no
+    sorting.  Anchors are sorted some at a time, up to about ``most`` bytes of differing texts.
+
+    ``by_id``: a window goes if an equal one has a smaller id; otherwise if an equal one is there at all.
+    """
+
+    def digests(runs: _Runs) -> tuple[np.ndarray, ...]:
+        pair = np.frombuffer(runs.body, np.uint64).reshape(-1, 2)
+        order = np.lexsort((pair[:, 1], pair[:, 0]))
+        first = np.flatnonzero(np.append(True, (pair[order][1:] != pair[order][:-1]).any(1)))
+        held = np.diff(np.append(first, len(order)))
+        gone = runs.ident[order] > np.repeat(np.minimum.reduceat(runs.ident[order], first), held) if by_id else np.repeat(held > 1, held)
+        run = order[gone]
+        return runs.ranges(run, np.zeros(len(run), np.int64), np.ones(len(run), np.int64))
+
+    def verdicts(runs: _Runs) -> Iterator[tuple[np.ndarray, ...]]:
+        order, fresh, group = runs.distinct()
+        first = np.flatnonzero(fresh)
+        copies = np.diff(np.append(first, len(order)))
+        least = np.minimum.reduceat(runs.ident[order], first)
+        mates = np.diff(np.append(np.flatnonzero(group[first]), len(first)))
+        alone = np.repeat(mates == 1, mates)
+        if not by_id:
+            alone &= ~runs.several[order[first]]
+        # anchors with one text
+        body = np.repeat(np.arange(len(first)), copies)
+        gone = order[np.repeat(alone, copies) & ((runs.ident[order] > least[body]) if by_id else (copies > 1)[body])]
+        yield runs.ranges(gone, np.zeros(len(gone), np.int64), runs.n[gone])
+        # the others, whole anchors at a time
+        left = np.flatnonzero(~alone)
+        if not len(left):
+            return
+        heads = np.append(np.flatnonzero(np.append(True, np.diff(runs.anchor[order[first[left]]]) != 0)), len(left))
+        edge = np.append(0, np.cumsum(runs.size[order[first[left]]]))
+        at = 0
+        while at < len(heads) - 1:
+            to = max(at + 1, int(np.searchsorted(edge[heads], edge[heads[at]] + most, side="right")) - 1)
+            part = left[heads[at] : heads[to]]
+            at = to
+            n = runs.n[order[first[part]]]
+            found = kind.classes([runs.text(i) for i in order[first[part]].tolist()], n)
+            many = int(found.max()) + 1
+            if by_id:
+                value = np.full(many, _NO_ID)
+                np.minimum.at(value, found, np.repeat(least[part], n))
             else:
-                *head, body = unpack(block, *[np.int64] * 6, np.uint8)
-                heads.append(head)
-                bodies.append(body)
-        if heads:
-            ident, n, size, owners, row, lo = (np.concatenate(x) for x in zip(*heads, strict=True))
-            del heads
-            # in stretches of runs, so that only the keys of all windows are held at once
-            edge = np.cumsum(size)
-            body, bodies = np.concatenate(bodies), None
-            at, keys = 0, []
-            while at < len(n):
-                to = max(at + 1, int(np.searchsorted(edge, edge[at] + _STRETCH, side="right")))
-                keys.append(window_keys(body[edge[at] - size[at] : edge[to - 1]], n[at:to], size[at:to]))
-                at = to
-            gone = np.flatnonzero(verdict(np.concatenate(keys), ident, n))
+                value = np.bincount(found, np.repeat(copies[part], n), many)
+            value = value[found]
+            # every run of these texts
+            slot = _spread(first[part], copies[part])
+            run, own = order[slot], np.repeat(np.arange(len(part)), copies[part])
+            window = _spread((np.cumsum(n) - n)[own], runs.n[run])
+            owner = np.repeat(np.arange(len(run)), runs.n[run])
+            gone = np.flatnonzero(value[window] < runs.ident[run][owner] if by_id else value[window] > 1)
             if len(gone):
-                ends = np.cumsum(n)
-                r = np.searchsorted(ends, gone, side="right")
-                s = gone - (ends[r] - n[r])
+                r, s = owner[gone], (gone - np.repeat(np.cumsum(runs.n[run]) - runs.n[run], runs.n[run])[gone])
                 cut = np.flatnonzero((np.diff(r) != 0) | (np.diff(s) != 1)) + 1
-                first, last = np.append(0, cut), np.append(cut, len(gone)) - 1
-                # each range, for each owner of its run
-                times = owners[r[first]]
-                own = np.repeat((np.cumsum(owners) - owners)[r[first]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-                out.append((row[own], lo[own] + np.repeat(s[first], times), lo[own] + np.repeat(s[last] + 1, times)))
-        return _range_table(out)
+                begin, last = np.append(0, cut), np.append(cut, len(gone)) - 1
+                yield runs.ranges(run[r[begin]], s[begin], s[last] + 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks: dict[int, list[bytes]] = {_RUN: [], _DIGEST: [], _DONE: []}
+        for what, block in zip(table["kind"].to_pylist(), table["block"].to_pylist(), strict=True):
+            blocks[what].append(block)
+        out = [tuple(unpack(b, *[np.int64] * 4)) for b in blocks.pop(_DONE)]
+        if blocks[_DIGEST]:
+            out.append(digests(_Runs(blocks.pop(_DIGEST))))
+        if blocks[_RUN]:
+            out += verdicts(_Runs(blocks.pop(_RUN)))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+        return pa.table(dict(zip(("name", "check", "lo", "hi"), map(pa.array, cols), strict=True)))
 
     return run
 
 
-def _cut_plan(docs: DataFrame, kind: Windows, once: bool, payload, settle_local, window_keys, verdict, most: int | None = None) -> DataFrame:
+def _hot(keys: DataFrame, most_shipped: int = 1 << 20) -> DataFrame:
+    """(owner, keys, split) from the table of repeated keys; ``split`` are those of its keys that are hot.
+
+    Hot keys are few, as each has thousands of places; up to ``most_shipped`` they are broadcast, beyond that joined.
+    """
+    hot = keys.where("owner is null").select(F.col("key").alias("_hot"))
+    told = keys.where("owner is not null")
+    n = hot.count()
+    if not n:
+        return told.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.array().cast("array<long>").alias("split"))
+    told = told.join(F.broadcast(hot) if n <= most_shipped else hot.hint("merge"), F.col("key") == F.col("_hot"), "left")
+    return told.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.collect_set("_hot").alias("split"))
+
+
+def _cut_plan(docs: DataFrame, kind: Windows, by_id: bool, settle_local: Callable, most: int) -> DataFrame:
     """Every row of ``docs`` with ``cuts``, the ranges of its windows that are to go.
 
     Both joins read ``docs`` with the same columns and key, so its texts are shuffled once and the exchange is reused.
     """
+    bound_batches(docs.sparkSession)
     buckets = bucket_count(docs, "text")
-    anchors = repeated_keys(docs.select("name", "text").mapInArrow(_anchors(kind, buckets, once), BLOCK), most)
-    suspects = docs.join(anchors, docs["name"] == anchors["owner"]).select(*docs.columns, *anchors.columns[1:])
-    ranges = suspects.mapInArrow(_suspects(kind, buckets, payload, settle_local), BLOCK).groupBy("bucket").applyInArrow(_settle(window_keys, verdict), _RANGES)
-    cuts = ranges.groupBy("name").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")).withColumnRenamed("name", "_name")
+    keys = materialize(repeated_keys(docs.select("name", "text").mapInArrow(_anchors(kind, buckets, not by_id), BLOCK), most), "anchors")
+    anchors = _hot(keys)
+    suspects = docs.join(anchors, docs["name"] == anchors["owner"]).select(*docs.columns, "keys", "split")
+    ranges = suspects.mapInArrow(_suspects(kind, buckets, settle_local), _PACKED).groupBy("bucket").applyInArrow(_settle(kind, by_id), _RANGES)
+    cuts = ranges.groupBy("name").agg(F.collect_list(F.struct("check", "lo", "hi")).alias("cuts")).withColumnRenamed("name", "_name")
     return docs.join(cuts, docs["name"] == cuts["_name"], "left").select(*docs.columns, "cuts")
 
 
-def _gone(n: int, cuts: list[dict] | None, width: int) -> np.ndarray:
-    """Which of ``n`` tokens lie in a window whose start is in ``cuts``."""
-    step = np.zeros(n + 1, np.int32)
-    for c in cuts or ():
-        step[c["lo"]] += 1
-        step[c["hi"] + width - 1] -= 1
-    return np.cumsum(step[:n]) > 0
+def _covered(cuts: pa.Scalar, check: int, width: int) -> list[tuple[int, int]]:
+    """Maximal ranges of tokens that lie in windows whose starts are in ``cuts``."""
+    if not cuts.is_valid:
+        return []
+    own, lo, hi = (np.asarray(cuts.values.field(c)) for c in ("check", "lo", "hi"))
+    lo, hi = lo[own == check], hi[own == check] + width - 1
+    if not len(lo):
+        return []
+    order = np.argsort(lo)
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    fresh = np.append(True, lo[1:] > hi[:-1])
+    first = np.flatnonzero(fresh)
+    return list(zip(lo[first].tolist(), hi[np.append(first[1:], len(lo)) - 1].tolist(), strict=True))
 
 
 # --- op 4 -------------------------------------------------------------------
@@ -261,29 +427,32 @@ def _least_id_waits(owners: list[tuple]) -> tuple[int, list[tuple], list[tuple]]
     return least, [x for x in owners if x[0] == least], [x for x in owners if x[0] > least]
 
 
-def _later_than_first(keys: np.ndarray, ident: np.ndarray, n: np.ndarray) -> np.ndarray:
-    ident = np.repeat(ident, n)
-    order = np.lexsort((ident, keys))
-    k = keys[order]
-    first = run_starts(k)
-    least = np.repeat(ident[order][first], np.diff(np.append(first, len(k))))
-    out = np.empty(len(k), bool)
-    out[order] = ident[order] > least
-    return out
-
-
 def _words_left(width: int) -> Callable:
+    def cut(text: bytes, gone: list[tuple[int, int]]) -> tuple[int, bytes]:
+        kept, n = [], 0
+        for words in word_pieces(text):
+            at = n
+            n += len(words)
+            while gone and gone[0][0] < n:
+                a, b = gone[0]
+                kept += words[at - (n - len(words)) : max(a, at) - (n - len(words))]
+                at = max(at, min(b, n))
+                if b > n:
+                    break
+                gone.pop(0)
+            kept.append(b" ".join(words[at - (n - len(words)) :]))
+            kept = [b" ".join(x for x in kept if x)]
+        return n, b"".join(kept)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for given, text, cuts in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "cuts")), strict=True):
-                words = text.split()
-                gone = _gone(len(words), cuts, width)
-                n = int(gone.sum())
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if n else b" ".join(words)
-                out.append((given, len(words), n, kept))
-            ids, a, b, kept = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kept, pa.binary()), *row_of(batch)[0]], names=["doc_id", "n_words", "n_removed", "kept", *row_of(batch)[1]])
+            for given, check, text, cuts in zip(*(batch[c].to_pylist() for c in ("doc_id", "check")), batch["text"], batch["cuts"], strict=True):
+                gone = _covered(cuts, check, width)
+                removed = sum(b - a for a, b in gone)
+                out.append((given, removed, *cut(text.as_buffer().to_pybytes(), gone)))
+            ids, removed, n, kept = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), *row_of(batch)[0]], names=["doc_id", "n_words", "n_removed", "kept", *row_of(batch)[1]])
 
     return run
 
@@ -297,20 +466,13 @@ def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of bytes other than ASCII white space, compared unchanged.  Null and empty texts have no
     words; a text of fewer words than ``width`` loses nothing.  Rows that repeat an id are one document as to
     order: neither removes words of the other.  A null id counts as larger than any other, and null ids do not
-    order each other.  Other columns of ``docs`` are not read.  An empty table gives an empty result.
-    Anchors with more than ``most`` runs are split to the full depth.
+    order each other.  Other columns of ``docs`` are not read.  An empty table gives an empty result.  Texts of any
+    length are read whole, in pieces; a text and what is left of it have to fit into a worker.
+
+    Suffixes are dealt by prefixes of ``gram`` words, and by all ``width`` words where more than ``most`` runs share one.
     """
     kind = WordWindows(width, gram)
-    plan = _cut_plan(
-        _rows(docs, id_col, text_col, carry),
-        kind,
-        True,
-        lambda text, full, lo, hi: full[lo:hi].tobytes(),
-        _least_id_waits,
-        lambda body, n, size: body.view(np.uint64),
-        _later_than_first,
-        most,
-    )
+    plan = _cut_plan(_rows(docs, id_col, text_col, carry), kind, True, _least_id_waits, most)
     return plan.mapInArrow(_words_left(width), "doc_id long, n_words long, n_removed long, kept binary" + carried_type(plan))
 
 
@@ -318,80 +480,46 @@ def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _all_settled(owners: list[tuple]) -> tuple[int, list[tuple], list[tuple]]:
-    return owners[0][0], owners[:1], owners if len(owners) > 1 else []
+    """One owner waits; several are settled already."""
+    return 0, owners[:1], owners if len(owners) > 1 else []
 
 
-def _refined_buckets(width: int, gram: int) -> Callable:
-    """Bucket-pointer refinement of the suffixes of one group.
-
-    The initial buckets are those of the ``gram``-byte prefixes of all suffixes.  A suffix's bucket is then refined
-    by the bucket of the suffix as many bytes later as the current depth, which doubles the depth; the identifiers
-    a round assigns are those that the next one reads, until the depth is ``width``.  Identifiers are hashes of
-    pairs, so only the last round has to sort.
-    """
-
-    def run(body: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
-        bucket, have = window_hashes(prefix_hashes(byte_values(body)), gram), gram
-        while have < width:
-            step = min(have, width - have)
-            bucket = mix64(bucket[: len(bucket) - step] * U(0x9FB21C651E98DF25) ^ bucket[step:])
-            have += step
-        # windows start at the first n positions of each run; all of them end inside it
-        first = np.cumsum(size) - size
-        return bucket[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-
-    return run
-
-
-def _occurs_twice(keys: np.ndarray, ident: np.ndarray, n: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    out = np.empty(len(keys), bool)
-    out[order] = np.append(same, False) | np.append(False, same)
-    return out
-
-
-def _bytes_left(width: int, as_text: bool) -> Callable:
+def _bytes_left(width: int, whole_characters: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for given, text, cuts in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "cuts")), strict=True):
-                gone = _gone(len(text), cuts, width) if cuts else None
-                if gone is None:
-                    out.append((given, len(text), 0, 0, text))
-                    continue
-                spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                out.append((given, len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
-            if as_text:
-                out = [(*x[:4], x[4].decode("utf-8", "ignore")) for x in out]
+            for given, check, text, cuts in zip(*(batch[c].to_pylist() for c in ("doc_id", "check")), batch["text"], batch["cuts"], strict=True):
+                text, gone = text.as_buffer().to_pybytes(), _covered(cuts, check, width)
+                kept, at = [], 0
+                for a, b in gone:
+                    kept.append(text[at:a])
+                    at = b
+                left = b"".join([*kept, text[at:]]) if gone else text
+                if gone and whole_characters:
+                    left = left.decode("utf-8", "ignore").encode()
+                out.append((given, len(text), sum(b - a for a, b in gone), len(gone), left))
             cols = zip(*out, strict=True) if out else ((),) * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)] + row_of(batch)[0], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *row_of(batch)[1]])
 
     return run
 
 
-def dedup_byte_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 50, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def dedup_byte_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 50, carry: tuple[str, ...] = (), whole_characters: bool = False, most: int = 1 << 13) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts anywhere else, same document included.
 
     Returns one row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes left), and the columns
-    named in ``carry`` as a struct ``row``.  With ``as_text``, ``kept`` is a string: a cut may fall inside a character,
-    and what is left of that character goes too.
+    named in ``carry`` as a struct ``row``.  A cut may fall inside a character; with ``whole_characters`` what is left
+    of that character goes from ``kept`` too.
 
     Texts are UTF-8 bytes; null and empty texts, and texts shorter than ``width``, lose nothing.  Rows that
     repeat each other are occurrences of each other, so all of them lose their repeated bytes, the first
     included.  A null id is carried through.  Other columns of ``docs`` are not read.  An empty table gives an
-    empty result.
+    empty result.  Texts of any length are read whole, in pieces; a text and what is left of it have to fit into a
+    worker.
+
+    Strings that hold a gram of which there are more than ``most`` are dealt by their digests.
     """
     kind = ByteWindows(width, gram)
-    plan = _cut_plan(
-        _rows(docs, id_col, text_col, carry),
-        kind,
-        False,
-        lambda text, full, lo, hi: text[lo : hi + width - 1],
-        _all_settled,
-        _refined_buckets(width, gram),
-        _occurs_twice,
-    )
-    return plan.mapInArrow(_bytes_left(width, as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}" + carried_type(plan))
-
+    plan = _cut_plan(_rows(docs, id_col, text_col, carry), kind, False, _all_settled, most)
+    return plan.mapInArrow(_bytes_left(width, whole_characters), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + carried_type(plan))

@@ -8,8 +8,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from graphloom.llm._exchange import unpack
-from graphloom.llm._hashing import prefix_hashes
-from graphloom.llm.substrings import WordWindows, _least_id_waits, _suspects, dedup_byte_strings, dedup_word_windows
+from graphloom.llm._suffixes import SuffixTree, string_classes
+from graphloom.llm.substrings import _DIGEST, _HEAD, _OWNER, WordWindows, _least_id_waits, _suspects, dedup_byte_strings, dedup_word_windows, word_pieces
 
 SCHEMA = "doc_id long, text string, n_words string, row string, kept string"
 
@@ -114,24 +114,96 @@ def test_runs_of_a_frequent_gram_are_dealt(spark):
     """Differing runs of one gram go to many groups, and the result is the same."""
     kind, r = WordWindows(13, 5), random.Random(6)
     words = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
-    gram = min((words(5) for _ in range(3000)), key=lambda g: int(kind.minima(prefix_hashes(kind.values(f"{g} {g} {g}".encode())))[0][0]))
+    gram = min((words(5) for _ in range(3000)), key=lambda g: int(kind.minima(f"{g} {g} {g}".encode().split())[0][0]))
     passages = [words(20) for _ in range(4)]
     docs = [(i, f"{words(12)} {gram} {words(12)}" + (f" {passages[i % 4]} {gram} {passages[i % 4]}" if i % 3 == 0 else "")) for i in range(300)]
-    anchor = int(kind.minima(prefix_hashes(kind.values(f"{gram} {gram} {gram}".encode())))[0][:1].view(np.int64)[0])
+    anchor = int(kind.minima(f"{gram} {gram} {gram}".encode().split())[0][:1].view(np.int64)[0])
     keys = pa.array([[anchor]] * len(docs), pa.list_(pa.int64()))
-    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([d for d, _ in docs]), pa.array([t.encode() for _, t in docs]), keys, keys], names=["name", "doc_id", "text", "keys", "split"])
+    ids = pa.array([d for d, _ in docs])
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, pa.array([t.encode() for _, t in docs]), keys, keys], names=["name", "check", "doc_id", "text", "keys", "split"])
     held = Counter()
-    for out in _suspects(kind, 16, lambda text, full, lo, hi: full[lo:hi].tobytes(), _least_id_waits)(iter([batch])):
-        for bucket, done, block in zip(*(out[c].to_pylist() for c in ("bucket", "done", "block")), strict=True):
-            if not done:
-                held[bucket] += len(unpack(block, *[np.int64] * 6, np.uint8)[-1]) // 8
+    for out in _suspects(kind, 16, _least_id_waits)(iter([batch])):
+        for bucket, what, block in zip(*(out[c].to_pylist() for c in ("bucket", "kind", "block")), strict=True):
+            if what == _DIGEST:
+                held[bucket] += len(unpack(block, *_HEAD, *_OWNER, np.uint8)[-1]) // 16
     assert sum(held.values()) > 2000 and max(held.values()) < sum(held.values()) / 8
-    for most in (3, 1 << 14):
+    made = made_docs(9)
+    for some in (docs, made):
+        for most in (3, 1 << 14):
+            got = [(x.doc_id, x.n_words, x.n_removed, bytes(x.kept)) for x in dedup_word_windows(frame(spark, some), most=most).collect()]
+            assert sortable(got) == sortable(brute_words(some, 13))
+            got = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in dedup_byte_strings(frame(spark, some), width=60, gram=20, most=most).collect()]
+            assert sortable(got) == sortable([(d, *x) for (d, _), x in zip(some, brute_bytes([t for _, t in some], 60))])
+
+
+def test_tandem_repeats_and_common_passages(spark):
+    """Long runs of one byte or word, tandem repeats, and one passage in all documents, at different places."""
+    r = random.Random(12)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage = words(45)
+    docs = [(i, f"{words(r.randint(0, 30))} {passage} {words(r.randint(0, 30))}") for i in range(40)]
+    docs += [(100, "z" * 900), (101, "z" * 203 + "y" + "z" * 150), (102, "abc" * 150), (103, "bca" * 90 + "q"), (104, "ab" * 90 + "abb" * 80), (105, words(1) * 3)]
+    docs += [(200, "go " * 70), (201, "go " * 20), (202, "to be or not " * 30), (203, "not to be or " * 9), (204, passage + " " + passage)]
+    for most in (3, 1 << 13):
+        got = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in dedup_byte_strings(frame(spark, docs), most=most).collect()]
+        assert sortable(got) == sortable([(d, *x) for (d, _), x in zip(docs, brute_bytes([t for _, t in docs], 200))])
         got = [(x.doc_id, x.n_words, x.n_removed, bytes(x.kept)) for x in dedup_word_windows(frame(spark, docs), most=most).collect()]
         assert sortable(got) == sortable(brute_words(docs, 13))
-    made = made_docs(9)
-    got = [(x.doc_id, x.n_words, x.n_removed, bytes(x.kept)) for x in dedup_word_windows(frame(spark, made), most=3).collect()]
-    assert sortable(got) == sortable(brute_words(made, 13))
+
+
+def test_very_long_texts(spark):
+    """Texts of many pieces: each window is in one of them, and a repeat may lie on their border."""
+    r = random.Random(13)
+    long = " ".join(f"w{r.randrange(10**7)}" for _ in range(250_000))
+    edge = long[(1 << 20) - 300 : (1 << 20) + 300]
+    docs = [(1, long), (2, edge), (3, long[5000:6000] + " x " + long[-900:]), (4, "a" * 600_000)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in dedup_byte_strings(frame(spark, docs)).collect()}
+    assert got == {1: (len(long), 2500, 3), 2: (600, 600, 1), 3: (1903, 1900, 2), 4: (600_000, 600_000, 1)}
+    got = {x.doc_id: (x.n_words, x.n_removed, bytes(x.kept)) for x in dedup_word_windows(frame(spark, docs)).collect()}
+    assert got[1] == (250_000, 0, long.encode()) and got[4][:2] == (1, 0)
+    for d in (2, 3):
+        n = len(dict(docs)[d].split())
+        assert got[d][0] == n and n - 6 <= got[d][1] < n  # words cut at the edges are not those of the long text
+    assert b"".join(b"".join(x) for x in word_pieces(long.encode(), 1 << 16)) == long.encode().replace(b" ", b"")
+
+
+def test_classes_against_brute_force():
+    r = random.Random(1)
+    for _ in range(120):
+        width = r.choice([1, 3, 8, 9, 20, 64, 200])
+        alphabet = r.choice([b"a", b"ab", b"\x00\x01", b"abcdefgh", bytes(range(256))])
+        base = bytes(r.choice(alphabet) for _ in range(600))
+        bodies = []
+        for _ in range(r.randint(1, 12)):
+            a = r.randrange(300)
+            body = bytearray(base[a : a + width + r.randint(0, 150)])
+            for _ in range(r.randint(0, 3)):
+                body[r.randrange(len(body))] = r.choice(alphabet)
+            bodies.append(bytes(body))
+        n = np.array([len(b) - width + 1 for b in bodies])
+        starts = np.concatenate([np.arange(m) + o for m, o in zip(n, np.cumsum(n + width - 1) - (n + width - 1))])
+        got = string_classes(np.frombuffer(b"".join(bodies), np.uint8), n + width - 1, starts, width, wave=r.choice([1, 5, 50, 1 << 16]))
+        same_classes(got.tolist(), [b[i : i + width] for b in bodies for i in range(len(b) - width + 1)])
+
+
+def same_classes(got, windows):
+    there, back = {}, {}
+    assert all(there.setdefault(x, w) == w and back.setdefault(w, x) == x for x, w in zip(got, windows, strict=True))
+
+
+def test_suffix_tree_against_brute_force():
+    r = random.Random(2)
+    for width in (1, 2, 5, 13):
+        words = np.array([r.randrange(4) for _ in range(400)])
+        starts = np.array(sorted(r.sample(range(400 - width), 300)))
+        tree = SuffixTree(words, starts, width)
+        seen = Counter(tuple(words[s : s + width]) for s in starts)
+        for depth in range(1, width + 1):
+            first, last = tree.nodes(depth)
+            found = [{tuple(words[starts[i] : starts[i] + depth]) for i in tree.order[a:b]} for a, b in zip(first, last)]
+            assert all(len(x) == 1 for x in found)
+            want = Counter(w[:depth] for w in seen.elements())
+            assert Counter({x.pop(): int(b - a) for x, a, b in zip(found, first, last)}) == Counter({w: n for w, n in want.items() if n > 1})
 
 
 def test_bytes_table(spark, sf):
