@@ -36,12 +36,10 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     A cut may fall inside a character; what is left of it goes as well.  Documents with nothing left go, those that
     were empty before stay as they are.
     """
-    done = dedup_byte_strings(docs, carry=("lang", "source", "n_chars", "text"), as_text=True)
-    cut = F.col("n_removed") > 0
+    done = dedup_byte_strings(docs.withColumn("_none", F.col("text").isNull()), carry=("lang", "source", "n_chars", "_none"), whole_characters=True)
+    cut, kept = F.col("n_removed") > 0, F.col("kept").cast("string")
     left = done.where((F.length("kept") > 0) | (F.col("n_bytes") == 0))
-    return left.select(
-        "doc_id", F.when(cut, F.col("kept")).otherwise(F.col("row.text")).alias("text"), "row.lang", "row.source", F.when(cut, F.length("kept")).otherwise(F.col("row.n_chars")).cast("long").alias("n_chars")
-    )
+    return left.select("doc_id", F.when(~F.col("row._none"), kept).alias("text"), "row.lang", "row.source", F.when(cut, F.length(kept)).otherwise(F.col("row.n_chars")).cast("long").alias("n_chars"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
