@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,11 @@ def carried_type(base: DataFrame) -> str:
     return f", row {base.schema['row'].dataType.simpleString()}" if "row" in base.columns else ""
 
 
+def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+    """The text column, which is in the carried ``row`` if the batch has none of its own."""
+    return batch[column] if column in batch.schema.names else pc.struct_field(batch["row"], column)
+
+
 def row_of(batch: pa.RecordBatch) -> tuple[list[pa.Array], list[str]]:
     """The carried column of a batch and its name, in lists; empty lists where nothing is carried."""
     return ([batch["row"]], ["row"]) if "row" in batch.schema.names else ([], [])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm._exchange import BLOCK, KeyPacker, repeated_key_counts
 from graphloom.llm._hashing import U, hash_words, mix64
+from graphloom.llm._rows import bound_batches
 from graphloom.operators.components import connected_components
 from graphloom.plans.materialize import discard_table, materialize, materialize_bucketed
 
@@ -305,6 +306,7 @@ def near_duplicates(
     repeat an id count as one document with several texts: what is linked with one of them is linked with the id.
     A null id counts as the largest; such rows are linked through others only.  Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     least = least_equal(coordinates, similarity)
     feats = materialize(base.mapInArrow(_features(width, coordinates, bands, per_band), "doc_id long, n long, a long, b long, bands array<long>, marks binary"), "features")

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._rows import carried, carried_type, row_of
+from graphloom.llm._rows import bound_batches, carried, carried_type, row_of, text_of
+from graphloom.plans.materialize import materialize
 
 #: Lower-cases A-Z and turns every ASCII byte that is no word character into a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -29,12 +30,11 @@ class WindowAutomaton:
     one step of the automaton consumes a word and a match position is a word position.
     """
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
         self.width = width
         self.symbol: dict[bytes, str] = {}
         windows: dict[str, set[str]] = {}
-        for item, text in items:
-            words = words_of(text)
+        for item, words in items:
             line = "".join(map(self._add, words))
             for at in range(max(1, len(line) - width + 1) if line else 0):
                 windows.setdefault(line[at : at + width], set()).add(item)
@@ -75,42 +75,51 @@ def original_offsets(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return [(int(begin[a]), int(end[b - 1])) for a, b in spans]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Benchmark items in blocks of bounded size, one at a time on the driver."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, most_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Benchmark items as words, in blocks of bounded size, one at a time on the driver.
+
+    An item that is larger than a block goes on in the next one, from the last words that a window still needs.
+    """
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null and item is not null")
     block, held = [], 0
     for item, text in rows.orderBy("item", "text").toLocalIterator():
-        text = bytes(text)
-        n = len(words_of(text))
-        if block and held + n > most_words:
-            yield block
-            block, held = [], 0
-        block.append((item, text))
-        held += n
+        words = words_of(bytes(text))
+        while words:
+            if block and held + len(words) > most_words:
+                yield block
+                block, held = [], 0
+            n = max(most_words, width)
+            block.append((item, words[:n]))
+            held += len(words[:n])
+            words = words[n - width + 1 :] if len(words) > n else []
     if block:
         yield block
 
 
-_SCHEMA = "doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_SPAN_TYPE = "array<struct<first:long,last:long>>"
+_SCHEMA = f"doc_id long, n_words long, spans {_SPAN_TYPE}, bytes {_SPAN_TYPE}, items array<string>"
+
 
+def _span_array(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"first": a, "last": b} for a, b in x] for x in spans], _SPANS)
 
-def _scan(items: list[tuple[str, bytes]], width: int, offsets: bool) -> Callable:
+
+def _scan(items: list[tuple[str, list[bytes]]], width: int, text_col: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = WindowAutomaton(items, width)
         for batch in batches:
-            ids, n, spans, found = [], [], [], []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                words = words_of(text or b"")
+            n, spans, places, found = [], [], [], []
+            for scalar in text_of(batch, text_col):
+                text = scalar.as_buffer().to_pybytes() if scalar.is_valid else b""
+                words = words_of(text)
                 hit, names = automaton.scan(words)
-                if offsets and hit:
-                    hit = original_offsets(text, hit)
-                ids.append(doc)
                 n.append(len(words))
-                spans.append([{"first": a, "last": b} for a, b in hit])
+                spans.append(hit)
+                places.append(original_offsets(text, hit) if hit else [])
                 found.append(sorted(names))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string())), *row_of(batch)[0]], names=["doc_id", "n_words", "spans", "items", *row_of(batch)[1]]
+                [batch["doc_id"], pa.array(n, pa.int64()), _span_array(spans), _span_array(places), pa.array(found, pa.list_(pa.string())), *row_of(batch)[0]], names=["doc_id", "n_words", "spans", "bytes", "items", *row_of(batch)[1]]
             )
 
     return run
@@ -127,54 +136,56 @@ def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_id_col: str = "item_id",
-    item_text_col: str = "text",
-    width: int = 10,
-    most_words: int = 200_000,
-    offsets: bool = False,
-    carry: tuple[str, ...] = (),
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10, most_words: int = 200_000, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Occurrences of benchmark windows in documents.
 
-    Returns one row per document: ``doc_id, n_words, spans, items``.  ``spans`` are merged ranges of hit word
-    positions (``offsets=True``: of bytes in the original UTF-8 text), ``items`` the ids, as strings, of items
-    with an occurring window.  Columns named in ``carry`` come along in a struct ``row``.  A window is ``width`` consecutive words of an item; an item of fewer words, but
-    not none, is one window.
+    Returns one row per document: ``doc_id, n_words, spans, bytes, items``.  ``spans`` are merged ranges of hit word
+    positions, ``bytes`` the same ranges as bytes of the original UTF-8 text (for ``remove_leaks``), ``items`` the ids,
+    as strings, of items with an occurring window.  Columns named in ``carry`` come along in a struct ``row``.  A
+    window is ``width`` consecutive words of an item; an item of fewer words, but not none, is one window.
 
     A task holds one automaton, whose size is bounded: a benchmark of more than ``most_words`` words is cut into
-    blocks of that size, each with a pass of its own, and the passes meet by document.  The driver reads the
+    blocks of about that size, and each has a pass of its own, whose hits are written to the shared folder before the
+    driver reads the next block; the passes meet by two 64-bit hashes of id and text.  The driver reads the
     benchmark, never a document.
 
-    Null texts have no words and no hits.  Null items and items without an id or words occur nowhere.  Repeated
-    items count once.  Rows that repeat a ``doc_id`` are scanned each for itself (with several blocks, rows that
-    repeat both id and text still give one row each).  Empty tables give empty results, or no hits.
+    Null texts have no words and no hits, long texts are scanned whole.  Null items and items without an id or words
+    occur nowhere.  Repeated items count once.  Rows that repeat a ``doc_id`` are scanned each for itself.  Empty
+    tables give empty results, or no hits.  Other columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *carried(carry))
+    bound_batches(docs.sparkSession)
+    own = [] if text_col in carry else [F.col(text_col)]
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *own, *carried(carry))
     schema = _SCHEMA + carried_type(base)
-    blocks = list(_blocks(benchmark, item_id_col, item_text_col, most_words)) or [[]]
-    if len(blocks) == 1:
-        return base.mapInArrow(_scan(blocks[0], width, offsets), schema)
-    # rows meet under a name made from their content, so that repeated ids do not mix
-    name = F.xxhash64("doc_id", "text")
-    rows = base.select(name.alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    blocks = _blocks(benchmark, item_id_col, item_text_col, width, most_words)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return base.mapInArrow(_scan(block, width, text_col), schema)
+    text = F.col(text_col if own else f"row.{text_col}")
+    name = [F.xxhash64("doc_id", text).alias("_name"), F.xxhash64(F.lit(1), "doc_id", text).alias("_check")]
+    rows = base.select(F.struct(*name).alias("row"), text.alias("text"), "doc_id")
     found = None
-    for block in blocks:
-        part = rows.mapInArrow(_scan(block, width, offsets), _SCHEMA).where("size(spans) > 0")
+    while block is not None:
+        part = rows.mapInArrow(_scan(block, width, "text"), f"{_SCHEMA}, row struct<_name:long,_check:long>").where("size(spans) > 0")
+        part = materialize(part.select("row.*", "spans", "items").dropDuplicates(["_name", "_check"]), "hits")
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy(F.col("doc_id").alias("name")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return base.withColumn("name", name).join(merged, "name", "left").drop("name").mapInArrow(_finish, schema)
+        block, following = following, next(blocks, None)
+    merged = found.groupBy("_name", "_check").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return base.select("*", *name).join(merged, ["_name", "_check"], "left").drop("_name", "_check").mapInArrow(_finish(text_col), schema)
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [len(words_of(t or b"")) for t in batch["text"].to_pylist()]
-        spans = [[{"first": a, "last": b} for a, b in merge_ranges([(x["first"], x["last"]) for x in s or ()])] for s in batch["spans"].to_pylist()]
-        items = [x or [] for x in batch["items"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), *row_of(batch)[0]], names=["doc_id", "n_words", "spans", "items", *row_of(batch)[1]])
+def _finish(text_col: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in text_of(batch, text_col)]
+            spans = [merge_ranges([(x["first"], x["last"]) for x in s or ()]) for s in batch["spans"].to_pylist()]
+            places = [original_offsets(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
+            n = pa.array([len(words_of(t)) for t in texts], pa.int64())
+            items = pa.array([x or [] for x in batch["items"].to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], n, _span_array(spans), _span_array(places), items, *row_of(batch)[0]], names=["doc_id", "n_words", "spans", "bytes", "items", *row_of(batch)[1]])
+
+    return run
 
 
 def remove_leaks(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -184,4 +195,3 @@ def remove_leaks(text: bytes, spans: list[tuple[int, int]]) -> bytes:
         out.append(text[at:a])
         at = b
     return b"".join([*out, text[at:]])
-

@@ -33,9 +33,10 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    length = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    items = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        "doc_id", "n_words", length("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (length("spans") > 0).alias("contaminated"), length("bytes").alias("hit_bytes")
     )
 
 
@@ -96,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEXT = "coalesce(text, '')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
+_GAP = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 _OP1 = rf"""
@@ -107,11 +109,15 @@ win AS (
 sizes AS (SELECT DISTINCT n FROM win),
 pos AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
 hit AS (SELECT p.doc_id, p.i, p.n, win.item_id FROM (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM pos) p JOIN win ON p.k = win.k AND p.n = win.n),
-words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM hit) GROUP BY doc_id),
+place AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS x FROM hit),
+words AS (SELECT doc_id, count(*) AS n_hit FROM place GROUP BY doc_id),
+gaps AS (SELECT doc_id, regexp_extract_all(low, {_GAP}) AS g, CAST(regexp_matches(low, '^' || {_GAP}) AS INT) AS lead_ FROM (SELECT doc_id, {_LOWER.format(_TEXT)} AS low FROM documents)),
+size AS (SELECT p.doc_id, CAST(sum(strlen(w[p.x]) + CASE WHEN nxt.x IS NULL THEN 0 ELSE strlen(g[p.x + lead_]) END) AS BIGINT) AS hit_bytes
+  FROM place p JOIN d ON d.doc_id = p.doc_id JOIN gaps ON gaps.doc_id = p.doc_id LEFT JOIN place nxt ON nxt.doc_id = p.doc_id AND nxt.x = p.x + 1 GROUP BY p.doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) AS n_hit, coalesce(items.n_items, 0) AS n_items,
-  sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated, coalesce(size.hit_bytes, 0) AS hit_bytes
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN size USING (doc_id)
 """
 
 _OP3 = rf"""

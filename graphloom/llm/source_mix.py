@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm._rows import bound_batches
 from graphloom.plans.materialize import materialize
 
 #: 2**64 divided by the golden ratio, made odd: steps of the golden-ratio sequence in 64-bit fixed point.
@@ -122,6 +123,7 @@ def mix_sources(
     exactly repeated rows together, which share what they take equally).  Empty tables give empty parts.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

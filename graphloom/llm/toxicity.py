@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._rows import carried, carried_type, row_of
+from graphloom.llm._rows import bound_batches, carried, carried_type, row_of, text_of
+from graphloom.plans.materialize import discard, materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -72,18 +73,6 @@ def _select(rows: list[tuple[Counter, int]], most: int, least_seen: int, odds: f
     return [f for _, f in sorted(scored)[:most]]
 
 
-def severity_grades(rows: list[tuple[Counter, int]], grades: int, vocabulary: list[str]) -> list[int]:
-    """Grades 0 .. grades - 1 where labels only say toxic or not: toxic rows are split at quantiles of how many of
-    their features hardly occur outside toxic rows."""
-    bad, good = Counter(), Counter()
-    for x, y in rows:
-        (bad if y else good).update(f for f in vocabulary if f in x)
-    marks = {f for f in vocabulary if bad[f] > 20 * good[f]}
-    strong = [sum(_squash(n) for f, n in x.items() if f in marks) for x, _ in rows]
-    cuts = np.quantile([d for d, (_, y) in zip(strong, rows, strict=True) if y] or [0.0], np.linspace(0, 1, grades)[1:-1])
-    return [0 if not y else 1 + int(np.searchsorted(cuts, d, side="right")) for d, (_, y) in zip(strong, rows, strict=True)]
-
-
 def distinct_rows(rows: list[tuple[Counter, int]]) -> list[tuple[Counter, int]]:
     """Rows without near copies of earlier ones, which would pass off their own words as signs of their class."""
     seen: set[tuple[int, int]] = set()
@@ -97,73 +86,103 @@ def distinct_rows(rows: list[tuple[Counter, int]]) -> list[tuple[Counter, int]]:
     return out
 
 
-def fit(rows: list[tuple[Counter, int]], grades: int = 3, most_features: int = 2000, least_seen: int = 3, odds: float = 8.0, z: float = 5.0, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> OrdinalModel:
+class Likelihood:
+    """The penalized cumulative-link loss of weights and thresholds over rows of (features, grade).
+
+    Parameters are the weights, the first threshold, and the logarithms of the gaps to the next ones, so the order
+    of thresholds holds by construction.  Clean and other rows weigh the same in sum.
+    """
+
+    def __init__(self, rows: list[tuple[Counter, int]], vocabulary: list[str], grades: int, decay: float):
+        at = {f: i for i, f in enumerate(vocabulary)}
+        cells = [(r, at[f], _squash(n)) for r, (x, _) in enumerate(rows) for f, n in x.items() if f in at]
+        self.row, self.column = (np.array([c[i] for c in cells], np.int64) for i in (0, 1))
+        self.value = np.array([c[2] for c in cells], float)
+        self.size, self.k, self.rows, self.decay = len(vocabulary), grades - 1, len(rows), decay
+        y = np.array([y for _, y in rows])
+        self.passed = (y[:, None] > np.arange(self.k)[None, :]).astype(float)
+        self.weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))[:, None]
+
+    def thresholds(self, theta: np.ndarray) -> np.ndarray:
+        cut = theta[self.size :]
+        return cut[0] + np.concatenate([[0.0], np.cumsum(np.exp(cut[1:]))])
+
+    def at(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """(loss, gradient): the sum over thresholds of the log loss of being above, which is convex in the weights."""
+        w = theta[: self.size]
+        margin = np.bincount(self.row, self.value * w[self.column], self.rows)[:, None] - self.thresholds(theta)
+        loss = (self.weight * (np.logaddexp(0, margin) - self.passed * margin)).sum() + 0.5 * self.decay * (w @ w)
+        g = (1 / (1 + np.exp(-margin)) - self.passed) * self.weight
+        grad = np.empty_like(theta)
+        grad[: self.size] = np.bincount(self.column, self.value * g.sum(1)[self.row], self.size) + self.decay * w
+        back = -g.sum(0)
+        grad[self.size] = back.sum()
+        grad[self.size + 1 :] = [np.exp(theta[self.size + 1 + i]) * back[i + 1 :].sum() for i in range(self.k - 1)]
+        return float(loss), grad
+
+
+def fit(rows: list[tuple[Counter, int]], most_features: int = 2000, least_seen: int = 3, odds: float = 8.0, z: float = 5.0, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> OrdinalModel:
     """Fit weights and ordered thresholds by full-batch Adam on the cumulative-link likelihood.
 
-    Thresholds are a first one plus positive gaps, so their order holds by construction.  Features are those that
-    toxic rows hold more often, so weights are kept from going negative.  ``rows`` are (features, 0 or 1).  Rows of one class only give a model that grades everything as that class.
+    ``rows`` are (features, grade), grades 0 .. K as the labels give them; there is a threshold between each two
+    neighbouring grades, so labels of 0 and 1 have one.  Features are those that rows of a grade over 0 hold more
+    often, so weights are kept from going negative.  Rows that are all clean, or none of them, give a model that
+    grades everything alike.
     """
     rows = distinct_rows(rows)
-    labels = [y for _, y in rows]
-    if not any(labels) or all(labels):
-        return OrdinalModel({}, np.full(grades - 1, -30.0 if any(labels) else 30.0))
+    grades = max([y for _, y in rows], default=1) + 1
+    toxic = [y > 0 for _, y in rows]
+    if not any(toxic) or all(toxic):
+        return OrdinalModel({}, np.full(max(1, grades - 1), -30.0 if any(toxic) else 30.0))
     vocabulary = _select(rows, most_features, least_seen, odds, z)
-    y = np.array(severity_grades(rows, grades, vocabulary))
-    at = {f: i for i, f in enumerate(vocabulary)}
-    ri, ci, v = [], [], []
-    for r, (x, _) in enumerate(rows):
-        for f, n in x.items():
-            if f in at:
-                ri.append(r)
-                ci.append(at[f])
-                v.append(_squash(n))
-    ri, ci, v = np.array(ri, np.int64), np.array(ci, np.int64), np.array(v)
-    k = grades - 1
-    theta = np.zeros(len(vocabulary) + k)
-    theta[-k:] = np.log(np.full(k, 1.0))
+    loss = Likelihood(rows, vocabulary, grades, decay)
+    theta = np.zeros(len(vocabulary) + grades - 1)
     theta[len(vocabulary)] = 2.0
     m, s = np.zeros_like(theta), np.zeros_like(theta)
-    passed = (y[:, None] > np.arange(k)[None, :]).astype(float)
-    # each class weighs the same, for toxic rows are few
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))[:, None]
     for step in range(1, steps + 1):
-        w, cut = theta[: len(vocabulary)], theta[len(vocabulary) :]
-        gaps = np.exp(cut[1:])
-        thresholds = cut[0] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(ri, v * w[ci], len(rows))
-        p = 1 / (1 + np.exp(-(score[:, None] - thresholds)))
-        g = (p - passed) * weight
-        grad = np.empty_like(theta)
-        grad[: len(vocabulary)] = np.bincount(ci, v * g.sum(1)[ri], len(vocabulary)) + decay * w
-        back = -g.sum(0)
-        grad[len(vocabulary)] = back.sum()
-        grad[len(vocabulary) + 1 :] = [gaps[i] * back[i + 1 :].sum() for i in range(k - 1)]
+        grad = loss.at(theta)[1]
         m = 0.9 * m + 0.1 * grad
         s = 0.999 * s + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-9)
         theta[: len(vocabulary)] = np.maximum(theta[: len(vocabulary)], 0)
-    w, cut = theta[: len(vocabulary)], theta[len(vocabulary) :]
-    thresholds = cut[0] + np.concatenate([[0.0], np.cumsum(np.exp(cut[1:]))])
-    return OrdinalModel({f: float(x) for f, x in zip(vocabulary, w, strict=True) if x}, thresholds)
+    return OrdinalModel({f: float(x) for f, x in zip(vocabulary, theta, strict=False) if x}, loss.thresholds(theta))
+
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_each: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[Counter, int]]:
+    """At most ``most_each`` labelled rows of each grade, those with the least hashes of their ids, as features.
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_each: int = 1500, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[Counter, int]]:
-    """At most ``most_each`` labelled rows of each class, those with the least hashes of their ids, as features.
+    The sample is the only thing that is bounded, and it is bounded in rows: texts of any length take part in full.
+    Their features are counted where they lie, in one pass for all grades, and only the counts come to the driver.
 
-    The sample is the only thing that is bounded; of a sampled text only the features are fetched (its words are
-    counted where it lies, in full), and texts over ``most_chars`` are left to scoring, as are rows with a null
-    id, text or label.
+    Rows with a null id, text or label, or a negative one, are left out.  Of several labels of an id the largest
+    counts.  Repeated rows count once; rows that share an id with different texts are rows of their own.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)").distinct()
-    both = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(2 * most_each) for y in (0, 1)]
-    text = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where(F.length("text") <= most_chars)
-    chosen = both[0].unionByName(both[1]).join(text, F.col("_id") == F.col("_doc")).select("_id", "y", "text")
-    rows = []
-    for y in (0, 1):
-        # two times as many ids are looked up, as labelled documents may be missing or long
-        found = chosen.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id", "text").limit(most_each)
-        rows += [(features_of(r["text"]), y) for r in found.toLocalIterator()]
-    return rows
+    bound_batches(docs.sparkSession)
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y >= 0").groupBy("_id").agg(F.max("y").alias("y"))
+    named = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("twin")).where("text is not null")
+    rows = materialize(named.select("_doc", "twin").join(known, F.col("_doc") == F.col("_id")).select("_id", "twin", "y").distinct(), "labelled")
+    grades = sorted(r["y"] for r in rows.select("y").distinct().collect())
+    chosen = None
+    for y in grades:
+        part = rows.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id", "twin").limit(most_each)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    if chosen is None:
+        return []
+    chosen = materialize(chosen, "chosen")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features_of(t) for t in batch["text"].to_pylist()]
+            names, counts = pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["twin"], batch["y"], names, counts], names=["_id", "twin", "y", "names", "counts"])
+
+    kind = chosen.schema["_id"].dataType.simpleString()
+    texts = named.join(F.broadcast(chosen.withColumnRenamed("twin", "_twin")), (F.col("_doc") == F.col("_id")) & (F.col("twin") == F.col("_twin"))).select("_id", "twin", "y", "text")
+    counted = texts.mapInArrow(count, f"_id {kind}, twin long, y int, names array<string>, counts array<long>").dropDuplicates(["_id", "twin"])
+    got = sorted(((r["y"], r["_id"], r["twin"], dict(zip(r["names"], r["counts"], strict=True))) for r in counted.toLocalIterator()), key=lambda r: (r[0], zlib.crc32(str(r[1]).encode()), str(r[1]), r[2]))
+    discard(rows)
+    discard(chosen)
+    return [(Counter(x), y) for y, _, _, x in got]
 
 
 def grade_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -171,9 +190,9 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
     Columns named in ``carry`` come along in a struct ``row``, so that a filter on the verdict needs no join.
 
-    Whole texts are scored.  Null and empty texts have no features and get the model's score of an empty text,
-    which is grade 0 unless all training rows were toxic.  Repeated rows and ids are scored each for itself; other
-    columns are not read; an empty table gives no rows.
+    Whole texts are scored, of any length.  Null and empty texts have no features and get the model's score of an
+    empty text, which is grade 0 unless all training rows were toxic.  Repeated rows and ids are scored each for
+    itself; other columns are not read; an empty table gives no rows.
     """
     weights, thresholds = model.weights, model.thresholds
 
@@ -189,12 +208,12 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
         for batch in batches:
             grades, severities = [], []
-            for text in batch["text"].to_pylist():
+            for text in text_of(batch, text_col):
                 found: Counter = Counter()
-                for word in _WORD.findall((text or "").lower()):
+                for word in _WORD.findall((text.as_py() or "").lower()):
                     f = seen.get(word)
                     if f is None:
-                        if len(seen) > 200_000:
+                        if len(seen) > 50_000:
                             seen.clear()
                         f = seen[word] = hits(word)
                     for x in f:
@@ -204,5 +223,7 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
                 severities.append(scorer.expected(score))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(grades, pa.int32()), pa.array(severities, pa.float64()), pa.array([g > 0 for g in grades], pa.bool_()), *row_of(batch)[0]], names=["doc_id", "grade", "severity", "toxic", *row_of(batch)[1]])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carried(carry))
+    bound_batches(docs.sparkSession)
+    own = [] if text_col in carry else [F.col(text_col)]
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *own, *carried(carry))
     return base.mapInArrow(run, "doc_id long, grade int, severity double, toxic boolean" + carried_type(base))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm._rows import bound_batches
 from graphloom.operators.components import connected_components
 from graphloom.plans.materialize import materialize
 
@@ -86,6 +87,7 @@ def link_vectors(
     their own length only.  Rows that repeat an id are vectors of their own for ``n_links`` and share a component.
     A null id counts as the largest and is carried through.  Other columns are not read.
     """
+    bound_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("embedding"))
     rows = rows.withColumn("use", F.coalesce(F.col("label").isNotNull() & _usable(F.col("embedding")), F.lit(False)))
     # -0.0 and 0.0 are the same component

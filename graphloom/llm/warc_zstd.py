@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm._rows import bound_batches
 from graphloom.plans.materialize import materialize, shared_dir
 
 #: Magic number of the dictionary's skippable frame, and of a Zstandard frame.
@@ -130,6 +131,7 @@ def write_archives(
     Null html is an empty payload and a null URL no URL.  Null ids are smaller than any other; records with no id
     among them are all responses.  Rows that repeat id and html are responses each.  No rows give no archives.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")
     ).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})

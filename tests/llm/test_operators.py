@@ -14,7 +14,7 @@ from graphloom.llm import queries as Q
 from graphloom.llm.ngram_leaks import find_leaks, original_offsets, remove_leaks, words_of
 from graphloom.llm.source_mix import golden_sources, mix_sources, water_fill, words_taken
 from graphloom.llm.token_counts import PrefixBpe, PrefixCounts, count_tokens, prefix_counts, truncate_to_budget
-from graphloom.llm.toxicity import features_of, fit, grade_toxicity
+from graphloom.llm.toxicity import Likelihood, features_of, fit, grade_toxicity, labelled_sample
 from graphloom.llm.url_rules import Rule, filter_urls, index_rules, parse_rule
 from graphloom.llm.vector_links import link_vectors
 from graphloom.llm.warc_zstd import archive_folder, read_archives, write_archives
@@ -55,7 +55,18 @@ def test_leaks(spark, most_words):
     items = [(i, ", ".join(word() for _ in range(r.randint(0, 18)))) for i in range(12)] + [(12, None), (13, "zz zz"), (13, "zz zz")]
     docs = [(i, r.choice([" ", "; "]).join([word() for _ in range(r.randint(0, 60))])) for i in range(40)] + [(50, None), (51, ""), (3, "zz ZZ!"), (3, "zz ZZ!")]
     docs += [(60, "pre " + items[5][1].upper() + " post")]
+    docs += [(70, "filler, " * 60_000 + items[5][1])]
+    items += [(20, " ".join(f"long{i}" for i in range(90))), (21, "one two")]
+    docs += [(71, " ".join(f"long{i}" for i in range(20, 70))), (72, "x Long29 long30 long31 LONG32 y"), (73, "— one — two — one")]
     got = find_leaks(frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string"), width=4, most_words=most_words).collect()
+    texts = defaultdict(list)
+    for d, t in docs:
+        texts[d].append((t or "").encode())
+    for x in got:
+        for text in texts[x.doc_id]:
+            if len(words_of(text)) == x.n_words and len(texts[x.doc_id]) == 1:
+                assert [words_of(text[b["first"] : b["last"]]) for b in x.bytes] == [words_of(text)[s["first"] : s["last"]] for s in x.spans]
+                assert len(words_of(remove_leaks(text, [(b["first"], b["last"]) for b in x.bytes]))) == x.n_words - sum(s["last"] - s["first"] for s in x.spans)
     assert sorted((x.doc_id, x.n_words, sum(s["last"] - s["first"] for s in x.spans), list(x["items"])) for x in got) == sorted(brute_leaks(docs, items, 4))
 
 
@@ -153,15 +164,61 @@ def test_toxicity_held_out(spark):
         return " ".join(w)
 
     model = fit([(features_of(text(y)), y) for y in [0, 1] * 200])
-    assert (np.diff(model.thresholds) > 0).all()
-    held = [(i, text(i % 2)) for i in range(200)] + [(1000, None), (1001, "")]
-    got = {x.doc_id: (x.toxic, x.severity) for x in grade_toxicity(frame(spark, held, "doc_id long, text string"), model).collect()}
+    assert len(model.thresholds) == 1
+    held = [(i, text(i % 2)) for i in range(200)] + [(1000, None), (1001, ""), (1002, "clean " * 300_000 + "nasty vile awful"), (3, "nasty vile awful"), (3, "nasty vile awful")]
+    rows = grade_toxicity(frame(spark, held, "doc_id long, text string"), model).collect()
+    assert len(rows) == len(held) and sum(x.toxic for x in rows if x.doc_id == 3) >= 2
+    got = {x.doc_id: (x.toxic, x.severity) for x in rows}
     assert sum(got[i][0] == bool(i % 2) for i in range(200)) >= 196
-    assert not got[1000][0] and not got[1001][0]
-    assert np.mean([got[i][1] for i in range(1, 200, 2)]) > 1 > 2 * np.mean([got[i][1] for i in range(0, 200, 2)])
+    assert not got[1000][0] and not got[1001][0] and got[1002][0]
+    assert np.mean([got[i][1] for i in range(1, 200, 2)]) > 0.8 > 0.2 > np.mean([got[i][1] for i in range(0, 200, 2)])
     assert model.score(features_of("nasty vile awful nasty")) > model.score(features_of("nasty"))
     only = fit([(features_of("a b"), 0)])
     assert not grade_toxicity(frame(spark, [(1, "x")], "doc_id long, text string"), only).head().toxic
+    assert grade_toxicity(frame(spark, [], "doc_id long, text string"), model).collect() == []
+    carried = grade_toxicity(frame(spark, [(1, "a")], "doc_id long, text string"), model, carry=("text", "row")).head()
+    assert (carried.row.text, carried.row.row) == ("a", "a")
+
+
+def test_ordinal_grades():
+    """Four grades: ordered thresholds, one weight vector, grades that follow, and the loss of a plain optimiser."""
+    r = random.Random(7)
+    words = {1: ["rude", "silly"], 2: ["nasty", "vile"], 3: ["savage", "brutal"]}
+
+    def row(y):
+        x = r.choices([f"plain{i}" for i in range(300)], k=30)
+        return features_of(" ".join(x + [w for k in range(1, y + 1) for w in words[k]])), y
+
+    rows = [row(i % 4) for i in range(400)]
+    model = fit(rows)
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    held = [row(i % 4) for i in range(200)]
+    assert sum(model.grade(model.score(x)) == y for x, y in held) >= 190
+    assert [round(model.expected(model.score(row(y)[0]))) for y in range(4)] == [0, 1, 2, 3]
+    loss = Likelihood(rows, sorted(model.weights), 4, 1e-4)
+    theta = np.concatenate([[model.weights[f] for f in sorted(model.weights)], [model.thresholds[0]], np.log(np.diff(model.thresholds))])
+    at, grad = loss.at(theta)
+    for i in range(0, len(theta), 3):
+        step = np.zeros(len(theta))
+        step[i] = 1e-6
+        assert abs((loss.at(theta + step)[0] - loss.at(theta - step)[0]) / 2e-6 - grad[i]) < 1e-6
+    plain = np.zeros(len(theta))
+    for _ in range(20_000):
+        plain -= 0.1 * loss.at(plain)[1]
+        plain[: loss.size] = np.maximum(plain[: loss.size], 0)
+    assert at < loss.at(np.zeros(len(theta)))[0] / 2 and at < 1.1 * loss.at(plain)[0]
+
+
+def test_labelled_sample(spark):
+    docs = [(i, f"text number{i} " * (1 if i else 30_000)) for i in range(30)] + [(None, "x y"), (40, None), (41, "twice"), (41, "twice"), (42, "one text"), (42, "other text")]
+    labels = [(i, i % 3 == 0) for i in range(0, 30)] + [(0, False), (41, True), (42, False), (None, True), (40, True), (7, None), (99, True)]
+    frame_ = spark.createDataFrame([(d, None if y is None else int(y)) for d, y in labels], "doc_id long, toxic int")
+    got = labelled_sample(frame(spark, docs, "doc_id long, text string"), frame_)
+    want = [(features_of(t), int(i % 3 == 0)) for i, t in docs[:30]] + [(features_of("twice"), 1), (features_of("one text"), 0), (features_of("other text"), 0)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) or sorted((sorted(x.items()), y) for x, y in got) == sorted((sorted(x.items()), y) for x, y in want)
+    assert [y for _, y in labelled_sample(frame(spark, docs, "doc_id long, text string"), frame_, most_each=4)] == [0] * 4 + [1] * 4
+    assert labelled_sample(frame(spark, docs, "doc_id long, text string"), frame_.limit(0)) == []
+    assert labelled_sample(frame(spark, [], "doc_id long, text string"), frame_) == []
 
 
 # --- op 8
