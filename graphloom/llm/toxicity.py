@@ -74,15 +74,20 @@ def _select(rows: list[tuple[Counter, int]], most: int, least_seen: int, odds: f
 
 
 def distinct_rows(rows: list[tuple[Counter, int]]) -> list[tuple[Counter, int]]:
-    """Rows without near copies of earlier ones, which would pass off their own words as signs of their class."""
-    seen: set[tuple[int, int]] = set()
+    """Rows without near copies of an earlier one, which would pass off their own words as signs of their class.
+
+    A near copy shares half of six minima over the longer words with one earlier row.
+    """
+    holders: dict[tuple[int, int], list[int]] = {}
     out = []
-    for x, y in rows:
+    for at, (x, y) in enumerate(rows):
         words = [w.encode() for w in x if len(w) > 5] or [w.encode() for w in x]
-        marks = {(i, min(zlib.crc32(w, i * 0x9E3779B1) for w in words)) for i in range(1, 7)} if words else set()
-        if len(marks & seen) < 3:
+        marks = [(i, min(zlib.crc32(w, i * 0x9E3779B1) for w in words)) for i in range(1, 7)] if words else []
+        shared = Counter(h for m in marks for h in holders.get(m, ()))
+        if max(shared.values(), default=0) < 3:
             out.append((x, y))
-        seen |= marks
+            for m in marks:
+                holders.setdefault(m, []).append(at)
     return out
 
 
