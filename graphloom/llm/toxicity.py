@@ -126,7 +126,7 @@ class Likelihood:
         return float(loss), grad
 
 
-def fit(rows: list[tuple[Counter, int]], most_features: int = 2000, least_seen: int = 3, odds: float = 8.0, z: float = 5.0, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> OrdinalModel:
+def fit(rows: list[tuple[Counter, int]], most_features: int = 2000, least_seen: int = 3, odds: float = 8.0, z: float = 5.0, steps: int = 2000, rate: float = 0.05, decay: float = 1e-4) -> OrdinalModel:
     """Fit weights and ordered thresholds by full-batch Adam on the cumulative-link likelihood.
 
     ``rows`` are (features, grade), grades 0 .. K as the labels give them; there is a threshold between each two

@@ -183,10 +183,11 @@ def test_toxicity_held_out(spark):
 def test_ordinal_grades():
     """Four grades: ordered thresholds, one weight vector, grades that follow, and the loss of a plain optimiser."""
     r = random.Random(7)
+    plain = ["".join(r.choices("abcdefgh", k=8)) for _ in range(3000)]
     words = {1: ["rude", "silly"], 2: ["nasty", "vile"], 3: ["savage", "brutal"]}
 
     def row(y):
-        x = r.choices([f"plain{i}" for i in range(300)], k=30)
+        x = r.choices(plain, k=30)
         return features_of(" ".join(x + [w for k in range(1, y + 1) for w in words[k]])), y
 
     rows = [row(i % 4) for i in range(400)]
