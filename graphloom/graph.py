@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.plans.materialize import materialize_bucketed
+from graphloom.plans.materialize import discard, materialize_bucketed
 
 
 def squish(edges: DataFrame) -> DataFrame:
@@ -28,13 +28,15 @@ def transpose(edges: DataFrame) -> DataFrame:
 class Graph:
     """``edges`` (src, dst, weight: long) are canonical; ids up to the largest one seen are vertices, linked or not.
 
-    An undirected graph stores both arcs of each edge.
+    An undirected graph stores both arcs of each edge.  ``edges`` may be a lazy plan; supersteps read ``by_src()``,
+    which is written once.
     """
 
     edges: DataFrame
     nodes: int
     directed: bool = True
     _by_src: DataFrame | None = field(default=None, repr=False)
+    _by_dst: DataFrame | None = field(default=None, repr=False)
 
     # -- construction ---------------------------------------------------------
 
@@ -45,7 +47,8 @@ class Graph:
         raw = df.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), w.cast("long").alias("weight")).where("src is not null and dst is not null")
         if nodes is None:
             # loops and doubles count here: an id that has only a loop is a vertex
-            nodes = (raw.agg(F.greatest(F.max("src"), F.max("dst")).alias("m")).head()["m"] if raw.head(1) else -1) + 1
+            most = raw.agg(F.greatest(F.max("src"), F.max("dst")).alias("m")).head()["m"]
+            nodes = 0 if most is None else most + 1
         edges = raw if canonical else squish(symmetrize(raw) if mirror else raw)
         return cls(edges, nodes, not mirror)
 
@@ -76,6 +79,30 @@ class Graph:
             self._by_src = materialize_bucketed(self.edges, "src", "edges")
         return self._by_src
 
+    def by_dst(self) -> DataFrame:
+        """The edges bucketed by ``dst``, for supersteps that pull; in undirected graphs ``by_src`` with its ends swapped."""
+        if not self.directed:
+            return self.by_src().select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+        if self._by_dst is None:
+            self._by_dst = materialize_bucketed(self.edges, "dst", "edges")
+        return self._by_dst
+
+    def cache(self) -> Graph:
+        """The graph with its edges written, so that no later operator derives them again."""
+        if self._by_src is not None and self.edges is self._by_src:
+            return self
+        return Graph(self.by_src(), self.nodes, self.directed, self._by_src, self._by_dst)
+
+    def release(self) -> None:
+        """Delete the tables written for this graph.  Results that still read them have to be written before."""
+        discard(self._by_src, self._by_dst)
+        self._by_src = self._by_dst = None
+
+    def create_views(self, vertices: str = "vertices", edges: str = "edges") -> None:
+        """Temporary views of the graph for ``spark.sql``."""
+        self.vertices().createOrReplaceTempView(vertices)
+        self.edges.createOrReplaceTempView(edges)
+
     def reverse(self) -> Graph:
         return Graph(transpose(self.edges), self.nodes, self.directed)
 

@@ -26,7 +26,7 @@ def bfs(graph: Graph, source: int, strategy: str = "top_down", most_depth: int |
             met = level.select("id").join(graph.by_src(), F.col("id") == F.col("src")).groupBy("dst").agg(F.min("src").alias("parent"))
             found = met.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
         else:
-            open_ = graph.edges.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
+            open_ = graph.by_dst().join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
             found = open_.join(level.select(F.col("id").alias("src")), "src", "left_semi").groupBy("dst").agg(F.min("src").alias("parent"))
         level = materialize(found.select(F.col("dst").alias("id"), F.lit(depth).cast("long").alias("depth"), "parent"), "level")
         if not level.head(1):

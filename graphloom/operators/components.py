@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.materialize import discard, materialize
+from graphloom.plans.materialize import discard, materialize, passed_on
 
 
 def _flatten(parent: DataFrame) -> DataFrame:
@@ -29,16 +29,15 @@ def _flatten(parent: DataFrame) -> DataFrame:
         discard(parent)
         parent = step
         if not step.where("moved").head(1):
-            return parent.select("id", F.col("parent").alias("root"))
-        parent = step.select("id", "parent")
-        parent._graphloom_path = step._graphloom_path
+            return passed_on(parent.select("id", F.col("parent").alias("root")), step)
+        parent = passed_on(step.select("id", "parent"), step)
 
 
 def _contract(edges: DataFrame) -> DataFrame:
     e = materialize(
         edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a > b").distinct(), "edges"
     )
-    labels = None
+    labels = previous = None
     while True:
         roots = _flatten(materialize(e.groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "id"), "hook"))
         if labels is None:
@@ -50,6 +49,10 @@ def _contract(edges: DataFrame) -> DataFrame:
             labels = labels.join(roots.select(F.col("id").alias("root"), F.col("root").alias("_next")), "root", "left").select(
                 "id", F.coalesce("_next", "root").alias("root")
             )
+        # written, so that the tables of this round can go
+        labels = materialize(labels, "labels")
+        discard(previous)
+        previous = labels
         ra = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
         rb = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         e2 = (
@@ -61,9 +64,10 @@ def _contract(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         e2 = materialize(e2, "edges")
+        discard(e, roots)
         if not e2.head(1):
             discard(e2)
-            return labels.select("id", F.col("root").alias("component"))
+            return passed_on(labels.select("id", F.col("root").alias("component")), labels)
         e = e2
 
 
@@ -78,9 +82,9 @@ def _propagate(edges: DataFrame) -> DataFrame:
         new = materialize(new, "label")
         discard(state)
         if not new.where("moved").head(1):
-            return new.select("id", "component")
-        state = new.select("id", "component")
-        state._graphloom_path = new._graphloom_path
+            discard(both)
+            return passed_on(new.select("id", "component"), new)
+        state = passed_on(new.select("id", "component"), new)
 
 
 def connected_components(edges: DataFrame, strategy: str = "contract") -> DataFrame:

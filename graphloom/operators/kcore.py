@@ -9,21 +9,35 @@ from graphloom.graph import Graph
 from graphloom.plans.materialize import discard, materialize
 
 
-def _hindex(graph: Graph) -> DataFrame:
-    """The fixed point of "as many neighbours as that have at least that much", from the degrees down."""
+def _lowered(state: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(src, h) for the ends of ``arcs``: the most neighbours that have at least as much, by the values of ``state``."""
+    near = state.select(F.col("id").alias("dst"), F.col("core").alias("c"))
     # one row per (vertex, neighbour's value), counted before the window: its rows are distinct values, not arcs
-    state = materialize(graph.out_degrees().select("id", F.col("degree").alias("core")), "core")
+    counted = arcs.join(near, "dst").groupBy("src", "c").agg(F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy("src").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
+    return counted.select("src", F.least("c", F.sum("n").over(down)).alias("h")).groupBy("src").agg(F.max("h").alias("h"))
+
+
+def _hindex(graph: Graph) -> DataFrame:
+    """The fixed point of "as many neighbours as that have at least that much", from the degrees down.
+
+    After the first round only vertices beside one that has changed are looked at again.
+    """
+    state = materialize(graph.out_degrees().select("id", F.col("degree").alias("core"), F.lit(True).alias("moved")), "core")
+    first = True
     while True:
-        near = state.select(F.col("id").alias("dst"), F.col("core").alias("c"))
-        counted = graph.edges.join(near, "dst").groupBy("src", "c").agg(F.count(F.lit(1)).alias("n"))
-        down = Window.partitionBy("src").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
-        h = counted.select("src", F.least("c", F.sum("n").over(down)).alias("h")).groupBy("src").agg(F.max("h").alias("h"))
-        new = materialize(state.join(h, state["id"] == h["src"], "left").select("id", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), (F.coalesce("h", F.lit(0)) < F.col("core")).alias("moved")), "core")
+        arcs = graph.by_src()
+        if not first:
+            changed = state.where("moved").select(F.col("id").alias("dst"))
+            beside = graph.by_dst().join(changed, "dst", "left_semi").select("src").distinct()
+            arcs = arcs.join(beside, "src", "left_semi")
+        h = _lowered(state, arcs)
+        low = F.when(F.col("h").isNull(), F.col("core") if not first else F.lit(0).cast("long")).otherwise(F.least("core", "h"))
+        new = materialize(state.join(h, state["id"] == h["src"], "left").select("id", low.alias("core"), (low < F.col("core")).alias("moved")), "core")
         discard(state)
+        state, first = new, False
         if not new.where("moved").head(1):
             return new.select("id", F.col("core").alias("coreness"))
-        state = new.select("id", "core")
-        state._graphloom_path = new._graphloom_path
 
 
 def _peel(graph: Graph) -> DataFrame:
@@ -36,7 +50,7 @@ def _peel(graph: Graph) -> DataFrame:
             return state.select("id", "coreness")
         k = max(k, low)
         gone = state.where(F.col("coreness").isNull() & (F.col("degree") <= k)).select(F.col("id").alias("_gone"))
-        lost = graph.edges.join(gone, F.col("dst") == F.col("_gone")).groupBy("src").agg(F.count(F.lit(1)).alias("lost"))
+        lost = graph.by_dst().join(gone, F.col("dst") == F.col("_gone")).groupBy("src").agg(F.count(F.lit(1)).alias("lost"))
         step = state.join(lost, state["id"] == lost["src"], "left").select(
             "id", F.when(F.col("coreness").isNull() & (F.col("degree") > k), F.col("degree") - F.coalesce("lost", F.lit(0))).otherwise(F.col("degree")).alias("degree"),
             F.when(F.col("coreness").isNull() & (F.col("degree") <= k), F.lit(k).cast("long")).otherwise(F.col("coreness")).alias("coreness"),

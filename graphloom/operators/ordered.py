@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,47 +24,70 @@ def ordered_process(
     delta: int | None = None,
     merge_buckets: int = 1,
     dest: int | None = None,
+    rounds: int = 1,
 ) -> DataFrame:
     """``id, value`` for the least values reachable from ``start`` (id, value).
 
     Each superstep takes the waiting vertices of the lowest bucket (``key // delta``; without ``delta`` all that
     wait, which needs the fewest jobs), relaxes their arcs and keeps improvements.  The result does not depend on
-    ``delta`` or ``merge_buckets`` (how many buckets go at once).  ``key`` makes a priority of a value and the
-    vertex's ``hint`` (from ``hints``: id, hint); the default is the value.
+    ``delta``, ``merge_buckets`` (how many buckets go at once) or ``rounds`` (how often arcs are relaxed before a
+    superstep is written).  ``key`` makes a priority of a value and the vertex's ``hint`` (from ``hints``: id, hint);
+    the default is the value.
+
+    A superstep writes the vertices that wait after it, not all that are known.  New values, old ones and the waiting
+    meet in a single exchange by vertex, after partial minima; arcs stay where they are.  Every eight supersteps the
+    tables written so far are merged.
 
     With ``dest``, values above its best are not extended, and the search stops once the lowest bucket lies
     beyond it; then only the value of ``dest`` is final.
     """
     key = key or (lambda value, hint: value)
+    bucket = F.expr(f"key div {delta}") if delta else F.lit(0).cast("long")
+    none = F.lit(None).cast("long")
 
-    def keyed(state: DataFrame) -> DataFrame:
+    def keyed(rows: DataFrame) -> DataFrame:
         if hints is None:
-            return state.withColumn("key", key(F.col("value"), F.lit(0)).cast("long"))
+            return rows.withColumn("key", key(F.col("value"), F.lit(0)).cast("long"))
         h = hints.select(F.col("id").alias("_h"), "hint")
-        return state.join(h, state["id"] == h["_h"], "left").withColumn("key", key(F.col("value"), F.coalesce("hint", F.lit(0))).cast("long")).drop("_h", "hint")
-
-    state = materialize(keyed(start.select("id", F.col("value").cast("long").alias("value"), F.lit(True).alias("waits"))), "state")
-    bucket = F.expr(f"key div {delta}") if delta else F.lit(0).cast("long")
+        return rows.join(h, rows["id"] == h["_h"], "left").withColumn("key", key(F.col("value"), F.coalesce("hint", F.lit(0))).cast("long")).drop("_h", "hint")
+
+    def step(waiting: DataFrame, known: list[DataFrame], ready: Column) -> DataFrame:
+        """What waits after the arcs of the ready ones have been relaxed once."""
+        active = waiting.where(ready).select(F.col("id").alias("_id"), "value")
+        reached = active.join(graph.by_src(), F.col("_id") == F.col("src")).select(F.col("dst").alias("id"), relax(F.col("value"), F.col("weight")).cast("long").alias("new"))
+        parts = [reached.select("id", "new", none.alias("old"), none.alias("rest")), *[t.select("id", none.alias("new"), F.col("value").alias("old"), none.alias("rest")) for t in known]]
+        if delta:
+            parts.append(waiting.where(~ready).select("id", none.alias("new"), none.alias("old"), F.col("value").alias("rest")))
+        met = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.min("new").alias("new"), F.min("old").alias("old"), F.min("rest").alias("rest"))
+        better = F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old")))
+        # of a waiting vertex only the best known value waits
+        return keyed(met.where(better | F.col("rest").isNotNull()).select("id", F.least("new", "old").alias("value")))
+
+    waiting = materialize(keyed(start.select("id", F.col("value").cast("long").alias("value"))), "waiting")
+    known, goal = [waiting], None
     while True:
-        best = F.max(F.when(F.col("id") == dest, F.struct("value", "key"))) if dest is not None else F.lit(None)
-        low, goal = state.agg(F.min(F.when(F.col("waits"), bucket)), best).head()
+        best = F.min(F.when(F.col("id") == dest, F.struct("value", "key"))) if dest is not None else F.lit(None)
+        low, found = waiting.agg(F.min(bucket if dest is None else F.when(F.col("id") != dest, bucket)), best).head()
+        if found is not None and (goal is None or found["value"] < goal["value"]):
+            goal = found
         if low is None or (goal is not None and delta and low > goal["key"] // delta):
-            return state.select("id", "value")
-        ready = F.col("waits") & (bucket < low + merge_buckets)
+            break
+        ready = bucket < low + merge_buckets
         if goal is not None:
-            ready = ready & (F.col("key") <= goal["key"])
-        active = state.where(ready).select("id", "value")
-        if goal is not None and not active.head(1):
-            return state.select("id", "value")
-        reached = active.join(graph.by_src(), F.col("id") == F.col("src")).groupBy("dst").agg(F.min(relax(F.col("value"), F.col("weight"))).alias("new"))
-        both = state.withColumn("ready", ready).join(reached, state["id"] == reached["dst"], "full")
-        better = F.col("new").isNotNull() & (F.col("value").isNull() | (F.col("new") < F.col("value")))
-        after = both.select(
-            F.coalesce("id", "dst").alias("id"), F.when(better, F.col("new")).otherwise(F.col("value")).alias("value"), (better | F.coalesce(F.col("waits") & ~F.col("ready"), F.lit(False))).alias("waits")
-        )
-        after = materialize(keyed(after), "state")
-        discard(state)
-        state = after
+            ready = ready & (F.col("key") <= goal["key"]) & (F.col("id") != dest)
+            if not waiting.where(ready).head(1):
+                break
+        after, seen = waiting, known
+        for _ in range(rounds):
+            after = step(after, seen, ready)
+            seen = [*seen, after]
+        waiting = materialize(after, "waiting")
+        known.append(waiting)
+        if len(known) >= 8:
+            merged = materialize(reduce(DataFrame.unionByName, [t.select("id", "value") for t in known]).groupBy("id").agg(F.min("value").alias("value")), "known")
+            discard(*known[:-1])
+            known = [merged, waiting]
+    return reduce(DataFrame.unionByName, [t.select("id", "value") for t in known]).groupBy("id").agg(F.min("value").alias("value"))
 
 
 def fill_sentinels(graph: Graph, values: DataFrame, missing: int = UNREACHED) -> DataFrame:
@@ -75,14 +99,14 @@ def _from(graph: Graph, source: int) -> DataFrame:
     return graph.vertices().where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("value"))
 
 
-def sssp(graph: Graph, source: int, delta: int | None = None, merge_buckets: int = 1) -> DataFrame:
+def sssp(graph: Graph, source: int, delta: int | None = None, merge_buckets: int = 1, rounds: int = 1) -> DataFrame:
     """``id, dist`` of the vertices that ``source`` reaches; weights must not be negative."""
-    return ordered_process(graph, _from(graph, source), delta=delta, merge_buckets=merge_buckets).withColumnRenamed("value", "dist")
+    return ordered_process(graph, _from(graph, source), delta=delta, merge_buckets=merge_buckets, rounds=rounds).withColumnRenamed("value", "dist")
 
 
-def ppsp(graph: Graph, source: int, dest: int, delta: int | None = None) -> DataFrame:
+def ppsp(graph: Graph, source: int, dest: int, delta: int | None = None, rounds: int = 1) -> DataFrame:
     """``id, dist`` for ``dest`` alone: no row where it is not reached."""
-    found = ordered_process(graph, _from(graph, source), delta=delta, dest=dest)
+    found = ordered_process(graph, _from(graph, source), delta=delta, dest=dest, rounds=rounds)
     return found.where(F.col("id") == dest).select("id", F.col("value").alias("dist"))
 
 

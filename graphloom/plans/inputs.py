@@ -7,11 +7,34 @@ weight = least tenth of the quantity.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 
+_kept: dict[tuple, Graph] = {}
+
+
+def kept(make: Callable[..., Graph]) -> Callable[..., Graph]:
+    """A graph is derived and written once in a Spark application; later calls get the written one."""
+
+    @wraps(make)
+    def found(spark: SparkSession, sf_dir: str, mirror: bool = False) -> Graph:
+        key = (spark.sparkContext.applicationId, make.__name__, sf_dir, mirror)
+        if key not in _kept:
+            _kept[key] = make(spark, sf_dir, mirror).cache()
+        return _kept[key]
+
+    return found
+
+
+def forget() -> None:
+    """Drop the kept graphs, whose tables ``clean_up`` deletes."""
+    _kept.clear()
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,23 +44,27 @@ def _bought(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
 
 
+@kept
 def order_graph(spark: SparkSession, sf_dir: str, mirror: bool = False) -> Graph:
     rows = _bought(spark, sf_dir).select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.floor("l_quantity").alias("weight"))
     return Graph.from_tables(rows, weight="weight", mirror=mirror)
 
 
-def rate_graph(spark: SparkSession, sf_dir: str) -> Graph:
+@kept
+def rate_graph(spark: SparkSession, sf_dir: str, mirror: bool = False) -> Graph:
     rows = _bought(spark, sf_dir).select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.floor(F.col("l_quantity") / 10).alias("weight"))
-    return Graph.from_tables(rows, weight="weight")
+    return Graph.from_tables(rows, weight="weight", mirror=mirror)
 
 
-def chain_graph(spark: SparkSession, sf_dir: str) -> Graph:
+@kept
+def chain_graph(spark: SparkSession, sf_dir: str, mirror: bool = False) -> Graph:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.lead("o_orderkey").over(w).alias("dst"), F.datediff(F.lead("o_orderdate").over(w), "o_orderdate").alias("days"))
     nodes = orders.agg(F.max("o_orderkey")).head()[0]
-    return Graph.from_tables(orders.select(F.col("o_orderkey").alias("src"), "dst", (F.col("days") + 1).alias("weight")), weight="weight", nodes=(nodes or 0) + 1)
+    return Graph.from_tables(orders.select(F.col("o_orderkey").alias("src"), "dst", (F.col("days") + 1).alias("weight")), weight="weight", mirror=mirror, nodes=(nodes or 0) + 1)
 
 
+@kept
 def trust_graph(spark: SparkSession, sf_dir: str, mirror: bool = False) -> Graph:
     """Successive events meet within hours; the last event of an hour takes its successor from the next hour that has any."""
     e = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.date_trunc("hour", "ts").alias("hour"))

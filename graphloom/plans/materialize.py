@@ -4,6 +4,10 @@ Iterative plans grow without bound unless each superstep ends in storage.  A ste
 is written as Parquet under ``spark.checkpoint.dir`` rather than kept in executor
 memory, so a lost executor costs nothing but the running task, and the next step
 starts from a plain file scan that AQE can size.
+
+All tables of one Spark application lie in one folder, ``graphloom-<application>``.
+Operators delete what no later plan reads; what a returned DataFrame still reads
+stays until ``clean_up(spark)`` or the end of the application, which delete the folder.
 """
 
 from __future__ import annotations
@@ -16,17 +20,45 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
+_marked: set[str] = set()
+_tables: dict[str, set[str]] = {}
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset (local tests)."""
+    """This application's folder under the one named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one, on a local master only: executors of a cluster do not see it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _fallback:
-        _fallback.append(tempfile.mkdtemp(prefix="graphloom-"))
-        atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
-    return f"file://{_fallback[0]}"
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _fallback:
+            _fallback.append(tempfile.mkdtemp(prefix="graphloom-"))
+            atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
+        named = f"file://{_fallback[0]}"
+    path = f"{named.rstrip('/')}/graphloom-{spark.sparkContext.applicationId}"
+    if path not in _marked:
+        fs, target = _hadoop(spark, path)
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+        _marked.add(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables of this application.  DataFrames that operators have returned cannot be read any more."""
+    for table in _tables.pop(spark.sparkContext.applicationId, set()):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    path = shared_dir(spark)
+    fs, target = _hadoop(spark, path)
+    fs.delete(target, True)
+    _marked.discard(path)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -39,14 +71,25 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete the table behind a ``materialize`` result that no later plan reads."""
-    path = getattr(df, "_graphloom_path", None)
-    if path:
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the tables behind ``materialize`` and ``materialize_bucketed`` results that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_graphloom_path", None)
+        if not path:
+            continue
         spark = df.sparkSession
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        table = getattr(df, "_graphloom_table", None)
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            _tables.get(spark.sparkContext.applicationId, set()).discard(table)
+        fs, target = _hadoop(spark, path)
+        fs.delete(target, True)
+
+
+def passed_on(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, a view of the materialized ``table``, as something that ``discard`` knows."""
+    df._graphloom_path = table._graphloom_path
+    return df
 
 
 def materialize_bucketed(df: DataFrame, column: str, name: str = "table") -> DataFrame:
@@ -55,14 +98,11 @@ def materialize_bucketed(df: DataFrame, column: str, name: str = "table") -> Dat
     table = f"graphloom_{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{table}"
-    df.write.format("parquet").option("path", path).bucketBy(n, column).sortBy(column).saveAsTable(table)
+    df.repartition(n, column).write.format("parquet").option("path", path).bucketBy(n, column).sortBy(column).saveAsTable(table)
+    _tables.setdefault(spark.sparkContext.applicationId, set()).add(table)
     out = spark.table(table)
     out._graphloom_path, out._graphloom_table = path, table
     return out
 
 
-def discard_table(df: DataFrame | None) -> None:
-    """Drop the table behind a ``materialize_bucketed`` result, and its files."""
-    if df is not None:
-        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._graphloom_table}")
-        discard(df)
+discard_table = discard
