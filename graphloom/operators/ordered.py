@@ -77,16 +77,18 @@ def ordered_process(
             ready = ready & (F.col("key") <= goal["key"]) & (F.col("id") != dest)
             if not waiting.where(ready).head(1):
                 break
-        after, seen = waiting, known
+        afters = [waiting]
         for _ in range(rounds):
-            after = step(after, seen, ready)
-            seen = [*seen, after]
-        waiting = materialize(after, "waiting")
-        known.append(waiting)
+            afters.append(step(afters[-1], [*known, *afters[1:]], ready))
+        # what earlier rounds found is known too, but only what the last one left waits
+        found = [t.withColumn("waits", F.lit(i == rounds)) for i, t in enumerate(afters[1:], 1)]
+        table = materialize(reduce(DataFrame.unionByName, found), "waiting")
+        waiting = table.where("waits").drop("waits")
+        known.append(table)
         if len(known) >= 8:
             merged = materialize(reduce(DataFrame.unionByName, [t.select("id", "value") for t in known]).groupBy("id").agg(F.min("value").alias("value")), "known")
             discard(*known[:-1])
-            known = [merged, waiting]
+            known = [merged, table]
     return reduce(DataFrame.unionByName, [t.select("id", "value") for t in known]).groupBy("id").agg(F.min("value").alias("value"))
 
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.geo import geo_distance
-from graphloom.graph import squish, symmetrize
+from graphloom.functions.geo import estimates_to, geo_distance
+from graphloom.graph import Graph, squish, symmetrize
 from graphloom.operators.betweenness import betweenness
 from graphloom.operators.bfs import bfs, bfs_all, bfs_stats
 from graphloom.operators.components import component_sizes, connected_components
-from graphloom.operators.counters import add_counts, pack, scan, summary, top_keys
+from graphloom.operators.counters import add_counts, merge_counts, pack, reduce_values, scan, summary, top_keys
 from graphloom.operators.frontier import edge_map, vertex_filter, vertex_map
 from graphloom.operators.kcore import kcore, kcore_stats
 from graphloom.operators.ordered import astar, ordered_process, ppsp, sssp
@@ -20,7 +21,10 @@ from graphloom.operators.pagerank import pagerank, top_scores
 from graphloom.operators.recommend import recommend, trust_circle
 from graphloom.operators.triangles import triangle_count
 from graphloom.plans.inputs import CHAIN, ORDER, RATE, TRUST, chain_graph, order_graph, rate_graph, trust_graph
+from graphloom.plans.materialize import shared_dir
 from graphloom.sources.generators import kronecker, random_weights, uniform
+from graphloom.sources.readers import read_graph
+from graphloom.sources.writers import write_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,9 +42,83 @@ def _coordinates(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select("id", (F.col("id") % 180 / 180.0).alias("lat"), (F.col("id") % 360 / 360.0).alias("lon"))
 
 
+#: Centimetres in a unit of way and estimate in the A* query.
+GEO_UNIT = 10_000_000
+
+
 def _astar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A* on the order graph laid out on a globe: the way along an arc is its weight and the distance of its ends.
+
+    Distances in whole units are rounded up on arcs and down in estimates, so no estimate exceeds the way.
+    """
     g = order_graph(spark, sf_dir, True)
-    return astar(g, SOURCE, DEST, g.vertices().select("id", F.lit(0).cast("long").alias("hint")))
+    places = _coordinates(spark, g.nodes)
+    a, b = (places.select(F.col("id").alias(end), F.col("lat").alias(f"lat_{end}"), F.col("lon").alias(f"lon_{end}")) for end in ("src", "dst"))
+    way = F.ceil(geo_distance(F.col("lat_src"), F.col("lon_src"), F.col("lat_dst"), F.col("lon_dst")) / GEO_UNIT)
+    laid = Graph(g.edges.join(a, "src").join(b, "dst").select("src", "dst", (F.col("weight") + way).cast("long").alias("weight")), g.nodes, False)
+    hints = estimates_to(places, DEST).select("id", F.expr(f"hint div {GEO_UNIT}").alias("hint"))
+    return astar(laid, SOURCE, DEST, hints, delta=64)
+
+
+def _through(kind: str, mirror: bool = False) -> Query:
+    """The trust graph (weights 1 + (src + 2 dst) % 7) written in a format and read again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = trust_graph(spark, sf_dir, mirror)
+        edges = g.edges.select("src", "dst", (F.lit(1) + (F.col("src") + F.col("dst") * (1 if mirror else 2)) % 7).cast("long").alias("weight"))
+        g = Graph(edges, g.nodes, g.directed)
+        path = f"{shared_dir(spark)}/format-{uuid.uuid4().hex}.{kind}"
+        if kind in ("gr", "graph", "mtx", "adj"):
+            _lines_of(g, kind).orderBy("at", "src", "dst").coalesce(1).select("line").write.text(path)
+        else:
+            write_graph(g, path)
+        return read_graph(spark, path).edges
+
+    return run
+
+
+def _lines_of(g: Graph, kind: str) -> DataFrame:
+    """``at, src, dst, line``: a graph as lines of a text format that has no writer, in an order by the first three."""
+    spark, m = g.spark, g.edges.count()
+
+    def lines(at: int, rows: DataFrame, line: F.Column, src="src", dst="dst") -> DataFrame:
+        return rows.select(F.lit(at).alias("at"), F.col(src).cast("long").alias("src"), (F.col(dst) if isinstance(dst, str) else dst).cast("long").alias("dst"), line.cast("string").alias("line"))
+
+    none, one = F.lit(0), spark.range(1)
+    head = {
+        "gr": [f"c {m} arcs", f"p sp {g.nodes} {m}"],
+        "graph": ["% weighted", f"{g.nodes} {m} 1"],
+        "mtx": ["%%MatrixMarket matrix coordinate integer general", "% arcs", f"{g.nodes} {g.nodes} {m}"],
+        "adj": ["WeightedAdjacencyGraph", str(g.nodes), str(m)],
+    }[kind]
+    out = lines(0, one, F.lit(head[0]), "id", none)
+    for i, x in enumerate(head[1:], 1):
+        out = out.unionByName(lines(i, one, F.lit(x), "id", none))
+    if kind == "gr":
+        return out.unionByName(lines(9, g.edges, F.concat_ws(" ", F.lit("a"), "src", "dst", "weight")))
+    if kind == "mtx":
+        return out.unionByName(lines(9, g.edges, F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1, "weight")))
+    if kind == "graph":
+        near = g.edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct((F.col("dst") + 1).alias("v"), "weight"))).alias("near"))
+        text = F.concat_ws(" ", F.transform("near", lambda x: F.concat_ws(" ", x["v"], x["weight"])))
+        return out.unionByName(lines(9, g.vertices().join(near, F.col("id") == F.col("src"), "left"), F.coalesce(text, F.lit("")), "id", none))
+    parts = lines(7, g.vertex_offsets(), F.col("offset"), "id", none).unionByName(lines(8, g.edges, F.col("dst"))).unionByName(lines(9, g.edges, F.col("weight")))
+    return out.unionByName(parts)
+
+
+def _weights_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random weights: how many arcs, how many within 1 .. 255, how many like their mirror, and whether they vary."""
+    edges = random_weights(order_graph(spark, sf_dir, True)).edges
+    back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("weight").alias("other"))
+    return edges.join(back, ["src", "dst"]).agg(
+        F.count(F.lit(1)).alias("arcs"), F.count_if(F.col("weight").between(1, 255)).alias("within"), F.count_if(F.col("weight") == F.col("other")).alias("alike"), (F.countDistinct("weight") > 100).alias("varied")
+    )
+
+
+def _sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-step neighbourhoods in SQL over a graph's views."""
+    trust_graph(spark, sf_dir).create_views("trust_vertices", "trust_edges")
+    return spark.sql("SELECT v.id, count(DISTINCT b.dst) AS within_two FROM trust_vertices v LEFT JOIN trust_edges a ON a.src = v.id LEFT JOIN trust_edges b ON b.src = a.dst GROUP BY v.id")
 
 
 def _bc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +162,7 @@ def queries() -> dict[str, Query]:
         "sssp_delta": lambda s, d: sssp(order_graph(s, d, True), SOURCE, delta=8, merge_buckets=2),
         "sssp_chain": lambda s, d: sssp(chain_graph(s, d), CHAIN_HEAD),
         "sssp_reached": lambda s, d: sssp(order_graph(s, d, True), SOURCE).agg(F.count("dist").alias("reached"), F.max("dist").alias("farthest")),
-        "ppsp_dist": lambda s, d: ppsp(order_graph(s, d, True), SOURCE, DEST, delta=8),
+        "ppsp_dist": lambda s, d: ppsp(order_graph(s, d, True), SOURCE, DEST),
         "astar_dist": _astar,
         "ordered_process_min": lambda s, d: ordered_process(g := order_graph(s, d, True), g.vertices().where(f"id in ({SOURCE}, {DEST})").select("id", F.lit(0).cast("long").alias("value")), relax=lambda v, w: F.greatest(v, w)),
         "geo_distance": lambda s, d: _coordinates(s, 1000).select("id", F.round(geo_distance(F.col("lat"), F.col("lon"), F.lit(0.5), F.lit(0.25)) / 1000).cast("long").alias("metres10")),
@@ -103,9 +181,19 @@ def queries() -> dict[str, Query]:
         "recommend_top5": lambda s, d: recommend(trust_graph(s, d), rate_graph(s, d), TRUST_SOURCE),
         "edge_map": lambda s, d: edge_map(g := trust_graph(s, d), vertex_filter(g.vertices(), F.col("id") % 3 == 0), combine=F.sum),
         "vertex_filter": lambda s, d: vertex_filter(vertex_map(trust_graph(s, d).out_degrees(), even=F.col("degree") % 2 == 0), F.col("even")),
-        "gen_kronecker": lambda s, d: kronecker(s, 10).stats(),
-        "gen_uniform": lambda s, d: uniform(s, 10).stats(),
-        "gen_weights": lambda s, d: random_weights(order_graph(s, d, True)).edges,
+        "sssp_fused": lambda s, d: sssp(order_graph(s, d, True), SOURCE, rounds=2),
+        "ppsp_fused": lambda s, d: ppsp(order_graph(s, d, True), SOURCE, DEST, delta=8, rounds=2),
+        "kcore_peel": lambda s, d: kcore(trust_graph(s, d, True), "peel"),
+        "recommend_padded": lambda s, d: recommend(trust_graph(s, d), rate_graph(s, d), TRUST_SOURCE, above=5, pad=True),
+        "counter_merge": lambda s, d: merge_counts(*(add_counts(trust_graph(s, d).edges.withColumnRenamed(end, "key")) for end in ("src", "dst"))),
+        "counter_reduce": lambda s, d: reduce_values(order_graph(s, d).in_degrees().withColumnRenamed("degree", "value")),
+        "edge_map_cond": lambda s, d: edge_map(g := trust_graph(s, d), g.vertices(), update=lambda met: met["weight"] + met["id"], combine=F.max, cond=vertex_filter(g.out_degrees(), F.col("degree") % 2 == 0)),
+        "sql_views": _sql_views,
+        **{f"format_{kind}": _through(kind) for kind in ("el", "wel", "gr", "graph", "mtx", "adj", "sg", "wsg", "parquet")},
+        "format_wsg_mirrored": _through("wsg", True),
+        "gen_kronecker": lambda s, d: add_counts(kronecker(s, 10).out_degrees().withColumnRenamed("degree", "key")),
+        "gen_uniform": lambda s, d: add_counts(uniform(s, 10).out_degrees().withColumnRenamed("degree", "key")),
+        "gen_weights": _weights_kept,
     }
 
 
@@ -143,6 +231,34 @@ h1 AS (SELECT DISTINCT dst AS id FROM g WHERE src = {TRUST_SOURCE}), h2 AS (SELE
 circle AS (SELECT id FROM h1 UNION SELECT id FROM h2 UNION SELECT id FROM h3)"""
 
 
+_BC_DEPTH = 16
+_BC_SOURCES = "1, 2, 3, 5"
+#: Depths by rounds that carry every pair, then path counts level by level, then shares from the deepest level up.
+_BC = f"""
+dr(k, s, id, value) AS (SELECT 0, id, id, CAST(0 AS BIGINT) FROM v WHERE id IN ({_BC_SOURCES})
+  UNION ALL SELECT k + 1, s, id, min(value) FROM (SELECT k, s, e.dst AS id, r.value + 1 AS value FROM dr r JOIN g e ON r.id = e.src UNION ALL SELECT k, s, id, value FROM dr) WHERE k < {_BC_DEPTH} GROUP BY k, s, id),
+dep AS (SELECT s, id, value FROM dr WHERE k = {_BC_DEPTH}),
+pc(k, s, id, paths) AS (SELECT CAST(0 AS BIGINT), id, id, CAST(1 AS DOUBLE) FROM v WHERE id IN ({_BC_SOURCES})
+  UNION ALL SELECT k + 1, pc.s, g.dst, sum(paths) FROM pc JOIN g ON g.src = pc.id JOIN dep ON dep.s = pc.s AND dep.id = g.dst AND dep.value = k + 1 GROUP BY k, pc.s, g.dst),
+paths AS MATERIALIZED (SELECT k, s, id, paths FROM pc),
+""" + ",\n".join(
+    [f"sh{_BC_DEPTH} AS MATERIALIZED (SELECT s, id, paths, CAST(0 AS DOUBLE) AS share FROM paths WHERE k = {_BC_DEPTH})"]
+    + [
+        f"sh{k} AS MATERIALIZED (SELECT p.s, p.id, p.paths, coalesce(sum(p.paths / c.paths * (1 + c.share)), 0) AS share FROM paths p LEFT JOIN (SELECT g.src, c.s, c.paths, c.share FROM g JOIN sh{k + 1} c ON c.id = g.dst) c ON c.src = p.id AND c.s = p.s WHERE p.k = {k} GROUP BY p.s, p.id, p.paths)"
+        for k in range(_BC_DEPTH - 1, -1, -1)
+    ]
+)
+_BC += ",\ntotal AS (SELECT id, sum(share) AS share FROM (" + " UNION ALL ".join(f"SELECT id, share FROM sh{k}" for k in range(_BC_DEPTH + 1)) + ") GROUP BY id)"
+_GEO = f"""
+place AS (SELECT id, id % 180 / 180.0::DOUBLE AS lat, id % 360 / 360.0::DOUBLE AS lon FROM v),
+laid AS (SELECT src, dst, weight + CAST(ceil(2 * atan2(sqrt(h), sqrt(1 - h)) * 637100000.0::DOUBLE / {GEO_UNIT}) AS BIGINT) AS weight FROM (
+  SELECT src, dst, weight, pow(sin((b.lat - a.lat) * 0.5::DOUBLE), 2) + pow(sin((b.lon - a.lon) * 0.5::DOUBLE), 2) * cos(a.lat) * cos(b.lat) AS h FROM u JOIN place a ON a.id = src JOIN place b ON b.id = dst))"""
+
+
+def _format_sql(weight: str) -> str:
+    return f"WITH {TRUST} SELECT src, dst, CAST({weight} AS BIGINT) AS weight FROM g"
+
+
 def _stats(name: str, edges: str, per_edge: int, graph: str) -> str:
     return f"(WITH {graph} SELECT n AS nodes, m AS edges, {'true' if per_edge == 1 else 'false'} AS directed, m // n AS degree, '{name}' AS graph FROM n, (SELECT count(*) // {per_edge} AS m FROM {edges}))"
 
@@ -156,7 +272,7 @@ def oracle_sql() -> dict[str, str]:
         "degrees_in": f"WITH {ORDER}, {_IN} SELECT id, value AS degree FROM d",
         "vertex_offsets": f'WITH {ORDER}, {_OUT} SELECT id, CAST(coalesce(sum(value) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM d',
         "relabel_by_degree": f"WITH {ORDER}, {_DEGREES} SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id DESC) - 1 AS rank FROM deg",
-        "relabeled_edges": f"WITH {ORDER}, {_DEGREES}, k AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id DESC) - 1 AS rank FROM deg) SELECT a.rank AS src, b.rank AS dst, weight FROM u JOIN k a ON a.id = u.src JOIN k b ON b.id = u.dst",
+        "relabeled_edges": f"WITH {ORDER}, {_DEGREES}, k AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY degree DESC, id DESC) - 1 AS rank FROM deg) SELECT a.rank AS src, b.rank AS dst, weight FROM u JOIN k a ON a.id = u.src JOIN k b ON b.id = u.dst",
         "transpose_edges": f"WITH {TRUST} SELECT dst AS src, src AS dst, weight FROM g",
         "largest_node": f"WITH {ORDER} SELECT max(src) AS max_src, max(dst) AS max_dst FROM g",
         "adjacency_lists": f"WITH {TRUST} SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbors FROM g GROUP BY src",
@@ -177,7 +293,20 @@ def oracle_sql() -> dict[str, str]:
         "sssp_chain": f"WITH RECURSIVE {CHAIN}, {_ordered(str(CHAIN_HEAD), 'r.value + e.weight', 'g', 60)} SELECT id, value AS dist FROM best",
         "sssp_reached": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT count(*) AS reached, max(value) AS farthest FROM best",
         "ppsp_dist": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value AS dist FROM best WHERE id = {DEST}",
-        "astar_dist": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value AS dist FROM best WHERE id = {DEST}",
+        "astar_dist": f"WITH RECURSIVE {ORDER}, {_GEO}, {_ordered(str(SOURCE), 'r.value + e.weight', 'laid', 24)} SELECT id, value AS dist FROM best WHERE id = {DEST}",
+        "sssp_fused": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value AS dist FROM best",
+        "ppsp_fused": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value AS dist FROM best WHERE id = {DEST}",
+        "kcore_peel": f"WITH RECURSIVE {TRUST}, {_CORE} SELECT id, coreness FROM core",
+        "bc_scores": f"WITH RECURSIVE {TRUST}, {_BC} SELECT v.id, round(coalesce(share, 0) / (SELECT max(share) FROM total), 6) AS score FROM v LEFT JOIN total ON total.id = v.id",
+        "recommend_padded": f"WITH {TRUST}, {RATE}, {_CIRCLE}, best AS (SELECT rate.dst AS item, count(*) AS votes FROM circle JOIN rate ON rate.src = circle.id, rn WHERE circle.id < rn.n AND rate.weight > 5 GROUP BY rate.dst), "
+        "filled AS (SELECT * FROM best UNION ALL SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM range(5)) SELECT item, votes FROM filled ORDER BY votes DESC, item DESC LIMIT 5",
+        "counter_merge": f"WITH {TRUST} SELECT key, count(*) AS value FROM (SELECT src AS key FROM g UNION ALL SELECT dst FROM g) GROUP BY key",
+        "counter_reduce": f"WITH {ORDER}, {_IN} SELECT CAST(sum(value) AS BIGINT) AS sum, min(value) AS least, max(value) AS most, count(value) AS n FROM d",
+        "edge_map_cond": f"WITH {TRUST}, {_OUT} SELECT dst AS id, max(weight + src) AS value FROM g JOIN d ON d.id = g.dst WHERE d.value % 2 = 0 GROUP BY dst",
+        "sql_views": f"WITH {TRUST} SELECT v.id, count(DISTINCT b.dst) AS within_two FROM v LEFT JOIN g a ON a.src = v.id LEFT JOIN g b ON b.src = a.dst GROUP BY v.id",
+        **{f"format_{kind}": _format_sql("1" if kind in ("el", "sg") else "1 + (src + dst * 2) % 7") for kind in ("el", "wel", "gr", "graph", "mtx", "adj", "sg", "wsg", "parquet")},
+        "format_wsg_mirrored": f"WITH {TRUST} SELECT src, dst, CAST(1 + (src + dst) % 7 AS BIGINT) AS weight FROM u",
+        "gen_weights": f"WITH {ORDER} SELECT count(*) AS arcs, count(*) AS within, count(*) AS alike, true AS varied FROM u",
         "ordered_process_min": f"WITH RECURSIVE {ORDER}, {_ordered(f'{SOURCE}, {DEST}', 'greatest(r.value, e.weight)')} SELECT id, value FROM best",
         "geo_distance": "WITH p AS (SELECT i AS id, i % 180 / 180.0::DOUBLE AS lat, i % 360 / 360.0::DOUBLE AS lon FROM range(1000) t(i)), "
         "s AS (SELECT id, pow(sin((0.5::DOUBLE - lat) / 2), 2) + pow(sin((0.25::DOUBLE - lon) / 2), 2) * cos(lat) * cos(0.5::DOUBLE) AS s FROM p) SELECT id, CAST(round(2 * atan2(sqrt(s), sqrt(1 - s)) * 637100000.0::DOUBLE / 1000) AS BIGINT) AS metres10 FROM s",

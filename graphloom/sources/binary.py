@@ -7,15 +7,16 @@ Files are read through ``pyarrow.fs``, which reaches local and remote stores.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.plans.materialize import materialize
 
 #: Magic number and earth radius (cm) of the geo format.
 GEO_MAGIC, GEO_RADIUS_CM = 0x150842A7, 637_100_000.0
@@ -23,7 +24,11 @@ _EDGES = "src long, dst long, weight long"
 
 
 def open_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    """The file system of a URI or local path, and the place in it; Hadoop's names of S3 stand for ``s3``."""
+    scheme, there, rest = path.partition("://")
+    if not there:
+        return pyarrow.fs.FileSystem.from_uri(f"file://{path.removeprefix('file:')}")
+    return pyarrow.fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
 
 
 def _array(fs, path: str, offset: int, n: int, dtype) -> np.ndarray:
@@ -65,31 +70,62 @@ def read_serialized(spark: SparkSession, path: str, weighted: bool = False, vert
     return Graph(spark.range(0, parts, 1, max(1, parts)).mapInArrow(read, _EDGES), n, directed)
 
 
-def read_geo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Geo graph: ``(edges, coordinates)``; weights are centimetres, coordinates radians (id, lat, lon).
-
-    Records are of different lengths without an index, so one pass over the file finds them; it is a single task.
-    """
+def _geo_chunks(spark: SparkSession, path: str, vertices_each: int = 1 << 16) -> DataFrame:
+    """``first, count, offset`` of runs of records: one task passes over the file once and reads only their lengths."""
 
-    def records(batches: Iterator[pa.RecordBatch], coordinates: bool) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _ in batch["id"].to_pylist():
                 fs, where = open_fs(path)
-                with fs.open_input_stream(where) as f:
-                    magic, n = np.frombuffer(f.read(8), "<u4")
+                starts = [8]
+                with fs.open_input_stream(where, buffer_size=1 << 20) as f:
+                    magic, n = struct.unpack("<II", f.read(8))
                     if magic != GEO_MAGIC:
                         raise ValueError("not a geo graph")
+                    at = 8
                     for u in range(n):
-                        lat, lon = np.frombuffer(f.read(16), "<f8")
-                        k = int(np.frombuffer(f.read(4), "<u4")[0])
-                        dst, angle = np.frombuffer(f.read(4 * k), "<u4"), np.frombuffer(f.read(8 * k), "<f8")
-                        if coordinates:
-                            yield pa.RecordBatch.from_arrays([pa.array([u], pa.int64()), pa.array([lat]), pa.array([lon])], names=["id", "lat", "lon"])
-                        elif k:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, u, np.int64)), pa.array(dst.astype(np.int64)), pa.array((angle * GEO_RADIUS_CM).astype(np.int64))], names=["src", "dst", "weight"])
+                        k = struct.unpack("<I", f.read(20)[16:])[0]
+                        f.read(12 * k)
+                        at += 20 + 12 * k
+                        if (u + 1) % vertices_each == 0 and u + 1 < n:
+                            starts.append(at)
+                first = np.arange(len(starts), dtype=np.int64) * vertices_each
+                count = np.minimum(vertices_each, n - first)
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(count), pa.array(starts, pa.int64()), pa.array([*starts[1:], at], pa.int64())], names=["first", "count", "offset", "stop"])
+
+    return materialize(spark.range(1).mapInArrow(find, "first long, count long, offset long, stop long"), "records")
+
 
-    one = spark.range(1)
-    return one.mapInArrow(lambda b: records(b, False), _EDGES), one.mapInArrow(lambda b: records(b, True), "id long, lat double, lon double")
+def read_geo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Geo graph: ``(edges, coordinates)``; weights are centimetres, coordinates radians (id, lat, lon).
+
+    Records are of different lengths without an index, so a first pass finds where runs of 65,536 of them begin;
+    tasks then read a run each.
+    """
+    chunks = _geo_chunks(spark, path)
+    chunks = chunks.repartition(max(1, chunks.count()), "first")
+
+    def records(batches: Iterator[pa.RecordBatch], coordinates: bool) -> Iterator[pa.RecordBatch]:
+        fs, where = open_fs(path)
+        for batch in batches:
+            for first, count, offset, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = _array(fs, where, offset, stop - offset, np.uint8).tobytes()
+                at, places, degree, dst, angle = 0, [], [], [], []
+                for _ in range(count):
+                    lat, lon, k = struct.unpack_from("<ddI", data, at)
+                    places.append((lat, lon))
+                    degree.append(k)
+                    dst.append(np.frombuffer(data, "<u4", k, at + 20))
+                    angle.append(np.frombuffer(data, "<f8", k, at + 20 + 4 * k))
+                    at += 20 + 12 * k
+                ids = np.arange(first, first + count)
+                if coordinates:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array([p[i] for p in places], pa.float64()) for i in (0, 1))], names=["id", "lat", "lon"])
+                elif count:
+                    weight = (np.concatenate(angle) * GEO_RADIUS_CM).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, degree)), pa.array(np.concatenate(dst).astype(np.int64)), pa.array(weight)], names=["src", "dst", "weight"])
+
+    return chunks.mapInArrow(lambda b: records(b, False), _EDGES), chunks.mapInArrow(lambda b: records(b, True), "id long, lat double, lon double")
 
 
 def read_binary_adjacency(spark: SparkSession, config: str, adjacency: str, index: str, weighted: bool = False) -> DataFrame:
@@ -118,4 +154,5 @@ def read_binary_adjacency(spark: SparkSession, config: str, adjacency: str, inde
 
 
 def coordinates(spark: SparkSession, path: str) -> DataFrame:
-    return read_geo(spark, path)[1].withColumn("id", F.col("id"))
+    """``id, lat, lon`` of a geo graph."""
+    return read_geo(spark, path)[1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
@@ -17,17 +17,26 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"))
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their position in the file.
+def _numbered(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """``n, line``: the lines (those that ``keep``) with their number among them, for formats in which it matters.
 
-    Offsets come from the reader's partitions in order (``zipWithIndex`` counts each partition, then numbers it), for
-    formats in which a line's meaning depends on its number.
+    Lines are counted by block of a file, the blocks' counts are summed up in order, and a line's number is its
+    block's sum and its place there.  Rows stay in the JVM and are not shuffled but for the table of blocks.
     """
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rows, "n long, line string")
-
-
-def _whole(column) -> F.Column:
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = rows.withColumn("line", F.trim(F.regexp_replace("value", r"\s+", " ")))
+    if keep is not None:
+        rows = rows.where(keep)
+    # a block is read by one task from its first line to its last, so places follow on each other
+    rows = rows.select("file", "block", "line", F.monotonically_increasing_id().alias("place"))
+    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("place").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.select(F.col("file").alias("_f"), F.col("block").alias("_b"), "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("base"))
+    met = rows.join(base, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    return met.select((F.col("base") + F.col("place") - F.col("first")).alias("n"), "line")
+
+
+def _whole(column: Column) -> Column:
     """A weight as a whole number; fractions are cut towards zero."""
     return F.when(column.cast("double") < 0, F.ceil(column.cast("double"))).otherwise(F.floor(column.cast("double"))).cast("long")
 
@@ -51,8 +60,9 @@ def read_dimacs(spark: SparkSession, path: str, one_based: bool = False) -> Data
 
 def read_metis(spark: SparkSession, path: str) -> DataFrame:
     """A line of neighbours for each vertex, counted from 1; format 1 has a weight after each neighbour."""
-    lines = _numbered(spark, path).where(~F.col("line").startswith("%"))
-    first = lines.orderBy("n").head()
+    # lines that are no comments: the header, then one for each vertex
+    lines = _numbered(spark, path, ~F.ltrim(F.col("value")).startswith("%"))
+    first = lines.where("n = 0").head()
     if first is None:
         raise FormatError("no header line")
     header = first["line"].split()
@@ -60,12 +70,8 @@ def read_metis(spark: SparkSession, path: str) -> DataFrame:
     if kind not in (0, 1, 100):
         raise FormatError(f"unknown METIS format {kind}")
     step = 2 if kind == 1 else 1
-    # a vertex is the number of lines before its own that are no comments; there are few of those
-    comments = [r["n"] for r in _numbered(spark, path).where(F.col("line").startswith("%")).select("n").collect()]
-    skipped = sum((F.when(F.col("n") > c, 1).otherwise(0) for c in comments if c > first["n"]), F.lit(0))
-    parts = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
-    body = lines.where(F.col("n") > first["n"]).select((F.col("n") - first["n"] - 1 - skipped).cast("long").alias("src"), parts.alias("parts"))
-    spread = body.where(F.get("parts", F.lit(0)) != "").select("src", F.posexplode("parts").alias("i", "value"), "parts").where(F.col("i") % step == 0)
+    body = lines.where("n > 0 and line <> ''").select((F.col("n") - 1).alias("src"), F.split("line", " ").alias("parts"))
+    spread = body.select("src", F.posexplode("parts").alias("i", "value"), "parts").where(F.col("i") % step == 0)
     weight = _whole(F.get("parts", F.col("i") + 1)) if step == 2 else F.lit(1).cast("long")
     return spread.select("src", (F.col("value").cast("long") - 1).alias("dst"), weight.alias("weight"))
 
@@ -84,11 +90,8 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     size = body.head()["line"].split()
     if size[0] != size[1]:
         raise FormatError("the matrix is not square")
-    # the size line is the first one of the body; an entry that looks like it has the same text and is not dropped
-    same = " ".join(size)
-    entries = _numbered(spark, path).select("n", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("%"))
-    at = entries.where(F.col("line") == same).agg(F.min("n")).head()[0]
-    rows = _edge_rows(entries.where(F.col("n") > at), 0, kind != "pattern")
+    entries = _numbered(spark, path, (F.trim("value") != "") & ~F.ltrim(F.col("value")).startswith("%"))
+    rows = _edge_rows(entries.where("n > 0"), 0, kind != "pattern")
     rows = rows.select((F.col("src") - 1).alias("src"), (F.col("dst") - 1).alias("dst"), "weight")
     if symmetry == "symmetric":
         rows = rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -97,12 +100,13 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """One number a line: a header word, n, m, n offsets, m targets and, with ``Weighted``, m weights."""
-    lines = _numbered(spark, path).select("n", F.trim("line").alias("line")).where("line <> ''")
-    head = [r["line"] for r in lines.orderBy("n").limit(3).collect()]
+    lines = _numbered(spark, path, F.trim("value") != "")
+    head = [r["line"] for r in lines.where("n < 3").orderBy("n").collect()]
     if len(head) < 3 or head[0] not in ("AdjacencyGraph", "WeightedAdjacencyGraph"):
         raise FormatError("no adjacency header")
     n, m = int(head[1]), int(head[2])
-    values = lines.where("n >= 3").select((F.col("n") - 3).alias("i"), F.col("line").cast("long").alias("v"))
+    # the cast is guarded too, for it may be evaluated before the filter
+    values = lines.where("n >= 3").select((F.col("n") - 3).alias("i"), F.when(F.col("n") >= 3, F.col("line").cast("long")).alias("v"))
     offsets = values.where(F.col("i") < n).select(F.col("i").alias("src"), F.col("v").alias("begin"))
     ends = offsets.select((F.col("src") - 1).alias("src"), F.col("begin").alias("end"))
     ranges = offsets.join(ends, "src", "left").select("src", "begin", F.coalesce("end", F.lit(m)).alias("end")).where("end > begin")
@@ -128,8 +132,14 @@ def suffix(path: str) -> str:
 
 
 def read_graph(spark: SparkSession, path: str, format: str | None = None, mirror: bool = False, **options) -> Graph:
-    """Dispatch by ``format`` or suffix: el, wel, gr, graph, mtx, adj, bin (geo), sg, wsg, parquet."""
+    """Dispatch by ``format`` or suffix: el, wel, gr, graph, mtx, adj, config (binary adjacency), bin (geo), sg, wsg, parquet.
+
+    A ``.config`` file has its targets and offsets beside it, in ``.adj`` and ``.idx`` files of the same name.
+    """
     kind = format or suffix(path)
+    if kind == "config":
+        stem = path.removesuffix(".config")
+        return Graph.from_tables(binary.read_binary_adjacency(spark, path, f"{stem}.adj", f"{stem}.idx", **options), weight="weight", mirror=mirror)
     if kind in ("sg", "wsg"):
         return binary.read_serialized(spark, path, kind == "wsg")
     if kind == "parquet":

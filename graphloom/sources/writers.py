@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
@@ -16,29 +19,36 @@ def write_edge_list(graph: Graph, path: str, weighted: bool = False) -> None:
     graph.edges.select(F.concat_ws(" ", *["src", "dst", *["weight"] * weighted]).alias("value")).write.mode("overwrite").text(path)
 
 
+def _packed(rows: DataFrame, cell: list[tuple[str, str]]) -> Iterator[bytes]:
+    """Sorted ``rows`` as bytes of ``cell`` records, packed by the executors; the driver sees blocks in order."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.empty(batch.num_rows, cell)
+            for name, _ in cell:
+                out[name] = np.asarray(batch[name])
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["block"])
+
+    for row in rows.select([name for name, _ in cell]).mapInArrow(pack, "block binary").toLocalIterator(prefetchPartitions=True):
+        yield bytes(row["block"])
+
+
 def write_serialized(graph: Graph, path: str, weighted: bool = False) -> None:
-    """One ``.sg`` / ``.wsg`` file, written by the driver as arcs come in order; nothing is collected."""
+    """One ``.sg`` / ``.wsg`` file.
+
+    Arcs and offsets are sorted and packed by the executors; the driver appends their blocks to the file one after
+    the other, so it holds a block and the file is as fast as one stream.
+    """
     fs, place = open_fs(path)
     cell = [("dst", "<i4"), ("weight", "<i4")] if weighted else [("dst", "<i4")]
 
     def arrays(g: Graph, sink) -> None:
-        total = 0
-        degrees = g.out_degrees().orderBy("id").toLocalIterator(prefetchPartitions=True)
-        offsets = [0]
-        for row in degrees:
-            total += row["degree"]
-            offsets.append(total)
-            if len(offsets) >= 1 << 16:
-                sink.write(np.array(offsets[:-1], "<i8").tobytes())
-                offsets = offsets[-1:]
-        sink.write(np.array(offsets, "<i8").tobytes())
-        held = []
-        for row in g.edges.orderBy("src", "dst").toLocalIterator(prefetchPartitions=True):
-            held.append((row["dst"], row["weight"]) if weighted else (row["dst"],))
-            if len(held) >= 1 << 16:
-                sink.write(np.array(held, cell).tobytes())
-                held = []
-        sink.write(np.array(held, cell).tobytes())
+        # an offset for each vertex, and the end of the last
+        for block in _packed(g.vertex_offsets().orderBy("id"), [("offset", "<i8")]):
+            sink.write(block)
+        sink.write(np.array([arcs], "<i8").tobytes())
+        for block in _packed(g.edges.orderBy("src", "dst"), cell):
+            sink.write(block)
 
     arcs = graph.edges.count()
     with fs.open_output_stream(place, compression=None) as sink:
