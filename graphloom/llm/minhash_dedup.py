@@ -20,7 +20,7 @@ from graphloom.llm._exchange import BLOCK, KeyPacker, repeated_key_counts
 from graphloom.llm._hashing import U, hash_words, mix64
 from graphloom.llm._rows import bound_batches
 from graphloom.operators.components import connected_components
-from graphloom.plans.materialize import discard_table, materialize, materialize_bucketed
+from graphloom.plans.materialize import discard, materialize, materialize_bucketed
 
 _FULL = np.iinfo(np.uint64).max
 
@@ -176,13 +176,14 @@ def _unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
     """(key, size, mass, rep, n, c, part) of the buckets that hold more than one component; ``mass`` is the sum of their set sizes."""
     named = members.join(parts, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", "c", F.coalesce("component", "rep").alias("part"))
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select(F.col("key").alias("_k"), "size", "mass")
-    return named.join(mixed, F.col("key") == F.col("_k")).select("key", "size", "mass", "rep", "n", "c", "part")
+    # merged, so that adaptive execution can split the partition of a large bucket
+    return named.join(mixed.hint("merge"), F.col("key") == F.col("_k")).select("key", "size", "mass", "rep", "n", "c", "part")
 
 
 def _star(members: DataFrame, order, similarity: int) -> DataFrame:
     """Pairs of each member with its bucket's first one (by ``order``) where that is in another component."""
     heads = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "c", "part")).alias("head")).withColumnRenamed("key", "_k")
-    met = members.join(heads, F.col("key") == F.col("_k")).where((F.col("part") != F.col("head.part")) & _near(F.col("n"), F.col("c"), F.col("head.n"), F.col("head.c"), similarity))
+    met = members.join(heads.hint("merge"), F.col("key") == F.col("_k")).where((F.col("part") != F.col("head.part")) & _near(F.col("n"), F.col("c"), F.col("head.n"), F.col("head.c"), similarity))
     return met.select(F.greatest("rep", "head.rep").alias("src"), F.least("rep", "head.rep").alias("dst")).distinct()
 
 
@@ -304,7 +305,8 @@ def near_duplicates(
 
     Null, empty and white-space texts have no shingles and are linked with nothing, and are kept.  Rows that
     repeat an id count as one document with several texts: what is linked with one of them is linked with the id.
-    A null id counts as the largest; such rows are linked through others only.  Other columns are not read.
+    A null id counts as the largest; such rows are linked through others only.  Other columns are not read.  Long
+    texts are read whole; a text and its set have to fit into a worker.  An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -317,40 +319,48 @@ def near_duplicates(
     marks = chosen.select("rep", "marks", "bands").dropDuplicates(["rep"])
     every = chosen.select("rep", "n", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("_k"))
-    members = materialize(every.join(shared, F.col("key") == F.col("_k"), "left_semi"), "members")
+    members = materialize(every.join(shared.hint("merge"), F.col("key") == F.col("_k"), "left_semi"), "members")
     near = materialize(marks.join(members.select("rep").distinct(), "rep", "left_semi"), "marks")
 
     nothing = members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
     parts, links, sets = nothing, None if several is None else _versions(feats, several, equal), None
+    # tables that no plan reads once the components are known
+    done = [members, near, several, links]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        done.append(materialize(df, name))
+        return done[-1]
+
     members = members.withColumn("c", F.col("n"))
     left = members.select("key", "rep", "n", "c", F.col("rep").alias("part"))
     for k in range(rounds):
-        pairs = materialize(_likely(_star(left, F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k)), similarity), near, least), "pairs")
+        pairs = kept(_likely(_star(left, F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k)), similarity), near, least), "pairs")
         if sets is None:
             # bucketed by id, so that the verification of every round leaves the sets where they are
             sets = materialize_bucketed(_sets(near.select(F.col("rep").alias("id")), base, width, None if several is None else equal), "id", "sets")
         more = _verify(pairs, sets, similarity)
-        links = materialize(more if links is None else links.unionByName(more), "links")
-        parts = materialize(connected_components(links), "parts")
-        left = materialize(_unsettled(members, parts), "unsettled")
+        links = kept(more if links is None else links.unionByName(more), "links")
+        parts = connected_components(links)
+        left = kept(_unsettled(members, parts), "unsettled")
         if not left.head(1):
             break
         for _ in range(2 if k == 0 else 0):
             # twice, for what only dropped documents shared is shared no more
-            shared = materialize(_shared_counts(left.select("rep", "n").distinct(), sets), "shared")
+            shared = kept(_shared_counts(left.select("rep", "n").distinct(), sets), "shared")
             members = left.join(shared, F.col("rep") == F.col("owner"), "left").select("key", "rep", "n", F.coalesce("shared", F.lit(0)).alias("c"))
-            members = materialize(members.where(_near(F.col("n"), F.col("c"), F.col("c"), F.col("c"), similarity)), "members")
-            left = materialize(_unsettled(members, parts), "unsettled")
+            members = kept(members.where(_near(F.col("n"), F.col("c"), F.col("c"), F.col("c"), similarity)), "members")
+            left = kept(_unsettled(members, parts), "unsettled")
     if left.head(1):
-        links = materialize(links.unionByName(_settle(left, near, sets, similarity, least, tile)), "links")
-        parts = materialize(connected_components(links), "parts")
+        discard(parts)
+        links = kept(links.unionByName(_settle(left, near, sets, similarity, least, tile)), "links")
+        parts = connected_components(links)
 
-    discard_table(sets)
+    discard(*done, sets)
     whole = equal.join(parts, F.col("rep") == F.col("id"), "left").select(F.col("n").alias("_n"), F.col("a").alias("_a"), F.col("b").alias("_b"), "least", F.coalesce("component", "rep").alias("component_id"))
     if several is not None:
         # a hash may be the least vertex of its component
         named = whole.groupBy("component_id").agg(F.min("least").alias("_least"))
         whole = whole.join(named, "component_id").select("_n", "_a", "_b", F.col("_least").alias("component_id"))
-    out = feats.select("doc_id", "n", "a", "b").join(whole, (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
+    out = feats.select("doc_id", "n", "a", "b").join(whole.hint("merge"), (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

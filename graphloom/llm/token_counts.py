@@ -30,7 +30,8 @@ _ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enume
 class PrefixBpe:
     """Prefix dynamic programming for a BPE with word-end suffix, read from a tokenizer file.
 
-    The normaliser, splitting pattern and added tokens are those the file states; the library itself normalises.
+    The normaliser, splitting pattern and added tokens are those the file states.  The library itself normalises, but
+    for ASCII text that the normaliser would only lower-case (white space, which parts words, is left as it is).
     """
 
     def __init__(self, path: str, bound: int = 500_000):
@@ -43,9 +44,11 @@ class PrefixBpe:
         self.longest = max(map(len, self.vocab))
         self.starts = {t[:i] for t in self.vocab for i in range(1, len(t) + 1)}
         self.normalizer = tokenizers.Tokenizer.from_file(path).normalizer
+        self.plain = self._plain(spec.get("normalizer"))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.added = [t["content"] for t in spec["added_tokens"]]
+        self.added_heads = {x[0] for x in self.added}
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.bound = bound
         self.words: dict[str, int] = _Counts(self)
@@ -135,14 +138,23 @@ class PrefixBpe:
     def pieces(self, text: str) -> Iterator[tuple[str | None, str]]:
         """(added token or None, stretch between them)."""
         at = 0
-        for m in self.added_pattern.finditer(text) if self.added_pattern and "<" in text else ():
+        for m in self.added_pattern.finditer(text) if any(x in text for x in self.added_heads) else ():
             yield None, text[at : m.start()]
             yield m.group(), ""
             at = m.end()
         yield None, text[at:]
 
     def _normal(self, stretch: str) -> str:
-        return stretch.lower() if stretch.isascii() else self.normalizer.normalize_str(stretch) if self.normalizer else stretch
+        if self.normalizer is None:
+            return stretch
+        return stretch.lower() if self.plain and stretch.isascii() else self.normalizer.normalize_str(stretch)
+
+    @staticmethod
+    def _plain(spec: dict | None) -> bool:
+        """Whether all that the normaliser does to ASCII text, as far as words are concerned, is to lower-case it."""
+        steps = spec["normalizers"] if spec and spec["type"] == "Sequence" else [spec] if spec else []
+        spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        return any(x["type"] == "Lowercase" for x in steps) and all(x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or x == spaces for x in steps)
 
     def count(self, text: str) -> int:
         """Tokens of the whole text."""

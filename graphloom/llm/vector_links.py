@@ -10,6 +10,7 @@ on the given vectors.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from graphloom.plans.materialize import materialize
 
 
 def principal_rotation(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(rotation, variances) from second moments over all rows; the driver gets one square matrix a partition."""
+    """(rotation, variances) from second moments over all rows; the driver gets 16 square matrices at most."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, first, n = None, None, 0
@@ -37,12 +38,18 @@ def principal_rotation(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             n += len(x)
         if total is not None:
             cells = np.concatenate([[float(n)], first, total.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["cell", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary())], names=["cells"])
 
-    sums = vectors.select("embedding").mapInArrow(moments, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(x.as_buffer()) for b in batches for x in b["cells"]]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(parts).tobytes()], pa.binary())], names=["cells"])
+
+    # in two steps, so that neither a task nor the driver meets a matrix of every partition
+    sums = vectors.select("embedding").mapInArrow(moments, "cells binary").repartition(16).mapInArrow(added, "cells binary").collect()
     if not sums:
         return np.empty((0, 0)), np.empty(0)
-    cells = np.array([v for _, v in sorted(sums)])
+    cells = sum(np.frombuffer(bytes(r["cells"])) for r in sums)
     d = int((np.sqrt(4 * len(cells) - 3) - 1) / 2)
     n, mean = cells[0], cells[1 : d + 1] / cells[0]
     spread, axes = np.linalg.eigh(cells[d + 1 :].reshape(d, d) / n - np.outer(mean, mean))
@@ -57,6 +64,16 @@ def deal_blocks(variances: np.ndarray, blocks: int) -> tuple[list[np.ndarray], n
     return parts, shares / shares.sum()
 
 
+#: Cells along an axis are fewer, as coordinates of unit vectors lie within 1 and radii are not that small.
+_GRID = 1 << 20
+
+
+def later_cells(axes: int) -> list[tuple[int, ...]]:
+    """A cell's own place and those of the cells beside it that come after it: of each two neighbours, one visits the other."""
+    zero = (0,) * axes
+    return [step for step in itertools.product((-1, 0, 1), repeat=axes) if step >= zero]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     n = len(column)
     return np.asarray(column.flatten(), dtype=np.float64).reshape(n, -1) if n else np.empty((0, 0))
@@ -71,14 +88,15 @@ _CELL = "label long, block int, cell long, home boolean, tile int, id long, weig
 
 
 def link_vectors(
-    vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", blocks: int = 4, tile: int = 2048
+    vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", blocks: int = 4, axes: int = 2, tile: int = 2048
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row: direct links, and the smallest id reachable.
 
     Rows are compared only within equal, non-null labels.  Equal vectors of a label are one class with a weight, so
-    exact copies are never paired.  The range join cuts the strongest axis of a block into cells as wide as the
-    block's radius; a class is at home in its cell and visits the next one, so each pair within the radius meets
-    in exactly one cell of that block, and it is counted only in the first block that is within budget.  A cell
+    exact copies are never paired.  The range join cuts the ``axes`` strongest axes of a block into a grid of cells as
+    wide as the block's radius; a class is at home in its cell and visits those beside it that come later, so each
+    pair within the radius meets in exactly one cell of that block, and it is counted only in the first block that
+    is within budget.  A cell
     of more than ``tile`` classes is cut into tiles that meet pairwise, each in a task of its own.  Tasks put out
     counts and a spanning forest of their links, not the links, so output does not grow with the square of a group.
 
@@ -97,7 +115,7 @@ def link_vectors(
     classes = materialize(used.groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("weight")).withColumn("id", F.monotonically_increasing_id()), "vectors")
     counts = edges = None
     for (size,) in sorted(classes.select(F.size("embedding")).distinct().collect()):
-        found = materialize(_join(classes.where(F.size("embedding") == size), cosine, blocks, tile), "links")
+        found = materialize(_join(classes.where(F.size("embedding") == size), cosine, blocks, axes, tile), "links")
         part_counts = found.where("other is null").select("label", "id", "n")
         part_edges = found.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst"))
         counts = part_counts if counts is None else counts.unionByName(part_counts)
@@ -106,7 +124,8 @@ def link_vectors(
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     total = counts.groupBy("id").agg(F.sum("n").alias("n"))
     named = classes.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), F.col("id").alias("class"), "weight")
-    members = rows.join(named, rows["use"] & (rows["label"] == named["_label"]) & (rows["embedding"] == named["_embedding"]), "left")
+    # merged, so that adaptive execution can split the partition of a vector with many copies
+    members = rows.join(named.hint("merge"), rows["use"] & (rows["label"] == named["_label"]) & (rows["embedding"] == named["_embedding"]), "left")
     members = materialize(members.select("vec_id", "class", "weight"), "members")
     # classes that share a vec_id are one component
     owned = members.where("vec_id is not null and class is not null").select("vec_id", "class").distinct()
@@ -130,7 +149,7 @@ def link_vectors(
     return joined.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def _join(classes: DataFrame, cosine: float, blocks: int, tile: int) -> DataFrame:
+def _join(classes: DataFrame, cosine: float, blocks: int, axes: int, tile: int) -> DataFrame:
     """(label, id, n, other): rows with ``other`` null count links of a class; the others are forest edges."""
     rotation, variances = principal_rotation(classes)
     if not len(variances):
@@ -145,12 +164,15 @@ def _join(classes: DataFrame, cosine: float, blocks: int, tile: int) -> DataFram
             if not len(x):
                 continue
             y = (x / np.linalg.norm(x, axis=1)[:, None]) @ rotation
-            for k, axes in enumerate(parts):
-                cell = np.floor(y[:, axes[0]] / radius[k]).astype(np.int64)
-                for step in (0, 1):
-                    n = len(cell)
+            for k, own in enumerate(parts):
+                cells = [np.floor(y[:, a] / radius[k]).astype(np.int64) for a in own[:axes]]
+                for step in later_cells(len(cells)):
+                    n = len(x)
+                    cell = np.zeros(n, np.int64)
+                    for c, move in zip(cells, step, strict=True):
+                        cell = cell * _GRID + c + move
                     yield pa.RecordBatch.from_arrays(
-                        [batch["label"], pa.array(np.full(n, k, np.int32)), pa.array(cell + step), pa.array(np.full(n, step == 0)), pa.array((_spread(batch["id"])).astype(np.int32)), batch["id"], batch["weight"], batch["embedding"]],
+                        [batch["label"], pa.array(np.full(n, k, np.int32)), pa.array(cell), pa.array(np.full(n, not any(step))), pa.array((_spread(batch["id"])).astype(np.int32)), batch["id"], batch["weight"], batch["embedding"]],
                         names=["label", "block", "cell", "home", "tile", "id", "weight", "embedding"],
                     )
 

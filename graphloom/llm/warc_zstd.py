@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from graphloom.llm._rows import bound_batches
 from graphloom.plans.materialize import materialize, shared_dir
 
-#: Magic number of the dictionary's skippable frame, and of a Zstandard frame.
-_SKIPPABLE, _ZSTD = 0x184D2A5D, 0xFD2FB528
+#: Fixed value: magic number of the dictionary's skippable frame.
+_SKIPPABLE = 0x184D2A5D
 _RECORD_SPACE = uuid.UUID("6f1e3a52-5f3c-5d5e-9a63-1b1c2d3e4f50")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -34,8 +34,14 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, digest: str, url: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_RECORD_SPACE, f'{page_id}\n{digest}\n{url}')}>"
+def record_id(page_id: int | None, digest: str, url: str | None, revisit: bool) -> str:
+    """A response is named by its page and payload, so that revisits can name it; a revisit by its URL too."""
+    name = f"{page_id}\n{digest}" if not revisit and page_id is not None else f"{page_id}\n{digest}\n{url}"
+    return f"<urn:uuid:{uuid.uuid5(_RECORD_SPACE, name)}>"
+
+
+def refers_id(page_id: int, digest: str) -> str:
+    return record_id(page_id, digest, None, False)
 
 
 def _clean(value: str) -> str:
@@ -48,12 +54,12 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     digest = payload_digest(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, url)}", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, url, revisit)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_clean(url)}")
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     if revisit:
-        lines += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {refers_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     lines += [f"X-Payload-Length: {len(payload)}", f"Content-Length: {len(block)}"]
@@ -61,14 +67,14 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 def train_dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict:
-    """A dictionary from archived records; the samples' own bytes where there are too few to train on."""
+    """A dictionary from archived records; one from fixed header lines where there are too few to train on."""
     if sum(map(len, samples)) > 8 * size and len(samples) >= 16:
         try:
             return zstandard.train_dictionary(size, samples)
         except zstandard.ZstdError:
             pass
-    raw = b"".join(samples)[:size]
-    return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    # a dictionary of some fixed text, which any reader takes for one
+    return zstandard.train_dictionary(4096, [b"%s: %d\r\n%s" % (name, 7 * i, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n") for i in range(400) for name in (b"Content-Length", b"WARC-Payload-Digest: sha1", b"<html><head><title>", b"</title></head><body>")])
 
 
 class ArchiveWriter:
@@ -112,17 +118,22 @@ def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _open_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+    """The file system of a URI or local path, and the place in it; Hadoop's names of S3 stand for ``s3``."""
+    scheme, there, rest = uri.partition("://")
+    if not there:
+        return pyarrow.fs.FileSystem.from_uri(f"file://{uri.removeprefix('file:')}")
+    return pyarrow.fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def write_archives(
-    pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", dictionary_bytes: int = 32 << 10, sample_bytes: int = 1 << 20, archive_bytes: int = 256 << 20, level: int = 3, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0
+    pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", dictionary_bytes: int = 32 << 10, sample_bytes: int = 1 << 20, archive_bytes: int = 256 << 20, level: int = 3, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, hot_copies: int = 1 << 12
 ) -> DataFrame:
     """Write every page as a record into archives under ``folder`` (a URI all executors reach); the list of archives.
 
     Of records with equal payloads of at least ``least_bytes`` bytes, the one with the largest page id is the
     response and the others revisit it.  Payloads are compared by SHA-1 and length, summed up as (digest, largest
-    id) before any join, so copies never meet in one task.
+    id) before any join.  Payloads with more than ``hot_copies`` copies are few; their digests are broadcast (up to
+    131,072 of them, beyond that skewed partitions are left to adaptive execution), so their copies never meet in one task.
 
     Each task writes its own archives (a new one after ``archive_bytes``), with a dictionary from its first
     ``sample_bytes`` of records.  Names carry the attempt, and the returned list (``path, records, bytes``) is
@@ -136,7 +147,15 @@ def write_archives(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")
     ).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     largest = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(largest.select(F.col("digest").alias("_d"), F.col("size").alias("_s"), "top"), (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_s")), "left")
+    largest = materialize(largest.select(F.col("digest").alias("_d"), F.col("size").alias("_s"), "top", "n"), "repeated")
+    hot = largest.where(F.col("n") > hot_copies).select(F.col("_d").alias("_hd"), F.col("_s").alias("_hs"), F.col("top").alias("hot_top"))
+    if hot.count() <= 1 << 17:
+        # rows of a hot payload stay where they are; the others' key is spread for them
+        rows = rows.join(F.broadcast(hot), (F.col("digest") == F.col("_hd")) & (F.col("size") == F.col("_hs")), "left").drop("_hd", "_hs")
+        rows = rows.withColumn("digest", F.when(F.col("hot_top").isNull(), F.col("digest")).otherwise(F.concat(F.lit("hot "), F.xxhash64("page_id", "url"))))
+    else:
+        rows = rows.withColumn("hot_top", F.lit(None).cast("long"))
+    joined = rows.join(largest.drop("n").hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_s")), "left").withColumn("top", F.coalesce("hot_top", "top"))
     records = joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
