@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm._rows import bound_batches
@@ -119,8 +119,9 @@ def mix_sources(
 
     ``pieces``: ``slot, source_no, doc_id, doc_begin, doc_end, lap``.  The driver holds one row per source (name,
     words); documents stay distributed.  Sizes are words, runs of bytes that are not ASCII white space.  Null and
-    empty texts have size 0 and are never taken; rows that repeat an id are separate documents (``twin`` numbers
-    exactly repeated rows together, which share what they take equally).  Empty tables give empty parts.
+    empty texts have size 0 and are never taken, null ids are ids; rows that repeat an id are separate documents
+    (``twin`` numbers exactly repeated rows together, which share what they take equally).  Long texts are counted
+    whole.  Other columns are not read.  Empty tables give empty parts.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -163,18 +164,41 @@ def mix_sources(
     return Mix(sources, numbered, pieces.where("doc_end > doc_begin"))
 
 
-def words_taken(mix: Mix) -> DataFrame:
-    """Per document of the input: ``doc_id, size, source_size, target, taken``.
+def _per_row(mix: Mix, *more: Column) -> DataFrame:
+    """``doc_id, twin, size, source_size, target, taken`` for each row of the input, and ``more`` aggregates of its pieces.
 
     Rows that repeat id and text share their words evenly between them, the smaller remainder last.
     """
     key = ["doc_id", "twin", "source_no", "size"]
-    taken = mix.pieces.groupBy(*key).agg(F.sum(F.col("doc_end") - F.col("doc_begin")).alias("taken"))
-    taken = taken.select(*[F.col(k).alias(f"_{k}") for k in key], "taken")
+    taken = mix.pieces.groupBy(*key).agg(F.sum(F.col("doc_end") - F.col("doc_begin")).alias("taken"), *more)
+    extra = [c for c in taken.columns if c not in (*key, "taken")]
+    taken = taken.select(*[F.col(k).alias(f"_{k}") for k in key], "taken", *extra)
     same = F.lit(True)
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     once = mix.sized.groupBy("doc_id", "twin", "source_no", "size", "source_size", "target").agg(F.count(F.lit(1)).alias("rows"))
-    joined = once.join(taken, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "rows")
-    each = joined.select("doc_id", "size", "source_size", "target", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1)).alias("i"), "taken", "rows")
-    return each.select("doc_id", "size", "source_size", "target", F.expr("taken div rows + if(i < taken % rows, 1, 0)").cast("long").alias("taken"))
+    joined = once.join(taken, same, "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    each = joined.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1)))
+    return each.select("doc_id", "twin", "size", "source_size", "target", F.expr("taken div rows + if(i < taken % rows, 1, 0)").cast("long").alias("taken"), *extra)
+
+
+def words_taken(mix: Mix) -> DataFrame:
+    """Per row of the input: ``doc_id, size, source_size, target, taken``.
+
+    Rows that repeat id and text share their words evenly between them, the smaller remainder last.
+    """
+    return _per_row(mix).drop("twin")
+
+
+def texts_taken(mix: Mix, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``words_taken`` with the ``text`` itself and its ``pieces`` (slot, first, last + 1), ranges of words by slot.
+
+    The mixture is the pieces of all texts in the order of their slots.  Rows that repeat id and text carry the
+    pieces of all of them together.
+    """
+    pieces = F.array_sort(F.collect_list(F.struct("slot", F.col("doc_begin").alias("first"), F.col("doc_end").alias("last")))).alias("pieces")
+    rows = _per_row(mix, pieces)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_twin"), F.col(text_col).alias("text")).dropDuplicates(["_id", "_twin"])
+    none = F.array().cast("array<struct<slot:long,first:long,last:long>>")
+    met = rows.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("twin") == F.col("_twin")))
+    return met.select("doc_id", "text", "size", "source_size", "target", "taken", F.coalesce("pieces", none).alias("pieces"))

@@ -12,7 +12,7 @@ import pytest
 import corpus_pipeline
 from graphloom.llm import queries as Q
 from graphloom.llm.ngram_leaks import find_leaks, original_offsets, remove_leaks, words_of
-from graphloom.llm.source_mix import golden_sources, mix_sources, water_fill, words_taken
+from graphloom.llm.source_mix import golden_sources, mix_sources, texts_taken, water_fill, words_taken
 from graphloom.llm.token_counts import PrefixBpe, PrefixCounts, count_tokens, prefix_counts, truncate_to_budget
 from graphloom.llm.toxicity import Likelihood, features_of, fit, grade_toxicity, labelled_sample
 from graphloom.llm.url_rules import Rule, filter_urls, index_rules, parse_rule
@@ -304,6 +304,79 @@ def test_mix(spark):
     assert words_taken(mix_sources(docs.limit(0))).collect() == []
 
 
+def brute_mix(spark, rows, per_block, seed):
+    """Words taken of each row of unique ids, by going through the schedule slot by slot.
+
+    Only the order in which a source's documents are laid out is taken from Spark: its hash of id, size, text and seed.
+    """
+    sized = [(d, t, len((t or "").split())) for d, t, _ in rows]
+    marks = spark.createDataFrame(sized, "doc_id long, text string, size long").selectExpr("doc_id", f"xxhash64(doc_id, size, xxhash64(text), {seed}) AS mark")
+    mark = {r.doc_id: r.mark for r in marks.collect()}
+    size = {d: len((t or "").split()) for d, t, _ in rows}
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    weight = [(3, 1, 2)[i % 3] for i in range(len(names))]
+    own = [sum(size[d] for d, _, s in rows if s == name) for name in names]
+    # the excess of sources at their cap goes to the others by weight, one source at a time
+    target, capped = [0.0] * len(names), set()
+    while True:
+        left = 1.5 * sum(own) - sum(2 * own[i] for i in capped)
+        free = [i for i in range(len(names)) if i not in capped]
+        target = [2.0 * own[i] if i in capped else left * weight[i] / sum(weight[j] for j in free) for i in range(len(names))]
+        over = [i for i in free if target[i] > 2 * own[i] + 1e-9]
+        if not over:
+            break
+        capped.add(over[0])
+    quota = [int(t) for t in target]
+    line = []
+    for name in names:
+        order = sorted((d for d, _, s in rows if s == name and size[d]), key=lambda d: (mark[d], d))
+        line.append([d for _ in range(2) for d in order for _ in range(size[d])])
+    bounds = np.cumsum(np.array(target) / sum(target))
+    need = [-(-q // per_block) for q in quota]
+    got, taken = [0] * len(names), defaultdict(int)
+
+    def take(i):
+        if got[i] < need[i]:
+            for d in line[i][got[i] * per_block : min((got[i] + 1) * per_block, quota[i])]:
+                taken[d] += 1
+        got[i] += 1
+
+    for n in range(sum(need)):
+        point = ((n * 0x9E3779B97F4A7C15) % 2**64 >> 11) / 2**53
+        take(min(int(np.searchsorted(bounds, point, side="right")), len(names) - 1))
+    for i in range(len(names)):
+        while got[i] < need[i]:
+            take(i)
+    return [(d, size[d], own[names.index(s)], target[names.index(s)], taken[d]) for d, _, s in rows]
+
+
+def test_mix_against_brute_force(spark):
+    r = random.Random(15)
+    rows = [(i, " ".join(f"w{r.randrange(99)}" for _ in range(r.randint(0, 90))), r.choices(["a", "b", "B", "ä", None, "tiny"], [9, 3, 3, 2, 2, 0.2])[0]) for i in range(300)]
+    rows += [(400, None, "a"), (401, "", "tiny"), (402, "word " * 6000, "b")]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    mix = mix_sources(docs, block_tokens=32, per_bucket=20)
+    got = sorted(map(tuple, words_taken(mix).collect()))
+    want = sorted(brute_mix(spark, rows, 32, 7))
+    assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want]
+    assert all(abs(x[3] - y[3]) < 1e-6 for x, y in zip(got, want))
+    whole = {x.doc_id: x for x in texts_taken(mix, docs).collect()}
+    text = {d: t for d, t, _ in rows}
+    assert sorted(whole) == sorted(text)
+    for d, x in whole.items():
+        assert x.text == text[d] and sum(p["last"] - p["first"] for p in x.pieces) == x.taken and x.pieces == sorted(x.pieces)
+        assert all(0 <= p["first"] < p["last"] <= x["size"] for p in x.pieces)
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c", "x"), (None, "a b c", "x"), (None, "d e", "x"), (1, "f g", None), (1, "f g", None), (1, None, None)]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    got = words_taken(mix_sources(docs)).collect()
+    assert sorted((repr(x.doc_id), x["size"]) for x in got) == sorted((repr(d), len((t or "").split())) for d, t, _ in rows)
+    assert all(x.taken <= 2 * x["size"] for x in got) and sum(x.taken for x in got) == sum(int(t) for t in {(x.source_size, x.target) for x in got} for t in t[1:])
+    assert len(texts_taken(mix_sources(docs), docs).collect()) == len(rows)
+
+
 # --- op 10
 
 
@@ -349,4 +422,32 @@ def test_pipeline(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {r.doc_id for r in stage["benchmark_decontamination"](spark, kept, sf).collect()}
     assert clean == {d for d, _, hit, _ in brute_leaks(rows, items, 10) if not hit}
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    # the whole run, against the stages one after the other and the mixture by brute force
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(f(spark, docs, sf).collect(), docs.schema)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    got = corpus_pipeline.run(spark, sf).collect()
+    want = {d: (size, taken) for d, size, _, _, taken in brute_mix(spark, rows, 256, 7)}
+    assert {r.doc_id: (r["size"], r.taken) for r in got} == want and {r.doc_id: r.text for r in got} == {d: t for d, t, _ in rows}
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_pipeline_stages_of_odd_rows(spark, sf, number):
+    """Nulls in every column, empty and long texts, repeated rows, extra columns with the operators' names, no rows."""
+    name, stage = corpus_pipeline.STAGES[number]
+    long = " ".join(f"long{i}" for i in range(60_000))
+    rows = [(1, "some plain words", "en", "a", 16), (1, "some plain words", "en", "a", 16), (None, "no id here", None, None, None), (2, None, "en", None, 0), (3, "", None, "b", None), (4, long, "en", "b", len(long)), (None, None, None, None, None), (5, " \n", "de", "", 2)]
+    docs = spark.createDataFrame([(*r, "x", "y", "z", 7, "k") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, n_words string, kept string, component_id long, _kept string")
+    got = stage(spark, docs, sf).collect()
+    key = lambda r: (repr(r.doc_id), repr(r.text))
+    want = {(repr(d), repr(t)): 0 for d, t, *_ in rows}
+    if name == "suffix_array_dedup":
+        assert {key(r) for r in got} == set(want)
+    elif name == "minhash_dedup":
+        assert {key(r) for r in got} == set(want)
+    else:
+        assert sorted(map(key, got)) == sorted((repr(d), repr(t)) for d, t, *_ in rows)
+    assert stage(spark, docs.limit(0), sf).collect() == []
+    assert stage(spark, docs.where("doc_id is null"), sf).count() == 2
