@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.minhash_dedup import near_duplicates
 from graphloom.llm.ngram_leaks import find_leaks
-from graphloom.llm.source_mix import mix_sources, words_taken
+from graphloom.llm.source_mix import mix_sources, texts_taken
 from graphloom.llm.substrings import dedup_byte_strings
 from graphloom.llm.toxicity import fit, grade_toxicity, labelled_sample
 from graphloom.plans.materialize import materialize
@@ -16,7 +16,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a grade over 0 go.  The model is fitted on the labelled documents among ``docs``."""
+    """Documents with a grade over 0 go.  The model is fitted on the labelled documents among ``docs``.
+
+    Rows are judged each for itself; null and empty texts have nothing toxic and stay.  Extra columns are dropped.
+    """
+    docs = docs.select(*COLUMNS)
     model = fit(labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return grade_toxicity(docs, model, carry=COLUMNS).where("not toxic").select("row.*")
 
@@ -24,8 +28,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the least id stays.
 
-    Rows that share an id stay or go together.
+    Rows that share an id stay or go together.  Null and empty texts are copies of nothing and stay, and so do rows with
+    a null id unless they are near copies of one with an id.  Extra columns are dropped.
     """
+    docs = docs.select(*COLUMNS)
     kept = near_duplicates(docs, width=5, similarity=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
 
@@ -34,8 +40,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Strings of 200 bytes that occur twice are cut out.
 
     A cut may fall inside a character; what is left of it goes as well.  Documents with nothing left go, those that
-    were empty before stay as they are.
+    were null or empty before stay as they are.  Extra columns are dropped.
     """
+    docs = docs.select(*COLUMNS)
     done = dedup_byte_strings(docs.withColumn("_none", F.col("text").isNull()), carry=("lang", "source", "n_chars", "_none"), whole_characters=True)
     cut, kept = F.col("n_removed") > 0, F.col("kept").cast("string")
     left = done.where((F.length("kept") > 0) | (F.col("n_bytes") == 0))
@@ -43,14 +50,22 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an occurrence of ten consecutive benchmark words, or of a whole shorter item, go."""
+    """Documents with an occurrence of ten consecutive benchmark words, or of a whole shorter item, go.
+
+    Null and empty texts hold none and stay.  Extra columns are dropped.
+    """
+    docs = docs.select(*COLUMNS)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find_leaks(docs, benchmark, carry=COLUMNS).where(F.size("spans") == 0).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that a mixture of the sources takes of each document."""
-    return words_taken(mix_sources(docs))
+    """The documents with the pieces of them that a mixture of the sources takes, by slot, and their words in all.
+
+    Columns are those of ``texts_taken``.  Documents without words are kept and nothing is taken of them.
+    """
+    docs = docs.select(*COLUMNS)
+    return texts_taken(mix_sources(docs), docs)
 
 
 STAGES = [
