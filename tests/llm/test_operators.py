@@ -16,7 +16,7 @@ from graphloom.llm.source_mix import golden_sources, mix_sources, texts_taken, w
 from graphloom.llm.token_counts import PrefixBpe, PrefixCounts, count_tokens, prefix_counts, truncate_to_budget
 from graphloom.llm.toxicity import Likelihood, features_of, fit, grade_toxicity, labelled_sample
 from graphloom.llm.url_rules import Rule, filter_urls, index_rules, parse_rule
-from graphloom.llm.vector_links import link_vectors
+from graphloom.llm.vector_links import later_cells, link_vectors, paying_axes
 from graphloom.llm.warc_zstd import archive_folder, read_archives, write_archives
 
 CLASH = ", row string, n_words string, spans string, size string"
@@ -273,6 +273,19 @@ def test_vectors_of_repeated_and_null_ids(spark):
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted(((*x, x[0] == x[2]) for x in want), key=repr)
 
 
+@pytest.mark.parametrize("axes", [1, 2, 3, None])
+def test_vectors_in_grids(spark, axes):
+    """Floats, and coordinates of very different spread, in grids of one to three axes."""
+    g = np.random.default_rng(4)
+    spread = np.array([9.0, 7.0, 6.0, 5.0, 5.0, 4.0, 3.0, 3.0, 2.0, 2.0, 1.0, 1.0])
+    base = g.normal(size=(40, 12)) * spread
+    rows = [(i, (base[i % 40] + 0.5 * g.normal(size=12)).astype(np.float32).tolist(), i % 2) for i in range(240)]
+    got = link_vectors(frame(spark, rows, "vec_id long, embedding array<float>, label int"), axes=axes).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_vectors(rows, 0.93)
+    assert paying_axes(np.array([0.125] * 4), 0.187) == 1 and paying_axes(np.array([2.0, 1.0, 0.9, 0.8]), 0.2) == 3
+    assert len(later_cells(2)) == 5 and later_cells(1) == [(0,), (1,)]
+
+
 # --- op 9
 
 
