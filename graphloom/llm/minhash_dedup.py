@@ -216,7 +216,8 @@ def _classes(feats: DataFrame, several: DataFrame | None) -> DataFrame:
     """
     equal = feats.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("least")).where("least is not null")
     if several is None:
-        return equal.withColumn("rep", F.col("least"))
+        # written, so that the last join's sides are exchanges of their own, which adaptive execution can split
+        return materialize(equal.withColumn("rep", F.col("least")), "classes")
     first = equal.groupBy("least").agg(F.min(F.struct("n", "a", "b")).alias("first"))
     rep = F.when(F.struct("n", "a", "b") == F.col("first"), F.col("least")).otherwise(F.xxhash64("least", "n", "a", "b"))
     return materialize(equal.join(first, "least").select("n", "a", "b", "least", rep.alias("rep")), "classes")
