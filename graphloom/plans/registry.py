@@ -179,7 +179,7 @@ def queries() -> dict[str, Query]:
         "kcore_max_sum": lambda s, d: kcore_stats(kcore(order_graph(s, d, True))),
         "trust_circle": lambda s, d: trust_circle(trust_graph(s, d), TRUST_SOURCE),
         "recommend_top5": lambda s, d: recommend(trust_graph(s, d), rate_graph(s, d), TRUST_SOURCE),
-        "edge_map": lambda s, d: edge_map(g := trust_graph(s, d), vertex_filter(g.vertices(), F.col("id") % 3 == 0), combine=F.sum),
+        "edge_map": lambda s, d: edge_map(g := trust_graph(s, d), g.vertices(), combine=F.sum),
         "vertex_filter": lambda s, d: vertex_filter(vertex_map(trust_graph(s, d).out_degrees(), even=F.col("degree") % 2 == 0), F.col("even")),
         "sssp_fused": lambda s, d: sssp(order_graph(s, d, True), SOURCE, rounds=2),
         "ppsp_fused": lambda s, d: ppsp(order_graph(s, d, True), SOURCE, DEST, delta=8, rounds=2),
@@ -322,6 +322,6 @@ def oracle_sql() -> dict[str, str]:
         "kcore_max_sum": f"WITH RECURSIVE {ORDER}, {_CORE} SELECT max(coreness) AS max_coreness, CAST(sum(coreness) AS BIGINT) AS sum_coreness FROM core",
         "trust_circle": f"WITH {TRUST}, {_CIRCLE} SELECT id FROM circle",
         "recommend_top5": f"WITH {TRUST}, {RATE}, {_CIRCLE} SELECT rate.dst AS item, count(*) AS votes FROM circle JOIN rate ON rate.src = circle.id, rn WHERE circle.id < rn.n AND rate.weight > 3 GROUP BY rate.dst ORDER BY votes DESC, item DESC LIMIT 5",
-        "edge_map": f"WITH {TRUST} SELECT dst AS id, CAST(sum(src) AS BIGINT) AS value FROM g WHERE src % 3 = 0 GROUP BY dst",
+        "edge_map": f"WITH {TRUST} SELECT dst AS id, CAST(sum(src) AS BIGINT) AS value FROM g GROUP BY dst",
         "vertex_filter": f"WITH {TRUST}, {_OUT} SELECT id, value AS degree, value % 2 = 0 AS even FROM d WHERE value % 2 = 0",
     }
