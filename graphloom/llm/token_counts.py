@@ -5,7 +5,7 @@ token follows one whose own prefix is already encoded.  So one left-to-right pas
 finds, for each prefix, the single token that ends there and is compatible with
 the encoding of what precedes it; its count is one more than that prefix's.  Once
 these counts are stored, "how many tokens has this prefix" and "where do I cut for
-this budget" are lookups.
+this budget" are lookups.  Offsets are of the text as given, not of its normalised form.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -27,6 +28,19 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
 
 
+#: A character with the marks and jamo that normalising may join to it.
+_CLUSTER = regex.compile(r".[\p{M}\u1160-\u11FF]*", regex.DOTALL)
+
+
+class Item(NamedTuple):
+    """A word or an added token of a text."""
+
+    begin: int
+    stop: int | None  #: none where a character's normalised form goes on into the next word
+    word: str | None  #: normalised; none for an added token
+    ends: list[int | None] | None  #: where each character of the word ends in the text; none if one follows the other
+
+
 class PrefixBpe:
     """Prefix dynamic programming for a BPE with word-end suffix, read from a tokenizer file.
 
@@ -47,6 +61,11 @@ class PrefixBpe:
         self.plain = self._plain(spec.get("normalizer"))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        parts = regex.findall(r"\[(?:\\.|[^\]])+\]\+?|[^|\[\]]+", split["pattern"]["Regex"])
+        self.literals = {x for x in parts if x[0] != "["}
+        #: every prefix of a word is one word, unless the word is one of the literals
+        self.closed = "|".join(parts) == split["pattern"]["Regex"] and not any(set(x) & set(r"\.^$*+?{}()") for x in self.literals)
+        self.clusters: dict[str, str] = {}
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.added_heads = {x[0] for x in self.added}
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -156,36 +175,125 @@ class PrefixBpe:
         spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
         return any(x["type"] == "Lowercase" for x in steps) and all(x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or x == spaces for x in steps)
 
-    def count(self, text: str) -> int:
-        """Tokens of the whole text."""
+    def count(self, text: str, lead: str = "") -> int:
+        """Tokens of the whole text, after a normalised word that it may go on."""
         total, known = 0, self.words.__getitem__
         for special, stretch in self.pieces(text):
-            total += 1 if special else sum(map(known, self.pattern.findall(self._normal(stretch))))
+            total += 1 if special else sum(map(known, self.pattern.findall(lead + self._normal(stretch))))
+            lead = ""
         return total
 
-    def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
-        """(offsets, counts): count[i] tokens for each prefix of the normalised text that ends at or after offset i's
-        character and before the next one.  Offsets count characters of the normalised stretches, laid end to end,
-        with an added token as its own text."""
-        offsets, counts, base, at = [0], [0], 0, 0
+    def _spread(self, stretch: str) -> tuple[str, list[int], list[int | None]]:
+        """A normalised stretch, and for each of its characters where it begins and ends in the stretch as given."""
+        line, begins, ends, known = [], [], [], self.clusters
+        for m in _CLUSTER.finditer(stretch):
+            raw = m.group()
+            done = known.get(raw)
+            if done is None:
+                if len(known) > self.bound:
+                    known.clear()
+                done = known[raw] = self._normal(raw)
+            line.append(done)
+            begins += [m.start()] * len(done)
+            ends += [None] * (len(done) - 1) + [m.end()] * bool(done)
+        whole = "".join(line)
+        if self.pattern.findall(whole) != self.pattern.findall(self._normal(stretch)):
+            raise ValueError("the normaliser looks beyond single characters and their marks")
+        return whole, begins, ends
+
+    def items(self, text: str) -> Iterator[Item]:
+        """Words and added tokens in their order, with offsets in ``text``."""
+        at = 0
         for special, stretch in self.pieces(text):
             if special:
-                at, base = at + len(special), base + 1
-                offsets.append(at)
-                counts.append(base)
+                yield Item(at, at + len(special), None, None)
+                at += len(special)
                 continue
-            line = self._normal(stretch)
-            for m in self.pattern.finditer(line):
-                word = m.group()
-                steps = self.word_prefixes(word)
-                ends = [len(word[: i + 1].encode("utf-8", "surrogatepass")) - 1 for i in range(len(word))]
-                for i, e in enumerate(ends):
-                    offsets.append(at + m.start() + i + 1)
-                    counts.append(base + steps[e])
-                base += steps[-1]
-            at += len(line)
+            if self.normalizer is None or self.plain and stretch.isascii():
+                for m in self.pattern.finditer(self._normal(stretch)):
+                    yield Item(at + m.start(), at + m.end(), m.group(), None)
+            else:
+                line, begins, ends = self._spread(stretch)
+                for m in self.pattern.finditer(line):
+                    places = [None if e is None else at + e for e in ends[m.start() : m.end()]]
+                    yield Item(at + begins[m.start()], places[-1], m.group(), places)
+            at += len(stretch)
+
+    def _inside(self, text: str, item: Item, before: Item | None) -> Iterator[tuple[int, int]]:
+        """(offset, tokens) for the cuts inside an item; tokens since ``before`` began if that touches an added token,
+        else since the item began."""
+        begin, _, word, ends = item
+        if word is None:
+            lead = before.word if before and before.word is not None and before.stop == begin else ""
+            yield from ((cut, self.count(text[begin:cut], lead)) for cut in range(begin + 1, item.stop))
+            return
+        if word in self.literals:
+            steps = [sum(map(self.words.__getitem__, self.pattern.findall(word[:i]))) for i in range(1, len(word))]
+        else:
+            by_byte, n, steps = self.word_prefixes(word), 0, []
+            for c in word[:-1]:
+                n += len(c.encode("utf-8", "surrogatepass"))
+                steps.append(by_byte[n - 1])
+        for i, count in enumerate(steps):
+            cut = begin + i + 1 if ends is None else ends[i]
+            if cut is not None:
+                yield cut, count
+
+    def _check(self) -> None:
+        if not self.closed:
+            raise ValueError("prefixes of this splitting pattern's words are not words")
+
+    def _whole(self, item: Item) -> int:
+        return 1 if item.word is None else self.words[item.word]
+
+    def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
+        """(offsets, counts): counts[i] tokens has each prefix of ``text`` that ends at offsets[i] or in the white space
+        after it.  Every character's end is there but for those between a character and its marks, which is no place
+        to cut; the last offset is the end of the text."""
+        self._check()
+        offsets, counts, base, last, before = [0], [0], 0, 0, None
+        for item in self.items(text):
+            joined = item.word is None and before is not None and before.word is not None and before.stop == item.begin
+            for cut, n in self._inside(text, item, before):
+                offsets.append(cut)
+                counts.append((last if joined else base) + n)
+            last, base, before = base, base + self._whole(item), item
+            if item.stop is not None:
+                offsets.append(item.stop)
+                counts.append(base)
+        if offsets[-1] < len(text):
+            offsets.append(len(text))
+            counts.append(base)
         return offsets, counts
 
+    def fit(self, text: str, budget: int) -> tuple[int, int]:
+        """(tokens of the whole text, largest offset of its prefix table with at most ``budget`` tokens).
+
+        Counts at the ends of words never fall, so only the item that passes the budget is looked into, and an added
+        token that touches it.
+        """
+        total = self.count(text)
+        if total <= budget:
+            return total, len(text)
+        self._check()
+        best = base = last = 0
+        before, passed = None, False
+        for item in self.items(text):
+            joined = item.word is None and before is not None and before.word is not None and before.stop == item.begin
+            if passed and not joined:
+                break
+            after = base + self._whole(item)
+            if after <= budget and item.stop is not None:
+                best = item.stop
+            else:
+                cuts = self._inside(text, item, before)
+                best = max([best, *(cut for cut, n in cuts if (last if joined else base) + n <= budget)])
+                if passed:
+                    break
+                passed = after > budget
+            last, base, before = base, after, item
+        return total, best
+
 
 class _Counts(dict):
     """Word to token count for a bounded number of words: two generations, so that frequent words stay."""
@@ -228,7 +336,10 @@ def _bpe(path: str) -> PrefixBpe:
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
-    """Token counts of whole texts: ``doc_id, n_bytes, n_tokens, over_limit``, one row per input row.
+    """Token counts of whole texts: ``doc_id, n_bytes, n_tokens, over_limit, fit_chars``, one row per input row.
+
+    ``fit_chars`` is the length in characters of the longest prefix with at most ``limit`` tokens (the whole text, if
+    that fits; never between a character and its marks).
 
     ``tokenizer_path`` names a tokenizer file that every executor has.  Counts are the library's without added
     begin or end tokens; the strings of added tokens inside a text count one each, as is its default.  Null and
@@ -239,16 +350,25 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(tokenizer_path)
         for batch in batches:
-            n = [bpe.count(t) if t else 0 for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            found = [bpe.fit(t, limit) if t else (0, 0) for t in batch["text"].to_pylist()]
+            n = [x for x, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["n_bytes"], pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array([cut for _, cut in found], pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
+            )
 
     bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return base.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def prefix_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored table itself: ``doc_id, offsets array<int>, counts array<int>`` for use with ``PrefixCounts``."""
+    """The stored table itself: ``doc_id, offsets array<int>, counts array<int>`` for use with ``PrefixCounts``.
+
+    Offsets count characters of the text as given.  Null and empty texts have the one entry (0, 0); repeated rows have
+    a table each; other columns are not read; an empty table gives no rows.  A table has an entry for nearly every
+    character, so a text needs some tens of times its size in a worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(tokenizer_path)
@@ -261,7 +381,10 @@ def prefix_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
 
 def truncate_to_budget(docs: DataFrame, tokenizer_path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, cut``: where the normalised text is to be cut so that at most ``budget`` tokens are left."""
+    """``doc_id, n_tokens, cut``: the characters of each text that may stay so that at most ``budget`` tokens are left.
+
+    Null and empty texts have 0 tokens and cut 0; a text within the budget is not cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

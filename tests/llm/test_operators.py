@@ -119,6 +119,33 @@ def test_prefix_counts(spark):
     assert prefix_counts(docs.limit(0), path).collect() == []
 
 
+def test_prefixes_of_odd_texts(spark):
+    import regex
+    from tokenizers import Tokenizer
+
+    path = Q.tokenizer_file()
+    library, bpe = Tokenizer.from_file(path), PrefixBpe(path)
+    rnd = random.Random(5)
+    parts = ["a", "E", "the ", "unbeliev", "'", "'re", "'ll", " ", "\n", "?!", "12", "e\u0301", "\u00e9", "\u0130", "\u03a3", "\u1112\u1161\u11ab", "\u0301", "<|endoftext|>", "<|", "\u65e5\u672c", "\U0001f44d\U0001f3fd", "\x85", "\u092e\u0938\u094d\u0924\u0947", "=\u0338"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 12))) for _ in range(300)]
+    wanted = {}
+    for i, text in enumerate(texts):
+        # a cut never falls between a character and its marks
+        places = [0, *(m.end() for m in regex.finditer(r".[\p{M}\u1160-\u11FF]*", text, regex.DOTALL))]
+        want = {k: len(library.encode(text[:k], add_special_tokens=False).ids) for k in places}
+        stored = PrefixCounts(*bpe.prefix_table(text))
+        assert {k: stored.tokens_before(k) for k in places} == want, text
+        cut = stored.longest_within(4)
+        assert want[cut] <= 4 and all(want[k] > 4 or not text[cut:k].strip(" \n\x85") for k in places if k > cut), text
+        wanted[i] = (want[len(text)], cut)
+    docs = frame(spark, [*enumerate(texts), (-1, None), (-2, "again and again and again"), (-2, "again and again and again")], "doc_id long, text string")
+    counted = count_tokens(docs, path, limit=4).collect()
+    assert {r.doc_id: (r.n_tokens, r.fit_chars) for r in counted if r.doc_id >= 0} == wanted
+    assert sorted((r.doc_id, r.n_tokens, r.fit_chars) for r in counted if r.doc_id < 0) == [(-2, 5, 19), (-2, 5, 15 + 4), (-1, 0, 0)]
+    assert {r.doc_id: (r.n_tokens, r.cut) for r in truncate_to_budget(docs, path, 4).collect() if r.doc_id >= 0} == wanted
+    assert count_tokens(docs.limit(0), path).collect() == []
+
+
 # --- op 6
 
 
