@@ -31,6 +31,9 @@ _ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enume
 #: A character with the marks and jamo that normalising may join to it.
 _CLUSTER = regex.compile(r".[\p{M}\u1160-\u11FF]*", regex.DOTALL)
 
+#: White space after a word and before what is no mark of it.
+_GAP = regex.compile(r"(?<=\S)[ \n](?![\p{M}\u1160-\u11FF])")
+
 
 class Item(NamedTuple):
     """A word or an added token of a text."""
@@ -69,6 +72,7 @@ class PrefixBpe:
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.added_heads = {x[0] for x in self.added}
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.parted = not any(set(x) & set(" \n") for x in (*self.added, *self.literals))
         self.bound = bound
         self.words: dict[str, int] = _Counts(self)
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -266,15 +270,30 @@ class PrefixBpe:
             counts.append(base)
         return offsets, counts
 
+    def _blocks(self, text: str, size: int = 1024) -> Iterator[tuple[int, int]]:
+        """A text in stretches that end with a word and go on with white space, so that each is counted for itself."""
+        at = 0
+        while len(text) - at > size and self.parted and (m := _GAP.search(text, at + size)):
+            yield at, m.start()
+            at = m.start()
+        yield at, len(text)
+
     def fit(self, text: str, budget: int) -> tuple[int, int]:
         """(tokens of the whole text, largest offset of its prefix table with at most ``budget`` tokens).
 
-        Counts at the ends of words never fall, so only the item that passes the budget is looked into, and an added
-        token that touches it.
+        Counts at the ends of words never fall, so only the block that passes the budget is looked into.
         """
-        total = self.count(text)
-        if total <= budget:
-            return total, len(text)
+        total, cut = 0, None
+        for begin, stop in self._blocks(text):
+            n = self.count(text[begin:stop])
+            if cut is None and total + n > budget:
+                cut = begin + self._cut(text[begin:stop], budget - total)
+            total += n
+        return total, len(text) if cut is None else cut
+
+    def _cut(self, text: str, budget: int) -> int:
+        """Largest offset with at most ``budget`` tokens in a text that has more: in the item that passes the budget, or
+        in an added token that touches it."""
         self._check()
         best = base = last = 0
         before, passed = None, False
@@ -292,7 +311,7 @@ class PrefixBpe:
                     break
                 passed = after > budget
             last, base, before = base, after, item
-        return total, best
+        return best
 
 
 class _Counts(dict):
