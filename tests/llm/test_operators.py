@@ -138,6 +138,11 @@ def test_prefixes_of_odd_texts(spark):
         cut = stored.longest_within(4)
         assert want[cut] <= 4 and all(want[k] > 4 or not text[cut:k].strip(" \n\x85") for k in places if k > cut), text
         wanted[i] = (want[len(text)], cut)
+        assert bpe.fit(text, 4) == wanted[i]
+    long = "".join(rnd.choices(parts, k=4000))
+    stored = PrefixCounts(*bpe.prefix_table(long))
+    for budget in (0, 100, 1000, 5000, 10**6):
+        assert bpe.fit(long, budget) == (stored.counts[-1], stored.longest_within(budget))
     docs = frame(spark, [*enumerate(texts), (-1, None), (-2, "again and again and again"), (-2, "again and again and again")], "doc_id long, text string")
     counted = count_tokens(docs, path, limit=4).collect()
     assert {r.doc_id: (r.n_tokens, r.fit_chars) for r in counted if r.doc_id >= 0} == wanted
