@@ -152,14 +152,21 @@ class Graph:
         moved = self.edges.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
         return Graph(moved, self.nodes, False)
 
-    def degree_ranks(self) -> DataFrame:
-        """``id, degree, rank``.  Ranks start from counts per degree, so a window never holds more than one degree."""
-        deg = self.out_degrees()
-        sizes = deg.groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
+    def degree_ranks(self, width: int = 1 << 16) -> DataFrame:
+        """``id, degree, rank``.  Ranks start from counts per degree and, in it, per range of ``width`` ids, so that no
+        window holds more than such a range, however many vertices share a degree."""
+        deg = self.out_degrees().withColumn("part", F.expr(f"id div {width}"))
+        counts = deg.groupBy("degree", "part").agg(F.count(F.lit(1)).alias("n"))
         above = Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)
-        base = sizes.select("degree", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("base"))
-        within = Window.partitionBy("degree").orderBy(F.desc("id"))
-        return deg.join(base, "degree").select("id", "degree", (F.col("base") + F.row_number().over(within) - 1).alias("rank"))
+        base = counts.groupBy("degree").agg(F.sum("n").alias("n")).select("degree", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("base"))
+        higher = Window.partitionBy("degree").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+        first = counts.select("degree", "part", F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("first")).join(base, "degree")
+        within = Window.partitionBy("degree", "part").orderBy(F.desc("id"))
+        return deg.withColumn("nth", F.row_number().over(within) - 1).join(first, ["degree", "part"]).select("id", "degree", (F.col("base") + F.col("first") + F.col("nth")).alias("rank"))
+
+    def segments(self, width: int, end: str = "dst") -> DataFrame:
+        """The edges with ``segment``: the number of the range of ``width`` ids that their ``end`` lies in."""
+        return self.edges.withColumn("segment", F.expr(f"{end} div {int(width)}"))
 
     def pick_sources(self, k: int = 1, seed: int = 27491095) -> DataFrame:
         """``k`` vertices with out-arcs, the same for the same seed."""

@@ -27,15 +27,23 @@ def _oriented(graph: Graph, order: str) -> DataFrame:
     return both.where("n1 < n2 or (n1 = n2 and src < dst)").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-def triangle_count(graph: Graph, strategy: str = "wedge", order: str = "degree") -> DataFrame:
+def triangle_count(graph: Graph, strategy: str = "wedge", order: str = "degree", width: int = 4096) -> DataFrame:
     """One row, ``triangles``.
 
     ``wedge`` closes pairs of arcs out of one vertex with a join, ``intersect`` meets the two ends' lists of
-    out-neighbours edge by edge.  ``order`` orients by ``degree``, ``id`` or, by the degrees' spread, ``auto``.
+    out-neighbours edge by edge, ``segments`` does so for one range of ``width`` ids at a time, so that no list is
+    longer than that.  ``order`` orients by ``degree``, ``id`` or, by the degrees' spread, ``auto``.
     """
+    if strategy not in ("wedge", "intersect", "segments"):
+        raise ValueError(f"no strategy {strategy!r}")
     if graph.directed:
         raise ValueError("triangles are counted in undirected graphs")
     e = _oriented(graph, order)
+    if strategy == "segments":
+        lists = Graph(e, graph.nodes).segments(width, "b").groupBy("a", "segment").agg(F.collect_list("b").alias("out"))
+        p, q = lists.select("a", "segment", F.col("out").alias("p")), lists.select(F.col("a").alias("b"), "segment", F.col("out").alias("q"))
+        met = e.join(p, "a").join(q, ["b", "segment"]).select(F.size(F.array_intersect("p", "q")).cast("long").alias("n"))
+        return met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("triangles"))
     if strategy == "intersect":
         lists = e.groupBy("a").agg(F.collect_list("b").alias("out"))
         p, q = lists.select("a", F.col("out").alias("p")), lists.select(F.col("a").alias("b"), F.col("out").alias("q"))

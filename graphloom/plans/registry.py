@@ -175,6 +175,8 @@ def queries() -> dict[str, Query]:
         "bc_scores": _bc,
         "triangle_count": lambda s, d: triangle_count(order_graph(s, d, True)),
         "triangle_count_intersect": lambda s, d: triangle_count(trust_graph(s, d, True), "intersect", "auto"),
+        "triangle_count_segments": lambda s, d: triangle_count(order_graph(s, d, True), "segments", width=256),
+        "segment_arcs": lambda s, d: order_graph(s, d, True).segments(256).groupBy("segment").agg(F.count(F.lit(1)).alias("arcs"), F.countDistinct("src").alias("sources")),
         "kcore": lambda s, d: kcore(order_graph(s, d, True)),
         "kcore_max_sum": lambda s, d: kcore_stats(kcore(order_graph(s, d, True))),
         "trust_circle": lambda s, d: trust_circle(trust_graph(s, d), TRUST_SOURCE),
@@ -317,6 +319,8 @@ def oracle_sql() -> dict[str, str]:
         "cc_sizes_top5": f"WITH RECURSIVE {CHAIN}, {_LABELS} SELECT component, count(*) AS size FROM label GROUP BY component ORDER BY size DESC, component DESC LIMIT 5",
         "cc_count": f"WITH RECURSIVE {CHAIN}, {_LABELS} SELECT count(DISTINCT component) AS components FROM label",
         "triangle_count": f"WITH {ORDER} SELECT count(*) AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst WHERE a.src < a.dst AND b.src < b.dst",
+        "triangle_count_segments": f"WITH {ORDER} SELECT count(*) AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst WHERE a.src < a.dst AND b.src < b.dst",
+        "segment_arcs": f"WITH {ORDER} SELECT dst // 256 AS segment, count(*) AS arcs, count(DISTINCT src) AS sources FROM u GROUP BY 1",
         "triangle_count_intersect": f"WITH {TRUST} SELECT count(*) AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst WHERE a.src < a.dst AND b.src < b.dst",
         "kcore": f"WITH RECURSIVE {ORDER}, {_CORE} SELECT id, coreness FROM core",
         "kcore_max_sum": f"WITH RECURSIVE {ORDER}, {_CORE} SELECT max(coreness) AS max_coreness, CAST(sum(coreness) AS BIGINT) AS sum_coreness FROM core",

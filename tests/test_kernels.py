@@ -94,6 +94,7 @@ def test_relabel(mirrored):
     deg = pairs(mirrored.out_degrees(), "id", "degree")
     order = sorted(deg, key=lambda i: (-deg[i], -i))
     assert pairs(mirrored.degree_ranks(), "id", "rank") == {i: k for k, i in enumerate(order)}
+    assert pairs(mirrored.degree_ranks(width=7), "id", "rank") == {i: k for k, i in enumerate(order)}
     new = mirrored.relabel_by_degree()
     assert sorted(deg.values(), reverse=True) == [r.degree for r in new.out_degrees().orderBy("id").collect()]
 
@@ -208,12 +209,22 @@ def test_betweenness(directed, arcs):
     assert set(pairs(betweenness(directed, directed.vertices().where("id = 70")), "id", "score").values()) == {0.0}
 
 
+def test_segments(mirrored):
+    found = mirrored.segments(7).collect()
+    assert len(found) == mirrored.edges.count() and all(r.segment == r.dst // 7 for r in found)
+    assert all(r.segment == r.src // 5 for r in mirrored.segments(5, "src").collect())
+
+
 def test_triangles(mirrored, directed, arcs):
     adj = canonical(arcs, True)
     want = sum(1 for u in adj for v in adj[u] if u < v for w in adj[v] if v < w and w in adj[u])
     for strategy in ("wedge", "intersect"):
         for order in ("degree", "id", "auto"):
             assert triangle_count(mirrored, strategy, order).head()[0] == want
+    assert triangle_count(mirrored, "segments", "id", width=7).head()[0] == want
+    assert triangle_count(mirrored, "segments", "degree", width=100).head()[0] == want
+    with pytest.raises(ValueError):
+        triangle_count(mirrored, "none")
     assert worth_relabelling(mirrored) is False
     with pytest.raises(ValueError):
         triangle_count(directed)
