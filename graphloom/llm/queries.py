@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.minhash_dedup import near_duplicates
 from graphloom.llm.ngram_leaks import find_leaks
+from graphloom.llm.piece_chunks import encode_pieces
+from graphloom.llm.schema_rewrite import rewrite_drifted
+from graphloom.llm.source_divergence import audit_sources
 from graphloom.llm.source_mix import mix_sources, words_taken
 from graphloom.llm.substrings import dedup_byte_strings, dedup_word_windows
 from graphloom.llm.token_counts import count_tokens
@@ -79,6 +82,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_pieces(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite_drifted(_table(spark, sf_dir, "clients"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1,
@@ -91,6 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8,
         "op9_source_mix": op9,
         "op10_warc": op10,
+        "op11_sentencepiece": op11,
+        "op12_schema_rewrite": op12,
+        "op13_source_divergence": op13,
     }
 
 
@@ -98,6 +118,7 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _TEXT = "coalesce(text, '')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 _GAP = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LETTERS = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 _OP1 = rf"""
@@ -182,6 +203,25 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM bits
 """
 
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TEXT} AS text FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all({_LOWER.format("text")}, {_LETTERS})) AS term FROM d),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT i, lang, term FROM w) GROUP BY lang, term HAVING count(*) >= 3),
+n AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, count(kept.term) AS v FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN kept USING (lang) GROUP BY g.lang),
+big AS (SELECT lang, sum(n) AS big FROM n GROUP BY lang),
+total AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 1)) // (total + v) AS BIGINT) AS p
+  FROM g JOIN kept USING (lang) JOIN total USING (lang, source) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(big) + any_value(v)) AS BIGINT) AS q FROM n JOIN big USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pair
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM term) WHERE rank <= 200
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries it can express in reasonable time; the others are tested against brute force in tests/llm."""
@@ -192,4 +232,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filter": _OP6,
         "op8_embedding_dedup": _OP8,
         "op10_warc": _OP10,
+        "op13_source_divergence": _OP13,
     }
