@@ -92,13 +92,16 @@ def passed_on(df: DataFrame, table: DataFrame) -> DataFrame:
     return df
 
 
-def materialize_bucketed(df: DataFrame, column: str, name: str = "table") -> DataFrame:
-    """``df`` as a bucketed and sorted table in the shared folder: joins on ``column`` then leave it where it is."""
+def materialize_bucketed(df: DataFrame, column: str, name: str = "table", buckets: int | None = None, exchange: bool = True) -> DataFrame:
+    """``df`` as a bucketed and sorted table in the shared folder: joins on ``column`` then leave it where it is.
+
+    Without ``exchange`` every task writes a file for each bucket that it has rows of, which suits few, large rows.
+    """
     spark = df.sparkSession
     table = f"graphloom_{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{table}"
-    df.repartition(n, column).write.format("parquet").option("path", path).bucketBy(n, column).sortBy(column).saveAsTable(table)
+    (df.repartition(n, column) if exchange else df).write.format("parquet").option("path", path).bucketBy(n, column).sortBy(column).saveAsTable(table)
     _tables.setdefault(spark.sparkContext.applicationId, set()).add(table)
     out = spark.table(table)
     out._graphloom_path, out._graphloom_table = path, table
