@@ -16,14 +16,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm._rows import bound_batches, carried, carried_type, row_of
-from graphloom.plans.materialize import materialize
+from graphloom.plans.materialize import materialize_bucketed
 
 #: Fixed value: the marker that stands for a space.
 MARK = "▁"
@@ -84,6 +83,18 @@ def unpack_numbers(packed: bytes) -> list[np.ndarray]:
     return out
 
 
+def first_seen(codes: np.ndarray, base: int) -> np.ndarray:
+    """Numbers given in order of first appearance, ``base`` of them before: 0 for a new one, else the number and one."""
+    before = np.maximum.accumulate(np.concatenate([[base - 1], codes]))[:-1]
+    return np.where(codes > before, 0, codes + 1)
+
+
+def numbers_of(seen: np.ndarray, base: int) -> np.ndarray:
+    """What ``first_seen`` was made of."""
+    new = seen == 0
+    return np.where(new, base + np.cumsum(new) - 1, seen - 1)
+
+
 def _blocks(path: str, block_bytes: int, parts: int, slots: int):
     """Map side: rows of documents (with the numbers of their chunks) and of a block's distinct chunks by bucket."""
 
@@ -92,69 +103,65 @@ def _blocks(path: str, block_bytes: int, parts: int, slots: int):
         known: dict[str, int] = {}
         kind, size, block = None, 0, uuid.uuid4().hex
 
+        def rows(slot: pa.Array, bodies: list[bytes | None], numbers: list[bytes], extra: pa.Array | None) -> pa.RecordBatch:
+            n = len(numbers)
+            part = zlib.crc32(block.encode()) % parts
+            columns = [pa.array([block] * n, pa.string()), pa.array([part] * n, pa.int32()), slot, pa.array(bodies, pa.binary()), pa.array(numbers, pa.binary())]
+            names = ["block", "part", "slot", "body", "numbers"]
+            return pa.RecordBatch.from_arrays(columns if kind is None else [*columns, extra], names=names if kind is None else [*names, "row"])
+
         def chunk_rows() -> pa.RecordBatch:
-            names = np.array(list(known), object)
+            chunks = np.array(list(known), object)
             slot = np.array([zlib.crc32(c.encode()) % slots for c in known], np.int64)
             order = np.argsort(slot, kind="stable")
             at, first = np.unique(slot[order], return_index=True)
-            part = zlib.crc32(block.encode()) % parts
-            chunks = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), pa.array(names[order], pa.string()))
-            codes = [pack_numbers(order[a:b]) for a, b in zip(first, [*first[1:], len(order)], strict=True)]
-            n = len(at)
-            columns = [pa.array([block] * n, pa.string()), pa.array([part] * n, pa.int32()), pa.array(at, pa.int32()), chunks, pa.array(codes, pa.binary())]
-            names_ = ["block", "part", "slot", "chunks", "numbers"]
-            if kind is not None:
-                columns.append(pa.nulls(n, kind))
-                names_.append("row")
-            return pa.RecordBatch.from_arrays(columns, names=names_)
+            bodies, numbers = [], []
+            for own in np.split(order, first[1:]):
+                bodies.append(zstandard.ZstdCompressor(level=1).compress("".join(chunks[own]).encode()))
+                numbers.append(pack_numbers(np.array([len(c) for c in chunks[own]], np.int64), np.diff(own, prepend=0)))
+            return rows(pa.array(at, pa.int32()), bodies, numbers, None if kind is None else pa.nulls(len(at), kind))
 
         for batch in batches:
-            extra, names = row_of(batch)
+            extra = row_of(batch)[0]
             kind = extra[0].type if extra else None
-            begun, blocks, numbers = 0, [], []
+            begun, numbers = 0, []
             for i, text in enumerate(batch["text"].to_pylist()):
-                found = pieces.split(text or "")
-                put = known.setdefault
-                numbers.append(pack_numbers(np.array([put(c, len(known)) for c in found], np.int64)))
-                blocks.append(block)
+                found, base, put = pieces.split(text or ""), len(known), known.setdefault
+                numbers.append(pack_numbers(np.array([base]), first_seen(np.array([put(c, len(known)) for c in found], np.int64), base)))
                 size += 16 + sum(map(len, found))
                 if size >= block_bytes:
-                    yield _doc_rows(blocks, numbers, [x.slice(begun, i + 1 - begun) for x in extra], names)
+                    yield rows(pa.nulls(len(numbers), pa.int32()), [None] * len(numbers), numbers, extra[0].slice(begun, len(numbers)) if extra else None)
                     if known:
                         yield chunk_rows()
-                    begun, blocks, numbers = i + 1, [], []
+                    begun, numbers = i + 1, []
                     known, size, block = {}, 0, uuid.uuid4().hex
-            if blocks:
-                yield _doc_rows(blocks, numbers, [x.slice(begun) for x in extra], names)
+            if numbers:
+                yield rows(pa.nulls(len(numbers), pa.int32()), [None] * len(numbers), numbers, extra[0].slice(begun) if extra else None)
         if known:
             yield chunk_rows()
 
     return run
 
 
-def _doc_rows(blocks: list[str], numbers: list[bytes], extra: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    n = len(blocks)
-    columns = [pa.array(blocks, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), pa.array(numbers, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns + extra, names=["block", "part", "slot", "chunks", "numbers", *names])
-
-
 def _segment(path: str):
     """A bucket: each distinct chunk is segmented once, and every block gets the ids of its own."""
 
     def run(table: pa.Table) -> pa.Table:
         pieces = piece_chunks(path)
-        lists = table["chunks"].combine_chunks()
-        flat = pc.list_flatten(lists).dictionary_encode()
-        found = pieces.ids(flat.dictionary.to_pylist())
+        known: dict[str, int] = {}
+        blocks = []
+        for body, packed in zip(table["body"].to_pylist(), table["numbers"].to_pylist(), strict=True):
+            text = zstandard.ZstdDecompressor().decompress(body).decode()
+            lengths, steps = unpack_numbers(packed)
+            ends = np.cumsum(lengths).tolist()
+            own = [known.setdefault(text[a:b], len(known)) for a, b in zip([0, *ends], ends, strict=False)]
+            blocks.append((steps, np.array(own, np.int64)))
+        found = pieces.ids(list(known))
         sizes = np.array([len(x) for x in found], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.fromiter((i for x in found for i in x), np.int64, int(starts[-1]))
-        at, codes, packed = 0, flat.indices.to_numpy(), []
-        for numbers, n in zip(table["numbers"].to_pylist(), pc.list_value_length(lists).to_pylist(), strict=True):
-            own = codes[at : at + n]
-            at += n
-            packed.append(pack_numbers(unpack_numbers(numbers)[0], sizes[own], ids[ranges(starts[own], sizes[own])]))
-        return pa.table({"block": table["block"], "numbers": pa.array(packed, pa.binary())})
+        starts = np.cumsum(sizes) - sizes
+        ids = np.fromiter((i for x in found for i in x), np.int64, int(sizes.sum()))
+        packed = [pack_numbers(steps, sizes[own], ids[ranges(starts[own], sizes[own])]) for steps, own in blocks]
+        return pa.table({"block": table["block"], "pieces": pa.array(packed, pa.binary())})
 
     return run
 
@@ -169,25 +176,19 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _join_back(path: str, end: bool, decode: bool):
     """A block: ids of its chunks by number, joined by position for each document, and decoded."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, pieces: pa.Table) -> pa.Table:
         library = piece_chunks(path).library
-        whole = pc.is_null(table["pieces"])
-        numbers, sizes, ids = [], [], []
-        for packed in table.filter(pc.invert(whole))["pieces"].to_pylist():
-            a, b, c = unpack_numbers(packed)
-            numbers.append(a)
-            sizes.append(b)
-            ids.append(c)
-        number, size, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (numbers, sizes, ids))
+        parts = [unpack_numbers(packed) for packed in pieces["pieces"].to_pylist()]
+        number, size, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([np.cumsum(p[0]) for p in parts], [p[1] for p in parts], [p[2] for p in parts]))
         start, length = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         start[number], length[number] = np.cumsum(size) - size, size
-        docs = table.filter(whole)
-        out, texts = [], []
         last = np.array([library.eos_id()] if end else [], np.int64)
+        out, texts = [], []
         for packed in docs["numbers"].to_pylist():
-            at = unpack_numbers(packed)[0]
-            own = np.concatenate([flat[ranges(start[at], length[at])], last])
-            out.append(own.astype(np.int32))
+            base, seen = unpack_numbers(packed)
+            at = numbers_of(seen, int(base[0]))
+            own = np.concatenate([flat[ranges(start[at], length[at])], last]).astype(np.int32)
+            out.append(own)
             if decode:
                 texts.append(library.decode(own.tolist()))
         bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]), pa.int32())
@@ -201,7 +202,7 @@ def _join_back(path: str, end: bool, decode: bool):
     return run
 
 
-def encode_pieces(docs: DataFrame, model: str, column: str = "text", carry: tuple[str, ...] = ("doc_id",), end: bool = True, decode: bool = True, block_bytes: int = 16 << 20, part_bytes: int = 32 << 30) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, column: str = "text", carry: tuple[str, ...] = ("doc_id",), end: bool = True, decode: bool = True, block_bytes: int = 32 << 20, part_bytes: int = 32 << 30) -> DataFrame:
     """``row`` (the carried columns), ``ids`` (array of int, with the end id last unless ``end`` is off) and ``decoded``.
 
     Ids are those of the library for the whole text, ``decoded`` is what it makes of them.  A null text is empty: it has
@@ -220,9 +221,10 @@ def encode_pieces(docs: DataFrame, model: str, column: str = "text", carry: tupl
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-min(total, part_bytes) // (16 << 20)))
     base = docs.select(F.col(column).cast("string").alias("text"), *carried(carry))
     more = carried_type(base)
-    table = materialize(base.mapInArrow(_blocks(model, block_bytes, parts, slots), "block string, part int, slot int, chunks array<string>, numbers binary" + more), "chunks")
-    pieces = table.where("slot is not null").select("block", "part", "slot", "chunks", "numbers").groupBy("part", "slot").applyInArrow(_segment(model), "block string, numbers binary")
-    whole = table.where("slot is null").select("block", "numbers", F.lit(None).cast("binary").alias("pieces"), *([F.col("row")] if carry else []))
-    back = pieces.select("block", F.lit(None).cast("binary").alias("numbers"), F.col("numbers").alias("pieces"), *([F.lit(None).cast(base.schema["row"].dataType).alias("row")] if carry else []))
-    kept = "ids array<int>" + ", decoded string" * decode + more
-    return whole.unionByName(back).groupBy("block").applyInArrow(_join_back(model, end, decode), kept)
+    dealt = base.mapInArrow(_blocks(model, block_bytes, parts, slots), "block string, part int, slot int, body binary, numbers binary" + more)
+    # positions are most of it; they lie in buckets by block, so that only chunks and their ids are exchanged
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (256 << 20))))
+    table = materialize_bucketed(dealt, "block", "chunks", buckets, exchange=False)
+    pieces = table.where("slot is not null").select("block", "part", "slot", "body", "numbers").groupBy("part", "slot").applyInArrow(_segment(model), "block string, pieces binary")
+    whole = table.where("slot is null").select("block", "numbers", *([F.col("row")] if carry else []))
+    return whole.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(_join_back(model, end, decode), "ids array<int>" + ", decoded string" * decode + more)

@@ -15,7 +15,7 @@ import pytest
 import sentencepiece
 
 from graphloom.llm import queries as Q
-from graphloom.llm.piece_chunks import PieceChunks, encode_pieces, pack_numbers, unpack_numbers
+from graphloom.llm.piece_chunks import PieceChunks, encode_pieces, first_seen, numbers_of, pack_numbers, unpack_numbers
 from graphloom.llm.schema_rewrite import COLUMNS, drifted, evolved, exact_ranks, field_ids, rewrite_drifted, version_of
 from graphloom.llm.source_divergence import audit_sources, terms_of
 
@@ -67,6 +67,8 @@ def test_pieces_of_empty_table_and_whole_texts(spark, monkeypatch):
 def test_numbers_come_back():
     rng = np.random.default_rng(1)
     arrays = [rng.integers(0, 1 << 31, n) for n in (0, 1, 1000)]
+    for base, codes in ((0, []), (0, [0, 1, 0, 2]), (5, [1, 5, 5, 0, 6, 4]), (3, [0, 2, 1])):
+        assert numbers_of(first_seen(np.array(codes, np.int64), base), base).tolist() == codes
     assert all((a == b).all() for a, b in zip(arrays, unpack_numbers(pack_numbers(*arrays)), strict=True))
 
 
