@@ -399,7 +399,8 @@ def _cut_plan(docs: DataFrame, kind: Windows, by_id: bool, settle_local: Callabl
     anchors = _hot(keys)
     suspects = docs.join(anchors, docs["name"] == anchors["owner"]).select(*docs.columns, "keys", "split")
     ranges = suspects.mapInArrow(_suspects(kind, buckets, settle_local), _PACKED).groupBy("bucket").applyInArrow(_settle(kind, by_id), _RANGES)
-    cuts = ranges.groupBy("name").agg(F.collect_list(F.struct("check", "lo", "hi")).alias("cuts")).withColumnRenamed("name", "_name")
+    # rows that repeat each other share a name: each of them finds the same ranges, which are kept once
+    cuts = ranges.groupBy("name").agg(F.collect_set(F.struct("check", "lo", "hi")).alias("cuts")).withColumnRenamed("name", "_name")
     return docs.join(cuts, docs["name"] == cuts["_name"], "left").select(*docs.columns, "cuts")
 
 

@@ -24,6 +24,12 @@ from graphloom.operators.components import connected_components
 from graphloom.plans.materialize import materialize
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1.  They are brought to the same power of two first, so that no square is too large or too small."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def principal_rotation(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(rotation, variances) from second moments over all rows; the driver gets 16 square matrices at most."""
 
@@ -33,7 +39,7 @@ def principal_rotation(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             x = _matrix(batch["embedding"])
             if not len(x):
                 continue
-            x = x / np.linalg.norm(x, axis=1)[:, None]
+            x = unit(x)
             total = x.T @ x if total is None else total + x.T @ x
             first = x.sum(0) if first is None else first + x.sum(0)
             n += len(x)
@@ -97,7 +103,7 @@ def _usable(embedding) -> F.Column:
     return embedding.isNotNull() & (F.size(embedding) > 0) & ~bad & F.exists(embedding, lambda x: x != 0)
 
 
-_CELL = "label long, block int, cell long, home boolean, tile int, id long, weight long, embedding array<{}>"
+_CELL = "label string, block int, cell long, home boolean, tile int, id long, weight long, embedding array<{}>"
 
 
 def link_vectors(
@@ -114,12 +120,12 @@ def link_vectors(
     counts and a spanning forest of their links, not the links, so output does not grow with the square of a group.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, nor do rows
-    with a null label; vectors of another length than the most common one of their label set are compared among
+    with a null label (labels are compared as text); vectors of any finite size are compared by direction, vectors of another length than the most common one of their label set are compared among
     their own length only.  Rows that repeat an id are vectors of their own for ``n_links`` and share a component.
     A null id counts as the largest and is carried through.  Other columns are not read.
     """
     bound_batches(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("embedding"))
     # floats travel as such and are doubles where they are compared
     kind = rows.schema["embedding"].dataType.elementType.simpleString()
     kind = kind if kind in ("float", "double") else "double"
@@ -181,7 +187,7 @@ def _join(classes: DataFrame, cosine: float, blocks: int, axes: int | None, tile
             x = _matrix(batch["embedding"])
             if not len(x):
                 continue
-            y = (x / np.linalg.norm(x, axis=1)[:, None]) @ rotation
+            y = unit(x) @ rotation
             for k, own in enumerate(parts):
                 cells = [np.floor(y[:, a] / radius[k]).astype(np.int64) for a in own[: cut[k]]]
                 for step in later_cells(len(cells)):
@@ -206,7 +212,7 @@ def _join(classes: DataFrame, cosine: float, blocks: int, axes: int | None, tile
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         k, t1, t2 = (key[i].as_py() for i in (1, 3, 4))
         x = _matrix(table["embedding"].combine_chunks())
-        x = x / np.linalg.norm(x, axis=1)[:, None]
+        x = unit(x)
         y = x @ rotation
         home, own = np.asarray(table["home"]), np.asarray(table["tile"])
         ids, weight = np.asarray(table["id"]), np.asarray(table["weight"])
@@ -251,14 +257,14 @@ def _join(classes: DataFrame, cosine: float, blocks: int, axes: int | None, tile
         m = len(some) + len(forest)
         return pa.table(
             {
-                "label": pa.array([lab] * m, pa.int64()),
+                "label": pa.array([lab] * m, pa.string()),
                 "id": pa.array(ids[some].tolist() + [f[0] for f in forest], pa.int64()),
                 "n": pa.array(n[some].tolist() + [0] * len(forest), pa.int64()),
                 "other": pa.array([None] * len(some) + [f[1] for f in forest], pa.int64()),
             }
         )
 
-    return met.groupBy("label", "block", "cell", "t1", "t2").applyInArrow(meet, "label long, id long, n long, other long")
+    return met.groupBy("label", "block", "cell", "t1", "t2").applyInArrow(meet, "label string, id long, n long, other long")
 
 
 def _spread(ids: pa.Array) -> np.ndarray:

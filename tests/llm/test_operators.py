@@ -305,6 +305,13 @@ def test_vectors_of_repeated_and_null_ids(spark):
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted(((*x, x[0] == x[2]) for x in want), key=repr)
 
 
+def test_vectors_of_any_size(spark):
+    """Squares that under- or overflow do not hide a link; labels may be text."""
+    rows = [(i, v, "a b") for i, v in enumerate([[1e-200, 2e-200], [1e-200, 2.0001e-200], [1.0, 2.0], [1e200, 2e200], [5e-324, 1e-323], [1.7e308, -1.7e308]])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(frame(spark, rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (4, 0), 5: (0, 5)}
+
+
 @pytest.mark.parametrize("axes", [1, 2, 3, None])
 def test_vectors_in_grids(spark, axes):
     """Floats, and coordinates of very different spread, in grids of one to three axes."""
@@ -478,6 +485,14 @@ def test_pipeline(spark, sf):
     assert {r.doc_id: (r["size"], r.taken) for r in got} == want and {r.doc_id: r.text for r in got} == {d: t for d, t, _ in rows}
 
 
+def test_near_copies_without_ids(spark, sf):
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(1, a), (None, a), (None, b), (None, b + " end"), (None, ""), (None, None), (2, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.minhash_dedup(spark, docs, sf).collect()), key=repr)
+    assert len(got) == 5 and {(1, a), (None, ""), (None, None), (2, "")} < set(got) and (set(got) & {(None, b), (None, b + " end")})
+
+
 @pytest.mark.parametrize("number", range(5))
 def test_pipeline_stages_of_odd_rows(spark, sf, number):
     """Nulls in every column, empty and long texts, repeated rows, extra columns with the operators' names, no rows."""

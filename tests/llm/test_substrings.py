@@ -151,6 +151,18 @@ def test_tandem_repeats_and_common_passages(spark):
         assert sortable(got) == sortable(brute_words(docs, 13))
 
 
+def test_many_identical_rows(spark):
+    """Copies of one row share their cuts: 5,000 of them, each with the ranges of one."""
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, text)] * 5000 + [(7, text), (8, "x " + text)]
+    docs = spark.createDataFrame([(d, t, "a", "b", "c") for d, t in rows], SCHEMA).repartition(8)
+    got = Counter((r.doc_id, r.n_removed) for r in dedup_word_windows(docs).collect())
+    assert got == {(None, 200): 5000, (7, 0): 1, (8, 200): 1}
+    got = Counter((r.doc_id, r.n_removed) for r in dedup_byte_strings(docs).collect())
+    n = len(text.encode())
+    assert got == {(None, n): 5000, (7, n): 1, (8, n): 1}
+
+
 def test_very_long_texts(spark):
     """Texts of many pieces: each window is in one of them, and a repeat may lie on their border."""
     r = random.Random(13)
