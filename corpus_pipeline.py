@@ -28,12 +28,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the least id stays.
 
-    Rows that share an id stay or go together.  Null and empty texts are copies of nothing and stay, and so do rows with
-    a null id unless they are near copies of one with an id.  Extra columns are dropped.
+    Rows that share an id stay or go together.  Null and empty texts are copies of nothing and stay.  A row with a null
+    id counts for itself and comes after all others: it goes if it is a near copy of a row with an id, and of near copies
+    that have no id one stays.  Extra columns are dropped.
     """
     docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs, width=5, similarity=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    # ids of their own beyond the largest one for rows that have none, fixed by being written
+    nameless = materialize(docs.where("doc_id is null").withColumn("_own", F.monotonically_increasing_id()), "nameless")
+    if not nameless.head(1):
+        kept = near_duplicates(docs, width=5, similarity=80).where("kept").select(F.col("doc_id").alias("_own")).distinct()
+        return docs.join(kept, F.col("doc_id") == F.col("_own"), "left_semi").select(*COLUMNS)
+    beyond = (docs.agg(F.max("doc_id")).head()[0] or 0) + 1
+    named = docs.where("doc_id is not null").withColumn("_own", F.col("doc_id"))
+    rows = named.unionByName(nameless.withColumn("_own", F.col("_own") + beyond))
+    kept = near_duplicates(rows, "_own", width=5, similarity=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return rows.join(kept, F.col("_own") == F.col("_kept"), "left_semi").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
