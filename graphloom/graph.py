@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.plans.materialize import discard, materialize_bucketed
+from graphloom.plans.materialize import discard, materialize, materialize_bucketed
 
 
 def squish(edges: DataFrame) -> DataFrame:
@@ -37,6 +37,8 @@ class Graph:
     directed: bool = True
     _by_src: DataFrame | None = field(default=None, repr=False)
     _by_dst: DataFrame | None = field(default=None, repr=False)
+    _degree_table: DataFrame | None = field(default=None, repr=False)
+    _arcs: int | None = field(default=None, repr=False)
 
     # -- construction ---------------------------------------------------------
 
@@ -87,6 +89,18 @@ class Graph:
             self._by_dst = materialize_bucketed(self.edges, "dst", "edges")
         return self._by_dst
 
+    def degree_table(self) -> DataFrame:
+        """``id, degree`` of the vertices with out-arcs, written once, for plans that are chosen by the arcs of a frontier."""
+        if self._degree_table is None:
+            self._degree_table = materialize(self.by_src().groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree")), "degrees")
+        return self._degree_table
+
+    def arcs(self) -> int:
+        """Stored arcs, counted once; an undirected edge has two."""
+        if self._arcs is None:
+            self._arcs = self.by_src().count()
+        return self._arcs
+
     def cache(self) -> Graph:
         """The graph with its edges written, so that no later operator derives them again."""
         if self._by_src is not None and self.edges is self._by_src:
@@ -95,8 +109,8 @@ class Graph:
 
     def release(self) -> None:
         """Delete the tables written for this graph.  Results that still read them have to be written before."""
-        discard(self._by_src, self._by_dst)
-        self._by_src = self._by_dst = None
+        discard(self._by_src, self._by_dst, self._degree_table)
+        self._by_src = self._by_dst = self._degree_table = None
 
     def create_views(self, vertices: str = "vertices", edges: str = "edges") -> None:
         """Temporary views of the graph for ``spark.sql``."""
@@ -168,7 +182,7 @@ class Graph:
         """The edges with ``segment``: the number of the range of ``width`` ids that their ``end`` lies in."""
         return self.edges.withColumn("segment", F.expr(f"{end} div {int(width)}"))
 
-    def pick_sources(self, k: int = 1, seed: int = 27491095) -> DataFrame:
+    def pick_sources(self, k: int = 1, seed: int = 1) -> DataFrame:
         """``k`` vertices with out-arcs, the same for the same seed."""
         return self.edges.select(F.col("src").alias("id")).distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k)
 

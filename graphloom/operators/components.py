@@ -1,13 +1,18 @@
 """Weakly connected components over an edge table.
 
-Two strategies with the same labels (the smallest vertex id of each component):
+Three strategies with the same labels (the smallest vertex id of each component):
 
 * ``contract`` (default): every vertex hooks to its smallest smaller neighbour,
   the forest is flattened by pointer jumping, edges are rewritten between roots
   and deduplicated, and the shrunken edge table goes round again.  At least every
   vertex that has a smaller neighbour disappears in a round, so the edge table
   shrinks geometrically and the number of rounds is logarithmic.
+* ``sampled``: two neighbours of each vertex are linked first; the component that most of a
+  sample of vertices then lie in is as good as done, and arcs that leave it are not read again.
 * ``propagate``: plain minimum-label propagation, kept as an independent check.
+
+Many rows may look up one vertex: the root of a giant component, or a hub.  Such keys are found by counting before a
+join; there are few of them by construction, so what they stand for is broadcast and the rows stay where they are.
 """
 
 from __future__ import annotations
@@ -15,60 +20,108 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.materialize import discard, materialize, passed_on
+from graphloom.plans.materialize import discard, materialize, materialize_watched, passed_on
+
+#: Rows below which one task may hold all of a join key.
+SMALL = 1 << 19
+
 
+def look_up(rows: DataFrame, n: int, key: str, table: DataFrame, value: str, small: int = SMALL) -> DataFrame:
+    """``rows`` (``n`` of them) with ``value`` of the row of ``table`` (``_key`` and ``value``) that ``key`` names, null where there is none.
 
-def _flatten(parent: DataFrame) -> DataFrame:
-    """Pointer jumping: ``(id, parent)`` forest to ``(id, root)``."""
+    A key of more than a quarter of a task's share of the rows is hot.  There are at most four such keys for each task.
+    """
+    met = lambda part: part.join(table, part[key] == table["_key"], "left").drop("_key")
+    if n <= small:
+        return met(rows)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = materialize(rows.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > n // (4 * tasks)).select("_hot"), "hot")
+    if not hot.head(1):
+        return met(rows)
+    known = hot.join(table, hot["_hot"] == table["_key"], "left").select("_hot", value)
+    few = rows.join(F.broadcast(known), rows[key] == known["_hot"]).drop("_hot")
+    return few.unionByName(met(rows.join(F.broadcast(hot), rows[key] == hot["_hot"], "left_anti")))
+
+
+def _flatten(parent: DataFrame, n: int) -> DataFrame:
+    """Pointer jumping: ``(id, parent)`` forest of ``n`` rows to ``(id, root)``."""
     while True:
-        up = parent.select(F.col("id").alias("_up"), F.col("parent").alias("_top"))
-        step = parent.join(up, parent["parent"] == up["_up"], "left").select(
-            "id", F.coalesce("_top", "parent").alias("parent"), F.col("_top").isNotNull().alias("moved")
-        )
-        step = materialize(step, "flatten")
+        up = parent.select(F.col("id").alias("_key"), F.col("parent").alias("_top"))
+        step = look_up(parent, n, "parent", up, "_top").select("id", F.coalesce("_top", "parent").alias("parent"), F.col("_top").isNotNull().alias("moved"))
+        step, seen = materialize_watched(step, "flatten", moved=F.count_if("moved"))
         discard(parent)
-        parent = step
-        if not step.where("moved").head(1):
-            return passed_on(parent.select("id", F.col("parent").alias("root")), step)
         parent = passed_on(step.select("id", "parent"), step)
+        if not seen["moved"]:
+            return passed_on(step.select("id", F.col("parent").alias("root")), step)
+
+
+def _rooted(e: DataFrame, n: int, roots: DataFrame) -> DataFrame:
+    """Edges (a, b) between the roots of their ends, without those inside a tree."""
+    key = roots.select(F.col("id").alias("_key"), F.col("root"))
+    a = look_up(e, n, "a", key, "root").select(F.coalesce("root", "a").alias("ra"), "b")
+    # most edges of a hub lead to what it hooks to: they are gone before the other end is looked up
+    b = look_up(a.where("ra <> b"), n, "b", key, "root").select("ra", F.coalesce("root", "b").alias("rb"))
+    return b.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).where("a > b").distinct()
 
 
 def _contract(edges: DataFrame) -> DataFrame:
-    e = materialize(
-        edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a > b").distinct(), "edges"
-    )
+    rows = F.count(F.lit(1))
+    e, seen = materialize_watched(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a > b").distinct(), "edges", n=rows)
     labels = previous = None
     while True:
-        roots = _flatten(materialize(e.groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "id"), "hook"))
+        hooks, hooked = materialize_watched(e.groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "id"), "hook", n=rows)
+        roots = _flatten(hooks, hooked["n"])
         if labels is None:
             # a root never occurs as "a" of its own forest, so it is added from the smaller ends
             labels = roots.unionByName(
                 e.select(F.col("b").alias("id")).distinct().join(roots.select("id"), "id", "left_anti").withColumn("root", F.col("id"))
             )
         else:
-            labels = labels.join(roots.select(F.col("id").alias("root"), F.col("root").alias("_next")), "root", "left").select(
-                "id", F.coalesce("_next", "root").alias("root")
-            )
+            following = roots.select(F.col("id").alias("_key"), F.col("root").alias("_next"))
+            labels = look_up(labels, known["n"], "root", following, "_next").select("id", F.coalesce("_next", "root").alias("root"))
         # written, so that the tables of this round can go
-        labels = materialize(labels, "labels")
+        labels, known = materialize_watched(labels, "labels", n=rows)
         discard(previous)
         previous = labels
-        ra = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
-        rb = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        e2 = (
-            e.join(ra, "a")
-            .join(rb, "b", "left")
-            .select("ra", F.coalesce("rb", "b").alias("rb"))
-            .select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"))
-            .where("a > b")
-            .distinct()
-        )
-        e2 = materialize(e2, "edges")
+        e2, after = materialize_watched(_rooted(e, seen["n"], roots), "edges", n=rows)
         discard(e, roots)
-        if not e2.head(1):
+        if not after["n"]:
             discard(e2)
             return passed_on(labels.select("id", F.col("root").alias("component")), labels)
-        e = e2
+        e, seen = e2, after
+
+
+def _sampled(edges: DataFrame, sample: int = 1024, trace: list[dict] | None = None) -> DataFrame:
+    """Link the least and the greatest neighbour of each vertex, find the giant component, finish without its arcs."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
+    near = materialize(both.groupBy("src").agg(F.min("dst").alias("least"), F.max("dst").alias("most")), "near")
+    first = _contract(near.select("src", F.col("least").alias("dst")).unionByName(near.select("src", F.col("most").alias("dst"))))
+    # the same vertices every time: those of least hash; a bounded sample that only chooses what is skipped
+    drawn = first.orderBy(F.xxhash64("id"), "id").limit(sample).groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").head(1)
+    giant = drawn[0]["component"] if drawn else None
+    # an edge between the giant and another component is still read from its other end
+    outside = first.where(F.col("component") != giant).select(F.col("id").alias("src"), F.col("component").alias("a"))
+    left = both.join(outside, "src")
+    ends = first.where(F.col("component") != giant).select(F.col("id").alias("dst"), F.col("component").alias("b"))
+    # only vertices outside are looked up: what is not among them lies in the giant, whose root is no join key
+    pairs = left.join(ends, "dst", "left").select("a", F.coalesce("b", F.lit(giant)).alias("b"))
+    found, seen = materialize_watched(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "finish", arcs=F.sum("n"))
+    if trace is not None:
+        trace.append({"giant": giant, "read": seen["arcs"] or 0, "arcs": both.count()})
+    discard(near)
+    joined = found.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    if not joined.head(1):
+        return first
+    last = _contract(joined)
+    # the giant's own label falls only if something beside it has a smaller one
+    moved = last.where(F.col("id") == giant).head(1)
+    root = moved[0]["component"] if moved else giant
+    names = last.where(F.col("id") != giant).select(F.col("id").alias("_key"), F.col("component").alias("_new"))
+    others = first.where(F.col("component") != giant)
+    renamed = look_up(others, first.count(), "component", names, "_new").select("id", F.coalesce("_new", "component").alias("component"))
+    out = materialize(renamed.unionByName(first.where(F.col("component") == giant).select("id", F.lit(root).cast("long").alias("component"))), "labels")
+    discard(first, last, found)
+    return out
 
 
 def _propagate(edges: DataFrame) -> DataFrame:
@@ -87,13 +140,14 @@ def _propagate(edges: DataFrame) -> DataFrame:
         state = passed_on(new.select("id", "component"), new)
 
 
-def connected_components(edges: DataFrame, strategy: str = "contract") -> DataFrame:
+def connected_components(edges: DataFrame, strategy: str = "contract", **how) -> DataFrame:
     """``(id, component)`` for every vertex that has an edge; ``edges`` has long columns ``src`` and ``dst``.
 
-    Null ends and self-loops link nothing.  No edges give no rows.
+    Null ends and self-loops link nothing.  No edges give no rows.  ``sampled`` takes ``sample`` (how many vertices are drawn
+    to find the giant component) and ``trace``, which gets its label and how many arcs were read in the finish.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null")
-    return {"contract": _contract, "propagate": _propagate}[strategy](edges)
+    return {"contract": _contract, "sampled": _sampled, "propagate": _propagate}[strategy](edges, **how)
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

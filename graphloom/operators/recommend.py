@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.plans.materialize import materialize
 
 
 def trust_circle(trust: Graph, source: int, hops: int = 3) -> DataFrame:
@@ -33,3 +34,32 @@ def recommend(trust: Graph, ratings: Graph, source: int, k: int | None = 5, hops
         fill = trust.spark.range(k).select(F.lit(0).cast("long").alias("item"), F.lit(0).cast("long").alias("votes"))
         best = best.unionByName(fill).orderBy(F.desc("votes"), F.desc("item")).limit(k)
     return best
+
+
+def trust_circles(trust: Graph, sources: DataFrame, hops: int = 3) -> DataFrame:
+    """``source, id`` for every ``id`` of ``sources``: the circles of all of them, hop by hop together."""
+    arcs = trust.by_src()
+    step = materialize(sources.select(F.col("id").alias("source")).distinct().join(arcs, F.col("source") == F.col("src")).select("source", F.col("dst").alias("id")), "circle")
+    circle = [step]
+    for _ in range(hops - 1):
+        met = circle[-1].join(arcs, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id")).distinct()
+        for known in circle:
+            met = met.join(known, ["source", "id"], "left_anti")
+        circle.append(materialize(met, "circle"))
+    out = circle[0]
+    for more in circle[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def recommend_many(trust: Graph, ratings: Graph, sources: DataFrame, k: int = 5, hops: int = 3, above: int = 3) -> DataFrame:
+    """``source, item, votes, rank``: what ``recommend`` gives for each ``id`` of ``sources``; none for a source without items.
+
+    Frontiers are keyed by (source, vertex), and a source's best items are limited in each task before they are ranked,
+    so neither the driver nor a task holds all items of one source.
+    """
+    likes = ratings.edges.where(F.col("weight") > above).select(F.col("src").alias("id"), F.col("dst").alias("item"))
+    circles = trust_circles(trust, sources, hops).where(F.col("id") < ratings.nodes)
+    votes = circles.join(likes, "id").groupBy("source", "item").agg(F.count(F.lit(1)).alias("votes"))
+    best = Window.partitionBy("source").orderBy(F.desc("votes"), F.desc("item"))
+    return votes.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

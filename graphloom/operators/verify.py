@@ -9,7 +9,9 @@ from graphloom.graph import Graph
 from graphloom.operators.betweenness import betweenness
 from graphloom.operators.components import connected_components
 from graphloom.operators.kcore import kcore
+from graphloom.operators.recommend import recommend_many
 from graphloom.operators.triangles import triangle_count
+from graphloom.plans.materialize import materialize
 
 
 def _none(rows: DataFrame) -> bool:
@@ -35,6 +37,42 @@ def verify_sssp(graph: Graph, source: int, dist: DataFrame) -> bool:
     return begun and _none(arcs.where("there is null or there > dist + weight")) and tight == dist.count() - 1
 
 
+def verify_ppsp(graph: Graph, source: int, dest: int, dist: int | None, met: DataFrame) -> bool:
+    """Whether ``dist`` (null: not reached) is the distance of ``dest``, by what its search has met (``search``: id, dist).
+
+    A way back from ``dest`` over arcs that are tight shows that it is not too small.  That it is not too large: every
+    vertex nearer than ``dist`` has been extended, so what its arcs lead to is no farther than they say, or not nearer
+    than ``dist`` itself.  Vertices beyond need not be final, nor need they have been extended.
+    """
+    far = met.select(F.col("id").alias("dst"), F.col("dist").alias("there"))
+    near = met if dist is None else met.where(F.col("dist") < dist)
+    arcs = graph.by_src().join(near.select(F.col("id").alias("src"), "dist"), "src").join(far, "dst", "left").withColumn("via", F.col("dist") + F.col("weight"))
+    missed = arcs.where("there is null or there > via")
+    claimed = met.where(F.col("id") == dest).head()
+    start = met.where((F.col("id") == source) & (F.col("dist") == 0)).count() == 1
+    if not start or (claimed["dist"] if claimed else None) != dist or not _none(missed if dist is None else missed.where(F.col("via") < dist)):
+        return False
+    if dist is None:
+        return True
+    # back from dest, a step at a time; steps of weight 0 may go in circles
+    front = materialize(met.where(F.col("id") == dest).select("id", "dist"), "back")
+    seen = front
+    while not front.where(F.col("id") == source).head(1):
+        ends = front.select(F.col("id").alias("dst"), F.col("dist").alias("there"))
+        back = graph.by_dst().join(ends, "dst").join(met.select(F.col("id").alias("src"), "dist"), "src").where(F.col("dist") + F.col("weight") == F.col("there"))
+        front = materialize(back.select(F.col("src").alias("id"), "dist").distinct().join(seen.select("id"), "id", "left_anti"), "back")
+        if not front.head(1):
+            return False
+        seen = seen.unionByName(front)
+    return True
+
+
+def verify_recommendation(trust: Graph, ratings: Graph, source: int, best: DataFrame, k: int = 5, hops: int = 3, above: int = 3) -> bool:
+    """``best`` (item, votes) are the items that an independent search for all sources together ranks first."""
+    want = recommend_many(trust, ratings, trust.vertices().where(F.col("id") == source), k, hops, above).select("item", "votes")
+    return _none(want.exceptAll(best.select("item", "votes"))) and _none(best.select("item", "votes").exceptAll(want))
+
+
 def verify_pagerank(graph: Graph, scores: DataFrame, tolerance: float = 1e-4, damping: float = 0.85) -> bool:
     """One more round changes scores by less than ``tolerance`` in sum."""
     share = scores.join(graph.out_degrees().where("degree > 0"), "id").select("id", (F.col("score") / F.col("degree")).alias("share"))

@@ -17,7 +17,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _fallback: list[str] = []
 _marked: set[str] = set()
@@ -71,6 +71,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def materialize_watched(df: DataFrame, name: str = "step", **watched: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and aggregates over the rows that are taken while they are written, without a job of their own.
+
+    Where a stage runs twice its rows may count twice, so sums and counts are for choosing plans; least and most are exact.
+    """
+    seen = Observation()
+    table = materialize(df.observe(seen, *[c.alias(k) for k, c in watched.items()]), name)
+    found = seen.get
+    return table, found if set(found) == set(watched) else table.agg(*[c.alias(k) for k, c in watched.items()]).head().asDict()
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete the tables behind ``materialize`` and ``materialize_bucketed`` results that no later plan reads."""
     for df in tables:

@@ -18,18 +18,20 @@ from graphloom.operators.frontier import edge_map, vertex_filter, vertex_map
 from graphloom.operators.kcore import kcore, kcore_stats
 from graphloom.operators.ordered import astar, ordered_process, ppsp, sssp
 from graphloom.operators.pagerank import pagerank, top_scores
-from graphloom.operators.recommend import recommend, trust_circle
+from graphloom.operators.recommend import recommend, recommend_many, trust_circle
 from graphloom.operators.triangles import triangle_count
 from graphloom.plans.inputs import CHAIN, ORDER, RATE, TRUST, chain_graph, order_graph, rate_graph, trust_graph
 from graphloom.plans.materialize import shared_dir
+from graphloom.sources.binary import read_geo
 from graphloom.sources.generators import kronecker, random_weights, uniform
 from graphloom.sources.readers import read_graph
-from graphloom.sources.writers import write_graph
+from graphloom.sources.writers import write_geo, write_graph
+from graphloom.streaming.components import StreamingComponents, stream_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Vertices that the single-source queries start from and end in.
-SOURCE, DEST, CHAIN_HEAD, TRUST_SOURCE = 7, 42, 8, 5
+SOURCE, DEST, CHAIN_HEAD, TRUST_SOURCE, TRUST_DEST = 7, 42, 8, 5, 77
 
 
 def _whole_labels(spark: SparkSession, sf_dir: str, strategy: str = "contract") -> DataFrame:
@@ -46,6 +48,13 @@ def _coordinates(spark: SparkSession, n: int) -> DataFrame:
 GEO_UNIT = 10_000_000
 
 
+def _laid_out(g: Graph, places: DataFrame) -> DataFrame:
+    """Arcs as long as their weight and the distance of their ends, in whole units, rounded up."""
+    a, b = (places.select(F.col("id").alias(end), F.col("lat").alias(f"lat_{end}"), F.col("lon").alias(f"lon_{end}")) for end in ("src", "dst"))
+    way = F.ceil(geo_distance(F.col("lat_src"), F.col("lon_src"), F.col("lat_dst"), F.col("lon_dst")) / GEO_UNIT)
+    return g.edges.join(a, "src").join(b, "dst").select("src", "dst", (F.col("weight") + way).cast("long").alias("weight"))
+
+
 def _astar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A* on the order graph laid out on a globe: the way along an arc is its weight and the distance of its ends.
 
@@ -53,9 +62,7 @@ def _astar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     g = order_graph(spark, sf_dir, True)
     places = _coordinates(spark, g.nodes)
-    a, b = (places.select(F.col("id").alias(end), F.col("lat").alias(f"lat_{end}"), F.col("lon").alias(f"lon_{end}")) for end in ("src", "dst"))
-    way = F.ceil(geo_distance(F.col("lat_src"), F.col("lon_src"), F.col("lat_dst"), F.col("lon_dst")) / GEO_UNIT)
-    laid = Graph(g.edges.join(a, "src").join(b, "dst").select("src", "dst", (F.col("weight") + way).cast("long").alias("weight")), g.nodes, False)
+    laid = Graph(_laid_out(g, places), g.nodes, False)
     hints = estimates_to(places, DEST).select("id", F.expr(f"hint div {GEO_UNIT}").alias("hint"))
     return astar(laid, SOURCE, DEST, hints, delta=64)
 
@@ -68,42 +75,48 @@ def _through(kind: str, mirror: bool = False) -> Query:
         edges = g.edges.select("src", "dst", (F.lit(1) + (F.col("src") + F.col("dst") * (1 if mirror else 2)) % 7).cast("long").alias("weight"))
         g = Graph(edges, g.nodes, g.directed)
         path = f"{shared_dir(spark)}/format-{uuid.uuid4().hex}.{kind}"
-        if kind in ("gr", "graph", "mtx", "adj"):
-            _lines_of(g, kind).orderBy("at", "src", "dst").coalesce(1).select("line").write.text(path)
+        if kind == "bin":
+            write_geo(g, _coordinates(spark, g.nodes), path, 64)
         else:
             write_graph(g, path)
-        return read_graph(spark, path).edges
+        return read_graph(spark, path, **({"weighted": True} if kind == "config" else {})).edges
 
     return run
 
 
-def _lines_of(g: Graph, kind: str) -> DataFrame:
-    """``at, src, dst, line``: a graph as lines of a text format that has no writer, in an order by the first three."""
-    spark, m = g.spark, g.edges.count()
-
-    def lines(at: int, rows: DataFrame, line: F.Column, src="src", dst="dst") -> DataFrame:
-        return rows.select(F.lit(at).alias("at"), F.col(src).cast("long").alias("src"), (F.col(dst) if isinstance(dst, str) else dst).cast("long").alias("dst"), line.cast("string").alias("line"))
-
-    none, one = F.lit(0), spark.range(1)
-    head = {
-        "gr": [f"c {m} arcs", f"p sp {g.nodes} {m}"],
-        "graph": ["% weighted", f"{g.nodes} {m} 1"],
-        "mtx": ["%%MatrixMarket matrix coordinate integer general", "% arcs", f"{g.nodes} {g.nodes} {m}"],
-        "adj": ["WeightedAdjacencyGraph", str(g.nodes), str(m)],
-    }[kind]
-    out = lines(0, one, F.lit(head[0]), "id", none)
-    for i, x in enumerate(head[1:], 1):
-        out = out.unionByName(lines(i, one, F.lit(x), "id", none))
-    if kind == "gr":
-        return out.unionByName(lines(9, g.edges, F.concat_ws(" ", F.lit("a"), "src", "dst", "weight")))
-    if kind == "mtx":
-        return out.unionByName(lines(9, g.edges, F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1, "weight")))
-    if kind == "graph":
-        near = g.edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct((F.col("dst") + 1).alias("v"), "weight"))).alias("near"))
-        text = F.concat_ws(" ", F.transform("near", lambda x: F.concat_ws(" ", x["v"], x["weight"])))
-        return out.unionByName(lines(9, g.vertices().join(near, F.col("id") == F.col("src"), "left"), F.coalesce(text, F.lit("")), "id", none))
-    parts = lines(7, g.vertex_offsets(), F.col("offset"), "id", none).unionByName(lines(8, g.edges, F.col("dst"))).unionByName(lines(9, g.edges, F.col("weight")))
-    return out.unionByName(parts)
+def _astar_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A* over a geo file and the coordinates that it holds: the trust graph on a globe, written and read again."""
+    g = trust_graph(spark, sf_dir, True)
+    places = _coordinates(spark, g.nodes)
+    path = f"{shared_dir(spark)}/places-{uuid.uuid4().hex}.bin"
+    write_geo(Graph(_laid_out(g, places).select("src", "dst", (F.col("weight") * GEO_UNIT).alias("weight")), g.nodes, False), places, path, 64)
+    edges, found = read_geo(spark, path)
+    hints = estimates_to(found, TRUST_DEST).select("id", F.expr(f"hint div {GEO_UNIT} * {GEO_UNIT}").alias("hint"))
+    return astar(Graph(edges, g.nodes, False), TRUST_SOURCE, TRUST_DEST, hints)
+
+
+def _directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the direction-switching search chose, superstep by superstep."""
+    trace: list[dict] = []
+    bfs(order_graph(spark, sf_dir, True), SOURCE, "hybrid", trace=trace)
+    return spark.createDataFrame([(r["depth"], r["direction"], r["size"], r["arcs"], r["unseen"]) for r in trace], "depth long, direction string, size long, arcs long, unseen long")
+
+
+def _within(spark: SparkSession, sf_dir: str, limit: int = 6) -> DataFrame:
+    """Vertices no farther than ``limit``: ordered processing with a stop and a source filter of its own."""
+    g = order_graph(spark, sf_dir, True)
+    start = g.vertices().where(F.col("id") == SOURCE).select("id", F.lit(0).cast("long").alias("value"))
+    found = ordered_process(g, start, delta=2, stop=lambda p: p.low > limit, extend=lambda p: F.col("key") < limit)
+    return found.where(F.col("value") <= limit)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the chain graph, whose arcs arrive in batches of a file each."""
+    base = f"{shared_dir(spark).rpartition('/')[0]}/stream-{uuid.uuid4().hex}"
+    chain_graph(spark, sf_dir).edges.select("src", "dst").repartition(4).write.parquet(f"{base}/arcs")
+    arcs = spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 1).parquet(f"{base}/arcs")
+    stream_components(arcs, f"{base}/labels", f"{base}/offsets", compact=3).awaitTermination()
+    return StreamingComponents(spark, f"{base}/labels").labels()
 
 
 def _weights_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +173,7 @@ def queries() -> dict[str, Query]:
         "bfs_stats": lambda s, d: bfs_stats(g := order_graph(s, d, True), bfs(g, SOURCE)),
         "sssp_dist": lambda s, d: sssp(order_graph(s, d, True), SOURCE),
         "sssp_delta": lambda s, d: sssp(order_graph(s, d, True), SOURCE, delta=8, merge_buckets=2),
-        "sssp_chain": lambda s, d: sssp(chain_graph(s, d), CHAIN_HEAD),
+        "sssp_chain": lambda s, d: sssp(chain_graph(s, d), CHAIN_HEAD, rounds="auto"),
         "sssp_reached": lambda s, d: sssp(order_graph(s, d, True), SOURCE).agg(F.count("dist").alias("reached"), F.max("dist").alias("farthest")),
         "ppsp_dist": lambda s, d: ppsp(order_graph(s, d, True), SOURCE, DEST),
         "astar_dist": _astar,
@@ -183,6 +196,14 @@ def queries() -> dict[str, Query]:
         "recommend_top5": lambda s, d: recommend(trust_graph(s, d), rate_graph(s, d), TRUST_SOURCE),
         "edge_map": lambda s, d: edge_map(g := trust_graph(s, d), g.vertices(), combine=F.sum),
         "vertex_filter": lambda s, d: vertex_filter(vertex_map(trust_graph(s, d).out_degrees(), even=F.col("degree") % 2 == 0), F.col("even")),
+        "bfs_hybrid": lambda s, d: bfs(order_graph(s, d, True), SOURCE, "hybrid"),
+        "bfs_directions": _directions,
+        "edge_map_auto": lambda s, d: edge_map(g := order_graph(s, d, True), vertex_filter(g.out_degrees(), F.col("degree") % 2 == 0), cond=vertex_filter(g.out_degrees(), F.col("degree") % 2 == 1), direction="auto"),
+        "within_distance": _within,
+        "cc_sampled": lambda s, d: _whole_labels(s, d, "sampled"),
+        "cc_streamed": _streamed,
+        "recommend_all": lambda s, d: recommend_many(g := trust_graph(s, d), rate_graph(s, d), g.vertices()),
+        "astar_geo_file": _astar_file,
         "sssp_fused": lambda s, d: sssp(order_graph(s, d, True), SOURCE, rounds=2),
         "ppsp_fused": lambda s, d: ppsp(order_graph(s, d, True), SOURCE, DEST, delta=8, rounds=2),
         "kcore_peel": lambda s, d: kcore(trust_graph(s, d, True), "peel"),
@@ -191,7 +212,7 @@ def queries() -> dict[str, Query]:
         "counter_reduce": lambda s, d: reduce_values(order_graph(s, d).in_degrees().withColumnRenamed("degree", "value")),
         "edge_map_cond": lambda s, d: edge_map(g := trust_graph(s, d), g.vertices(), update=lambda met: met["weight"] + met["id"], combine=F.max, cond=vertex_filter(g.out_degrees(), F.col("degree") % 2 == 0)),
         "sql_views": _sql_views,
-        **{f"format_{kind}": _through(kind) for kind in ("el", "wel", "gr", "graph", "mtx", "adj", "sg", "wsg", "parquet")},
+        **{f"format_{kind}": _through(kind) for kind in ("el", "wel", "gr", "graph", "mtx", "adj", "config", "bin", "sg", "wsg", "parquet")},
         "format_wsg_mirrored": _through("wsg", True),
         "gen_kronecker": lambda s, d: add_counts(kronecker(s, 10).out_degrees().withColumnRenamed("degree", "key")),
         "gen_uniform": lambda s, d: add_counts(uniform(s, 10).out_degrees().withColumnRenamed("degree", "key")),
@@ -251,6 +272,12 @@ paths AS MATERIALIZED (SELECT k, s, id, paths FROM pc),
     ]
 )
 _BC += ",\ntotal AS (SELECT id, sum(share) AS share FROM (" + " UNION ALL ".join(f"SELECT id, share FROM sh{k}" for k in range(_BC_DEPTH + 1)) + ") GROUP BY id)"
+#: Sizes and arcs of the levels of a search, and the direction each superstep takes from them.
+_DIRECTIONS = """
+level AS (SELECT k, size, arcs, (SELECT count(*) FROM u) - sum(arcs) OVER (ORDER BY k) AS unseen
+  FROM (SELECT best.value AS k, count(DISTINCT best.id) AS size, count(u.dst) AS arcs FROM best LEFT JOIN u ON u.src = best.id GROUP BY best.value)),
+d(k, pulls, size) AS (SELECT CAST(-1 AS BIGINT), false, CAST(0 AS BIGINT)
+  UNION ALL SELECT level.k, CASE WHEN d.pulls THEN NOT (level.size < d.size AND level.size * 18 < n.n) ELSE level.arcs * 15 > level.unseen END, level.size FROM d JOIN level ON level.k = d.k + 1, n)"""
 _GEO = f"""
 place AS (SELECT id, id % 180 / 180.0::DOUBLE AS lat, id % 360 / 360.0::DOUBLE AS lon FROM v),
 laid AS (SELECT src, dst, weight + CAST(ceil(2 * atan2(sqrt(h), sqrt(1 - h)) * 637100000.0::DOUBLE / {GEO_UNIT}) AS BIGINT) AS weight FROM (
@@ -296,6 +323,17 @@ def oracle_sql() -> dict[str, str]:
         "sssp_reached": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT count(*) AS reached, max(value) AS farthest FROM best",
         "ppsp_dist": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value AS dist FROM best WHERE id = {DEST}",
         "astar_dist": f"WITH RECURSIVE {ORDER}, {_GEO}, {_ordered(str(SOURCE), 'r.value + e.weight', 'laid', 24)} SELECT id, value AS dist FROM best WHERE id = {DEST}",
+        "bfs_hybrid": f"WITH RECURSIVE {ORDER}, {_BFS}, p AS (SELECT b.id, min(a.id) AS parent FROM best b JOIN u ON u.dst = b.id JOIN best a ON a.id = u.src AND a.value = b.value - 1 GROUP BY b.id) "
+        f"SELECT best.id, value AS depth, coalesce(parent, best.id) AS parent FROM best LEFT JOIN p ON p.id = best.id",
+        "bfs_directions": f"WITH RECURSIVE {ORDER}, {_BFS}, {_DIRECTIONS} SELECT level.k + 1 AS depth, CASE WHEN pulls THEN 'bottom_up' ELSE 'top_down' END AS direction, level.size, arcs, CAST(unseen AS BIGINT) AS unseen FROM level JOIN d ON d.k = level.k",
+        "edge_map_auto": f"WITH {ORDER}, {_DEGREES} SELECT u.dst AS id, min(u.src) AS value FROM u JOIN deg a ON a.id = u.src JOIN deg b ON b.id = u.dst WHERE a.degree % 2 = 0 AND b.degree % 2 = 1 GROUP BY u.dst",
+        "within_distance": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value FROM best WHERE value <= 6",
+        "cc_sampled": f"WITH RECURSIVE {CHAIN}, {_LABELS} SELECT id, component FROM label",
+        "cc_streamed": f"WITH RECURSIVE {CHAIN}, {_LABELS} SELECT id, component FROM label WHERE id IN (SELECT src FROM g UNION SELECT dst FROM g)",
+        "recommend_all": f"WITH {TRUST}, {RATE}, h1 AS (SELECT DISTINCT src AS source, dst AS id FROM g), h2 AS (SELECT DISTINCT source, dst AS id FROM h1 JOIN g ON src = id), h3 AS (SELECT DISTINCT source, dst AS id FROM h2 JOIN g ON src = id), "
+        "circle AS (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3), votes AS (SELECT source, rate.dst AS item, count(*) AS votes FROM circle JOIN rate ON rate.src = circle.id, rn WHERE circle.id < rn.n AND rate.weight > 3 GROUP BY source, rate.dst) "
+        "SELECT source, item, votes, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY votes DESC, item DESC) AS rank FROM votes) WHERE rank <= 5",
+        "astar_geo_file": f"WITH RECURSIVE {TRUST}, {_GEO}, {_ordered(str(TRUST_SOURCE), 'r.value + e.weight', 'laid', 24)} SELECT id, value * {GEO_UNIT} AS dist FROM best WHERE id = {TRUST_DEST}",
         "sssp_fused": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value AS dist FROM best",
         "ppsp_fused": f"WITH RECURSIVE {ORDER}, {_SSSP} SELECT id, value AS dist FROM best WHERE id = {DEST}",
         "kcore_peel": f"WITH RECURSIVE {TRUST}, {_CORE} SELECT id, coreness FROM core",
@@ -306,7 +344,7 @@ def oracle_sql() -> dict[str, str]:
         "counter_reduce": f"WITH {ORDER}, {_IN} SELECT CAST(sum(value) AS BIGINT) AS sum, min(value) AS least, max(value) AS most, count(value) AS n FROM d",
         "edge_map_cond": f"WITH {TRUST}, {_OUT} SELECT dst AS id, max(weight + src) AS value FROM g JOIN d ON d.id = g.dst WHERE d.value % 2 = 0 GROUP BY dst",
         "sql_views": f"WITH {TRUST} SELECT v.id, count(DISTINCT b.dst) AS within_two FROM v LEFT JOIN g a ON a.src = v.id LEFT JOIN g b ON b.src = a.dst GROUP BY v.id",
-        **{f"format_{kind}": _format_sql("1" if kind in ("el", "sg") else "1 + (src + dst * 2) % 7") for kind in ("el", "wel", "gr", "graph", "mtx", "adj", "sg", "wsg", "parquet")},
+        **{f"format_{kind}": _format_sql("1" if kind in ("el", "sg") else "1 + (src + dst * 2) % 7") for kind in ("el", "wel", "gr", "graph", "mtx", "adj", "config", "bin", "sg", "wsg", "parquet")},
         "format_wsg_mirrored": f"WITH {TRUST} SELECT src, dst, CAST(1 + (src + dst) % 7 AS BIGINT) AS weight FROM u",
         "gen_weights": f"WITH {ORDER} SELECT count(*) AS arcs, count(*) AS within, count(*) AS alike, true AS varied FROM u",
         "ordered_process_min": f"WITH RECURSIVE {ORDER}, {_ordered(f'{SOURCE}, {DEST}', 'greatest(r.value, e.weight)')} SELECT id, value FROM best",

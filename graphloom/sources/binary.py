@@ -70,6 +70,21 @@ def read_serialized(spark: SparkSession, path: str, weighted: bool = False, vert
     return Graph(spark.range(0, parts, 1, max(1, parts)).mapInArrow(read, _EDGES), n, directed)
 
 
+def index_of(path: str) -> str:
+    """Where a geo file's table of record runs lies."""
+    return f"{path}.index"
+
+
+def _indexed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of record runs beside a geo file, if there is one and it is of this file's length."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(index_of(path))
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    index = spark.read.parquet(index_of(path))
+    fs, place = open_fs(path)
+    return index if index.agg({"stop": "max"}).head()[0] == fs.get_file_info(place).size else None
+
+
 def _geo_chunks(spark: SparkSession, path: str, vertices_each: int = 1 << 16) -> DataFrame:
     """``first, count, offset`` of runs of records: one task passes over the file once and reads only their lengths."""
 
@@ -99,10 +114,11 @@ def _geo_chunks(spark: SparkSession, path: str, vertices_each: int = 1 << 16) ->
 def read_geo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Geo graph: ``(edges, coordinates)``; weights are centimetres, coordinates radians (id, lat, lon).
 
-    Records are of different lengths without an index, so a first pass finds where runs of 65,536 of them begin;
-    tasks then read a run each.
+    Records are of different lengths.  Where runs of them begin is in the table that ``write_geo`` leaves beside a file;
+    without it one task passes over the file once to find out.  Tasks then read a run each.
     """
-    chunks = _geo_chunks(spark, path)
+    chunks = _indexed(spark, path)
+    chunks = _geo_chunks(spark, path) if chunks is None else chunks
     chunks = chunks.repartition(max(1, chunks.count()), "first")
 
     def records(batches: Iterator[pa.RecordBatch], coordinates: bool) -> Iterator[pa.RecordBatch]:

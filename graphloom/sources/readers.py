@@ -78,19 +78,17 @@ def read_metis(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """Square coordinate matrices of real, integer or pattern entries, counted from 1; symmetric ones are mirrored."""
-    lines = _lines(spark, path)
-    banner = lines.head()
+    banner = _numbered(spark, path, F.trim("value") != "").where("n = 0").head()
     words = banner["line"].lower().split() if banner else []
     if len(words) != 5 or words[:2] != ["%%matrixmarket", "matrix"]:
         raise FormatError("no Matrix Market banner")
     layout, kind, symmetry = words[2:]
     if layout != "coordinate" or kind not in ("pattern", "real", "double", "integer") or symmetry not in ("general", "symmetric", "skew-symmetric"):
         raise FormatError(f"unsupported matrix: {' '.join(words[2:])}")
-    body = lines.where((F.col("line") != "") & ~F.col("line").startswith("%"))
-    size = body.head()["line"].split()
+    entries = _numbered(spark, path, (F.trim("value") != "") & ~F.ltrim(F.col("value")).startswith("%"))
+    size = entries.where("n = 0").head()["line"].split()
     if size[0] != size[1]:
         raise FormatError("the matrix is not square")
-    entries = _numbered(spark, path, (F.trim("value") != "") & ~F.ltrim(F.col("value")).startswith("%"))
     rows = _edge_rows(entries.where("n > 0"), 0, kind != "pattern")
     rows = rows.select((F.col("src") - 1).alias("src"), (F.col("dst") - 1).alias("dst"), "weight")
     if symmetry == "symmetric":

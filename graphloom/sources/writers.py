@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.sources.binary import open_fs
+from graphloom.sources.binary import GEO_MAGIC, GEO_RADIUS_CM, index_of
+from graphloom.sources.parts import assemble, pack_groups, pack_sorted, parts_folder
 from graphloom.sources.readers import FormatError, read_graph, suffix
 
 
@@ -19,51 +20,101 @@ def write_edge_list(graph: Graph, path: str, weighted: bool = False) -> None:
     graph.edges.select(F.concat_ws(" ", *["src", "dst", *["weight"] * weighted]).alias("value")).write.mode("overwrite").text(path)
 
 
-def _packed(rows: DataFrame, cell: list[tuple[str, str]]) -> Iterator[bytes]:
-    """Sorted ``rows`` as bytes of ``cell`` records, packed by the executors; the driver sees blocks in order."""
+def text_lines(graph: Graph, kind: str) -> DataFrame:
+    """``at, src, dst, line``: a graph as lines of a text format, in an order by the first three columns."""
+    spark, m = graph.spark, graph.arcs()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.empty(batch.num_rows, cell)
-            for name, _ in cell:
-                out[name] = np.asarray(batch[name])
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["block"])
+    def lines(at: int, rows: DataFrame, line: Column, src: str = "src", dst: str | Column = "dst") -> DataFrame:
+        return rows.select(F.lit(at).alias("at"), F.col(src).cast("long").alias("src"), (F.col(dst) if isinstance(dst, str) else dst).cast("long").alias("dst"), line.cast("string").alias("line"))
 
-    for row in rows.select([name for name, _ in cell]).mapInArrow(pack, "block binary").toLocalIterator(prefetchPartitions=True):
-        yield bytes(row["block"])
+    none = F.lit(0)
+    head = {
+        "gr": [f"c {m} arcs", f"p sp {graph.nodes} {m}"],
+        "graph": ["% weighted", f"{graph.nodes} {m} 1"],
+        "mtx": ["%%MatrixMarket matrix coordinate integer general", "% arcs", f"{graph.nodes} {graph.nodes} {m}"],
+        "adj": ["WeightedAdjacencyGraph", str(graph.nodes), str(m)],
+    }[kind]
+    out = spark.createDataFrame([(i, 0, 0, x) for i, x in enumerate(head)], "at int, src long, dst long, line string")
+    if kind == "gr":
+        return out.unionByName(lines(9, graph.edges, F.concat_ws(" ", F.lit("a"), "src", "dst", "weight")))
+    if kind == "mtx":
+        return out.unionByName(lines(9, graph.edges, F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1, "weight")))
+    if kind == "graph":
+        near = graph.edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct((F.col("dst") + 1).alias("v"), "weight"))).alias("near"))
+        text = F.concat_ws(" ", F.transform("near", lambda x: F.concat_ws(" ", x["v"], x["weight"])))
+        return out.unionByName(lines(9, graph.vertices().join(near, F.col("id") == F.col("src"), "left"), F.coalesce(text, F.lit("")), "id", none))
+    parts = lines(7, graph.vertex_offsets(), F.col("offset"), "id", none).unionByName(lines(8, graph.edges, F.col("dst"))).unionByName(lines(9, graph.edges, F.col("weight")))
+    return out.unionByName(parts)
 
 
-def write_serialized(graph: Graph, path: str, weighted: bool = False) -> None:
-    """One ``.sg`` / ``.wsg`` file.
+def write_text(graph: Graph, path: str, kind: str) -> None:
+    """``.gr``, ``.graph``, ``.mtx`` or ``.adj``: a folder of text files that follow on each other by name, sorted by ranges."""
+    text_lines(graph, kind).orderBy("at", "src", "dst").select("line").write.mode("overwrite").text(path)
 
-    Arcs and offsets are sorted and packed by the executors; the driver appends their blocks to the file one after
-    the other, so it holds a block and the file is as fast as one stream.
-    """
-    fs, place = open_fs(path)
+
+def write_serialized(graph: Graph, path: str, weighted: bool = False) -> None:
+    """One ``.sg`` / ``.wsg`` file; arcs and offsets are sorted and packed in parts (see ``graphloom.sources.parts``)."""
+    folder = parts_folder(graph.spark)
     cell = [("dst", "<i4"), ("weight", "<i4")] if weighted else [("dst", "<i4")]
+    arcs = graph.arcs()
 
-    def arrays(g: Graph, sink) -> None:
+    def arrays(g: Graph) -> list[bytes | DataFrame]:
         # an offset for each vertex, and the end of the last
-        for block in _packed(g.vertex_offsets().orderBy("id"), [("offset", "<i8")]):
-            sink.write(block)
-        sink.write(np.array([arcs], "<i8").tobytes())
-        for block in _packed(g.edges.orderBy("src", "dst"), cell):
-            sink.write(block)
+        return [pack_sorted(g.vertex_offsets().orderBy("id"), [("offset", "<i8")], folder), np.array([arcs], "<i8").tobytes(), pack_sorted(g.edges.orderBy("src", "dst"), cell, folder)]
+
+    head = np.array([graph.directed], np.uint8).tobytes() + np.array([arcs, graph.nodes], "<i8").tobytes()
+    assemble(graph.spark, [head, *arrays(graph), *(arrays(graph.reverse()) if graph.directed else [])], path, folder)
+
 
-    arcs = graph.edges.count()
-    with fs.open_output_stream(place, compression=None) as sink:
-        sink.write(np.array([graph.directed], np.uint8).tobytes() + np.array([arcs, graph.nodes], "<i8").tobytes())
-        arrays(graph, sink)
-        if graph.directed:
-            arrays(graph.reverse(), sink)
+def write_binary_adjacency(graph: Graph, path: str, weighted: bool = True) -> None:
+    """``x.config`` with the number of vertices, and beside it ``x.adj`` (targets, with weights) and ``x.idx`` (offsets)."""
+    stem, spark = path.removesuffix(".config"), graph.spark
+    cell = [("dst", "<u4"), ("weight", "<i4")] if weighted else [("dst", "<u4")]
+    for name, rows, kind in (("adj", graph.edges.orderBy("src", "dst"), cell), ("idx", graph.vertex_offsets().orderBy("id"), [("offset", "<i8")])):
+        folder = parts_folder(spark)
+        assemble(spark, [pack_sorted(rows, kind, folder)], f"{stem}.{name}", folder)
+    assemble(spark, [f"{graph.nodes}\n".encode()], path, parts_folder(spark))
+
+
+def _records(table: pa.Table) -> bytes:
+    """Geo records of a run of vertices: place, degree, targets, angles."""
+    rows = sorted(table.select(["id", "lat", "lon", "near"]).to_pylist(), key=lambda r: r["id"])
+    out = []
+    for r in rows:
+        near = sorted((x["dst"], x["weight"]) for x in r["near"] or ())
+        # half a centimetre more, so that cutting to whole ones gives the weight back
+        out += [struct.pack("<ddI", r["lat"], r["lon"], len(near)), np.array([d for d, _ in near], "<u4").tobytes(), ((np.array([w for _, w in near], "<f8") + 0.5) / GEO_RADIUS_CM).tobytes()]
+    return b"".join(out)
+
+
+def write_geo(graph: Graph, places: DataFrame, path: str, vertices_each: int = 1 << 16) -> None:
+    """One geo file of a graph whose weights are centimetres, and its vertices' ``places`` (id, lat, lon in radians; 0 where there is none).
+
+    Runs of ``vertices_each`` vertices are packed by tasks.  Where each of them begins is written beside the file, as a
+    table at ``<path>.index``, with which it is read without a pass over all of it.
+    """
+    spark, folder = graph.spark, parts_folder(graph.spark)
+    near = graph.edges.groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct("dst", "weight")).alias("near"))
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    rows = graph.vertices().join(places.select("id", "lat", "lon"), "id", "left").join(near, "id", "left").select("id", zero("lat"), zero("lon"), "near", F.expr(f"id div {vertices_each}").alias("run"))
+    parts = pack_groups(rows, "run", _records, folder)
+    before = F.coalesce(F.sum("bytes").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 8
+    index = parts.select((F.col("seq") * vertices_each).alias("first"), F.least(F.lit(vertices_each), graph.nodes - F.col("seq") * vertices_each).cast("long").alias("count"), before.alias("offset"), (before + F.col("bytes")).alias("stop"))
+    index.write.mode("overwrite").parquet(index_of(path))
+    assemble(spark, [struct.pack("<II", GEO_MAGIC, graph.nodes), parts], path, folder)
 
 
 def write_graph(graph: Graph, path: str, format: str | None = None) -> None:
+    """Dispatch by ``format`` or suffix: el, wel, gr, graph, mtx, adj, config, sg, wsg, parquet.  For geo files see ``write_geo``."""
     kind = format or suffix(path)
     if kind in ("el", "wel"):
         write_edge_list(graph, path, kind == "wel")
+    elif kind in ("gr", "graph", "mtx", "adj"):
+        write_text(graph, path, kind)
     elif kind in ("sg", "wsg"):
         write_serialized(graph, path, kind == "wsg")
+    elif kind == "config":
+        write_binary_adjacency(graph, path)
     elif kind == "parquet":
         graph.edges.write.mode("overwrite").parquet(path)
     else:
