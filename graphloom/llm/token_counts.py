@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -60,6 +61,8 @@ class PrefixBpe:
         self.vocab: set[str] = set(model["vocab"])
         self.longest = max(map(len, self.vocab))
         self.starts = {t[:i] for t in self.vocab for i in range(1, len(t) + 1)}
+        bodies = [t.removesuffix(self.end) for t in self.vocab if self.end and t.endswith(self.end)]
+        self.tails = {t[i:] for t in bodies for i in range(len(t))}
         self.normalizer = tokenizers.Tokenizer.from_file(path).normalizer
         self.plain = self._plain(spec.get("normalizer"))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -114,12 +117,21 @@ class PrefixBpe:
         known = self.pairs[key] = self._merge((self._symbols(left) if left else []) + self._symbols(right)) == ([left, right] if left else [right])
         return known
 
-    def _open(self, line: str) -> tuple[list[str], list[int]]:
-        """Last token and token count of every prefix of ``line``, as the inside of a word."""
+    def _open(self, line: str, budget: int | None = None) -> tuple[list[str], list[int]]:
+        """Last token and token count of every prefix of ``line``, as the inside of a word.
+
+        With a ``budget``, of the prefixes up to one after which none has that few tokens: a token is no longer than
+        the longest of the vocabulary, so once that many neighbouring places have used the budget up, all later
+        prefixes are over it.
+        """
         n, vocab, starts, fits = len(line), self.vocab, self.starts, self._fits
-        last, count = [""] * (n + 1), [0] * (n + 1)
+        last, count, spent = [""] * (n + 1), [0] * (n + 1), 0
         for begin in range(n):
             before = last[begin]
+            if budget is not None:
+                spent = spent + 1 if count[begin] >= budget or begin and not before else 0
+                if spent >= self.longest:
+                    return last[: begin + 1], count[: begin + 1]
             if begin and not before:
                 continue
             for stop in range(begin + 1, n + 1):
@@ -134,8 +146,11 @@ class PrefixBpe:
         """Token count of the prefix of ``line`` up to ``stop`` as a whole word."""
         if not self.end:
             return count[stop]
-        for begin in range(max(0, stop - self.longest), stop):
-            if (last[begin] or not begin) and (token := line[begin:stop] + self.end) in self.vocab and self._fits(last[begin], token):
+        for begin in range(stop - 1, -1, -1):
+            body = line[begin:stop]
+            if body not in self.tails:
+                break
+            if (last[begin] or not begin) and (token := body + self.end) in self.vocab and self._fits(last[begin], token):
                 return count[begin] + 1
         raise ValueError(f"no encoding of {line[:stop]!r}")
 
@@ -150,11 +165,14 @@ class PrefixBpe:
             return 1
         return self._shut(line, *self._open(line), len(line))
 
-    def word_prefixes(self, word: str) -> list[int]:
-        """Token counts of the prefixes of one word: entry i is for its first i + 1 bytes taken as a whole word."""
+    def word_prefixes(self, word: str, budget: int | None = None) -> list[int]:
+        """Token counts of the prefixes of one word: entry i is for its first i + 1 bytes taken as a whole word.
+
+        With a ``budget`` the list may end where all longer prefixes have more tokens.
+        """
         line = self._line(word)
-        last, count = self._open(line)
-        return [self._shut(line, last, count, stop) for stop in range(1, len(line) + 1)]
+        last, count = self._open(line, budget)
+        return [self._shut(line, last, count, stop) for stop in range(1, len(last))]
 
     # -- texts ------------------------------------------------------------------
 
@@ -187,6 +205,13 @@ class PrefixBpe:
             lead = ""
         return total
 
+    def item_counts(self, text: str) -> list[int]:
+        """The prefix counts at the ends of a text's words and added tokens, in the order of ``items``."""
+        each: list[int] = []
+        for special, stretch in self.pieces(text):
+            each += [1] if special else map(self.words.__getitem__, self.pattern.findall(self._normal(stretch)))
+        return list(accumulate(each))
+
     def _spread(self, stretch: str) -> tuple[str, list[int], list[int | None]]:
         """A normalised stretch, and for each of its characters where it begins and ends in the stretch as given."""
         line, begins, ends, known = [], [], [], self.clusters
@@ -223,9 +248,9 @@ class PrefixBpe:
                     yield Item(at + begins[m.start()], places[-1], m.group(), places)
             at += len(stretch)
 
-    def _inside(self, text: str, item: Item, before: Item | None) -> Iterator[tuple[int, int]]:
+    def _inside(self, text: str, item: Item, before: Item | None, budget: int | None = None) -> Iterator[tuple[int, int]]:
         """(offset, tokens) for the cuts inside an item; tokens since ``before`` began if that touches an added token,
-        else since the item began."""
+        else since the item began.  With a ``budget``, cuts of a word that are all over it may be left out."""
         begin, _, word, ends = item
         if word is None:
             lead = before.word if before and before.word is not None and before.stop == begin else ""
@@ -234,9 +259,11 @@ class PrefixBpe:
         if word in self.literals:
             steps = [sum(map(self.words.__getitem__, self.pattern.findall(word[:i]))) for i in range(1, len(word))]
         else:
-            by_byte, n, steps = self.word_prefixes(word), 0, []
+            by_byte, n, steps = self.word_prefixes(word, budget), 0, []
             for c in word[:-1]:
                 n += len(c.encode("utf-8", "surrogatepass"))
+                if n > len(by_byte):
+                    break
                 steps.append(by_byte[n - 1])
         for i, count in enumerate(steps):
             cut = begin + i + 1 if ends is None else ends[i]
@@ -281,31 +308,35 @@ class PrefixBpe:
     def fit(self, text: str, budget: int) -> tuple[int, int]:
         """(tokens of the whole text, largest offset of its prefix table with at most ``budget`` tokens).
 
-        Counts at the ends of words never fall, so only the block that passes the budget is looked into.
+        Counts at the ends of words never fall, so the cut is read from the stored counts of the block that passes the
+        budget; only the word that passes it is looked into.
         """
         total, cut = 0, None
         for begin, stop in self._blocks(text):
-            n = self.count(text[begin:stop])
-            if cut is None and total + n > budget:
-                cut = begin + self._cut(text[begin:stop], budget - total)
+            if cut is not None:
+                total += self.count(text[begin:stop])
+                continue
+            stored = self.item_counts(text[begin:stop])
+            n = stored[-1] if stored else 0
+            if total + n > budget:
+                cut = begin + self._cut(text[begin:stop], stored, budget - total)
             total += n
         return total, len(text) if cut is None else cut
 
-    def _cut(self, text: str, budget: int) -> int:
-        """Largest offset with at most ``budget`` tokens in a text that has more: in the item that passes the budget, or
-        in an added token that touches it."""
+    def _cut(self, text: str, stored: list[int], budget: int) -> int:
+        """Largest offset with at most ``budget`` tokens in a text that has more, by its ``item_counts``: in the item
+        that passes the budget, or in an added token that touches it."""
         self._check()
         best = base = last = 0
         before, passed = None, False
-        for item in self.items(text):
+        for item, after in zip(self.items(text), stored, strict=False):
             joined = item.word is None and before is not None and before.word is not None and before.stop == item.begin
             if passed and not joined:
                 break
-            after = base + self._whole(item)
             if after <= budget and item.stop is not None:
                 best = item.stop
             else:
-                cuts = self._inside(text, item, before)
+                cuts = self._inside(text, item, before, budget - base)
                 best = max([best, *(cut for cut, n in cuts if (last if joined else base) + n <= budget)])
                 if passed:
                     break
@@ -315,7 +346,12 @@ class PrefixBpe:
 
 
 class _Counts(dict):
-    """Word to token count for a bounded number of words: two generations, so that frequent words stay."""
+    """Word to token count for a bounded number of words: two generations, so that frequent words stay.
+
+    Words over ``longest`` characters are counted each time that they come and are not kept.
+    """
+
+    longest = 1000
 
     def __init__(self, bpe: PrefixBpe):
         super().__init__()
@@ -323,6 +359,8 @@ class _Counts(dict):
         self.older: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
+        if len(word) > self.longest:
+            return self.bpe.word_count(word)
         if len(self) >= self.bpe.bound // 2:
             self.older = dict(self)
             self.clear()
