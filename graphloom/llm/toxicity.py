@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -105,29 +105,87 @@ class Likelihood:
         self.value = np.array([c[2] for c in cells], float)
         self.size, self.k, self.rows, self.decay = len(vocabulary), grades - 1, len(rows), decay
         y = np.array([y for _, y in rows])
-        self.passed = (y[:, None] > np.arange(self.k)[None, :]).astype(float)
-        self.weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))[:, None]
+        over, own = np.arange(self.k)[None, :] == y[:, None] - 1, np.arange(self.k)[None, :] == y[:, None]
+        weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
+        #: of each row, the threshold that it is over and the one that it is not
+        self.over, self.under = over * weight[:, None], own * weight[:, None]
+        #: weights in sum of the grades between two thresholds
+        self.between = np.bincount(y, weight, grades)[1 : self.k]
 
     def thresholds(self, theta: np.ndarray) -> np.ndarray:
         cut = theta[self.size :]
         return cut[0] + np.concatenate([[0.0], np.cumsum(np.exp(cut[1:]))])
 
     def at(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
-        """(loss, gradient): the sum over thresholds of the log loss of being above, which is convex in the weights."""
-        w = theta[: self.size]
-        margin = np.bincount(self.row, self.value * w[self.column], self.rows)[:, None] - self.thresholds(theta)
-        loss = (self.weight * (np.logaddexp(0, margin) - self.passed * margin)).sum() + 0.5 * self.decay * (w @ w)
-        g = (1 / (1 + np.exp(-margin)) - self.passed) * self.weight
+        """(loss, gradient): minus the weighted logarithms of P(y = k) = logistic(w . x - t_k-1) - logistic(w . x - t_k).
+
+        The difference is the product of being over the one, not over the other, and 1 - exp(t_k-1 - t_k), so its
+        logarithm is a sum that does not cancel.
+        """
+        w, cut = theta[: self.size], self.thresholds(theta)
+        margin = np.bincount(self.row, self.value * w[self.column], self.rows)[:, None] - cut
+        held = self.between > 0
+        gap = np.diff(cut)[held]
+        loss = (self.over * np.logaddexp(0, -margin) + self.under * np.logaddexp(0, margin)).sum() + 0.5 * self.decay * (w @ w)
+        loss -= (self.between[held] * np.log(-np.expm1(-gap))).sum()
+        g = self.under * np.exp(-np.logaddexp(0, -margin)) - self.over * np.exp(-np.logaddexp(0, margin))
         grad = np.empty_like(theta)
         grad[: self.size] = np.bincount(self.column, self.value * g.sum(1)[self.row], self.size) + self.decay * w
-        back = -g.sum(0)
+        push = np.zeros(self.k - 1)
+        push[held] = self.between[held] / np.expm1(gap)
+        back = -g.sum(0) + np.append(push, 0) - np.append(0, push)
         grad[self.size] = back.sum()
         grad[self.size + 1 :] = [np.exp(theta[self.size + 1 + i]) * back[i + 1 :].sum() for i in range(self.k - 1)]
         return float(loss), grad
 
 
-def fit(rows: list[tuple[Counter, int]], most_features: int = 2000, least_seen: int = 3, odds: float = 8.0, z: float = 5.0, steps: int = 2000, rate: float = 0.05, decay: float = 1e-4) -> OrdinalModel:
-    """Fit weights and ordered thresholds by full-batch Adam on the cumulative-link likelihood.
+def minimize(loss: Likelihood, theta: np.ndarray, steps: int, tolerance: float, memory: int = 10) -> np.ndarray:
+    """Least loss with weights that are not negative, by projected quasi-Newton steps from ``theta``.
+
+    Ends when no component of the gradient that may be followed exceeds ``tolerance``, when no step lowers the loss
+    any more, or after ``steps``.
+    """
+    value, grad = loss.at(theta)
+    pairs: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=memory)
+    for _ in range(steps):
+        fixed = np.zeros(len(theta), bool)
+        fixed[: loss.size] = (theta[: loss.size] <= 0) & (grad[: loss.size] > 0)
+        free = np.where(fixed, 0.0, grad)
+        if np.abs(free).max() <= tolerance:
+            break
+        way, taken = -free, []
+        for s, y in reversed(pairs):
+            taken.append((s @ way) / (s @ y))
+            way = way - taken[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            way = way * ((s @ y) / (y @ y))
+        for (s, y), a in zip(pairs, reversed(taken), strict=True):
+            way = way + (a - (y @ way) / (s @ y)) * s
+        way[fixed] = 0
+        if way @ free >= 0:
+            way = -free
+            pairs.clear()
+        size = 1.0
+        while True:
+            new = theta + size * way
+            new[: loss.size] = np.maximum(new[: loss.size], 0)
+            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                new_value, new_grad = loss.at(new)
+            if new_value <= value + 1e-4 * (grad @ (new - theta)):
+                break
+            size /= 2
+            if size < 1e-10:
+                return theta
+        s, y = new - theta, new_grad - grad
+        if s @ y > 1e-10 * (y @ y):
+            pairs.append((s, y))
+        theta, value, grad = new, new_value, new_grad
+    return theta
+
+
+def fit(rows: list[tuple[Counter, int]], most_features: int = 2000, least_seen: int = 3, odds: float = 8.0, z: float = 5.0, steps: int = 1000, tolerance: float = 1e-6, decay: float = 1e-4) -> OrdinalModel:
+    """Fit weights and ordered thresholds to the greatest penalized cumulative-link likelihood (see ``minimize``).
 
     ``rows`` are (features, grade), grades 0 .. K as the labels give them; there is a threshold between each two
     neighbouring grades, so labels of 0 and 1 have one.  Features are those that rows of a grade over 0 hold more
@@ -143,13 +201,7 @@ def fit(rows: list[tuple[Counter, int]], most_features: int = 2000, least_seen:
     loss = Likelihood(rows, vocabulary, grades, decay)
     theta = np.zeros(len(vocabulary) + grades - 1)
     theta[len(vocabulary)] = 2.0
-    m, s = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
-        grad = loss.at(theta)[1]
-        m = 0.9 * m + 0.1 * grad
-        s = 0.999 * s + 0.001 * grad**2
-        theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-9)
-        theta[: len(vocabulary)] = np.maximum(theta[: len(vocabulary)], 0)
+    theta = minimize(loss, theta, steps, tolerance)
     return OrdinalModel({f: float(x) for f, x in zip(vocabulary, theta, strict=False) if x}, loss.thresholds(theta))
 
 

@@ -14,7 +14,7 @@ from graphloom.llm import queries as Q
 from graphloom.llm.ngram_leaks import find_leaks, original_offsets, remove_leaks, words_of
 from graphloom.llm.source_mix import golden_sources, mix_sources, texts_taken, water_fill, words_taken
 from graphloom.llm.token_counts import PrefixBpe, PrefixCounts, count_tokens, prefix_counts, truncate_to_budget
-from graphloom.llm.toxicity import Likelihood, features_of, fit, grade_toxicity, labelled_sample
+from graphloom.llm.toxicity import Likelihood, distinct_rows, features_of, fit, grade_toxicity, labelled_sample
 from graphloom.llm.url_rules import Rule, filter_urls, index_rules, parse_rule
 from graphloom.llm.vector_links import later_cells, link_vectors, paying_axes
 from graphloom.llm.warc_zstd import archive_folder, read_archives, write_archives
@@ -143,6 +143,13 @@ def test_prefixes_of_odd_texts(spark):
     stored = PrefixCounts(*bpe.prefix_table(long))
     for budget in (0, 100, 1000, 5000, 10**6):
         assert bpe.fit(long, budget) == (stored.counts[-1], stored.longest_within(budget))
+    # words that go on and on: only as much of their prefixes is looked into as can be within the budget
+    r = random.Random(4)
+    for word in ("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=4000)), "a" * 3000, "".join(r.choices("etaoin\u00e9\u4e2d", k=1500))):
+        stored = PrefixCounts(*bpe.prefix_table(word))
+        for budget in (1, 7, 100, 400):
+            assert bpe.fit(word, budget) == (stored.counts[-1], stored.longest_within(budget))
+        assert len(bpe.word_prefixes(word, 20)) < len(word) / 2 and bpe.word_prefixes(word, 20) == bpe.word_prefixes(word)[: len(bpe.word_prefixes(word, 20))]
     docs = frame(spark, [*enumerate(texts), (-1, None), (-2, "again and again and again"), (-2, "again and again and again")], "doc_id long, text string")
     counted = count_tokens(docs, path, limit=4).collect()
     assert {r.doc_id: (r.n_tokens, r.fit_chars) for r in counted if r.doc_id >= 0} == wanted
@@ -235,11 +242,49 @@ def test_ordinal_grades():
         step = np.zeros(len(theta))
         step[i] = 1e-6
         assert abs((loss.at(theta + step)[0] - loss.at(theta - step)[0]) / 2e-6 - grad[i]) < 1e-6
-    plain = np.zeros(len(theta))
-    for _ in range(20_000):
-        plain -= 0.1 * loss.at(plain)[1]
-        plain[: loss.size] = np.maximum(plain[: loss.size], 0)
-    assert at < loss.at(np.zeros(len(theta)))[0] / 2 and at < 1.1 * loss.at(plain)[0]
+    # the likelihood as it is defined, and its plain projected descent over weights and thresholds themselves
+    model, kept = fit(rows, decay=1e-2), distinct_rows(rows)
+    vocabulary, y = sorted(model.weights), np.array([y for _, y in kept])
+    x = np.array([[np.log2(1 + row[f]) for f in vocabulary] for row, _ in kept])
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
+
+    def sides(w, t):
+        above = 1 / (1 + np.exp(-((x @ w)[:, None] - t)))
+        above = np.column_stack([np.ones(len(y)), above, np.zeros(len(y))])
+        return above[np.arange(len(y)), y], above[np.arange(len(y)), y + 1]
+
+    def value(w, t):
+        p, q = sides(w, t)
+        return -(weight * np.log(p - q)).sum() + 0.5e-2 * (w @ w)
+
+    w, t = np.array([model.weights[f] for f in vocabulary]), model.thresholds
+    best = value(w, t)
+    assert abs(Likelihood(kept, vocabulary, 4, 1e-2).at(np.concatenate([w, t[:1], np.log(np.diff(t))]))[0] - best) < 1e-9
+    w, t = np.zeros(len(w)), np.array([-1.0, 0.0, 1.0])
+    for _ in range(30_000):
+        p, q = sides(w, t)
+        dp, dq = p * (1 - p), q * (1 - q)
+        up = weight / (p - q)
+        gw = -x.T @ (up * (dp - dq)) + 1e-2 * w
+        gt = np.array([(up * (np.where(y == j + 1, dp, 0) - np.where(y == j, dq, 0))).sum() for j in range(3)])
+        w, t = np.maximum(w - 0.05 * gw, 0), t - 0.05 * gt
+    assert best <= value(w, t) + 1e-7 and value(w, t) < 1.01 * best
+
+
+def test_two_grades_are_logistic_regression():
+    """With labels of 0 and 1 the fit is the optimum of a logistic regression with weights that are not negative."""
+    r = random.Random(8)
+    plain, marks = ["".join(r.choices("abcdefgh", k=8)) for _ in range(500)], ["nasty", "vile", "awful"]
+    rows = [(features_of(" ".join(r.choices(plain, k=20) + r.choices(marks, k=r.randint(1, 3)) * (r.random() < (0.9 if i % 2 else 0.05)))), i % 2) for i in range(300)]
+    model, kept = fit(rows), distinct_rows(rows)
+    vocabulary, y = sorted(model.weights), np.array([y for _, y in kept])
+    x = np.array([[np.log2(1 + row[f]) for f in vocabulary] for row, _ in kept])
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
+    w, t = np.zeros(len(vocabulary)), 0.0
+    for _ in range(60_000):
+        miss = weight * (1 / (1 + np.exp(-(x @ w - t))) - y)
+        w, t = np.maximum(w - 0.2 * (x.T @ miss + 1e-4 * w), 0), t + 0.2 * miss.sum()
+    assert np.abs(x @ w - t - (x @ np.array([model.weights[f] for f in vocabulary]) - model.thresholds[0])).max() < 0.05
 
 
 def test_labelled_sample(spark):
