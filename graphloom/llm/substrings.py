@@ -16,18 +16,23 @@ steps that lose nothing:
    windows name equal anchors.  Only anchors (a few per cent of all positions) are
    exchanged and counted; an anchor that occurs once proves that all its windows do.
 2. Neighbouring windows that name one repeated anchor are a *run*.  Its text goes to
-   the group of that anchor: the gram is the prefix by which suffixes are dealt.  How
-   long a prefix is depends on the counts of step 1.  Where a gram occurs more often
-   than a group may hold, it is lengthened until it holds the whole window, and each
-   window goes by its own 128-bit digest, of which a map task sends one for each flush.
+   the group of that anchor: the gram is the prefix by which suffixes are dealt.
+
+How long a prefix is depends on counts.  Where a gram occurs more often than a group
+may hold, its windows name their smallest gram of the next length instead
+(``Windows.lengths``: 5, 7, 9, 11 and 13 words, 50 to 200 bytes), until one is found
+that a group can hold.  The grams of the lengths between are counted like those of
+step 1, in one more pass over the texts that hold a hot gram; a window that names one
+of them that is there once has no equal and goes no further.  At the last length a
+group holds one text, which a map task sends once for each flush.
 
 Verdicts come back as ranges of window starts, are joined with the texts by row, and
-each document is cut once.  What step 1 finds is a table in the shared folder; a lost
-executor costs its running tasks.
+each document is cut once.  What the counts find are tables in the shared folder; a
+lost executor costs its running tasks.
 
-Windows in a group are compared word by word or byte by byte, those of lengthened
-prefixes by their digests.  Rows are told apart by two 64-bit hashes of id and text.
-Long texts are taken in pieces, so a task holds a piece's arrays and not a text's.
+Windows are compared word by word or byte by byte.  Rows are told apart by two 64-bit
+hashes of id and text.  Long texts are taken in pieces, so a task holds a piece's
+arrays and not a text's.
 """
 
 from __future__ import annotations
@@ -62,15 +67,54 @@ def word_pieces(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
 
 
 class Windows:
-    """Windows of ``width`` tokens; anchors are grams of ``gram`` tokens."""
-
-    def __init__(self, width: int, gram: int):
-        self.width, self.gram, self.span = width, gram, width - gram + 1
-
-    def minima(self, tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Gram hashes, and for each window the smallest one inside it."""
-        grams = window_hashes(prefix_hashes(self.values(tokens)), self.gram)
-        return grams, sliding_min(grams, self.span)
+    """Windows of ``width`` tokens; anchors are grams of ``lengths`` tokens, from ``gram`` to the whole window."""
+
+    def __init__(self, width: int, gram: int, steps: int = 4):
+        self.width = width
+        self.lengths = sorted({gram + (width - gram) * k // steps for k in range(steps + 1)})
+
+    def prefix(self, tokens) -> np.ndarray:
+        return prefix_hashes(self.values(tokens))
+
+    def span(self, level: int) -> int:
+        """How many grams of a level a window holds."""
+        return self.width - self.lengths[level] + 1
+
+    def minima(self, prefix: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """From prefix hashes: hashes of the grams of a level, and for each window the smallest one inside it."""
+        grams = window_hashes(prefix, self.lengths[level])
+        return grams, sliding_min(grams, self.span(level))
+
+    def runs(self, prefix: np.ndarray, keys: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first window, last + 1, anchor, again) of the runs of neighbours that name one repeated anchor.
+
+        ``keys`` are the repeated anchors of the text at all levels, ``hot`` those of them that no group can hold; at
+        the last level every anchor is taken.  ``again``: windows of the run may equal each other, as its text has
+        repeated grams in more than one place.
+        """
+        places: list[np.ndarray] = []
+        for at in range(len(self.lengths)):
+            grams, least = self.minima(prefix, at)
+            whole = 0 < at == len(self.lengths) - 1
+            here = np.isin(least, keys) | whole
+            places.append(np.append(0, np.cumsum(np.isin(grams, keys) | whole)))
+            if at == 0:
+                low, keep = least, here
+                level, longer = np.zeros(len(low), np.int64), np.isin(low, hot)
+            else:
+                low, keep, level = np.where(longer, least, low), np.where(longer, here, keep), np.where(longer, at, level)
+                longer = longer & np.isin(least, hot)
+            if not longer.any():
+                break
+        first = run_starts(low)
+        end = np.append(first[1:], len(low))
+        kept = keep[first]
+        first, end = first[kept], end[kept]
+        again = np.zeros(len(first), bool)
+        for at, place in enumerate(places):
+            mine = np.flatnonzero(level[first] == at)
+            again[mine] = place[end[mine] + self.span(at) - 1] - place[first[mine]] > 1
+        return first, end, low[first], again
 
 
 class WordWindows(Windows):
@@ -135,36 +179,58 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -
     return docs.select(F.xxhash64(key, text).alias("name"), F.xxhash64(F.lit(1), key, text).alias("check"), key.alias("doc_id"), text.alias("text"), *carried(carry))
 
 
+def _named(kind: Windows, prefix: np.ndarray, level: int, inside: bool, of: np.ndarray | None = None) -> np.ndarray:
+    """The anchors of a text at one level, as often as they have runs of at most ``span`` windows (of the windows ``of``).
+
+    ``inside``: as often as they have places.
+    """
+    grams, low = kind.minima(prefix, level)
+    span = kind.span(level)
+    if inside:
+        # a position counts if its gram is the least of some window that holds it, that is, if it is the largest of
+        # those windows' minima (found as a minimum of complements)
+        most = np.iinfo(np.uint64).max
+        edge = np.full(span - 1, most, np.uint64)
+        flipped = ~low if of is None else np.where(of, ~low, most)
+        return grams[grams == ~sliding_min(np.concatenate([edge, flipped, edge]), span)]
+    if of is None:
+        at, n = run_starts(low), len(low)
+    else:
+        place = np.flatnonzero(of)
+        low, n = low[place], len(place)
+        at = np.flatnonzero(np.append(True, (np.diff(place) != 1) | (low[1:] != low[:-1])))
+    return np.repeat(low[at], -(-np.diff(np.append(at, n)) // span))
+
+
 def _anchors(kind: Windows, buckets: int, inside: bool) -> Callable:
-    """Map step 1: texts to blocks of anchors, each with how many runs of at most ``span`` windows it has.
+    """Map step 1: texts to blocks of anchors, each with how often the text has it.
 
-    ``inside``: an anchor that one text has in two places is repeated.
+    Rows with a column ``split`` are read once more: windows that name one of these anchors name those of the levels
+    between the first and the last.  ``inside``: an anchor that one text has in two places is repeated.
     """
 
+    def found(prefix: np.ndarray, split: np.ndarray | None) -> list[np.ndarray]:
+        if split is None:
+            return [_named(kind, prefix, 0, inside)]
+        of = np.isin(kind.minima(prefix)[1], split)
+        return [_named(kind, prefix, level, inside, of) for level in range(1, len(kind.lengths) - 1)] if of.any() else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = KeyPacker(buckets)
         for batch in batches:
-            for row, text in zip(batch["name"].to_pylist(), batch["text"], strict=True):
-                found = []
-                for _, tokens in kind.pieces(text.as_buffer().to_pybytes()):
-                    grams, low = kind.minima(tokens)
-                    if inside:
-                        # a position counts if its gram is the least of some window that holds it, that is, if it is
-                        # the largest of those windows' minima (found as a minimum of complements)
-                        edge = np.full(kind.span - 1, np.iinfo(np.uint64).max, np.uint64)
-                        found.append(grams[grams == ~sliding_min(np.concatenate([edge, ~low, edge]), kind.span)])
-                    else:
-                        at = run_starts(low)
-                        found.append(np.repeat(low[at], -(-np.diff(np.append(at, len(low))) // kind.span)))
-                if found:
-                    keys, times = np.unique(np.concatenate(found), return_counts=True)
+            again = "split" in batch.schema.names
+            for row, text, split in zip(batch["name"].to_pylist(), batch["text"], batch["split"] if again else [None] * batch.num_rows, strict=True):
+                split = np.asarray(split.values).view(np.uint64) if again else None
+                named = [x for _, tokens in kind.pieces(text.as_buffer().to_pybytes()) for x in found(kind.prefix(tokens), split)]
+                if named:
+                    keys, times = np.unique(np.concatenate(named), return_counts=True)
                     yield from packer.add(row, keys, times, times > 1 if inside else None)
         yield from packer.flush()
 
     return run
 
 
-_RUN, _DIGEST, _DONE = 0, 1, 2
+_RUN, _DONE = 0, 1
 _PACKED = "bucket long, kind int, block binary"
 _HEAD = (np.uint64, np.int64, np.int32, np.int32, np.int32, np.uint8)
 _OWNER = (np.int64, np.int64, np.int32)
@@ -190,8 +256,7 @@ def _suspects(kind: Windows, buckets: int, settle_local: Callable) -> Callable:
     """Map step 2: runs of windows with a repeated anchor, to the group of that anchor.
 
     A run that is there twice in one flush travels once, with the owners that wait for a verdict; ``settle_local``
-    says which those are, under which id they go, and which owners are settled.  Runs of an anchor in ``split``
-    are taken apart, and their windows dealt by their digests.
+    says which those are, under which id they go, and which owners are settled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,57 +265,38 @@ def _suspects(kind: Windows, buckets: int, settle_local: Callable) -> Callable:
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
-            send: dict[int, list] = {_RUN: [], _DIGEST: []}
-            done = []
-            for (anchor, body), (n, several, owners) in held.items():
+            runs, done = [], []
+            for (anchor, body), (n, again, owners) in held.items():
                 ident, waiting, settled = settle_local(owners)
                 done += [(name, check, lo, lo + n) for _, name, check, lo in settled]
-                what = _DIGEST if n == 0 else _RUN
-                if what == _DIGEST:
-                    done[len(done) - len(settled) :] = [(name, check, lo, lo + 1) for _, name, check, lo in settled]
-                    anchor, n = int.from_bytes(body[:8], "little"), 1
-                send[what].append(((anchor, ident, n, len(body), len(waiting), several), waiting, body))
+                runs.append(((anchor, ident, n, len(body), len(waiting), again), waiting, body))
             held, size = {}, 0
             rows = []
             done = _joined_ranges(np.array(done, np.int64).reshape(-1, 4))
             for b, idx in split_by((done[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)):
                 rows.append((b, _DONE, pack(*(done[idx, j].copy() for j in range(4)))))
-            for what, runs in send.items():
-                for b, idx in split_by((np.array([x[0][0] for x in runs], np.uint64) % np.uint64(buckets)).astype(np.int64)):
-                    part = [runs[i] for i in idx]
-                    head = [np.array([x[0][j] for x in part], t) for j, t in enumerate(_HEAD)]
-                    owner = [np.array([o[j + 1] for x in part for o in x[1]], t) for j, t in enumerate(_OWNER)]
-                    rows.append((b, what, pack(*head, *owner, np.frombuffer(b"".join(x[2] for x in part), np.uint8))))
-                    if len(rows) >= 256:
-                        yield _packed_rows(rows)
-                        rows = []
+            for b, idx in split_by((np.array([x[0][0] for x in runs], np.uint64) % np.uint64(buckets)).astype(np.int64)):
+                part = [runs[i] for i in idx]
+                head = [np.array([x[0][j] for x in part], t) for j, t in enumerate(_HEAD)]
+                owner = [np.array([o[j + 1] for x in part for o in x[1]], t) for j, t in enumerate(_OWNER)]
+                rows.append((b, _RUN, pack(*head, *owner, np.frombuffer(b"".join(x[2] for x in part), np.uint8))))
+                if len(rows) >= 256:
+                    yield _packed_rows(rows)
+                    rows = []
             yield _packed_rows(rows)
 
         for batch in batches:
-            for name, check, ident, text, keys, split in zip(*(batch[c].to_pylist() for c in ("name", "check", "doc_id")), batch["text"], batch["keys"], batch["split"].to_pylist(), strict=True):
+            for name, check, ident, text, keys, hot in zip(*(batch[c].to_pylist() for c in ("name", "check", "doc_id")), *(batch[c] for c in ("text", "keys", "split")), strict=True):
                 ident = _NO_ID if ident is None else ident
-                keys = np.asarray(keys.values).view(np.uint64)
-                split = {k & 0xFFFFFFFFFFFFFFFF for k in split or ()}
+                keys, hot = (np.asarray(x.values).view(np.uint64) for x in (keys, hot))
                 for base, tokens in kind.pieces(text.as_buffer().to_pybytes()):
-                    grams, low = kind.minima(tokens)
-                    at = run_starts(low)
-                    end = np.append(at[1:], len(low))
-                    keep = np.isin(low[at], keys)
-                    at, end = at[keep], end[keep]
-                    # how many grams of a run's text are its anchor: more than one if windows of the run may be equal
-                    place = np.append(0, np.cumsum(np.isin(grams, keys)))
-                    several = place[end + kind.span - 1] - place[at] > 1
-                    for anchor, lo, hi, twice in zip(low[at].tolist(), at.tolist(), end.tolist(), several.tolist(), strict=True):
-                        if anchor in split:
-                            parts = [(0, xxhash.xxh3_128_digest(kind.body(tokens, i, i + 1)), 0, i) for i in range(lo, hi)]
-                        else:
-                            parts = [(anchor, kind.body(tokens, lo, hi), hi - lo, lo)]
-                        for group, body, n, first in parts:
-                            known = held.setdefault((group, body), [n, twice, []])
-                            if not known[2]:
-                                size += len(body) + 450
-                            known[2].append((ident, name, check, base + first))
-                            size += 170
+                    for lo, hi, anchor, again in zip(*map(np.ndarray.tolist, kind.runs(kind.prefix(tokens), keys, hot)), strict=True):
+                        body = kind.body(tokens, lo, hi)
+                        known = held.setdefault((anchor, body), [hi - lo, again, []])
+                        if not known[2]:
+                            size += len(body) + 450
+                        known[2].append((ident, name, check, base + lo))
+                        size += 170
                     if size >= 24 << 20:
                         yield from flush()
         yield from flush()
@@ -305,15 +351,6 @@ def _settle(kind: Windows, by_id: bool, most: int = 1 << 20) -> Callable:
     ``by_id``: a window goes if an equal one has a smaller id; otherwise if an equal one is there at all.
     """
 
-    def digests(runs: _Runs) -> tuple[np.ndarray, ...]:
-        pair = np.frombuffer(runs.body, np.uint64).reshape(-1, 2)
-        order = np.lexsort((pair[:, 1], pair[:, 0]))
-        first = np.flatnonzero(np.append(True, (pair[order][1:] != pair[order][:-1]).any(1)))
-        held = np.diff(np.append(first, len(order)))
-        gone = runs.ident[order] > np.repeat(np.minimum.reduceat(runs.ident[order], first), held) if by_id else np.repeat(held > 1, held)
-        run = order[gone]
-        return runs.ranges(run, np.zeros(len(run), np.int64), np.ones(len(run), np.int64))
-
     def verdicts(runs: _Runs) -> Iterator[tuple[np.ndarray, ...]]:
         order, fresh, group = runs.distinct()
         first = np.flatnonzero(fresh)
@@ -360,12 +397,10 @@ def _settle(kind: Windows, by_id: bool, most: int = 1 << 20) -> Callable:
                 yield runs.ranges(run[r[begin]], s[begin], s[last] + 1)
 
     def run(table: pa.Table) -> pa.Table:
-        blocks: dict[int, list[bytes]] = {_RUN: [], _DIGEST: [], _DONE: []}
+        blocks: dict[int, list[bytes]] = {_RUN: [], _DONE: []}
         for what, block in zip(table["kind"].to_pylist(), table["block"].to_pylist(), strict=True):
             blocks[what].append(block)
         out = [tuple(unpack(b, *[np.int64] * 4)) for b in blocks.pop(_DONE)]
-        if blocks[_DIGEST]:
-            out.append(digests(_Runs(blocks.pop(_DIGEST))))
         if blocks[_RUN]:
             out += verdicts(_Runs(blocks.pop(_RUN)))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
@@ -374,8 +409,8 @@ def _settle(kind: Windows, by_id: bool, most: int = 1 << 20) -> Callable:
     return run
 
 
-def _hot(keys: DataFrame, most_shipped: int = 1 << 20) -> DataFrame:
-    """(owner, keys, split) from the table of repeated keys; ``split`` are those of its keys that are hot.
+def _told(keys: DataFrame, most_shipped: int = 1 << 20) -> tuple[DataFrame, bool]:
+    """(owner, keys, split) from the table of repeated keys, and if there are hot ones; ``split`` are those of its keys that are hot.
 
     Hot keys are few, as each has thousands of places; up to ``most_shipped`` they are broadcast, beyond that joined.
     """
@@ -383,9 +418,9 @@ def _hot(keys: DataFrame, most_shipped: int = 1 << 20) -> DataFrame:
     told = keys.where("owner is not null")
     n = hot.count()
     if not n:
-        return told.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.array().cast("array<long>").alias("split"))
+        return told.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.array().cast("array<long>").alias("split")), False
     told = told.join(F.broadcast(hot) if n <= most_shipped else hot.hint("merge"), F.col("key") == F.col("_hot"), "left")
-    return told.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.collect_set("_hot").alias("split"))
+    return told.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.collect_set("_hot").alias("split")), True
 
 
 def _cut_plan(docs: DataFrame, kind: Windows, by_id: bool, settle_local: Callable, most: int) -> DataFrame:
@@ -395,8 +430,14 @@ def _cut_plan(docs: DataFrame, kind: Windows, by_id: bool, settle_local: Callabl
     """
     bound_batches(docs.sparkSession)
     buckets = bucket_count(docs, "text")
-    keys = materialize(repeated_keys(docs.select("name", "text").mapInArrow(_anchors(kind, buckets, not by_id), BLOCK), most), "anchors")
-    anchors = _hot(keys)
+    find = _anchors(kind, buckets, not by_id)
+    keys = materialize(repeated_keys(docs.select("name", "text").mapInArrow(find, BLOCK), most), "anchors")
+    anchors, any_hot = _told(keys)
+    if any_hot and len(kind.lengths) > 2:
+        again = anchors.where(F.size("split") > 0).select("owner", "split")
+        again = docs.select("name", "text").join(again, docs["name"] == again["owner"]).select("name", "text", "split")
+        longer = materialize(repeated_keys(again.mapInArrow(find, BLOCK), most), "longer_anchors")
+        anchors, _ = _told(keys.unionByName(longer))
     suspects = docs.join(anchors, docs["name"] == anchors["owner"]).select(*docs.columns, "keys", "split")
     ranges = suspects.mapInArrow(_suspects(kind, buckets, settle_local), _PACKED).groupBy("bucket").applyInArrow(_settle(kind, by_id), _RANGES)
     # rows that repeat each other share a name: each of them finds the same ranges, which are kept once
@@ -470,7 +511,8 @@ def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order each other.  Other columns of ``docs`` are not read.  An empty table gives an empty result.  Texts of any
     length are read whole, in pieces; a text and what is left of it have to fit into a worker.
 
-    Suffixes are dealt by prefixes of ``gram`` words, and by all ``width`` words where more than ``most`` runs share one.
+    Suffixes are dealt by prefixes of ``gram`` words, longer ones where more than ``most`` runs share one, and in the
+    end by all ``width`` words.
     """
     kind = WordWindows(width, gram)
     plan = _cut_plan(_rows(docs, id_col, text_col, carry), kind, True, _least_id_waits, most)
@@ -519,7 +561,8 @@ def dedup_byte_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty result.  Texts of any length are read whole, in pieces; a text and what is left of it have to fit into a
     worker.
 
-    Strings that hold a gram of which there are more than ``most`` are dealt by their digests.
+    Suffixes are dealt by prefixes of ``gram`` bytes, longer ones where there are more than ``most`` of one, and in the
+    end by all ``width`` bytes.
     """
     kind = ByteWindows(width, gram)
     plan = _cut_plan(_rows(docs, id_col, text_col, carry), kind, False, _all_settled, most)

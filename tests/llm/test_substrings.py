@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 
 from graphloom.llm._exchange import unpack
 from graphloom.llm._suffixes import SuffixTree, string_classes
-from graphloom.llm.substrings import _DIGEST, _HEAD, _OWNER, WordWindows, _least_id_waits, _suspects, dedup_byte_strings, dedup_word_windows, word_pieces
+from graphloom.llm.substrings import _HEAD, _OWNER, _RUN, ByteWindows, WordWindows, _all_settled, _least_id_waits, _named, _suspects, dedup_byte_strings, dedup_word_windows, word_pieces
 
 SCHEMA = "doc_id long, text string, n_words string, row string, kept string"
 
@@ -110,26 +110,57 @@ def test_words_repeated_in_the_larger_id(spark):
     assert sortable(got) == sortable(brute_words(docs, 13))
 
 
+def groups_of(kind, docs, by_id, most):
+    """(level, runs, different texts) of every group that the texts are dealt to, counted in the test."""
+    texts = [t.encode() for _, t in docs]
+    levels = []
+    split = None
+    for level in range(len(kind.lengths) - 1):
+        named = []
+        for t in texts:
+            prefix = kind.prefix(next(kind.pieces(t))[1])
+            of = None if split is None else np.isin(kind.minima(prefix)[1], split)
+            named.append(np.zeros(0, np.uint64) if of is not None and not of.any() else _named(kind, prefix, level, not by_id, of))
+        count = Counter(np.concatenate(named).tolist())
+        levels.append(count)
+        split = np.array([k for k, n in levels[0].items() if n > most], np.uint64)
+    keys = np.array([k for c in levels for k, n in c.items() if n > 1], np.uint64).view(np.int64)
+    hot = np.array([k for c in levels for k, n in c.items() if n > most], np.uint64).view(np.int64)
+    ids = pa.array([d for d, _ in docs])
+    columns = [pa.array([x.tolist()] * len(docs), pa.list_(pa.int64())) for x in (keys, hot)]
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(texts), *columns], names=["name", "check", "doc_id", "text", "keys", "split"])
+    held = defaultdict(list)
+    for out in _suspects(kind, 16, _least_id_waits if by_id else _all_settled)(iter([batch])):
+        for what, block in zip(out["kind"].to_pylist(), out["block"].to_pylist(), strict=True):
+            if what == _RUN:
+                head, body = unpack(block, *_HEAD, *_OWNER, np.uint8)[:6], unpack(block, *_HEAD, *_OWNER, np.uint8)[-1].tobytes()
+                end = np.cumsum(head[3])
+                for anchor, size, to in zip(head[0].tolist(), head[3].tolist(), end.tolist()):
+                    held[anchor].append(body[to - size : to])
+    return [(next((x for x, c in enumerate(levels) if a in c), len(levels)), len(x), len(set(x))) for a, x in held.items()]
+
+
 def test_runs_of_a_frequent_gram_are_dealt(spark):
-    """Differing runs of one gram go to many groups, and the result is the same."""
+    """Prefixes grow until a group holds few texts, of all lengths, and the result is the same."""
     kind, r = WordWindows(13, 5), random.Random(6)
     words = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
-    gram = min((words(5) for _ in range(3000)), key=lambda g: int(kind.minima(f"{g} {g} {g}".encode().split())[0][0]))
+    hash_of = lambda g: int(kind.minima(kind.prefix(f"{g} {g} {g}".encode().split()))[0][0])
+    gram = min((words(5) for _ in range(3000)), key=hash_of)
+    near = [(words(n), words(n)) for n in (1, 2, 3, 4)]
+    around = [(words(12), words(12)) for _ in range(100)]
     passages = [words(20) for _ in range(4)]
-    docs = [(i, f"{words(12)} {gram} {words(12)}" + (f" {passages[i % 4]} {gram} {passages[i % 4]}" if i % 3 == 0 else "")) for i in range(300)]
-    anchor = int(kind.minima(f"{gram} {gram} {gram}".encode().split())[0][:1].view(np.int64)[0])
-    keys = pa.array([[anchor]] * len(docs), pa.list_(pa.int64()))
-    ids = pa.array([d for d, _ in docs])
-    batch = pa.RecordBatch.from_arrays([ids, ids, ids, pa.array([t.encode() for _, t in docs]), keys, keys], names=["name", "check", "doc_id", "text", "keys", "split"])
-    held = Counter()
-    for out in _suspects(kind, 16, _least_id_waits)(iter([batch])):
-        for bucket, what, block in zip(*(out[c].to_pylist() for c in ("bucket", "kind", "block")), strict=True):
-            if what == _DIGEST:
-                held[bucket] += len(unpack(block, *_HEAD, *_OWNER, np.uint8)[-1]) // 16
-    assert sum(held.values()) > 2000 and max(held.values()) < sum(held.values()) / 8
+    docs = []
+    for i in range(300):
+        (before, after), (first, last) = near[i % 4], around[i % 100]
+        docs.append((i, f"{first} {before} {gram} {after} {last}" + (f" {passages[i % 4]} {gram} {passages[i % 4]}" if i % 3 == 0 else "")))
+    for of, by_id, some in ((kind, True, docs), (ByteWindows(60, 20), False, docs)):
+        found = groups_of(of, some, by_id, 4)
+        assert {level for level, _, _ in found} == set(range(len(of.lengths)))
+        assert all(runs <= 4 for level, runs, _ in found if level < len(of.lengths) - 1)
+        assert all(texts == 1 for level, _, texts in found if level == len(of.lengths) - 1)
     made = made_docs(9)
     for some in (docs, made):
-        for most in (3, 1 << 14):
+        for most in (3, 20, 1 << 14):
             got = [(x.doc_id, x.n_words, x.n_removed, bytes(x.kept)) for x in dedup_word_windows(frame(spark, some), most=most).collect()]
             assert sortable(got) == sortable(brute_words(some, 13))
             got = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in dedup_byte_strings(frame(spark, some), width=60, gram=20, most=most).collect()]
