@@ -202,11 +202,11 @@ def _named(kind: Windows, prefix: np.ndarray, level: int, inside: bool, of: np.n
     return np.repeat(low[at], -(-np.diff(np.append(at, n)) // span))
 
 
-def _anchors(kind: Windows, buckets: int, inside: bool) -> Callable:
+def _anchors(kind: Windows, buckets: int, inside: bool, hot: np.ndarray | None = None) -> Callable:
     """Map step 1: texts to blocks of anchors, each with how often the text has it.
 
-    Rows with a column ``split`` are read once more: windows that name one of these anchors name those of the levels
-    between the first and the last.  ``inside``: an anchor that one text has in two places is repeated.
+    Texts are read once more with ``hot`` anchors, given for all or in a column ``split``: windows that name one of
+    them name those of the levels between the first and the last.  ``inside``: an anchor that one text has in two places is repeated.
     """
 
     def found(prefix: np.ndarray, split: np.ndarray | None) -> list[np.ndarray]:
@@ -220,7 +220,7 @@ def _anchors(kind: Windows, buckets: int, inside: bool) -> Callable:
         for batch in batches:
             again = "split" in batch.schema.names
             for row, text, split in zip(batch["name"].to_pylist(), batch["text"], batch["split"] if again else [None] * batch.num_rows, strict=True):
-                split = np.asarray(split.values).view(np.uint64) if again else None
+                split = np.asarray(split.values).view(np.uint64) if again else hot
                 named = [x for _, tokens in kind.pieces(text.as_buffer().to_pybytes()) for x in found(kind.prefix(tokens), split)]
                 if named:
                     keys, times = np.unique(np.concatenate(named), return_counts=True)
@@ -409,8 +409,8 @@ def _settle(kind: Windows, by_id: bool, most: int = 1 << 20) -> Callable:
     return run
 
 
-def _told(keys: DataFrame, most_shipped: int = 1 << 20) -> tuple[DataFrame, bool]:
-    """(owner, keys, split) from the table of repeated keys, and if there are hot ones; ``split`` are those of its keys that are hot.
+def _told(keys: DataFrame, most_shipped: int = 1 << 20) -> tuple[DataFrame, int]:
+    """(owner, keys, split) from the table of repeated keys, and how many hot ones there are; ``split`` are those of its keys that are hot.
 
     Hot keys are few, as each has thousands of places; up to ``most_shipped`` they are broadcast, beyond that joined.
     """
@@ -418,12 +418,12 @@ def _told(keys: DataFrame, most_shipped: int = 1 << 20) -> tuple[DataFrame, bool
     told = keys.where("owner is not null")
     n = hot.count()
     if not n:
-        return told.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.array().cast("array<long>").alias("split")), False
+        return told.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.array().cast("array<long>").alias("split")), 0
     told = told.join(F.broadcast(hot) if n <= most_shipped else hot.hint("merge"), F.col("key") == F.col("_hot"), "left")
-    return told.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.collect_set("_hot").alias("split")), True
+    return told.groupBy("owner").agg(F.collect_set("key").alias("keys"), F.collect_set("_hot").alias("split")), n
 
 
-def _cut_plan(docs: DataFrame, kind: Windows, by_id: bool, settle_local: Callable, most: int) -> DataFrame:
+def _cut_plan(docs: DataFrame, kind: Windows, by_id: bool, settle_local: Callable, most: int, most_sent: int = 1 << 18) -> DataFrame:
     """Every row of ``docs`` with ``cuts``, the ranges of its windows that are to go.
 
     Both joins read ``docs`` with the same columns and key, so its texts are shuffled once and the exchange is reused.
@@ -432,10 +432,16 @@ def _cut_plan(docs: DataFrame, kind: Windows, by_id: bool, settle_local: Callabl
     buckets = bucket_count(docs, "text")
     find = _anchors(kind, buckets, not by_id)
     keys = materialize(repeated_keys(docs.select("name", "text").mapInArrow(find, BLOCK), most), "anchors")
-    anchors, any_hot = _told(keys)
-    if any_hot and len(kind.lengths) > 2:
-        again = anchors.where(F.size("split") > 0).select("owner", "split")
-        again = docs.select("name", "text").join(again, docs["name"] == again["owner"]).select("name", "text", "split")
+    anchors, n_hot = _told(keys)
+    if n_hot and len(kind.lengths) > 2:
+        again = docs.select("name", "text")
+        if n_hot <= most_sent:
+            # most texts hold a hot gram, so the few grams go to the texts
+            hot = np.array([x[0] for x in keys.where("owner is null").select("key").collect()], np.int64).view(np.uint64)
+            find = _anchors(kind, buckets, not by_id, hot)
+        else:
+            hold = anchors.where(F.size("split") > 0).select("owner", "split")
+            again = again.join(hold, again["name"] == hold["owner"]).select("name", "text", "split")
         longer = materialize(repeated_keys(again.mapInArrow(find, BLOCK), most), "longer_anchors")
         anchors, _ = _told(keys.unionByName(longer))
     suspects = docs.join(anchors, docs["name"] == anchors["owner"]).select(*docs.columns, "keys", "split")
