@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from graphloom.llm import substrings
 from graphloom.llm._exchange import unpack
 from graphloom.llm._suffixes import SuffixTree, string_classes
 from graphloom.llm.substrings import _HEAD, _OWNER, _RUN, ByteWindows, WordWindows, _all_settled, _least_id_waits, _named, _suspects, dedup_byte_strings, dedup_word_windows, word_pieces
@@ -258,3 +259,11 @@ def test_bytes_table(spark, sf):
 def test_empty_table(spark):
     assert dedup_byte_strings(frame(spark, [])).collect() == []
     assert dedup_word_windows(frame(spark, [])).collect() == []
+
+
+def test_hot_grams_joined_with_texts(spark, monkeypatch):
+    """More hot grams than may be sent: texts are joined with theirs."""
+    monkeypatch.setattr(substrings._cut_plan, "__defaults__", (0,))
+    docs = made_docs(5)
+    got = [(x.doc_id, x.n_words, x.n_removed, bytes(x.kept)) for x in dedup_word_windows(frame(spark, docs), most=3).collect()]
+    assert sortable(got) == sortable(brute_words(docs, 13))
