@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.materialize import discard, materialize, materialize_bucketed
@@ -20,6 +20,17 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
+def mirrored(edges: DataFrame) -> DataFrame:
+    """``symmetrize`` in one pass, for plans that are dear to run twice."""
+    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select(F.explode(ends).alias("_ends"), "weight").select("_ends.src", "_ends.dst", "weight")
+
+
+def bucket_number(spark: SparkSession, rows: int) -> int:
+    """How many partitions ``rows`` rows are dealt to: what the session says, more beyond two million rows in each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (1 << 21)))
+
+
 def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
 
@@ -35,6 +46,7 @@ class Graph:
     edges: DataFrame
     nodes: int
     directed: bool = True
+    buckets: int | None = field(default=None, kw_only=True)
     _by_src: DataFrame | None = field(default=None, repr=False)
     _by_dst: DataFrame | None = field(default=None, repr=False)
     _degree_table: DataFrame | None = field(default=None, repr=False)
@@ -43,16 +55,26 @@ class Graph:
     # -- construction ---------------------------------------------------------
 
     @classmethod
-    def from_tables(cls, df: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, mirror: bool = False, nodes: int | None = None, canonical: bool = False) -> Graph:
-        """A graph from any table with two id columns; rows with a null end are no edges, a missing weight is 1."""
+    def from_tables(cls, df: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, mirror: bool = False, nodes: int | None = None, canonical: bool = False, rows: int = 0) -> Graph:
+        """A graph from any table with two id columns; rows with a null end are no edges, a missing weight is 1.
+
+        Without ``nodes`` the edges are written at once, and the largest id is taken on the way, so ``df`` is read once.
+        ``rows``: about how many rows ``df`` has; large tables get more buckets.
+        """
         w = F.coalesce(F.col(weight).cast("long"), F.lit(1)) if weight else F.lit(1)
         raw = df.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), w.cast("long").alias("weight")).where("src is not null and dst is not null")
-        if nodes is None:
-            # loops and doubles count here: an id that has only a loop is a vertex
-            most = raw.agg(F.greatest(F.max("src"), F.max("dst")).alias("m")).head()["m"]
-            nodes = 0 if most is None else most + 1
-        edges = raw if canonical else squish(symmetrize(raw) if mirror else raw)
-        return cls(edges, nodes, not mirror)
+        n = bucket_number(raw.sparkSession, rows * (2 if mirror else 1))
+        if nodes is not None:
+            edges = raw if canonical else squish(mirrored(raw) if mirror else raw)
+            return cls(edges, nodes, not mirror, buckets=n)
+        # loops and doubles count here: an id that has only a loop is a vertex
+        seen, most = Observation(), F.max(F.greatest("src", "dst")).alias("most")
+        watched = raw.observe(seen, most)
+        # dealt by source first: arcs meet their doubles there, and are written where they are
+        dealt = (mirrored(watched) if mirror and not canonical else watched).repartition(n, "src")
+        table = materialize_bucketed(dealt if canonical else squish(dealt), "src", "edges", n, exchange=False)
+        found = seen.get if "most" in seen.get else raw.agg(most).head().asDict()
+        return cls(table, 0 if found["most"] is None else found["most"] + 1, not mirror, table, buckets=n)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, format: str | None = None, mirror: bool = False, **options) -> Graph:
@@ -78,7 +100,7 @@ class Graph:
     def by_src(self) -> DataFrame:
         """The edges bucketed by ``src``: supersteps join their frontier with them and shuffle only the frontier."""
         if self._by_src is None:
-            self._by_src = materialize_bucketed(self.edges, "src", "edges")
+            self._by_src = materialize_bucketed(self.edges, "src", "edges", self.buckets)
         return self._by_src
 
     def by_dst(self) -> DataFrame:
@@ -86,7 +108,7 @@ class Graph:
         if not self.directed:
             return self.by_src().select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
         if self._by_dst is None:
-            self._by_dst = materialize_bucketed(self.edges, "dst", "edges")
+            self._by_dst = materialize_bucketed(self.edges, "dst", "edges", self.buckets)
         return self._by_dst
 
     def degree_table(self) -> DataFrame:
@@ -105,7 +127,7 @@ class Graph:
         """The graph with its edges written, so that no later operator derives them again."""
         if self._by_src is not None and self.edges is self._by_src:
             return self
-        return Graph(self.by_src(), self.nodes, self.directed, self._by_src, self._by_dst)
+        return Graph(self.by_src(), self.nodes, self.directed, self._by_src, self._by_dst, buckets=self.buckets)
 
     def release(self) -> None:
         """Delete the tables written for this graph.  Results that still read them have to be written before."""
@@ -118,7 +140,7 @@ class Graph:
         self.edges.createOrReplaceTempView(edges)
 
     def reverse(self) -> Graph:
-        return Graph(transpose(self.edges), self.nodes, self.directed)
+        return Graph(transpose(self.edges), self.nodes, self.directed, buckets=self.buckets)
 
     def undirected(self) -> Graph:
         return self if not self.directed else Graph(squish(symmetrize(self.edges)), self.nodes, False)

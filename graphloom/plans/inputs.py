@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, bucket_number
 
 _kept: dict[tuple, Graph] = {}
 
@@ -40,20 +40,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _bought(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+def _bought(spark: SparkSession, sf_dir: str, *columns: Column) -> tuple[DataFrame, int]:
+    """``columns`` of the order lines with their orders, and how many lines there are (which Parquet knows unread)."""
+    lines = _table(spark, sf_dir, "lineitem")
+    rows = lines.count()
+    n = bucket_number(spark, rows)
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey")
+    return orders.join(lines.select("l_orderkey", "l_partkey", "l_quantity").repartition(n, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(*columns), rows
 
 
 @kept
 def order_graph(spark: SparkSession, sf_dir: str, mirror: bool = False) -> Graph:
-    rows = _bought(spark, sf_dir).select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.floor("l_quantity").alias("weight"))
-    return Graph.from_tables(rows, weight="weight", mirror=mirror)
+    bought, rows = _bought(spark, sf_dir, F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.floor("l_quantity").alias("weight"))
+    return Graph.from_tables(bought, weight="weight", mirror=mirror, rows=rows)
 
 
 @kept
 def rate_graph(spark: SparkSession, sf_dir: str, mirror: bool = False) -> Graph:
-    rows = _bought(spark, sf_dir).select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.floor(F.col("l_quantity") / 10).alias("weight"))
-    return Graph.from_tables(rows, weight="weight", mirror=mirror)
+    bought, rows = _bought(spark, sf_dir, F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.floor(F.col("l_quantity") / 10).alias("weight"))
+    return Graph.from_tables(bought, weight="weight", mirror=mirror, rows=rows)
 
 
 @kept
@@ -67,12 +72,13 @@ def chain_graph(spark: SparkSession, sf_dir: str, mirror: bool = False) -> Graph
 @kept
 def trust_graph(spark: SparkSession, sf_dir: str, mirror: bool = False) -> Graph:
     """Successive events meet within hours; the last event of an hour takes its successor from the next hour that has any."""
-    e = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.date_trunc("hour", "ts").alias("hour"))
+    events = _table(spark, sf_dir, "events")
+    e = events.select("user_id", "ts", "event_id", F.date_trunc("hour", "ts").alias("hour"))
     inside = Window.partitionBy("hour").orderBy("ts", "event_id")
     first = e.groupBy("hour").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
     later = first.select("hour", F.lead("first").over(Window.orderBy("hour")).alias("after"))
     rows = e.withColumn("next", F.lead("user_id").over(inside)).join(later, "hour").select(F.col("user_id").alias("src"), F.coalesce("next", "after").alias("dst"))
-    return Graph.from_tables(rows, mirror=mirror)
+    return Graph.from_tables(rows, mirror=mirror, rows=events.count())
 
 
 ORDER = """orders_ AS (SELECT o_custkey AS src, l_partkey AS dst, CAST(floor(l_quantity) AS BIGINT) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
