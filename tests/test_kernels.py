@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import Graph
 from graphloom.functions.geo import estimates_to
+from graphloom.graph import bucket_number
 from graphloom.operators.betweenness import betweenness
 from graphloom.operators.bfs import bfs, bfs_all, bfs_stats
 from graphloom.operators.components import component_sizes, connected_components
@@ -17,7 +18,7 @@ from graphloom.operators.kcore import kcore, kcore_stats
 from graphloom.operators.ordered import UNREACHED, astar, fill_sentinels, ppsp, sssp
 from graphloom.operators.pagerank import pagerank, top_scores
 from graphloom.operators.recommend import recommend, trust_circle
-from graphloom.operators.triangles import triangle_count, worth_relabelling
+from graphloom.operators.triangles import _closed, _oriented, _range_width, triangle_count, worth_relabelling
 
 
 def random_arcs(n, m, seed):
@@ -230,6 +231,39 @@ def test_triangles(mirrored, directed, arcs):
         triangle_count(directed)
 
 
+def test_triangles_send_a_row_for_an_arc_not_for_a_pair(spark):
+    n = 24
+    full = Graph.from_tables(spark.createDataFrame([(a, b) for a in range(n) for b in range(a)], "src long, dst long"), mirror=True)
+    for width in (None, 5):
+        met = _closed(_oriented(full, "degree"), width, None)
+        assert met.agg(F.sum("n")).head()[0] == n * (n - 1) * (n - 2) // 6
+        assert met.count() <= n * (n - 1) // 2 * (1 if width is None else -(-n // width))
+    e = _oriented(full, "id")
+    assert _range_width(e, n, 30) == 30 and _range_width(e, 1000, 30) == 1000 and _range_width(e, 1000, 5) < n
+
+
+def test_a_table_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(i, i + 1, 2) for i in range(50)] + [(90, 90, 1), (None, 3, 1)]).map(seen), "src long, dst long, weight long")
+    g = Graph.from_tables(rows, weight="weight", mirror=True)
+    assert (g.nodes, g.cache().edges.count(), g.out_degrees().count()) == (91, 100, 91)
+    assert read.value == 52
+
+
+def test_large_tables_get_more_buckets(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert bucket_number(spark, 0) == least and bucket_number(spark, 500 << 21) == 500
+    rows = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    g = Graph.from_tables(rows, rows=(least + 2) << 21)
+    told = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED {g.by_src()._graphloom_table}").collect()}
+    assert g.buckets == least + 2 == int(told["Num Buckets"])
+
+
 def test_kcore(mirrored, directed, arcs):
     adj = canonical(arcs, True)
     deg, core, k = {i: len(adj[i]) for i in range(71)}, {}, 0
