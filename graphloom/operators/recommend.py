@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.plans.materialize import materialize
+from graphloom.plans.materialize import discard, materialize
 
 
 def trust_circle(trust: Graph, source: int, hops: int = 3) -> DataFrame:
@@ -52,14 +56,56 @@ def trust_circles(trust: Graph, sources: DataFrame, hops: int = 3) -> DataFrame:
     return out
 
 
+def circle_bits(trust: Graph, sources: DataFrame, hops: int = 3) -> DataFrame:
+    """``source, range, bits``: the circles of all ``sources`` as bitmaps of 32,768 ids each.
+
+    The circle of a vertex is its out-neighbours and theirs of one hop less, so that no row stands for a source and a member.
+    """
+    arcs, among = trust.by_src(), lambda rows, end, ids: rows.join(ids.select(F.col("id").alias(end)), end, "left_semi")
+    wanted = [materialize(sources.select(F.col("id").cast("long").alias("id")).distinct(), "wanted")]
+    for _ in range(hops - 1):
+        wanted.append(materialize(among(arcs, "src", wanted[-1]).select(F.col("dst").alias("id")).distinct(), "wanted"))
+    found = None
+    for ids in reversed(wanted):
+        mine = among(arcs, "src", ids).withColumnRenamed("src", "source")
+        bits = mine.groupBy("source", F.bitmap_bucket_number("dst").alias("range")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("dst")).alias("bits"))
+        if found is not None:
+            further = mine.join(found.withColumnRenamed("source", "dst"), "dst").select("source", "range", "bits")
+            bits = bits.unionByName(further).groupBy("source", "range").agg(F.bitmap_or_agg("bits").alias("bits"))
+        nearer, found = found, materialize(bits, "circle")
+        discard(nearer)
+    discard(*wanted)
+    return found
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, piece, id) of the bits that are set."""
+    for batch in batches:
+        for piece, number, bits in zip(*(batch[c].to_pylist() for c in ("piece", "range", "bits")), strict=True):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+            ids = (number - 1) * 32_768 + 1 + at if number > 0 else -at
+            yield pa.RecordBatch.from_pydict({"range": pa.array(np.full(len(ids), number, np.int64)), "piece": pa.array(np.full(len(ids), piece, np.int64)), "id": pa.array(ids.astype(np.int64))})
+
+
 def recommend_many(trust: Graph, ratings: Graph, sources: DataFrame, k: int = 5, hops: int = 3, above: int = 3) -> DataFrame:
     """``source, item, votes, rank``: what ``recommend`` gives for each ``id`` of ``sources``; none for a source without items.
 
-    Frontiers are keyed by (source, vertex), and a source's best items are limited in each task before they are ranked,
+    Circles are bitmaps by range of ids.  Equal ones of a range (compared whole) are one piece, whose votes are counted once,
+    and sources with the same pieces get one ranking.  A ranking's best items are limited in each task before they are ranked,
     so neither the driver nor a task holds all items of one source.
     """
     likes = ratings.edges.where(F.col("weight") > above).select(F.col("src").alias("id"), F.col("dst").alias("item"))
-    circles = trust_circles(trust, sources, hops).where(F.col("id") < ratings.nodes)
-    votes = circles.join(likes, "id").groupBy("source", "item").agg(F.count(F.lit(1)).alias("votes"))
-    best = Window.partitionBy("source").orderBy(F.desc("votes"), F.desc("item"))
-    return votes.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    bits = circle_bits(trust, sources, hops)
+    # a piece is named by its range and the least source that has it
+    pieces = materialize(bits.groupBy("range", "bits").agg(F.min("source").alias("piece")), "pieces")
+    held = materialize(bits.join(pieces, ["range", "bits"]).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("range", "piece"))).alias("pieces")), "held")
+    alike = materialize(held.groupBy("pieces").agg(F.min("source").alias("like")), "alike")
+    members = pieces.mapInArrow(_members, "range long, piece long, id long").where(F.col("id") < ratings.nodes)
+    of_piece = members.join(likes, "id").groupBy("range", "piece", "item").agg(F.count(F.lit(1)).alias("votes"))
+    parts = alike.select("like", F.explode("pieces").alias("_part")).select("like", "_part.range", "_part.piece")
+    votes = parts.join(of_piece, ["range", "piece"]).groupBy("like", "item").agg(F.sum("votes").alias("votes"))
+    best = Window.partitionBy("like").orderBy(F.desc("votes"), F.desc("item"))
+    ranked = materialize(votes.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "ranked")
+    out = held.join(alike, "pieces").select("source", "like").join(ranked, "like").select("source", "item", "votes", "rank")
+    discard(bits, pieces)
+    return out
