@@ -131,7 +131,7 @@ def _gap(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}").cast("decimal(38,0)")
 
 
-def audit_sources(docs: DataFrame, least: int = 3, ranks: int = 200, shard_bytes: int = 16 << 20) -> DataFrame:
+def audit_sources(docs: DataFrame, least: int = 3, ranks: int = 200, shard_bytes: int = 16 << 20, least_shards: int = 32) -> DataFrame:
     """``lang, source, part, item, value, rank``: how far each source is from the others of its language, and by what terms.
 
     Part ``pair``: each other source of the language, all ranks.  Part ``term``: terms more frequent in the source than in
@@ -140,13 +140,14 @@ def audit_sources(docs: DataFrame, least: int = 3, ranks: int = 200, shard_bytes
     kept terms gives pairs of value 0; one with a single source gives no pair.  Other columns are not read.  A table without
     rows gives none.
 
-    A shard stands for about ``shard_bytes`` of text.  In it a term has a row for each source and each flush of a task.
+    A shard stands for about ``shard_bytes`` of text; there are ``least_shards`` at least, whatever the session's number of
+    partitions, as each gives its foremost terms and its sums for pairs.  In it a term has a row for each source and each flush of a task.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    shards = max(least_shards, -(-size // shard_bytes))
     kept = "shard long, lang string, source string, term string, n long, head boolean"
     counts = materialize(docs.mapInArrow(_count_terms(shards), _PARTIAL).groupBy("shard").applyInArrow(_keep_terms(least), kept), "terms")
 
