@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.materialize import discard, materialize, materialize_watched, passed_on
+from graphloom.graph import bucket_number, mirrored
+from graphloom.plans.materialize import discard, materialize, materialize_bucketed, materialize_watched, passed_on
 
 #: Rows below which one task may hold all of a join key.
 SMALL = 1 << 19
@@ -124,27 +125,52 @@ def _sampled(edges: DataFrame, sample: int = 1024, trace: list[dict] | None = No
     return out
 
 
-def _propagate(edges: DataFrame) -> DataFrame:
-    both = materialize(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "arcs")
-    state = materialize(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).withColumnRenamed("src", "id"), "label")
+def _propagate(edges: DataFrame, trace: list[int] | None = None) -> DataFrame:
+    """Labels of the vertices that moved go along their arcs, and what they better is written as a table of its own.
+
+    Arcs, labels and what bettered them are bucketed alike, so a superstep shuffles the labels on their way and no more.
+    ``trace`` gets how many vertices moved in each superstep.
+    """
+    n = bucket_number(edges.sparkSession, 2 * edges.count())
+    written = lambda rows, name: materialize_bucketed(rows, "id", name, n, exchange=False)
+    both = written(mirrored(edges.where("src <> dst").withColumn("weight", F.lit(1))).select(F.col("src").alias("id"), "dst").repartition(n, "id").distinct(), "arcs")
+    base = written(both.groupBy("id").agg(F.least(F.min("dst"), F.col("id")).alias("component")), "label")
+    moved, bettered = base, []
+
+    def latest() -> DataFrame:
+        """``base`` with what bettered it; the later table has the smaller label."""
+        out = base
+        for i, t in enumerate(bettered):
+            out = out.join(t.select("id", F.col("component").alias(f"_{i}")).hint("merge"), "id", "left")
+        names = [f"_{i}" for i in reversed(range(len(bettered)))]
+        return out.select("id", F.coalesce(*names, "component").alias("component"))
+
     while True:
-        seen = both.join(state.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("component").alias("_new"))
-        new = state.join(seen, state["id"] == seen["src"], "left").select(
-            "id", F.least("component", "_new").alias("component"), (F.col("_new") < F.col("component")).alias("moved")
-        )
-        new = materialize(new, "label")
-        discard(state)
-        if not new.where("moved").head(1):
-            discard(both)
-            return passed_on(new.select("id", "component"), new)
-        state = passed_on(new.select("id", "component"), new)
+        sent = both.join(moved, "id").select(F.col("dst").alias("id"), "component").repartition(n, "id").groupBy("id").agg(F.min("component").alias("_new"))
+        better = latest().hint("merge").join(sent.hint("merge"), "id").where(F.col("_new") < F.col("component")).select("id", F.col("_new").alias("component"))
+        moved = written(better, "moved")
+        many = moved.count()
+        if trace is not None:
+            trace.append(many)
+        if not many:
+            break
+        bettered.append(moved)
+        if len(bettered) == 3:
+            # few tables beside the labels: plans stay short, and their code is compiled once
+            merged = written(latest(), "label")
+            discard(base, *bettered[:-1])
+            base, bettered = merged, [moved]
+    out = materialize(latest(), "label")
+    discard(both, base, moved, *bettered)
+    return out
 
 
 def connected_components(edges: DataFrame, strategy: str = "contract", **how) -> DataFrame:
     """``(id, component)`` for every vertex that has an edge; ``edges`` has long columns ``src`` and ``dst``.
 
     Null ends and self-loops link nothing.  No edges give no rows.  ``sampled`` takes ``sample`` (how many vertices are drawn
-    to find the giant component) and ``trace``, which gets its label and how many arcs were read in the finish.
+    to find the giant component) and ``trace``, which gets its label and how many arcs were read in the finish;
+    ``propagate`` a ``trace`` of how many vertices moved.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null")
     return {"contract": _contract, "sampled": _sampled, "propagate": _propagate}[strategy](edges, **how)

@@ -11,7 +11,7 @@ from graphloom.operators.bfs import Direction, bfs
 from graphloom.operators.components import connected_components, look_up
 from graphloom.operators.frontier import edge_map
 from graphloom.operators.ordered import fused_rounds, ordered_process, ppsp, search, sssp
-from graphloom.operators.recommend import recommend, recommend_many, trust_circle, trust_circles
+from graphloom.operators.recommend import circle_bits, recommend, recommend_many, trust_circle, trust_circles
 from graphloom.operators.verify import verify_bfs, verify_ppsp, verify_recommendation
 from graphloom.sources.binary import index_of, read_geo
 from graphloom.sources.readers import read_graph
@@ -224,3 +224,24 @@ def test_geo_sink(spark, tmp_path, directed):
         edges, found = read_geo(spark, path)
         assert {tuple(r) for r in edges.collect()} == want
         assert {r.id: (r.lat, r.lon) for r in found.collect()} == {i: (0.0, 0.0) if i == 5 else (i / 100, -i / 50) for i in range(directed.nodes)}
+
+
+def test_recommend_many_in_ranges_of_ids(spark):
+    ids = [0, 1, 5, 32768, 32769, 65536, 65537, 70000]
+    clique = Graph.from_tables(spark.createDataFrame([(a, b) for a in ids for b in ids] + [(9, 0), (70000, 80000), (3, 4)], "src long, dst long"))
+    rates = Graph.from_tables(spark.createDataFrame([(i, 100 + i % 7, 5) for i in ids] + [(1, 102, 4), (80000, 200, 5), (4, 1, 1)], "src long, dst long, weight long"), weight="weight")
+    many = recommend_many(clique, rates, clique.vertices())
+    for source in (0, 3, 9, 32769, 70000):
+        want = [(r.item, r.votes) for r in recommend(clique, rates, source).collect()]
+        assert [(r.item, r.votes) for r in many.where(F.col("source") == source).orderBy("rank").collect()] == want
+    bits = circle_bits(clique, clique.vertices().where("id = 9 or id = 32768"))
+    assert {(r.source, r.range) for r in bits.collect()} == {(s, n) for s in (9, 32768) for n in (0, 1, 2, 3)}
+    assert bits.agg(F.sum(F.bitmap_count("bits"))).head()[0] == 2 * (len(ids) + 1)
+
+
+def test_propagation_sends_only_what_moved(spark):
+    rows = [(i, i + 1) for i in range(12)] + [(100 + i, 200 + i) for i in range(30)] + [(50, 50), (None, 3)]
+    edges, trace = spark.createDataFrame(rows, "src long, dst long"), []
+    found = {r.id: r.component for r in connected_components(edges, "propagate", trace=trace).collect()}
+    assert found == {i: 0 for i in range(13)} | {100 + i + d: 100 + i for i in range(30) for d in (0, 100)}
+    assert len(trace) > 9 and trace[-1] == 0 and all(n <= 12 for n in trace[1:])
