@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.geo import estimates_to, geo_distance
-from graphloom.graph import Graph, squish, symmetrize
+from graphloom.graph import Graph, bucket_number, squish, symmetrize
 from graphloom.operators.betweenness import betweenness
 from graphloom.operators.bfs import bfs, bfs_all, bfs_stats
 from graphloom.operators.components import component_sizes, connected_components
@@ -129,9 +129,18 @@ def _weights_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-step neighbourhoods in SQL over a graph's views."""
-    trust_graph(spark, sf_dir).create_views("trust_vertices", "trust_edges")
-    return spark.sql("SELECT v.id, count(DISTINCT b.dst) AS within_two FROM trust_vertices v LEFT JOIN trust_edges a ON a.src = v.id LEFT JOIN trust_edges b ON b.src = a.dst GROUP BY v.id")
+    """Two-step neighbourhoods in SQL over a graph's views.
+
+    Lists of neighbours travel to the first vertex and are opened there, in partitions of some two million pairs, so that pairs
+    are neither exchanged nor spilled.
+    """
+    g = trust_graph(spark, sf_dir)
+    g.create_views("trust_vertices", "trust_edges")
+    n = bucket_number(spark, g.arcs() * g.arcs() // max(g.nodes, 1))
+    return spark.sql(f"""
+        WITH met AS (SELECT /*+ REPARTITION({n}, id) */ v.id, ends FROM trust_vertices v LEFT JOIN trust_edges a ON a.src = v.id
+          LEFT JOIN (SELECT src, collect_list(dst) AS ends FROM trust_edges GROUP BY src) b ON b.src = a.dst)
+        SELECT id, count(DISTINCT far) AS within_two FROM met LATERAL VIEW OUTER explode(ends) AS far GROUP BY id""")
 
 
 def _bc(spark: SparkSession, sf_dir: str) -> DataFrame:
