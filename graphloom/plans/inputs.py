@@ -73,12 +73,13 @@ def chain_graph(spark: SparkSession, sf_dir: str, mirror: bool = False) -> Graph
 def trust_graph(spark: SparkSession, sf_dir: str, mirror: bool = False) -> Graph:
     """Successive events meet within hours; the last event of an hour takes its successor from the next hour that has any."""
     events = _table(spark, sf_dir, "events")
+    many = events.count()
     e = events.select("user_id", "ts", "event_id", F.date_trunc("hour", "ts").alias("hour"))
     inside = Window.partitionBy("hour").orderBy("ts", "event_id")
     first = e.groupBy("hour").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
     later = first.select("hour", F.lead("first").over(Window.orderBy("hour")).alias("after"))
-    rows = e.withColumn("next", F.lead("user_id").over(inside)).join(later, "hour").select(F.col("user_id").alias("src"), F.coalesce("next", "after").alias("dst"))
-    return Graph.from_tables(rows, mirror=mirror, rows=events.count())
+    rows = e.repartition(bucket_number(spark, many), "hour").withColumn("next", F.lead("user_id").over(inside)).join(later, "hour").select(F.col("user_id").alias("src"), F.coalesce("next", "after").alias("dst"))
+    return Graph.from_tables(rows, mirror=mirror, rows=many)
 
 
 ORDER = """orders_ AS (SELECT o_custkey AS src, l_partkey AS dst, CAST(floor(l_quantity) AS BIGINT) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey),

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, bucket_number
 from graphloom.plans.materialize import materialize
 
 #: Magic number and earth radius (cm) of the geo format.
@@ -31,43 +31,75 @@ def open_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
 
 
+def file_size(path: str) -> int:
+    fs, place = open_fs(path)
+    return fs.get_file_info(place).size
+
+
 def _array(fs, path: str, offset: int, n: int, dtype) -> np.ndarray:
     with fs.open_input_file(path) as f:
         f.seek(offset)
         return np.frombuffer(f.read(n * np.dtype(dtype).itemsize), dtype)
 
 
-def read_serialized(spark: SparkSession, path: str, weighted: bool = False, vertices_each: int = 1 << 20) -> Graph:
+def _arcs_of(fs, offsets: tuple[str, int], n: int, targets: tuple[str, int], cell: np.dtype, arcs: int, low: int, high: int, vertices: int = 1 << 16, rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Arcs ``low`` to ``high`` of a file, in batches of ``rows``; ``offsets`` and ``targets`` are files and where the arrays begin.
+
+    The first arc's vertex is searched for in the file, and offsets are read ``vertices`` at a time from there on.
+    """
+    with fs.open_input_file(offsets[0]) as index, fs.open_input_file(targets[0]) as table:
+
+        def read(f, begin: int, at: int, many: int, dtype) -> np.ndarray:
+            f.seek(begin + at * np.dtype(dtype).itemsize)
+            return np.frombuffer(f.read(many * np.dtype(dtype).itemsize), dtype)
+
+        v, above = 0, n
+        while above - v > vertices:
+            middle = (v + above) // 2
+            v, above = (middle, above) if read(index, offsets[1], middle, 1, "<i8")[0] <= low else (v, middle)
+        while low < high:
+            count = min(vertices, n - v)
+            bounds = read(index, offsets[1], v, min(count + 1, n - v), "<i8")
+            bounds = np.append(bounds, arcs) if len(bounds) == count else bounds
+            stop = min(high, int(bounds[-1]))
+            while low < stop:
+                end = min(low + rows, stop)
+                src = np.repeat(np.arange(v, v + count, dtype=np.int64), np.diff(np.clip(bounds, low, end)))
+                met = read(table, targets[1], low, end - low, cell)
+                weight = met["weight"].astype(np.int64) if "weight" in cell.names else np.ones(len(met), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(met["dst"].astype(np.int64)), pa.array(weight)], names=["src", "dst", "weight"])
+                low = end
+            v += count
+
+
+def _arc_table(spark: SparkSession, offsets: tuple[str, int], n: int, targets: tuple[str, int], cell: np.dtype, arcs: int, arcs_each: int) -> DataFrame:
+    """``src, dst, weight`` of a file of sorted arcs.  Tasks are dealt arcs and not vertices, which may have any number of them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, index = open_fs(offsets[0])
+        table = open_fs(targets[0])[1]
+        for batch in batches:
+            for part in batch["id"].to_pylist():
+                yield from _arcs_of(fs, (index, offsets[1]), n, (table, targets[1]), cell, arcs, part * arcs_each, min((part + 1) * arcs_each, arcs))
+
+    parts = -(-arcs // arcs_each)
+    return spark.range(0, parts, 1, max(1, parts)).mapInArrow(read, _EDGES)
+
+
+def read_serialized(spark: SparkSession, path: str, weighted: bool = False, arcs_each: int = 1 << 21) -> Graph:
     """``.sg`` / ``.wsg``: directed flag, arcs and vertices (int64), offsets, targets (int32, with weights in ``.wsg``).
 
-    Such graphs are canonical already.  A task reads the arcs of ``vertices_each`` vertices.  The transposed arrays
-    that follow in directed graphs are not needed.
+    Such graphs are canonical already.  A task reads ``arcs_each`` arcs.  The transposed arrays that follow in directed
+    graphs are not needed.
     """
     fs, place = open_fs(path)
     directed = bool(_array(fs, place, 0, 1, np.uint8)[0])
     arcs, n = map(int, _array(fs, place, 1, 2, "<i8"))
     begin = 17 + 8 * (n + 1)
     cell = np.dtype([("dst", "<i4"), ("weight", "<i4")]) if weighted else np.dtype([("dst", "<i4")])
-    expected = begin + arcs * cell.itemsize
-    if fs.get_file_info(place).size < expected:
+    if fs.get_file_info(place).size < begin + arcs * cell.itemsize:
         raise ValueError("the file is shorter than its header says")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, where = open_fs(path)
-        for batch in batches:
-            for part in batch["id"].to_pylist():
-                first = part * vertices_each
-                count = min(vertices_each, n - first)
-                offsets = _array(own, where, 17 + 8 * first, count + 1, "<i8")
-                src = np.repeat(np.arange(first, first + count), np.diff(offsets))
-                rows = _array(own, where, begin + int(offsets[0]) * cell.itemsize, len(src), cell)
-                weight = rows["weight"].astype(np.int64) if weighted else np.ones(len(src), np.int64)
-                for at in range(0, len(src), 1 << 18):
-                    cut = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(src[cut].astype(np.int64)), pa.array(rows["dst"][cut].astype(np.int64)), pa.array(weight[cut])], names=["src", "dst", "weight"])
-
-    parts = -(-n // vertices_each)
-    return Graph(spark.range(0, parts, 1, max(1, parts)).mapInArrow(read, _EDGES), n, directed)
+    return Graph(_arc_table(spark, (path, 17), n, (path, begin), cell, arcs, arcs_each), n, directed, buckets=bucket_number(spark, arcs))
 
 
 def index_of(path: str) -> str:
@@ -144,29 +176,17 @@ def read_geo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return chunks.mapInArrow(lambda b: records(b, False), _EDGES), chunks.mapInArrow(lambda b: records(b, True), "id long, lat double, lon double")
 
 
-def read_binary_adjacency(spark: SparkSession, config: str, adjacency: str, index: str, weighted: bool = False) -> DataFrame:
+def adjacency_cell(weighted: bool) -> np.dtype:
+    return np.dtype([("dst", "<u4"), ("weight", "<i4")]) if weighted else np.dtype([("dst", "<u4")])
+
+
+def read_binary_adjacency(spark: SparkSession, config: str, adjacency: str, index: str, weighted: bool = False, arcs_each: int = 1 << 21) -> DataFrame:
     """Three files: the number of vertices as text, targets (uint32, with weights) and offsets (int64)."""
     fs, place = open_fs(config)
     with fs.open_input_stream(place) as f:
         n = int(f.read().split()[0])
-    cell = np.dtype([("dst", "<u4"), ("weight", "<i4")]) if weighted else np.dtype([("dst", "<u4")])
-    where = open_fs(adjacency)
-    arcs = where[0].get_file_info(where[1]).size // cell.itemsize
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batch["id"].to_pylist():
-                first = part << 20
-                count = min(1 << 20, n - first)
-                offsets = _array(*open_fs(index), 8 * first, min(count + 1, n - first), "<i8")
-                offsets = np.append(offsets, arcs) if len(offsets) == count else offsets
-                src = np.repeat(np.arange(first, first + count), np.diff(offsets))
-                rows = _array(*open_fs(adjacency), int(offsets[0]) * cell.itemsize, len(src), cell)
-                weight = rows["weight"].astype(np.int64) if weighted else np.ones(len(src), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(src.astype(np.int64)), pa.array(rows["dst"].astype(np.int64)), pa.array(weight)], names=["src", "dst", "weight"])
-
-    parts = -(-n // (1 << 20))
-    return spark.range(0, parts, 1, max(1, parts)).mapInArrow(read, _EDGES)
+    cell = adjacency_cell(weighted)
+    return _arc_table(spark, (index, 0), n, (adjacency, 0), cell, file_size(adjacency) // cell.itemsize, arcs_each)
 
 
 def coordinates(spark: SparkSession, path: str) -> DataFrame:

@@ -129,6 +129,13 @@ def suffix(path: str) -> str:
     return name.rpartition(".")[2]
 
 
+def about(spark: SparkSession, path: str) -> int:
+    """About how many arcs a text or geo file, or folder of files, holds, by its length."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(fs.getContentSummary(found.getPath()).getLength() for found in fs.globStatus(target) or ()) // 10
+
+
 def read_graph(spark: SparkSession, path: str, format: str | None = None, mirror: bool = False, **options) -> Graph:
     """Dispatch by ``format`` or suffix: el, wel, gr, graph, mtx, adj, config (binary adjacency), bin (geo), sg, wsg, parquet.
 
@@ -137,16 +144,17 @@ def read_graph(spark: SparkSession, path: str, format: str | None = None, mirror
     kind = format or suffix(path)
     if kind == "config":
         stem = path.removesuffix(".config")
-        return Graph.from_tables(binary.read_binary_adjacency(spark, path, f"{stem}.adj", f"{stem}.idx", **options), weight="weight", mirror=mirror)
+        arcs = binary.file_size(f"{stem}.adj") // binary.adjacency_cell(options.get("weighted", False)).itemsize
+        return Graph.from_tables(binary.read_binary_adjacency(spark, path, f"{stem}.adj", f"{stem}.idx", **options), weight="weight", mirror=mirror, rows=arcs)
     if kind in ("sg", "wsg"):
         return binary.read_serialized(spark, path, kind == "wsg")
     if kind == "parquet":
         df = spark.read.parquet(path)
-        return Graph.from_tables(df, weight="weight" if "weight" in df.columns else None, mirror=mirror)
+        return Graph.from_tables(df, weight="weight" if "weight" in df.columns else None, mirror=mirror, rows=df.count())
     readers = {
         "el": lambda: read_edge_list(spark, path), "wel": lambda: read_edge_list(spark, path, True), "gr": lambda: read_dimacs(spark, path, **options), "graph": lambda: read_metis(spark, path),
         "mtx": lambda: read_matrix_market(spark, path), "adj": lambda: read_adjacency(spark, path), "bin": lambda: binary.read_geo(spark, path)[0],
     }
     if kind not in readers:
         raise FormatError(f"unknown format {kind}")
-    return Graph.from_tables(readers[kind](), weight="weight", mirror=mirror)
+    return Graph.from_tables(readers[kind](), weight="weight", mirror=mirror, rows=about(spark, path))

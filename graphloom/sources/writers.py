@@ -9,12 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, bucket_number
 from graphloom.sources.binary import GEO_MAGIC, GEO_RADIUS_CM, index_of
 from graphloom.sources.parts import assemble, pack_groups, pack_sorted, parts_folder
 from graphloom.sources.readers import FormatError, read_graph, suffix
 
 
+def in_order(rows: DataFrame, many: int, *by: str) -> DataFrame:
+    """``rows`` (about ``many``) sorted by ranges, of which large tables have more."""
+    return rows.repartitionByRange(bucket_number(rows.sparkSession, many), *by).sortWithinPartitions(*by)
+
+
 def write_edge_list(graph: Graph, path: str, weighted: bool = False) -> None:
     """A folder of text files with ``u v [w]`` lines, one for each stored arc."""
     graph.edges.select(F.concat_ws(" ", *["src", "dst", *["weight"] * weighted]).alias("value")).write.mode("overwrite").text(path)
@@ -49,7 +54,7 @@ def text_lines(graph: Graph, kind: str) -> DataFrame:
 
 def write_text(graph: Graph, path: str, kind: str) -> None:
     """``.gr``, ``.graph``, ``.mtx`` or ``.adj``: a folder of text files that follow on each other by name, sorted by ranges."""
-    text_lines(graph, kind).orderBy("at", "src", "dst").select("line").write.mode("overwrite").text(path)
+    in_order(text_lines(graph, kind), graph.nodes + 2 * graph.arcs(), "at", "src", "dst").select("line").write.mode("overwrite").text(path)
 
 
 def write_serialized(graph: Graph, path: str, weighted: bool = False) -> None:
@@ -60,7 +65,7 @@ def write_serialized(graph: Graph, path: str, weighted: bool = False) -> None:
 
     def arrays(g: Graph) -> list[bytes | DataFrame]:
         # an offset for each vertex, and the end of the last
-        return [pack_sorted(g.vertex_offsets().orderBy("id"), [("offset", "<i8")], folder), np.array([arcs], "<i8").tobytes(), pack_sorted(g.edges.orderBy("src", "dst"), cell, folder)]
+        return [pack_sorted(in_order(g.vertex_offsets(), g.nodes, "id"), [("offset", "<i8")], folder), np.array([arcs], "<i8").tobytes(), pack_sorted(in_order(g.edges, arcs, "src", "dst"), cell, folder)]
 
     head = np.array([graph.directed], np.uint8).tobytes() + np.array([arcs, graph.nodes], "<i8").tobytes()
     assemble(graph.spark, [head, *arrays(graph), *(arrays(graph.reverse()) if graph.directed else [])], path, folder)
@@ -70,7 +75,7 @@ def write_binary_adjacency(graph: Graph, path: str, weighted: bool = True) -> No
     """``x.config`` with the number of vertices, and beside it ``x.adj`` (targets, with weights) and ``x.idx`` (offsets)."""
     stem, spark = path.removesuffix(".config"), graph.spark
     cell = [("dst", "<u4"), ("weight", "<i4")] if weighted else [("dst", "<u4")]
-    for name, rows, kind in (("adj", graph.edges.orderBy("src", "dst"), cell), ("idx", graph.vertex_offsets().orderBy("id"), [("offset", "<i8")])):
+    for name, rows, kind in (("adj", in_order(graph.edges, graph.arcs(), "src", "dst"), cell), ("idx", in_order(graph.vertex_offsets(), graph.nodes, "id"), [("offset", "<i8")])):
         folder = parts_folder(spark)
         assemble(spark, [pack_sorted(rows, kind, folder)], f"{stem}.{name}", folder)
     assemble(spark, [f"{graph.nodes}\n".encode()], path, parts_folder(spark))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from graphloom import Graph
-from graphloom.sources.binary import coordinates, read_binary_adjacency, read_geo
+from graphloom.sources.binary import _arcs_of, coordinates, open_fs, read_binary_adjacency, read_geo, read_serialized
 from graphloom.sources.generators import kronecker, random_weights, uniform
 from graphloom.sources.readers import FormatError, largest_node, read_edge_list, read_graph
 from graphloom.sources.writers import convert, write_graph
@@ -105,3 +105,22 @@ def test_generators(spark):
     g = random_weights(uniform(spark, 6, 4))
     w = {(r.src, r.dst): r.weight for r in g.edges.collect()}
     assert all(w[u, v] == w[v, u] and 1 <= w[u, v] <= 255 for u, v in w) and len(set(w.values())) > 30
+
+
+def test_arcs_are_dealt_and_not_vertices(spark, tmp_path):
+    """A task of a binary file reads so many arcs, however many a vertex has."""
+    rows = [(3, v, v % 5 + 1) for v in range(40) if v != 3] + [(9, 1, 2), (9, 4, 2), (20, 3, 7), (59, 0, 1)]
+    g = Graph.from_tables(spark.createDataFrame(rows, "src long, dst long, weight long"), weight="weight")
+    for kind in ("config", "wsg"):
+        write_graph(g, f"file://{tmp_path}/g.{kind}")
+    files = [f"file://{tmp_path}/g.{x}" for x in ("config", "adj", "idx")]
+    for edges in (read_binary_adjacency(spark, *files, weighted=True, arcs_each=7), read_serialized(spark, f"file://{tmp_path}/g.wsg", True, arcs_each=7).edges):
+        assert sorted(map(tuple, edges.collect())) == sorted(rows)
+        assert edges.rdd.glom().map(len).max() == 7
+    cell = np.dtype([("dst", "<u4"), ("weight", "<i4")])
+    fs, index, table = *open_fs(files[2]), open_fs(files[1])[1]
+    for low in range(len(rows)):
+        for high in (low + 1, (low + len(rows) + 1) // 2, len(rows)):
+            met = [b.to_pylist() for b in _arcs_of(fs, (index, 0), 60, (table, 0), cell, len(rows), low, high, vertices=4, rows=5)]
+            assert all(len(b) <= 5 for b in met)
+            assert [(r["src"], r["dst"], r["weight"]) for b in met for r in b] == sorted(rows)[low:high]
