@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.plans.materialize import discard, materialize
+from graphloom.plans.materialize import discard, materialize, materialize_watched
 
 
 def _lowered(state: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -40,31 +40,36 @@ def _hindex(graph: Graph) -> DataFrame:
             return new.select("id", F.col("core").alias("coreness"))
 
 
-def _peel(graph: Graph) -> DataFrame:
-    """Vertices of at most k arcs go, round after round, before k grows."""
-    state = materialize(graph.out_degrees().select("id", "degree", F.lit(None).cast("long").alias("coreness")), "core")
+def _peel(graph: Graph, trace: list[dict] | None = None) -> DataFrame:
+    """Vertices of at most k arcs go, round after round, before k grows.
+
+    What is known of a vertex and the arcs that it loses meet in one exchange, and the least degree left is taken while
+    the round is written.  ``trace`` gets ``k, left`` for each round: vertices that are left when it begins, about.
+    """
+    none, left = F.lit(None).cast("long"), F.col("coreness").isNull()
+    watched = {"low": F.min(F.when(left, F.col("degree"))), "left": F.count_if(left)}
+    state, seen = materialize_watched(graph.out_degrees().select("id", "degree", none.alias("coreness")), "core", **watched)
     k = 0
-    while True:
-        low = state.where("coreness is null").agg(F.min("degree")).head()[0]
-        if low is None:
-            return state.select("id", "coreness")
-        k = max(k, low)
-        gone = state.where(F.col("coreness").isNull() & (F.col("degree") <= k)).select(F.col("id").alias("_gone"))
-        lost = graph.by_dst().join(gone, F.col("dst") == F.col("_gone")).groupBy("src").agg(F.count(F.lit(1)).alias("lost"))
-        step = state.join(lost, state["id"] == lost["src"], "left").select(
-            "id", F.when(F.col("coreness").isNull() & (F.col("degree") > k), F.col("degree") - F.coalesce("lost", F.lit(0))).otherwise(F.col("degree")).alias("degree"),
-            F.when(F.col("coreness").isNull() & (F.col("degree") <= k), F.lit(k).cast("long")).otherwise(F.col("coreness")).alias("coreness"),
-        )
-        step = materialize(step, "core")
+    while seen["low"] is not None:
+        k = max(k, seen["low"])
+        if trace is not None:
+            trace.append({"k": k, "left": seen["left"]})
+        going = left & (F.col("degree") <= k)
+        gone = state.where(going).select(F.col("id").alias("dst")).hint("shuffle_hash")
+        lost = graph.by_dst().join(gone, "dst").select(F.col("src").alias("id"), none.alias("degree"), none.alias("coreness"), F.lit(1).alias("lost"))
+        kept = state.select("id", "degree", F.when(going, F.lit(k)).otherwise(F.col("coreness")).alias("coreness"), F.lit(0).alias("lost"))
+        met = kept.unionByName(lost).groupBy("id").agg(F.max("degree").alias("degree"), F.max("coreness").alias("coreness"), F.sum("lost").alias("lost"))
+        step, seen = materialize_watched(met.select("id", F.when(left, F.col("degree") - F.col("lost")).otherwise(F.col("degree")).alias("degree"), "coreness"), "core", **watched)
         discard(state)
         state = step
+    return state.select("id", "coreness")
 
 
-def kcore(graph: Graph, strategy: str = "hindex", allow_directed: bool = False) -> DataFrame:
-    """``id, coreness`` for every vertex of an undirected graph (``allow_directed``: peel by out-degree)."""
+def kcore(graph: Graph, strategy: str = "hindex", allow_directed: bool = False, **how) -> DataFrame:
+    """``id, coreness`` for every vertex of an undirected graph (``allow_directed``: peel by out-degree); ``peel`` takes a ``trace``."""
     if graph.directed and not allow_directed:
         raise ValueError("coreness is defined for undirected graphs")
-    return {"hindex": _hindex, "peel": _peel}[strategy](graph)
+    return {"hindex": _hindex, "peel": _peel}[strategy](graph, **how)
 
 
 def kcore_stats(cores: DataFrame) -> DataFrame:

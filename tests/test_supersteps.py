@@ -10,6 +10,7 @@ from graphloom import Graph
 from graphloom.operators.bfs import Direction, bfs
 from graphloom.operators.components import connected_components, look_up
 from graphloom.operators.frontier import edge_map
+from graphloom.operators.kcore import kcore
 from graphloom.operators.ordered import fused_rounds, ordered_process, ppsp, search, sssp
 from graphloom.operators.recommend import circle_bits, recommend, recommend_many, trust_circle, trust_circles
 from graphloom.operators.verify import verify_bfs, verify_ppsp, verify_recommendation
@@ -245,3 +246,16 @@ def test_propagation_sends_only_what_moved(spark):
     found = {r.id: r.component for r in connected_components(edges, "propagate", trace=trace).collect()}
     assert found == {i: 0 for i in range(13)} | {100 + i + d: 100 + i for i in range(30) for d in (0, 100)}
     assert len(trace) > 9 and trace[-1] == 0 and all(n <= 12 for n in trace[1:])
+
+
+def test_a_round_of_peeling_takes_few_jobs(spark, mirrored):
+    mirrored.by_src()
+    trace, group = [], "peel"
+    spark.sparkContext.setJobGroup(group, "rounds of peeling")
+    cores = kcore(mirrored, "peel", trace=trace)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert pairs(cores, "id", "coreness") == pairs(kcore(mirrored), "id", "coreness")
+    ks, left = [t["k"] for t in trace], [t["left"] for t in trace]
+    assert ks == sorted(ks) and len(ks) > 4 and left == sorted(set(left), reverse=True)
+    assert jobs <= 4 * len(trace) + 4
