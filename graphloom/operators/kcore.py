@@ -55,7 +55,7 @@ def _peel(graph: Graph, trace: list[dict] | None = None) -> DataFrame:
         if trace is not None:
             trace.append({"k": k, "left": seen["left"]})
         going = left & (F.col("degree") <= k)
-        gone = state.where(going).select(F.col("id").alias("dst")).hint("shuffle_hash")
+        gone = state.where(going).select(F.col("id").alias("dst"))
         lost = graph.by_dst().join(gone, "dst").select(F.col("src").alias("id"), none.alias("degree"), none.alias("coreness"), F.lit(1).alias("lost"))
         kept = state.select("id", "degree", F.when(going, F.lit(k)).otherwise(F.col("coreness")).alias("coreness"), F.lit(0).alias("lost"))
         met = kept.unionByName(lost).groupBy("id").agg(F.max("degree").alias("degree"), F.max("coreness").alias("coreness"), F.sum("lost").alias("lost"))
