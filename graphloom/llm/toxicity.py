@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +35,36 @@ def _squash(n: int | np.ndarray):
     return np.log2(1 + n)
 
 
+class Sample(Sequence):
+    """Rows of (features, grade) that are held as numbers; a row's counter is made when it is looked at.
+
+    A name is kept once for all rows, and a feature of a row takes eight bytes (counters: some 150 with their strings).
+    """
+
+    def __init__(self, rows: Iterable[tuple[Iterable[str], Iterable[int], int]] = ()):
+        self.names: dict[str, int] = {}
+        self.rows: list[tuple[np.ndarray, np.ndarray, int]] = []
+        for names, counts, y in rows:
+            at = [self.names.setdefault(x, len(self.names)) for x in names]
+            self.rows.append((np.array(at, np.int32), np.array(counts, np.uint32), y))
+        self._named = list(self.names)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return self.take(range(len(self))[i])
+        at, counts, y = self.rows[i]
+        return Counter(dict(zip([self._named[k] for k in at.tolist()], counts.tolist(), strict=True))), y
+
+    def take(self, order: Iterable[int]) -> Sample:
+        """The rows of these numbers, in this order."""
+        out = Sample()
+        out.names, out._named, out.rows = self.names, self._named, [self.rows[i] for i in order]
+        return out
+
+
 @dataclass
 class OrdinalModel:
     """P(grade > k) = logistic(w . x - threshold_k), with one weight vector for all ordered thresholds."""
@@ -58,11 +88,12 @@ class OrdinalModel:
         return int((score > self.thresholds).sum())
 
 
-def _select(rows: list[tuple[Counter, int]], most: int, least_seen: int, odds: float, z: float) -> list[str]:
+def _select(rows: Sequence[tuple[Counter, int]], most: int, least_seen: int, odds: float, z: float) -> list[str]:
     """Features that toxic rows hold ``odds`` times as often as others, with a significance of ``z`` standard errors."""
     bad, good = Counter(), Counter()
-    n_bad, n_good = sum(y > 0 for _, y in rows), sum(y == 0 for _, y in rows)
+    n_bad = n_good = 0
     for x, y in rows:
+        n_bad, n_good = n_bad + (y > 0), n_good + (y == 0)
         (bad if y else good).update(x.keys())
     scored = []
     for f, n in bad.items():
@@ -73,22 +104,22 @@ def _select(rows: list[tuple[Counter, int]], most: int, least_seen: int, odds: f
     return [f for _, f in sorted(scored)[:most]]
 
 
-def distinct_rows(rows: list[tuple[Counter, int]]) -> list[tuple[Counter, int]]:
+def distinct_rows(rows: Sequence[tuple[Counter, int]]) -> Sequence[tuple[Counter, int]]:
     """Rows without near copies of an earlier one, which would pass off their own words as signs of their class.
 
     A near copy shares half of six minima over the longer words with one earlier row.
     """
     holders: dict[tuple[int, int], list[int]] = {}
     out = []
-    for at, (x, y) in enumerate(rows):
+    for at, (x, _) in enumerate(rows):
         words = [w.encode() for w in x if len(w) > 5] or [w.encode() for w in x]
         marks = [(i, min(zlib.crc32(w, i * 0x9E3779B1) for w in words)) for i in range(1, 7)] if words else []
         shared = Counter(h for m in marks for h in holders.get(m, ()))
         if max(shared.values(), default=0) < 3:
-            out.append((x, y))
+            out.append(at)
             for m in marks:
                 holders.setdefault(m, []).append(at)
-    return out
+    return rows.take(out) if isinstance(rows, Sample) else [rows[at] for at in out]
 
 
 class Likelihood:
@@ -98,7 +129,7 @@ class Likelihood:
     of thresholds holds by construction.  Clean and other rows weigh the same in sum.
     """
 
-    def __init__(self, rows: list[tuple[Counter, int]], vocabulary: list[str], grades: int, decay: float):
+    def __init__(self, rows: Sequence[tuple[Counter, int]], vocabulary: list[str], grades: int, decay: float):
         at = {f: i for i, f in enumerate(vocabulary)}
         cells = [(r, at[f], _squash(n)) for r, (x, _) in enumerate(rows) for f, n in x.items() if f in at]
         self.row, self.column = (np.array([c[i] for c in cells], np.int64) for i in (0, 1))
@@ -184,7 +215,7 @@ def minimize(loss: Likelihood, theta: np.ndarray, steps: int, tolerance: float,
     return theta
 
 
-def fit(rows: list[tuple[Counter, int]], most_features: int = 2000, least_seen: int = 3, odds: float = 8.0, z: float = 5.0, steps: int = 1000, tolerance: float = 1e-6, decay: float = 1e-4) -> OrdinalModel:
+def fit(rows: Sequence[tuple[Counter, int]], most_features: int = 2000, least_seen: int = 3, odds: float = 8.0, z: float = 5.0, steps: int = 1000, tolerance: float = 1e-6, decay: float = 1e-4) -> OrdinalModel:
     """Fit weights and ordered thresholds to the greatest penalized cumulative-link likelihood (see ``minimize``).
 
     ``rows`` are (features, grade), grades 0 .. K as the labels give them; there is a threshold between each two
@@ -193,8 +224,8 @@ def fit(rows: list[tuple[Counter, int]], most_features: int = 2000, least_seen:
     grades everything alike.
     """
     rows = distinct_rows(rows)
-    grades = max([y for _, y in rows], default=1) + 1
-    toxic = [y > 0 for _, y in rows]
+    found = [y for _, y in rows]
+    grades, toxic = max(found, default=1) + 1, [y > 0 for y in found]
     if not any(toxic) or all(toxic):
         return OrdinalModel({}, np.full(max(1, grades - 1), -30.0 if any(toxic) else 30.0))
     vocabulary = _select(rows, most_features, least_seen, odds, z)
@@ -205,11 +236,12 @@ def fit(rows: list[tuple[Counter, int]], most_features: int = 2000, least_seen:
     return OrdinalModel({f: float(x) for f, x in zip(vocabulary, theta, strict=False) if x}, loss.thresholds(theta))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_each: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[Counter, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_each: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Sequence[tuple[Counter, int]]:
     """At most ``most_each`` labelled rows of each grade, those with the least hashes of their ids, as features.
 
     The sample is the only thing that is bounded, and it is bounded in rows: texts of any length take part in full.
-    Their features are counted where they lie, in one pass for all grades, and only the counts come to the driver.
+    Their features are counted where they lie, in one pass for all grades, and only the counts come to the driver,
+    which holds them as numbers (see ``Sample``).
 
     Rows with a null id, text or label, or a negative one, are left out.  Of several labels of an id the largest
     counts.  Repeated rows count once; rows that share an id with different texts are rows of their own.
@@ -236,10 +268,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_each: int = 1500, i
     kind = chosen.schema["_id"].dataType.simpleString()
     texts = named.join(F.broadcast(chosen.withColumnRenamed("twin", "_twin")), (F.col("_doc") == F.col("_id")) & (F.col("twin") == F.col("_twin"))).select("_id", "twin", "y", "text")
     counted = texts.mapInArrow(count, f"_id {kind}, twin long, y int, names array<string>, counts array<long>").dropDuplicates(["_id", "twin"])
-    got = sorted(((r["y"], r["_id"], r["twin"], dict(zip(r["names"], r["counts"], strict=True))) for r in counted.toLocalIterator()), key=lambda r: (r[0], zlib.crc32(str(r[1]).encode()), str(r[1]), r[2]))
+    order: list[tuple] = []
+
+    def taken() -> Iterator[tuple[list[str], list[int], int]]:
+        for r in counted.toLocalIterator():
+            order.append((r["y"], zlib.crc32(str(r["_id"]).encode()), str(r["_id"]), r["twin"], len(order)))
+            yield r["names"], r["counts"], r["y"]
+
+    got = Sample(taken())
     discard(rows)
     discard(chosen)
-    return [(Counter(x), y) for y, _, _, x in got]
+    return got.take(at for *_, at in sorted(order)) if order else []
 
 
 def grade_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

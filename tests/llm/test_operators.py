@@ -287,6 +287,25 @@ def test_two_grades_are_logistic_regression():
     assert np.abs(x @ w - t - (x @ np.array([model.weights[f] for f in vocabulary]) - model.thresholds[0])).max() < 0.05
 
 
+def test_sample_is_small(spark):
+    """The driver holds a labelled sample as numbers: names once, not once for each row."""
+    import tracemalloc
+
+    r, letters = random.Random(5), str.maketrans("0123456789", "abcdefghij")
+    words = [f"word{k:05d}x".translate(letters) for k in range(3000)]
+    docs = [(i, " ".join(r.choices(words, k=2000))) for i in range(120)]
+    docs_, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    tracemalloc.start()
+    got = labelled_sample(docs_, labels)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert {frozenset(x.items()) for x, _ in got} == {frozenset(features_of(t).items()) for _, t in docs}
+    assert len(got) == 120 and [y for _, y in got] == [0] * 60 + [1] * 60
+    assert held < 24 * sum(len(x) for x, _ in got), held
+    whole, apart = fit(got, odds=0.1, z=-50), fit(list(got), odds=0.1, z=-50)
+    assert whole.weights == apart.weights and (whole.thresholds == apart.thresholds).all()
+
+
 def test_labelled_sample(spark):
     docs = [(i, f"text number{i} " * (1 if i else 30_000)) for i in range(30)] + [(None, "x y"), (40, None), (41, "twice"), (41, "twice"), (42, "one text"), (42, "other text")]
     labels = [(i, i % 3 == 0) for i in range(0, 30)] + [(0, False), (41, True), (42, False), (None, True), (40, True), (7, None), (99, True)]
