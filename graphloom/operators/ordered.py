@@ -88,7 +88,8 @@ def ordered_process(
         reached = active.select(F.col("id").alias("_id"), "value").join(graph.by_src(), F.col("_id") == F.col("src")).select(F.col("dst").alias("id"), relax(F.col("value"), F.col("weight")).cast("long").alias("new"))
         parts = [reached.withColumn("old", none), *[t.select("id", none.alias("new"), F.col("value").alias("old")) for t in known]]
         met = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.min("new").alias("new"), F.min("old").alias("old"))
-        return met.where(F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old")))).select("id", F.col("new").alias("value"))
+        # ids are never null: said here, or the join of the next round says it for itself alone, and its exchange is then another one
+        return met.where(F.col("id").isNotNull() & F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old")))).select("id", F.col("new").alias("value"))
 
     progress = Progress()
     table, seen = materialize_watched(keyed(start.select("id", F.col("value").cast("long").alias("value"), F.lit(True).alias("waits"))), "waiting", **aggregates)

@@ -259,3 +259,21 @@ def test_a_round_of_peeling_takes_few_jobs(spark, mirrored):
     ks, left = [t["k"] for t in trace], [t["left"] for t in trace]
     assert ks == sorted(ks) and len(ks) > 4 and left == sorted(set(left), reverse=True)
     assert jobs <= 4 * len(trace) + 4
+
+
+def test_fused_rounds_relax_an_arc_once(spark):
+    """The rounds of a fused superstep use each other's exchange: what a round found is not computed again to be written."""
+    relaxed = spark.sparkContext.accumulator(0)
+    arcs = [(0, i, i) for i in range(1, 11)] + [(i, 10 + i, 1) for i in range(1, 11)]
+    fan = Graph.from_tables(spark.createDataFrame(arcs, "src long, dst long, weight long"), weight="weight", nodes=21)
+
+    @F.udf("long")
+    def counted(value, weight):
+        relaxed.add(1)
+        return value + weight
+
+    start = spark.createDataFrame([(0, 0)], "id long, value long")
+    found = ordered_process(fan, start, relax=counted, rounds=2)
+    # ten arcs in each of two rounds; the second superstep has none left
+    assert relaxed.value == 20
+    assert pairs(found, "id", "value") == {0: 0} | {i: i for i in range(1, 11)} | {10 + i: i + 1 for i in range(1, 11)}
