@@ -85,6 +85,7 @@ def materialize_watched(df: DataFrame, name: str = "step", **watched: Column) ->
 def discard(*tables: DataFrame | None) -> None:
     """Delete the tables behind ``materialize`` and ``materialize_bucketed`` results that no later plan reads."""
     for df in tables:
+        discard(*getattr(df, "_graphloom_parts", ()))
         path = getattr(df, "_graphloom_path", None)
         if not path:
             continue
@@ -97,9 +98,9 @@ def discard(*tables: DataFrame | None) -> None:
         fs.delete(target, True)
 
 
-def passed_on(df: DataFrame, table: DataFrame) -> DataFrame:
-    """``df``, a view of the materialized ``table``, as something that ``discard`` knows."""
-    df._graphloom_path = table._graphloom_path
+def passed_on(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, a view of the materialized ``tables``, as something that ``discard`` knows."""
+    df._graphloom_parts = tables
     return df
 
 

@@ -1,12 +1,14 @@
 """Plans chosen while a search runs, its predicates and certificates, sampled and streamed components, many sources, sinks."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 from test_kernels import canonical, dijkstra, pairs, random_arcs
 
 from graphloom import Graph
+from graphloom.operators import components
 from graphloom.operators.bfs import Direction, bfs
 from graphloom.operators.components import connected_components, look_up
 from graphloom.operators.frontier import edge_map
@@ -154,6 +156,37 @@ def test_star_has_no_hot_key(spark):
     assert connected_components(rows.select(F.col("id").alias("src"), F.col("parent").alias("dst"))).where("component = 0").count() == 5001
 
 
+def test_linked_arcs_are_not_read_again(spark):
+    ids = random.Random(4).sample(range(300), 60)
+    # no vertex of a path has an arc beside those to its least and greatest neighbour; the second path lies outside the giant
+    for arcs, read in ([*zip(ids, ids[1:]), (500, 502), (502, 501)], 0), ([(i, 1000 + j) for i in ids[:9] for j in range(5)], None):
+        trace = []
+        df = spark.createDataFrame(arcs, "src long, dst long")
+        assert pairs(connected_components(df, "sampled", sample=8, trace=trace), "id", "component") == labels(arcs)
+        assert pairs(connected_components(df, "sampled", sample=8), "id", "component") == labels(arcs)
+        assert read is None or trace[0]["read"] == read
+
+
+def test_settled_rows_stay_where_they_are(spark, monkeypatch):
+    ids = random.Random(6).sample(range(400), 400)
+    written = Counter()
+
+    def counted(plain):
+        def write(df, name="step", **watched):
+            out = plain(df, name, **watched)
+            written[name] += (out[0] if watched else out).count()
+            return out
+
+        return write
+
+    for name in ("materialize", "materialize_watched"):
+        monkeypatch.setattr(components, name, counted(getattr(components, name)))
+    arcs = list(zip(ids, ids[1:]))
+    assert pairs(connected_components(spark.createDataFrame(arcs, "src long, dst long")), "id", "component") == labels(arcs)
+    # a vertex is named in one round, and jumps only until it is at its root
+    assert written["labels"] == 400 and written["flatten"] < 2 * written["hook"]
+
+
 @pytest.mark.parametrize("compact", [0, 2])
 def test_batches_in_any_order(spark, tmp_path, compact):
     arcs = [(u, v) for u, v, _ in random_arcs(80, 70, 5)] + [(90, 90)]
