@@ -1,7 +1,7 @@
 """Connected components of a graph whose arcs arrive in batches.
 
 The state is a folder.  ``members/batch=k`` holds the vertices that batch k was the first to name, with the component they
-had then; ``merges/batch=k`` holds, for every component that has been swallowed since the members were last rewritten, the one it belongs
+had after it; ``merges/batch=k`` holds, for every component that has been swallowed since the members were last rewritten, the one it belongs
 to after batch k.  A batch reads what its own vertices need, contracts the arcs between their components and
 writes two small tables; members are rewritten every ``compact`` batches.  A batch counts once its ``merges`` are
 complete, so one that is lost and comes again is done again from the state before it.
@@ -61,26 +61,30 @@ class StreamingComponents:
 
     def add(self, arcs: DataFrame, batch: int) -> None:
         """Take in a batch of arcs (src, dst); loops name their vertex, null ends nothing.  Made for ``foreachBatch``."""
-        arcs = materialize(arcs.select("src", "dst").where("src is not null and dst is not null").distinct(), "arcs")
+        arcs = materialize(arcs.select("src", "dst").where("src is not null and dst is not null"), "arcs")
         members, merges = self._state(before=batch)
         named = arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        known = named.join(members, "id", "left").join(merges.withColumnRenamed("component", "_now"), F.col("component") == F.col("old"), "left")
-        ends = materialize(known.select("id", F.coalesce("_now", "component", "id").alias("component"), F.col("component").isNull().alias("new")), "ends")
-        a, b = (ends.select(F.col("id").alias(end), F.col("component").alias(to)) for end, to in (("src", "a"), ("dst", "b")))
-        between = arcs.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        between = arcs
+        if not any(k < batch for k in self._batches("merges")):
+            ends = materialize(named.select("id", F.col("id").alias("component"), F.lit(True).alias("new")), "ends")
+        else:
+            known = named.join(members, "id", "left").join(merges.withColumnRenamed("component", "_now"), F.col("component") == F.col("old"), "left")
+            ends = materialize(known.select("id", F.coalesce("_now", "component", "id").alias("component"), F.col("component").isNull().alias("new")), "ends")
+            a, b = (ends.select(F.col("id").alias(end), F.col("component").alias(to)) for end, to in (("src", "a"), ("dst", "b")))
+            between = arcs.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         joined = connected_components(between)
-        fell = joined.where("id <> component").select(F.col("id").alias("old"), "component")
+        # new vertices are written with the component they come to; only older ones are merged
+        ends.where("new").select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component")).write.mode("overwrite").parquet(f"{self.folder}/members/batch={batch}")
+        fell = ends.where("not new").select(F.col("component").alias("old")).distinct().join(joined.withColumnRenamed("id", "old"), "old").where("old <> component")
         # what had been swallowed by a component that falls now belongs to the same one as it does
         carried = merges.join(fell.select(F.col("old").alias("_old"), F.col("component").alias("_new")), F.col("component") == F.col("_old"), "left").select("old", F.coalesce("_new", "component").alias("component"))
-        ends.where("new").select("id", "component").write.mode("overwrite").parquet(f"{self.folder}/members/batch={batch}")
-        every = materialize(carried.unionByName(fell), "merges")
+        every = carried.unionByName(fell)
         if self.compact and batch % self.compact == self.compact - 1:
-            fresh = members.unionByName(ends.where("new").select("id", "component"))
-            whole = fresh.join(every.withColumnRenamed("component", "_now"), F.col("component") == F.col("old"), "left")
-            whole.select("id", F.coalesce("_now", "component").alias("component")).write.mode("overwrite").parquet(f"{self.folder}/rewritten/batch={batch}")
-            every = every.limit(0)
+            whole = members.join(every.withColumnRenamed("component", "_now"), F.col("component") == F.col("old"), "left").select("id", F.coalesce("_now", "component").alias("component"))
+            whole.unionByName(self._read("members", [batch], _MEMBERS)).write.mode("overwrite").parquet(f"{self.folder}/rewritten/batch={batch}")
+            every = self._read("merges", [], _MERGES)
         every.write.mode("overwrite").parquet(f"{self.folder}/merges/batch={batch}")
-        discard(arcs, ends)
+        discard(arcs, ends, joined)
 
 
 def stream_components(arcs: DataFrame, folder: str, checkpoint: str, compact: int = 16):

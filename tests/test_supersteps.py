@@ -202,6 +202,16 @@ def test_batches_in_any_order(spark, tmp_path, compact):
     assert pairs(state.labels(), "id", "component") == want
 
 
+def test_only_older_components_are_merged(spark, tmp_path):
+    state = StreamingComponents(spark, f"file://{tmp_path}/state", 0)
+    merged = []
+    for i, batch in enumerate([[(5, 4), (4, 3), (9, 8)], [(9, 3), (3, 9), (20, 9), (30, 31)], [(3, 1), (31, 31), (1, 0)]]):
+        state.add(spark.createDataFrame(batch, "src long, dst long"), i)
+        merged.append(pairs(spark.read.schema("old long, component long").parquet(f"file://{tmp_path}/state/merges/batch={i}"), "old", "component"))
+    assert merged == [{}, {8: 3}, {8: 0, 3: 0}]
+    assert pairs(state.labels(), "id", "component") == {5: 0, 4: 0, 3: 0, 9: 0, 8: 0, 20: 0, 1: 0, 0: 0, 30: 30, 31: 30}
+
+
 def test_stream_goes_on(spark, tmp_path):
     base = f"file://{tmp_path}"
     for i, rows in enumerate([[(5, 6), (2, 3)], [(6, 3), (9, 8)]]):
