@@ -9,6 +9,7 @@ from test_kernels import canonical, dijkstra, pairs, random_arcs
 
 from graphloom import Graph
 from graphloom.operators import components
+from graphloom.operators import recommend as recommend_module
 from graphloom.operators.bfs import Direction, bfs
 from graphloom.operators.components import connected_components, look_up
 from graphloom.operators.frontier import edge_map
@@ -320,3 +321,30 @@ def test_fused_rounds_relax_an_arc_once(spark):
     # ten arcs in each of two rounds; the second superstep has none left
     assert relaxed.value == 20
     assert pairs(found, "id", "value") == {0: 0} | {i: i for i in range(1, 11)} | {10 + i: i + 1 for i in range(1, 11)}
+
+
+def test_circles_of_many_are_not_written(spark, monkeypatch):
+    r = random.Random(4)
+    # most reach nearly all, some a few, some none; items have 1 to 400 fans
+    trusts = {(a, r.randrange(1500)) for a in range(1500) for _ in range(30)} | {(a, a + 1) for a in range(1500, 1560)} | {(1600, 0)}
+    liked = {(u, int(400 * r.random() ** 3)) for u in range(1300) for _ in range(8)} | {(u, 500) for u in range(0, 1300, 3)} | {(1530, 7)}
+    trust = Graph.from_tables(spark.createDataFrame(list(trusts), "src long, dst long")).cache()
+    rates = Graph.from_tables(spark.createDataFrame([(u, 2000 + i, 5) for u, i in liked], "src long, dst long, weight long"), weight="weight").cache()
+    near, likes = {}, {}
+    for a, b in trusts:
+        near.setdefault(a, set()).add(b) if a != b else None
+    for u, i in liked:
+        likes.setdefault(u, []).append(2000 + i)
+    want = {}
+    for s in range(trust.nodes):
+        circle = step = near.get(s, set())
+        for _ in range(2):
+            step = set().union(*(near.get(v, ()) for v in step))
+            circle = circle | step
+        votes = Counter(i for u in circle for i in likes.get(u, ()))
+        want |= {(s, n + 1): iv for n, iv in enumerate(sorted(votes.items(), key=lambda iv: (-iv[1], -iv[0]))[:5])}
+    # circles as rows of their own would be one bitmap for each source and range, and one for each arc on the way
+    monkeypatch.setattr(recommend_module, "circle_bits", None)
+    for bits in (recommend_module.MATRIX_BITS, 1):
+        monkeypatch.setattr(recommend_module, "MATRIX_BITS", bits)
+        assert {(row.source, row.rank): (row.item, row.votes) for row in recommend_many(trust, rates, trust.vertices()).collect()} == want
