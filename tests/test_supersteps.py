@@ -348,3 +348,19 @@ def test_circles_of_many_are_not_written(spark, monkeypatch):
     for bits in (recommend_module.MATRIX_BITS, 1):
         monkeypatch.setattr(recommend_module, "MATRIX_BITS", bits)
         assert {(row.source, row.rank): (row.item, row.votes) for row in recommend_many(trust, rates, trust.vertices()).collect()} == want
+
+
+def test_rounds_of_coreness_share_tables_and_send_what_changed(spark):
+    path = [(i, i + 1, 1) for i in range(60)]
+    hub = [(100, 200 + i, 1) for i in range(300)] + [(200 + i, 201 + i, 1) for i in range(0, 300, 2)]
+    clique = [(a, b, 1) for a in range(600, 607) for b in range(a + 1, 607)] + [(606, 100, 1), (60, 600, 1)]
+    g = graph(spark, path + hub + clique, True).cache()
+    group = "coreness"
+    spark.sparkContext.setJobGroup(group, "rounds of coreness")
+    cores = kcore(g)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("rest", "")
+    linked = {i: 1 for i in range(61)} | {100: 2} | {200 + i: 2 for i in range(300)} | {i: 6 for i in range(600, 607)}
+    assert pairs(cores, "id", "coreness") == {i: linked.get(i, 0) for i in range(607)}
+    # the path loses a vertex a round: some 60 rounds
+    assert jobs < 120
